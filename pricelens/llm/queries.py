@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, pieces, repeats, simhash
-from .common import table
+from . import decontaminate, html_text, langid, licenses, pieces, repeats, simhash, token_files, vectors, warc
+from .common import scratch_path, table
 
 #: Folder of the public tokenizers' vocabulary files.
 TOKENIZERS = os.environ.get("PRICELENS_TOKENIZERS", "/opt/tokenizers")
@@ -19,6 +19,16 @@ def piece_vocabulary() -> pieces.Vocabulary:
     return pieces.load(f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.summary(warc.read_chunks(spark, path, data=False))
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.dedup(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -27,10 +37,23 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"), piece_vocabulary()).drop("text")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = token_files.load_ranks(f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return token_files.count(table(spark, sf_dir, "documents"), ranks)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.link(table(spark, sf_dir, "embeddings"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,12 +65,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_warc,
+        op2_html_text,
         op3_suffix_dedup,
         op4_sentencepiece,
+        op5_license_scan,
+        op6_token_counts,
         op7_simhash,
+        op8_embedding_dedup,
         op9_decontaminate,
         op10_language,
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_warc": warc.SQL}
