@@ -83,10 +83,11 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataF
     at = F.filter(F.transform("h", lambda x, i: F.when(x.isin(sorted(minimal)), i).otherwise(F.lit(-1))), lambda i: i >= 0)
     found = found.withColumn("at", at).where("size(at) > 0")
     # starts of the windows that hold such a shingle, by width
-    starts = lambda w: F.flatten(F.transform("at", lambda p: F.array(F.floor(p / w) * w, F.greatest(F.floor(p / w) - 1, F.lit(0)) * w)))
-    windows = F.flatten(
-        F.array(*[F.transform(F.array_distinct(starts(w)), lambda s, w=w: F.struct(F.lit(w).alias("width"), s.cast("int").alias("start"))) for w in widths])
-    )
+    def at_width(w: int) -> Column:
+        both = F.flatten(F.transform("at", lambda p: F.array(F.floor(p / w) * w, F.greatest(F.floor(p / w) - 1, F.lit(0)) * w)))
+        return F.transform(F.array_distinct(both), lambda s: F.struct(F.lit(w).alias("width"), s.cast("int").alias("start")))
+
+    windows = F.flatten(F.array(*map(at_width, widths)))
     found = found.select("doc_id", "h", F.explode(windows).alias("v")).select(
         "doc_id", "v.width", "v.start", F.slice("h", F.col("v.start") + 1, F.col("v.width") * 2).alias("part")
     )
