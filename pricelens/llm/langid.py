@@ -65,15 +65,19 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 def dense(step: list[dict[int, int]], width: int) -> np.ndarray:
-    """Table at [state * width + code]: the next state's row start, times two, plus one where a phrase ended."""
-    root = np.full(width, 1, np.int32)
+    """Table at [state * width + code]: the next state's row start, times four, plus the phrases that end.
+
+    A letter that the sample lacks is a phrase of its own, and ends the one before it.
+    """
+    root = np.full(width, 2, np.int32)
     for c, q in step[0].items():
-        root[c] = q * width * 2 + 1
+        root[c] = q * width * 4 + 1
     table = np.tile(root, (len(step), 1))
+    table[0][root == 2] = 1
     for s, row in enumerate(step):
         for c, q in row.items():
-            table[s, c] = q * width * 2
-    table[:, PAD] = np.arange(len(step), dtype=np.int32) * width * 2
+            table[s, c] = q * width * 4
+    table[:, PAD] = np.arange(len(step), dtype=np.int32) * width * 4
     return table.ravel()
 
 
@@ -138,8 +142,8 @@ class Model:
                 if not (n := live[i]):
                     break
                 v = table[state[:n] + lanes[i, :n]]
-                count[:n] += v & 1
-                state[:n] = v >> 1
+                count[:n] += v & 3
+                state[:n] = v >> 2
             out[k] = np.bincount(owner, count + 1, minlength=len(texts))
         return out
 
