@@ -274,3 +274,14 @@ def resolution_payload(candidates: DataFrame) -> DataFrame:
     order = F.array_sort(F.collect_list(F.struct("distance_miles", "store_id", "latitude", "longitude", "stage")))
     g = candidates.groupBy("deal_id").agg(order.alias("c"))
     return g.select("deal_id", F.struct(F.col("c")[0]["store_id"].alias("store_id"), F.col("c")[0]["latitude"].alias("latitude"), F.col("c")[0]["longitude"].alias("longitude"), F.transform("c", lambda x: x["store_id"]).alias("candidate_store_ids"), F.col("c")[0]["stage"].alias("stage")).alias("payload"))
+
+
+def merge_issues(*lists: Column) -> Column:
+    """Issue names of several lists, each once, in order of first sight."""
+    return F.array_distinct(F.flatten(F.array(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists])))
+
+
+def dedup_candidates(rows: DataFrame) -> DataFrame:
+    """Candidates of one deal: external ones (id null) once per composite key, local ones once per id, nearest first."""
+    key = F.coalesce(F.col("id").cast("string"), F.concat_ws("|", "retailer_key", geo.address_key(F.col("address")), "zip_code"))
+    return first_by(rows.withColumn("_key", key), ["deal_id", "_key"], [F.coalesce("distance_miles", F.lit(999_999.0)), F.col("seq")]).drop("_key")

@@ -214,3 +214,43 @@ def attach_addresses(stores: DataFrame, deals: DataFrame) -> DataFrame:
     a = deals.where("address is not null").groupBy("retailer_key", "zip_code").agg(F.min_by("address", "id").alias("deal_address"))
     need = F.col("address").isNull()
     return stores.join(a, ["retailer_key", "zip_code"], "left").withColumn("address", F.when(need, F.col("deal_address")).otherwise(F.col("address"))).drop("deal_address")
+
+
+def match_mapped(deals: DataFrame, stores: DataFrame, mapping: DataFrame) -> DataFrame:
+    """deals with matched_store by the base key of their retailer variant (mapping: variant, base) and equal zip, for all variants at once."""
+    base = mapping.groupBy("variant").agg(F.min("base").alias("_base"))
+    s = stores.groupBy(F.col("retailer_key").alias("_base"), "zip_code").agg(F.min("store_id").alias("matched_store"))
+    return deals.join(base, F.lower("retailer_key") == F.lower("variant"), "left").join(s, ["_base", "zip_code"], "left").drop("_base", "variant")
+
+
+def match_nearest(deals: DataFrame, stores: DataFrame, zips: DataFrame, cap: float, sparse: list[str] = [], sparse_cap: float | None = None) -> DataFrame:
+    """deals with the nearest store of their retailer within cap miles of the zip's centre; sparse retailers have a wider cap."""
+    pairs = deals.select("retailer_key", "zip_code").distinct().join(zips, "zip_code")
+    limit = F.when(F.col("retailer_key").isin(sparse), sparse_cap or cap).otherwise(cap)
+    best = nearest(pairs, stores, max(cap, sparse_cap or cap)).where(F.col("distance_miles") <= limit)
+    return deals.join(best.select("retailer_key", "zip_code", F.col("store_id").alias("matched_store"), "distance_miles"), ["retailer_key", "zip_code"], "left")
+
+
+def match_or_create(deals: DataFrame, stores: DataFrame, zips: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(deals with their retailer's store in the zip, nearest to the zip's centre if several; one new store for each pair without any)."""
+    z = zips.select("zip_code", F.col("latitude").alias("zlat"), F.col("longitude").alias("zlon"))
+    s = stores.join(z, "zip_code", "left")
+    far = F.coalesce(haversine(F.col("latitude"), F.col("longitude"), F.col("zlat"), F.col("zlon")), F.lit(1e9))
+    one = s.groupBy("retailer_key", "zip_code").agg(F.min_by("store_id", F.struct(far, "store_id")).alias("matched_store"), F.count("*").alias("_n"))
+    out = deals.join(one, ["retailer_key", "zip_code"], "left")
+    out = out.withColumn("matched_by", F.when(F.col("_n") == 1, "single").when(F.col("_n") > 1, "multi_nearest").otherwise("created")).drop("_n")
+    return out, out.where("matched_store is null").select("retailer_key", "zip_code").distinct()
+
+
+def trigger_deals(deltas: DataFrame, hist: DataFrame, stores: DataFrame, types: list[str]) -> DataFrame:
+    """Deltas of some types with the earliest history row of their key and, where known, their store's zip."""
+    first = hist.groupBy("match_key").agg(F.min_by(F.struct("brand", "category"), F.struct("day", "store_id")).alias("h"))
+    d = deltas.where(F.col("delta_type").isin(types)).select("match_key", "store_id", "current_price", "delta_type").join(first, "match_key")
+    return d.join(stores.select("store_id", "zip_code"), "store_id", "left").select("match_key", "store_id", "current_price", "delta_type", "h.brand", "h.category", "zip_code")
+
+
+def allowed(df: DataFrame, column: str, allow: DataFrame | None = None, deny: DataFrame | None = None) -> DataFrame:
+    """Rows whose column is in allow and not in deny (one-column frames)."""
+    if allow is not None:
+        df = df.join(allow.select(F.col(allow.columns[0]).alias(column)).distinct(), column, "left_semi")
+    return df if deny is None else df.join(deny.select(F.col(deny.columns[0]).alias(column)).distinct(), column, "left_anti")

@@ -47,3 +47,37 @@ def test_quiet_hours_wrap_and_unknown_zone(spark):
 def test_week_starts_on_wednesday(spark):
     d = spark.createDataFrame([("2026-10-20 03:07:00",), ("2026-10-21 08:00:00",)], "t string").select(P.flyer_week_start(F.to_timestamp("t")).alias("x"))
     assert [str(r.x) for r in d.collect()] == ["2026-10-14 07:00:00", "2026-10-21 07:00:00"]
+
+
+def test_store_catalog_csv_and_json(spark, tmp_path):
+    row = "Shop,shop,7,1 Main St,\"1 Main St, Town, CA 90001\",90001,34.0,-118.0,high,src"
+    (tmp_path / "c.csv").write_text(S.CATALOG.replace(" string", "").replace(" double", "").replace(", ", ",") + "\n" + row + "\n")
+    got = S.read_store_catalog(spark, str(tmp_path / "c.csv")).first()
+    assert (got.store_id, got.latitude, got.full_address) == ("7", 34.0, "1 Main St, Town, CA 90001")
+    (tmp_path / "c.json").write_text('{"retailer": "Shop", "latitude": 1.5}\n')
+    assert S.read_store_catalog(spark, str(tmp_path / "c.json"), "json").first().latitude == 1.5
+
+
+def test_send_cap_state(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    t = lambda d, h: dt.datetime(2026, 1, d, h)
+    rows = [(1, "p", "r", t(1, 1)), (1, "p", "r", t(3, 1)), (1, "p", "r", t(9, 1)), (1, "a", "r", t(1, 2)), (1, "b", "r", t(1, 3)), (1, "c", "r", t(1, 4)), (2, "p", "r", t(1, 1))]
+    schema = "user_id long, product string, retailer string, sent_at timestamp"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = P.capped_sends(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "k")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.user_id, r["product"], r.sent_at.day) for r in spark.read.schema(schema).parquet(str(tmp_path / "out")).collect())
+    assert got == [(1, "a", 1), (1, "b", 1), (1, "p", 1), (1, "p", 9), (2, "p", 1)]
+
+
+def test_enrichment_and_dedup_streams(spark, tmp_path):
+    schema = "user_id long, product string, retailer string, sent_at timestamp"
+    now = dt.datetime(2026, 1, 1, 5)
+    spark.createDataFrame([(1, "p", "r", now), (1, "p", "r", now), (2, "p", "r", now)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    rows = P.dedup_sends(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "k")).trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.schema(schema).parquet(str(tmp_path / "out")).count() == 2
+    seen = []
+    raw = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    P.enrich_stream(raw, lambda b: b.withColumn("x", F.col("user_id") * 2), lambda b, i: seen.append(sorted(r.x for r in b.collect())), str(tmp_path / "e")).awaitTermination()
+    assert seen == [[2, 2, 4]]
