@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.history import daily_price_history
@@ -79,35 +80,28 @@ def enrich_stream(rows: DataFrame, match: Callable[[DataFrame], DataFrame], sink
     return rows.writeStream.foreachBatch(lambda b, i: sink(match(b), i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-class SendCap(StatefulProcessor):
-    """By user: passes the first send of a product and retailer in seven days, at most three a day; older state expires by its time."""
+WEEK, PER_DAY = 7 * 86_400, 3
 
-    WEEK = 7 * 86_400
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "product string, retailer string", "at long", ttlDurationMs=self.WEEK * 1000)
-        self.days = handle.getMapState("days", "day long", "n long", ttlDurationMs=2 * 86_400_000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        for r in pd.concat(list(rows)).sort_values(["sent_at", "product"]).itertuples():
-            at, day, item = int(r.sent_at.timestamp()), int(r.sent_at.timestamp()) // 86_400, (r.product, r.retailer)
-            last = self.seen.getValue(item)[0] if self.seen.containsKey(item) else None
-            n = self.days.getValue((day,))[0] if self.days.containsKey((day,)) else 0
-            if (last is None or at - last >= self.WEEK) and n < 3:
-                self.seen.updateValue(item, (at,))
-                self.days.updateValue((day,), (n + 1,))
-                out.append((key[0], r.product, r.retailer, r.sent_at))
-        yield pd.DataFrame(out, columns=["user_id", "product", "retailer", "sent_at"])
-
-    def close(self) -> None:
-        pass
+def _cap(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Of one user's sends, the first of a product and retailer in seven days and at most three a day; the state holds what is younger."""
+    sent = json.loads(state.get[0]) if state.exists else []  # (product, retailer, seconds) of passed sends
+    out = []
+    for r in pd.concat(list(batches)).sort_values(["sent_at", "product"]).itertuples():
+        at = int(r.sent_at.timestamp())
+        sent = [x for x in sent if at - x[2] < WEEK]
+        again = any(x[0] == r.product and x[1] == r.retailer for x in sent)
+        if not again and sum(x[2] // 86_400 == at // 86_400 for x in sent) < PER_DAY:
+            sent.append([r.product, r.retailer, at])
+            out.append((key[0], r.product, r.retailer, r.sent_at))
+    state.update((json.dumps(sent),))
+    yield pd.DataFrame(out, columns=["user_id", "product", "retailer", "sent_at"])
 
 
 def capped_sends(rows: DataFrame) -> DataFrame:
-    """A stream of sends (user_id, product, retailer, sent_at) under the caps of SendCap."""
+    """A stream of sends (user_id, product, retailer, sent_at) under weekly and daily caps, kept as state of each user."""
     schema = "user_id long, product string, retailer string, sent_at timestamp"
-    return rows.groupBy("user_id").transformWithStateInPandas(SendCap(), schema, "Append", "processingTime")
+    return rows.groupBy("user_id").applyInPandasWithState(_cap, schema, "sent string", "append", GroupStateTimeout.NoTimeout)
 
 
 def dedup_sends(rows: DataFrame, days: int = 7) -> DataFrame:

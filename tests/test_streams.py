@@ -59,7 +59,6 @@ def test_store_catalog_csv_and_json(spark, tmp_path):
 
 
 def test_send_cap_state(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     t = lambda d, h: dt.datetime(2026, 1, d, h)
     rows = [(1, "p", "r", t(1, 1)), (1, "p", "r", t(3, 1)), (1, "p", "r", t(9, 1)), (1, "a", "r", t(1, 2)), (1, "b", "r", t(1, 3)), (1, "c", "r", t(1, 4)), (2, "p", "r", t(1, 1))]
     schema = "user_id long, product string, retailer string, sent_at timestamp"
