@@ -23,12 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import batches, connected_components, cut, partitions_for
 
-TABLES, MARGIN, PROJECTIONS, WIDTH, RECALL = 5, 0.35, 24, 0.75, 0.99
+TABLES, MARGIN, PROJECTIONS, WIDTH, RECALL = 4, 0.25, 24, 0.75, 0.99
 #: Vectors of a cell to aim at: the trees' depth follows the number of vectors.
-CELL, MAX_DEPTH, TILE = 128, 24, 1024
+CELL, MAX_DEPTH, TILE = 512, 24, 1024
 _CELLS = pa.schema([("tree", pa.int32()), ("cell", pa.int64()), ("home", pa.bool_()), ("id", pa.int64()), ("n", pa.int64()), ("v", pa.binary())])
 _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
@@ -45,6 +46,14 @@ def calibrated(threshold: float) -> int:
     return 0
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length one; scaled first, so that squares of very large or small numbers are finite."""
+    if not len(x):
+        return x
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt(np.einsum("nd,nd->n", x, x))[:, None]
+
+
 class Trees:
     def __init__(self, dim: int, n: int, seed: int = 11):
         self.dim = dim
@@ -143,27 +152,31 @@ def link(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     least = calibrated(threshold)
     shared = spark.sparkContext.broadcast(trees)
 
-    def deal(it):
-        t = shared.value
-        for batch in it:
-            if not batch.num_rows:
-                continue
-            ids, n = batch.column("id").to_pylist(), batch.column("n").to_pylist()
-            x = np.array(batch.column("v").to_pylist(), np.float64)
-            x /= np.abs(x).max(1, keepdims=True)
-            x /= np.sqrt(np.einsum("nd,nd->n", x, x))[:, None]
-            raw = [r.tobytes() for r in x]
-            for tree in range(TABLES):
-                sides = t.sides(x, tree)
-                home = t.home(sides).tolist()
-                out = [(tree, int(c), c == h, i, k, v) for i, k, v, h, cells in zip(ids, n, raw, home, t.asks(sides), strict=True) for c in cells]
-                yield from batches({f.name: [r[m] for r in out] for m, f in enumerate(_CELLS)}, _CELLS)
-
-    cells = cut(one.mapInArrow(deal, "tree int, cell long, home boolean, id long, n long, v binary"), "vectors")
+    narrow = isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
+    kind = np.float32 if narrow else np.float64  # what holds the table's numbers exactly
+
+    def deal(with_vectors: bool):
+        def run(it):
+            t = shared.value
+            for batch in it:
+                if not batch.num_rows:
+                    continue
+                ids, n = batch.column("id").to_pylist(), batch.column("n").to_pylist()
+                raw = np.array(batch.column("v").to_pylist(), np.float64)
+                x = _unit(raw)
+                raw = [r.tobytes() if with_vectors else b"" for r in raw.astype(kind)]
+                for tree in range(TABLES):
+                    sides = t.sides(x, tree)
+                    home = t.home(sides).tolist()
+                    out = [(tree, int(c), c == h, i, k, v) for i, k, v, h, cells in zip(ids, n, raw, home, t.asks(sides), strict=True) for c in cells]
+                    yield from batches({f.name: [r[m] for r in out] for m, f in enumerate(_CELLS)}, _CELLS)
+
+        return one.mapInArrow(run, "tree int, cell long, home boolean, id long, n long, v binary")
+
     # tiles of a cell: rows are spread over both sides, so that a large cell becomes many tasks
-    size = cells.groupBy("tree", "cell").agg(F.count("*").alias("rows"), F.count_if("home").alias("stored"))
+    size = deal(False).groupBy("tree", "cell").agg(F.count("*").alias("rows"), F.count_if("home").alias("stored"))
     size = size.where("stored > 0 and rows > 1").select("tree", "cell", F.ceil(F.col("rows") / TILE).alias("across"))
-    dealt = cells.join(size, ["tree", "cell"])
+    dealt = deal(True).join(size, ["tree", "cell"])
     part = F.pmod(F.xxhash64("id"), F.col("across")).alias("own")
     whole = F.sequence(F.lit(0).cast("long"), F.col("across") - 1)
     asking = dealt.select("tree", "cell", "id", "n", "v", F.lit(True).alias("asks"), part, F.explode(whole).alias("other"))
@@ -177,7 +190,7 @@ def link(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
             side = []
             for which in (True, False):
                 own = [r for r in held if r[0] == which]
-                side.append((np.array([r[1] for r in own], np.int64), np.frombuffer(b"".join(r[3] for r in own), np.float64).reshape(-1, t.dim), np.array([r[2] for r in own], np.int64)))
+                side.append((np.array([r[1] for r in own], np.int64), _unit(np.frombuffer(b"".join(r[3] for r in own), kind).reshape(-1, t.dim).astype(np.float64)), np.array([r[2] for r in own], np.int64)))
             (iq, xq, nq), (js, xs, ns) = side
             if not len(iq) or not len(js):
                 return
