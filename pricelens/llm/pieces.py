@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 UNKNOWN_COST = 10.0
 CHUNK = 1 << 21
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 #: Longer words (bytes) are solved one by one.
 LONG = 96
 
@@ -177,14 +177,20 @@ class Vocabulary:
             up = here + self.unknown > best[row, to]
             rr, to = row[up], to[up]
             best[rr, to], back[rr, to], piece[rr, to] = here[up] + self.unknown, i, -1
-        out = []
-        back_l, piece_l = back.tolist(), piece.tolist()
-        for raw, b, p in zip(raws, back_l, piece_l, strict=True):
-            steps, j = [], len(raw)
+        # all paths from their ends: column k holds the k-th piece from the end, -2 before the path's start
+        at, rows, columns = size.copy(), np.arange(n), []
+        while at.any():
+            columns.append(np.where(at > 0, piece[rows, at], -2))
+            at = np.where(at > 0, back[rows, at], 0)
+        path = np.stack(columns[::-1], 1)
+        skip, plain = (path == -2).sum(1).tolist(), (path != -1).all(1).tolist()
+        out = [x[k:] for x, k in zip(path.tolist(), skip, strict=True)]
+        for i in np.flatnonzero(~np.array(plain)).tolist():
+            steps, j = [], int(size[i])
             while j:
-                steps.append((b[j], j, p[j]))
-                j = b[j]
-            out.append([x[2] for x in reversed(steps)] if min(x[2] for x in steps) >= 0 else self._spell(raw, steps[::-1]))
+                steps.append((int(back[i, j]), j, int(piece[i, j])))
+                j = steps[-1][0]
+            out[i] = self._spell(raws[i], steps[::-1])
         return out
 
     def _learn(self, words: set[str]) -> None:
@@ -192,14 +198,15 @@ class Vocabulary:
         if len(self.cache) + len(new) > CACHED_WORDS:
             self.cache.clear()
             new = list(words)
-        raws = sorted(((w.replace(" ", MARK).encode("utf-8", "surrogatepass"), w) for w in new), key=lambda x: len(x[0]))
-        short = [x for x in raws if len(x[0]) <= LONG]
-        for at in range(0, len(short), 8192):
-            part = short[at : at + 8192]
-            for (_, w), ids in zip(part, self.many([r for r, _ in part]), strict=True):
-                self.cache[w] = ids
-        for r, w in raws[len(short) :]:
-            self.cache[w] = self.one(r)
+        new.sort(key=len)  # words of like length share a batch
+        raws = [w.replace(" ", MARK).encode("utf-8", "surrogatepass") for w in new]
+        for at in range(0, len(new), 8192):
+            short = [k for k in range(at, min(at + 8192, len(new))) if len(raws[k]) <= LONG]
+            if short:
+                self.cache.update(zip([new[k] for k in short], self.many([raws[k] for k in short]), strict=True))
+            for k in range(at, min(at + 8192, len(new))):
+                if len(raws[k]) > LONG:
+                    self.cache[new[k]] = self.one(raws[k])
 
     def encode(self, texts: list[str | None]) -> list[list[int] | None]:
         """Ids of each text."""
@@ -276,7 +283,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         for whole in it:
             for batch in _chunks(whole, "text"):
                 ids = shared.value.encode(batch.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "text", "ids"])
+                flat = np.fromiter(chain.from_iterable(x or () for x in ids), np.int32)
+                ends = pa.array(np.cumsum([0, *(len(x or ()) for x in ids)]), pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array(flat), mask=pa.array([x is None for x in ids], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["doc_id", "text", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text string, ids array<int>")
 
@@ -287,7 +297,10 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def run(it):
         for batch in it:
-            texts = [shared.value.decode(x.as_py()) for x in batch.column("ids")]
+            ids = batch.column("ids")
+            flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_pylist()
+            own = zip(ids.is_valid().to_pylist(), ends[:-1], ends[1:], strict=True)
+            texts = [shared.value.decode(flat[a:b].tolist()) if ok else None for ok, a, b in own]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "text", "ids", "decoded"])
 
     return encoded.select("doc_id", "text", "ids").mapInArrow(run, "doc_id long, text string, ids array<int>, decoded string")
