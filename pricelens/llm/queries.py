@@ -78,4 +78,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {"op1_warc": warc.SQL}
+SQL: dict[str, str] = {"op1_warc": warc.SQL, "op8_embedding_dedup": vectors.SQL}

@@ -29,7 +29,7 @@ from .common import batches, connected_components, cut, partitions_for
 
 TABLES, MARGIN, PROJECTIONS, WIDTH, RECALL = 4, 0.25, 24, 0.75, 0.99
 #: Vectors of a cell to aim at: the trees' depth follows the number of vectors.
-CELL, MAX_DEPTH, TILE = 512, 24, 1024
+CELL, MAX_DEPTH, TILE = 512, 24, 2048
 _CELLS = pa.schema([("tree", pa.int32()), ("cell", pa.int64()), ("home", pa.bool_()), ("id", pa.int64()), ("n", pa.int64()), ("v", pa.binary())])
 _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
@@ -221,3 +221,15 @@ def link(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     )
     out = rows.join(label, rows.v == label.w, "left").select("vec_id", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+#: The same by DuckDB, comparing all pairs; for small tables.
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+dim AS (SELECT len(e) AS d FROM v WHERE e IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+ok AS (SELECT vec_id, e FROM v WHERE len(e) = (SELECT d FROM dim) AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.vec_id)
+SELECT v.vec_id, coalesce(n, 0) AS n_links, c AS component_id, v.vec_id = c AS kept FROM v LEFT JOIN (SELECT a, count(*) AS n FROM p GROUP BY 1) ON a = v.vec_id
+JOIN (SELECT vec_id, min(c) AS c FROM r GROUP BY 1) USING (vec_id)
+"""
