@@ -190,7 +190,7 @@ def stage(batch: DataFrame, staged: DataFrame) -> DataFrame:
 def promote(rows: DataFrame, targets: list[str]) -> DataFrame:
     """rows (retailer_key, promoted, review_status, address, issues, latitude, longitude) with status, the first gate that applies."""
     gate = (
-        F.when(~F.col("retailer_key").isin(targets), "NOT_TARGET").when(F.col("promoted"), "ALREADY_PROMOTED").when(F.col("review_status").isin("pending", "deleted"), "REVIEW_" + "PENDING")
+        F.when(~F.col("retailer_key").isin(targets), "NOT_TARGET").when(F.col("promoted"), "ALREADY_PROMOTED").when(F.col("review_status").isin("pending", "deleted"), "REVIEW_PENDING")
         .when(empty("address"), "MISSING_ADDRESS").when(F.size("issues") > 0, "VALIDATION_FAILED").when(~valid_coord(F.col("latitude"), F.col("longitude")), "GEOCODE_FAILED").otherwise("SUCCESS")
     )
     return rows.withColumn("status", gate)
