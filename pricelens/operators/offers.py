@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import name_similarity, price_per_oz, size_key, word_sort
-from ..sources.tables import cents
+from ..sources.tables import cents, small
 
 PRODUCE = "apple banana orange lettuce tomato potato onion carrot pepper grape berry melon peach plum corn".split()
 
@@ -85,9 +85,10 @@ def offer_details(deals: DataFrame) -> DataFrame:
 def search(requests: DataFrame, deals: DataFrame, k: int = 20) -> DataFrame:
     """By request (request_id, term): products whose name holds the term, those with most retailers first.
 
-    requests must be a bounded batch of calls: it is the small side of the containment join.
+    Terms meet distinct names, not deals: containment has no key to join on, so the fewer rows there the better.
     """
-    d = deals.select("deal_id", "canonical", "brand", "retailer", "price").join(F.broadcast(requests), has_text(F.col("canonical"), F.col("term")))
+    names = deals.select("canonical").distinct().join(small(requests), has_text(F.col("canonical"), F.col("term"))).select("request_id", "canonical")
+    d = deals.select("canonical", "brand", "retailer", "price").join(names, "canonical")
     g = d.groupBy("request_id", "canonical", F.lower("brand").alias("brand")).agg(
         F.count_distinct("retailer").alias("n_retailers"),
         F.min(F.when(F.col("price") > 0, F.col("price"))).alias("min_price"),
@@ -118,7 +119,7 @@ def resolve_names(requests: DataFrame, deals: DataFrame, latest: int = 500) -> D
     by_words = names.withColumn("w", word_sort(F.col("canonical")))
     turned = r.join(by_words, word_sort(r.term) == by_words.w).select("request_id", "term", "canonical", "n", F.lit(2).alias("step"), F.lit(0.0).alias("fit"))
     short = names.where(F.length("canonical") <= 80)
-    like = short.join(F.broadcast(r), F.contains("canonical", "term")).select(
+    like = short.join(small(r), F.contains("canonical", "term")).select(
         "request_id", "term", "canonical", "n", F.lit(3).alias("step"), (name_similarity(F.col("term"), F.col("canonical")) * 10 + F.col("n") * 0.1).alias("fit")
     )
     words = F.split("term", " ")
@@ -204,7 +205,7 @@ def cart_stores(requests: DataFrame, deals: DataFrame) -> DataFrame:
     """By request (request_id, items) and store of deals (with distance_miles): what matches, its total and a score with a cost per mile."""
     item = F.explode("items").alias("item")
     asked = requests.select("request_id", item)
-    hits = deals.join(F.broadcast(asked), (deals.request_id == asked.request_id) & has_text(F.col("canonical"), F.col("item"))).drop(asked.request_id)
+    hits = deals.join(asked, (deals.request_id == asked.request_id) & has_text(F.col("canonical"), F.col("item"))).drop(asked.request_id)
     hits = hits.groupBy("request_id", "store_id", "deal_id").agg(F.max("price").alias("price"), F.max("distance_miles").alias("miles"), F.collect_set("item").alias("items"))
     g = hits.groupBy("request_id", "store_id").agg(
         cents(F.sum(F.round(F.col("price") * 100).cast("long")) / 100).alias("total"), F.count("*").alias("n_deals"), F.size(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items_found"), F.max("miles").alias("miles")
@@ -215,7 +216,7 @@ def cart_stores(requests: DataFrame, deals: DataFrame) -> DataFrame:
 def cart_totals(basket: DataFrame, deals: DataFrame) -> DataFrame:
     """By (basket_id, retailer, zip): the cheapest of each item, total, items found and missing; basket (basket_id, items)."""
     asked = basket.select("basket_id", "items", F.explode("items").alias("canonical"))
-    cheapest = deals.join(F.broadcast(asked), "canonical").groupBy("basket_id", "items", "retailer", "zip_code", "canonical").agg(F.min("price").alias("price"))
+    cheapest = deals.join(asked, "canonical").groupBy("basket_id", "items", "retailer", "zip_code", "canonical").agg(F.min("price").alias("price"))
     g = cheapest.groupBy("basket_id", "items", "retailer", "zip_code").agg(cents(F.sum(F.round(F.col("price") * 100).cast("long")) / 100).alias("total_price"), F.count("*").alias("items_found"), F.collect_set("canonical").alias("found"))
     return g.select("basket_id", "retailer", "zip_code", "total_price", "items_found", F.size(F.array_except("items", "found")).alias("items_missing"))
 

@@ -191,6 +191,11 @@ def read_store_catalog(spark: SparkSession, path: str, fmt: str = "csv") -> Data
     return reader.csv(path, header=True) if fmt == "csv" else reader.json(path)
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows (they are counted); larger ones are left to the optimizer."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in a given order."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
