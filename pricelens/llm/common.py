@@ -46,6 +46,19 @@ def batches(columns: dict[str, list], schema: pa.Schema):
         )
 
 
+def slices(batch: pa.RecordBatch, column: str, size: int):
+    """Slices of a batch that hold at most size bytes of a column, or one row."""
+    at, held = 0, 0
+    for i, x in enumerate(batch.column(column)):
+        n = len(x.as_buffer()) if x.is_valid else 0
+        if held and held + n > size:
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

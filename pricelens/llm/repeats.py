@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batches, cut, partitions_for
+from .common import batches, cut, partitions_for, slices
 
 LENGTH = 100
 GRAM = 32
@@ -39,7 +39,7 @@ GRAM = 32
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 PIECE = 1 << 17
 #: Anchors gathered in a task before equal contexts are reduced; bytes of contexts sorted as one block.
-HELD, BLOCK = 1 << 19, 1 << 22
+HELD, BLOCK = 1 << 18, 1 << 21
 #: Contexts of one anchor that are sorted as a bucket.
 BUCKET = 4096
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 4000, 32, 4096
@@ -326,7 +326,7 @@ def _contexts(texts: DataFrame, found: DataFrame) -> DataFrame:
     """Rows of found with what 1 and 2, and their bytes."""
 
     def run(it):
-        for batch in it:
+        for batch in (x for whole in it for x in slices(whole, "text", BLOCK)):
             rows = []
             for doc, t, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 raw = t.as_buffer()
@@ -357,7 +357,7 @@ def dedup(docs: DataFrame, carry: list[str] = []) -> DataFrame:
     )
 
     def run(it):
-        for batch in it:
+        for batch in (x for whole in it for x in slices(whole, "text", BLOCK)):
             rows = []
             for doc, t, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 raw = t.as_buffer().to_pybytes() if t.is_valid else b""
