@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -46,6 +48,30 @@ def batches(columns: dict[str, list], schema: pa.Schema):
         )
 
 
+#: Rows of an Arrow batch where rows hold whole texts: batches of the default size take tens of MB in each task, on both sides.
+WIDE_ROWS = 1000
+
+
+def _release() -> None:
+    """Gives memory that this worker no longer uses back to the system; an idle worker would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) for rows that hold whole texts: smaller batches (a setting of the session), memory returned at a task's end."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= WIDE_ROWS:
+        conf.set(name, WIDE_ROWS)
+
+    def task(it):
+        yield from run(it)
+        _release()
+
+    return df.mapInArrow(task, schema)
+
+
 def slices(batch: pa.RecordBatch, column: str, size: int):
     """Slices of a batch that hold at most size bytes of a column, or one row."""
     at, held = 0, 0
