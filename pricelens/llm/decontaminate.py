@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, map_batches
 
 #: Fixed masks: twelve words wide, eight of them read.
 MASKS = ("111010010111", "110110101101", "101101110011")
@@ -142,7 +142,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 ]
                 yield from batches({f.name: [x[k] for x in found] for k, f in enumerate(_OUT)}, _OUT)
 
-        got = rows.mapInArrow(run, "doc_id long, item_id long, start_word long, n_words long, n_same long")
+        got = map_batches(rows, run, "doc_id long, item_id long, start_word long, n_words long, n_same long")
         out = got if out is None else out.union(got)
     return out
 

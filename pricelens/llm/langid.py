@@ -17,13 +17,14 @@ labelled row can be learned from, all rows give ``und``. Only doc_id, text and l
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, map_batches
 
 SAMPLE_DOCS = 64
 EXCERPT = 512
@@ -147,7 +148,7 @@ class Model:
             out[k] = np.bincount(owner, count + 1, minlength=len(texts))
         return out
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def predict(self, texts: Iterable[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = []
         part: list[np.ndarray] = []
         size = 0
@@ -215,14 +216,14 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(it):
         for batch in it:
-            said = shared.value.predict(batch.column(1).to_pylist())
+            said = shared.value.predict(t.as_py() for t in batch.column(1))
             ids = batch.column(0).to_pylist()
             yield from batches(
                 {"doc_id": ids, "lang_pred": [x for x, _ in said], "score": [y for _, y in said]}, _OUT
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return map_batches(rows, run, "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -239,7 +240,7 @@ def recognised(docs: DataFrame) -> DataFrame:
 
     def run(it):
         for batch in it:
-            said = shared.value.predict(batch.column("text").to_pylist())
+            said = shared.value.predict(t.as_py() for t in batch.column("text"))
             yield batch.filter(pa.array([lang != "und" for lang, _ in said], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)

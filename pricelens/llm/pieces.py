@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches, slices
+
 MARK = "▁"
 UNKNOWN_COST = 10.0
-CHUNK = 1 << 21
-CACHED_WORDS = 400_000
+CHUNK = 1 << 20
+CACHED_WORDS = 250_000
 #: Longer words (bytes) are solved one by one.
 LONG = 96
 
@@ -262,33 +264,21 @@ def load(path: str) -> Vocabulary:
     return Vocabulary([sp.id_to_piece(i) if plain[i] else "" for i in range(n)], scores.tolist(), byte_ids)
 
 
-def _chunks(batch: pa.RecordBatch, name: str):
-    """Slices of a batch with at most CHUNK bytes of the column, or one row."""
-    col, at, held = batch.column(name), 0, 0
-    for i, x in enumerate(col):
-        n = len(x.as_buffer()) if x.is_valid else 0
-        if held and held + n > CHUNK:
-            yield batch.slice(at, i - at)
-            at, held = i, 0
-        held += n
-    if at < batch.num_rows:
-        yield batch.slice(at)
-
-
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, text and ids (array of int) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(it):
         for whole in it:
-            for batch in _chunks(whole, "text"):
+            for batch in slices(whole, "text", CHUNK):
                 ids = shared.value.encode(batch.column("text").to_pylist())
                 flat = np.fromiter(chain.from_iterable(x or () for x in ids), np.int32)
                 ends = pa.array(np.cumsum([0, *(len(x or ()) for x in ids)]), pa.int32())
                 lists = pa.ListArray.from_arrays(ends, pa.array(flat), mask=pa.array([x is None for x in ids], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["doc_id", "text", "ids"])
+        shared.value.cache.clear()  # the worker may wait for other tasks
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text string, ids array<int>")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, text string, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -303,7 +293,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             texts = [shared.value.decode(flat[a:b].tolist()) if ok else None for ok, a, b in own]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "text", "ids", "decoded"])
 
-    return encoded.select("doc_id", "text", "ids").mapInArrow(run, "doc_id long, text string, ids array<int>, decoded string")
+    return map_batches(encoded.select("doc_id", "text", "ids"), run, "doc_id long, text string, ids array<int>, decoded string")
 
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:

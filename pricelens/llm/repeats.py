@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batches, cut, partitions_for, slices
+from .common import batches, cut, map_batches, partitions_for, slices
 
 LENGTH = 100
 GRAM = 32
@@ -154,7 +154,7 @@ def anchors(docs: DataFrame) -> DataFrame:
             yield from flush(held)
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "kind int, g long, c long, doc_id long, lo long, n int")
+    return map_batches(rows, run, "kind int, g long, c long, doc_id long, lo long, n int")
 
 
 def _shifts() -> np.ndarray:
@@ -261,7 +261,7 @@ def _sort_blocks(rows: DataFrame) -> DataFrame:
             yield from done()
 
     spread = rows.select("g", "doc_id", "lo", "n", "bytes").repartition(partitions_for(rows.sparkSession), "g")
-    return spread.sortWithinPartitions("g").mapInArrow(run, "doc_id long, start long, end long")
+    return map_batches(spread.sortWithinPartitions("g"), run, "doc_id long, start long, end long")
 
 
 def _hash_windows(rows: DataFrame) -> DataFrame:
@@ -291,7 +291,7 @@ def _hash_windows(rows: DataFrame) -> DataFrame:
         if held:
             yield from flush(held)
 
-    found = rows.select("g", "doc_id", "lo", "n", "bytes").mapInArrow(run, "kind int, w1 long, w2 long, doc_id long, lo long, hi long")
+    found = map_batches(rows.select("g", "doc_id", "lo", "n", "bytes"), run, "kind int, w1 long, w2 long, doc_id long, lo long, hi long")
     first = F.first(F.struct("doc_id", "lo")).over(Window.partitionBy("kind", "w1", "w2").orderBy("doc_id", "lo"))
     gone = found.withColumn("f", first).where("kind = 0 or f.doc_id <> doc_id or f.lo <> lo")
     return gone.select("doc_id", F.col("lo").alias("start"), F.col("hi").alias("end"))
@@ -335,7 +335,7 @@ def _contexts(texts: DataFrame, found: DataFrame) -> DataFrame:
 
     own = found.where("what > 0").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("g", "lo", "n", "what")).alias("own"))
     asked = texts.join(own, "doc_id", "left").where("own is not null").select("doc_id", "text", "own")
-    return asked.mapInArrow(run, "g long, doc_id long, lo long, n int, what int, bytes binary")
+    return map_batches(asked, run, "g long, doc_id long, lo long, n int, what int, bytes binary")
 
 
 def dedup(docs: DataFrame, carry: list[str] = []) -> DataFrame:
@@ -376,4 +376,4 @@ def dedup(docs: DataFrame, carry: list[str] = []) -> DataFrame:
 
     whole = texts.join(gone, "doc_id", "left").select("doc_id", "text", "gone", *carry)
     more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return whole.mapInArrow(run, "doc_id long, kept string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + more)
+    return map_batches(whole, run, "doc_id long, kept string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + more)
