@@ -1,18 +1,21 @@
-"""Benchmark decontamination by spaced-seed hashing.
+"""Benchmark decontamination by spaced-seed hashing, without loss.
 
-Fixed masks choose eight of twelve neighbouring words; the hash of the chosen words doesn't see what stands in the
-ignored positions, so a passage with some words replaced still shares seeds with the benchmark item. Hashes of the
-documents are joined with those of the items; around every hit the two word sequences are aligned and a document is
-reported where a stretch of STRETCH aligned words (a shorter item: all of it) has a share of SIMILARITY or more in common.
+A stretch of STRETCH words (a shorter item: all of it) is cut into blocks. The rule allows at most k of its words to differ, and
+k words lie in k blocks at most: masks leave out every choice of k blocks, so that a stretch which meets the rule shares
+the hash of what some mask reads, wherever the differing words stand. No pair is missed. Hashes of the documents are
+joined with those of the items; at every hit the two word sequences are aligned and a document is reported where a stretch
+of aligned words has a share of SIMILARITY or more in common.
 
 The benchmark side is broadcast in parts of at most PART_WORDS words (plus one item), one pass over the documents for
 each part, so that what is broadcast doesn't grow with the benchmark. Items of fewer than MIN_WORDS words are no evidence
-and are skipped; an item shorter than a mask is looked up by its whole sequence. Null and empty texts have no words and
+and are skipped. Null and empty texts have no words and
 give no rows. Repeated documents and items are each reported; hits of one pair give one row. Other columns are not read.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -21,9 +24,6 @@ from pyspark.sql import functions as F
 
 from .common import batches, map_batches
 
-#: Fixed masks: twelve words wide, eight of them read.
-MASKS = ("111010010111", "110110101101", "101101110011")
-SPAN = len(MASKS[0])
 STRETCH = 13
 SIMILARITY = 0.8
 MIN_WORDS = 5
@@ -53,17 +53,43 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _seeds(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
-    """A hash for each position at which mask fits into the word hashes h."""
-    n = len(h) - len(mask) + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    out = np.full(n, salt, np.uint64)
-    for at, bit in enumerate(mask):
-        if bit == "1":
-            out = (out + h[at : at + n]) * np.uint64(0xD6E8FEB86659FD93)
+def _enough(n: int) -> int:
+    """How many of n aligned words must be equal."""
+    return next(k for k in range(n + 1) if k >= SIMILARITY * n)
+
+
+def masks(n: int) -> list[tuple[tuple[int, int], ...]]:
+    """For stretches of n words: masks of (first word, words) of what is read. Any allowed choice of differing words spares all of some mask."""
+    k = n - _enough(n)
+    parts = n if n < 7 else k + 2  # shorter blocks would be too common
+    ends = [n * i // parts for i in range(parts + 1)]
+    blocks = [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
+    return [tuple(x) for x in combinations(blocks, parts - k)]
+
+
+class _Seeds(dict):
+    """Hashes of the runs of so many words, by number of words, made when asked for."""
+
+    def __init__(self, h: np.ndarray):
+        self[1] = h
+
+    def __missing__(self, n: int) -> np.ndarray:
+        less = self[n - 1]
+        out = less[:-1] * np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(32)
+        self[n] = out = out + self[1][n - 1 :]
+        return out
+
+    def of(self, mask: tuple[tuple[int, int], ...], span: int, salt: int) -> np.ndarray:
+        """A hash for each position at which mask fits in."""
+        n = len(self[1]) - span + 1
+        if n <= 0:
+            return np.empty(0, np.uint64)
+        out = np.full(n, salt, np.uint64)
+        for at, size in mask:
+            out = (out + self[size][at : at + n]) * np.uint64(0xD6E8FEB86659FD93)
             out ^= out >> np.uint64(32)
-    return _mix(out)
+        return _mix(out)
 
 
 class Index:
@@ -72,30 +98,32 @@ class Index:
     def __init__(self, items: list[tuple[int, str | None]]):
         words = _Words()
         self.items = [(i, h) for i, t in items if len(h := _hashes(t, words)) >= MIN_WORDS]
-        #: (mask, salt): the shorter items have a full mask of their own length.
-        self.masks = [(m, k + 1) for k, m in enumerate(MASKS)]
-        self.masks += [("1" * n, 100 + n) for n in sorted({len(h) for _, h in self.items if len(h) < SPAN})]
+        #: (mask, words that it spans, salt), for each length of stretch that the items ask for.
+        spans = sorted({min(len(h), STRETCH) for _, h in self.items})
+        self.masks = [(m, n, 100 * n + k) for n in spans for k, m in enumerate(masks(n))]
         seeds, owner, place = [], [], []
         for k, (_, h) in enumerate(self.items):
-            for mask, salt in self.masks:
-                if len(mask) == SPAN or len(mask) == len(h):
-                    s = _seeds(h, mask, salt)
+            runs = _Seeds(h)
+            for mask, span, salt in self.masks:
+                if span == min(len(h), STRETCH):
+                    s = runs.of(mask, span, salt)
                     seeds.append(s)
-                    owner.append(np.full(len(s), k))
-                    place.append(np.arange(len(s)))
+                    owner.append(np.full(len(s), k, np.int32))
+                    place.append(np.arange(len(s), dtype=np.int32))
         seed = np.concatenate(seeds) if seeds else np.empty(0, np.uint64)
         order = np.argsort(seed, kind="stable")
         self.seed = seed[order]
-        self.owner = (np.concatenate(owner) if owner else np.empty(0, int))[order]
-        self.place = (np.concatenate(place) if place else np.empty(0, int))[order]
+        self.owner = (np.concatenate(owner) if owner else np.empty(0, np.int32))[order]
+        self.place = (np.concatenate(place) if place else np.empty(0, np.int32))[order]
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[self.seed & np.uint64((1 << FILTER_BITS) - 1)] = True
 
     def search(self, h: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item_id, first word, words, equal words) of the best stretch for each item that the word hashes h overlap."""
         diagonals: set[tuple[int, int]] = set()
-        for mask, salt in self.masks:
-            s = _seeds(h, mask, salt)
+        runs = _Seeds(h)
+        for mask, span, salt in self.masks:
+            s = runs.of(mask, span, salt)
             at = np.flatnonzero(self.filter[s & np.uint64((1 << FILTER_BITS) - 1)])
             if not len(at):
                 continue

@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 from pricelens.llm import decontaminate as M
 
@@ -60,3 +61,35 @@ def test_removal_keeps_clean_rows_and_columns(spark, docs):
     kept = M.remove_overlapping(d, bench(spark, [item]))
     assert kept.columns == d.columns and sorted(x.doc_id for x in kept.collect()) == [1, 2]
     assert M.remove_overlapping(d, bench(spark, []).limit(0)).count() == 3
+
+
+def replaced(r, item, at):
+    w = item.split()
+    for k in at:
+        w[k] = f"changed{k}"
+    return " ".join(words(r, 15) + w + words(r, 15))
+
+
+def test_every_placement_of_the_allowed_substitutions(spark, docs):
+    r = random.Random(7)
+    items, texts, want = [], [], set()
+    for i, n in enumerate(range(M.MIN_WORDS, M.STRETCH + 1)):
+        items.append(" ".join(words(r, n)))
+        allowed = max(k for k in range(n) if n - k >= M.SIMILARITY * n)
+        for k in range(allowed + 2):  # one more than the rule allows, too
+            for at in combinations(range(n), k):
+                want |= {(len(texts), i)} if k <= allowed else set()
+                texts.append(replaced(r, items[i], at))
+    got = {(x.doc_id, x.item_id) for x in M.overlaps(docs(texts), bench(spark, items)).collect()}
+    assert got == want
+
+
+def test_substitutions_at_every_period_and_random_places(spark, docs):
+    r = random.Random(8)
+    items = [" ".join(words(r, n)) for n in (15, 30, 60, 200)]
+    texts = [replaced(r, i, range(at, len(i.split()), period)) for i in items for period in range(2, 15) for at in range(period)]
+    for i in items:
+        n = len(i.split())
+        texts += [replaced(r, i, r.sample(range(n), int(n * share))) for share in (0.15, 0.2, 0.3, 0.4) for _ in range(6)]
+    got = {(x.doc_id, x.item_id) for x in M.overlaps(docs(texts), bench(spark, items)).collect()}
+    assert got == brute(texts, items) and len(got) > 200
