@@ -2,9 +2,11 @@
 
 A page becomes a sequence of text blocks, each with its root-to-leaf tag path. Blocks of the same path are taken together:
 text length, punctuation and linked text per block of the path. These ratios are smoothed over the page's block order with a
-Gaussian window, fused into one weight, and paths above a share of the mean weight are content. The content's container,
-the parent of the heaviest content path (an article or main element around it, where there is one), gives the text: all
-its blocks but those in elements that never hold it (menus, footers, forms, adverts, comments, ...: by tag, role or class).
+Gaussian window, fused into one weight, and paths above a share of the mean weight are content. All blocks of the page take
+part, but those in elements that never hold the article (menus, footers, forms, adverts, comments, ...: by tag, role or
+class). The container gives the text: the parent of the heaviest content path or, where most of that path's text stands in
+article or main elements, the nearest of these, and a wider one that holds no text in other articles. Blocks of such an
+element that are mostly links are left out unless their path is content, and so are articles in it without a content path.
 
 A null or empty page gives an empty text; a page without content paths too. Broken markup is read as browsers do: an
 unclosed comment, script or tag lasts to the end of the page, a new paragraph or item closes the last one. Pages of any
@@ -51,12 +53,20 @@ CLOSES = {"li": ("li", "ul ol menu"), "dd": ("dd dt", "dl"), "dt": ("dd dt", "dl
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
 
 
+@dataclass(eq=False)
+class Article:
+    """An article or main element: its place among them and the next one around it."""
+
+    at: int
+    around: Article | None
+
+
 @dataclass
 class _Open:
     tag: str
     label: str
     out: bool
-    article: bool
+    article: Article | None
 
 
 @dataclass
@@ -64,7 +74,7 @@ class Block:
     path: tuple[str, ...]
     text: str
     linked: int
-    article: bool
+    article: Article | None
 
 
 def _attributes(raw: str) -> tuple[str, set[str], bool]:
@@ -89,7 +99,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[_Open] = []
     out: list[Block] = []
     text: list[str] = []
-    linked = 0
+    linked = n_articles = 0
 
     def end_block() -> None:
         nonlocal linked
@@ -97,7 +107,7 @@ def blocks(page: str) -> list[Block]:
             said = " ".join("".join(text).split())
             if said:
                 path = [x.label for x in stack if x.tag not in INLINE]
-                out.append(Block(tuple(path), said, min(linked, len(said)), bool(stack) and stack[-1].article))
+                out.append(Block(tuple(path), said, min(linked, len(said)), stack[-1].article if stack else None))
             text.clear()
         linked = 0
 
@@ -157,8 +167,10 @@ def blocks(page: str) -> list[Block]:
                         break
             end_block()
         label, words, hidden = _attributes(m[3]) if m[3] else ("", set(), False)
-        inside = bool(stack) and stack[-1].article
-        article = inside or tag in ("article", "main") or "role:main" in words or "role:article" in words
+        article = inside = stack[-1].article if stack else None
+        if tag in ("article", "main") or "role:main" in words or "role:article" in words:
+            n_articles += 1
+            article = Article(n_articles, inside)
         skip = bool(stack) and stack[-1].out
         if tag not in ("html", "body", "article", "main"):
             skip |= hidden or tag in NO_TAGS or bool(words & NO_WORDS) or any(w[5:] in NO_ROLES for w in words if w[:5] == "role:")
@@ -180,10 +192,38 @@ def _smooth(x: list[float]) -> list[float]:
     return out
 
 
+def _within(found: list[Block], path: tuple[str, ...], chosen: set[tuple[str, ...]]) -> set[Article]:
+    """The articles that give the text, if most text of path stands in articles."""
+    held = {b.article for b in found if b.path == path and b.article}
+    if 2 * sum(len(b.text) for b in found if b.path == path and b.article) <= sum(len(b.text) for b in found if b.path == path):
+        return set()
+    own: dict[Article, int] = {}
+    for b in found:
+        at = b.article
+        while at and at not in own:
+            own[at] = 0
+            at = at.around
+        if b.article:
+            own[b.article] += 1
+    # from the inmost: one that holds the path, or around such ones if no other article in it has text
+    below, covered, box = dict.fromkeys(own, 0), dict.fromkeys(own, 0), set()
+    for a in sorted(own, key=lambda a: -a.at):
+        if a in held or (covered[a] and covered[a] == below[a]):
+            box.add(a)
+            covered[a] = own[a] + below[a]
+        if a.around:
+            below[a.around] += own[a] + below[a]
+            covered[a.around] += covered[a]
+    # from the outmost: articles in these, as far as they have content
+    good, inside = {b.article for b in found if b.path in chosen}, set()
+    for a in sorted(own, key=lambda a: a.at):
+        if a in box or a.around in inside:
+            inside.add(a)
+    return box | (inside & good)
+
+
 def content(found: list[Block]) -> list[Block]:
     """The blocks of the content's container."""
-    if any(b.article for b in found):
-        found = [b for b in found if b.article]
     if not found:
         return []
     sums: dict[tuple[str, ...], list[float]] = {}
@@ -200,12 +240,12 @@ def content(found: list[Block]) -> list[Block]:
     fused = {p: sum(w) / len(w) for p, w in weight.items()}
     total = sum(s[0] for s in sums.values())
     mean = sum(fused[p] * sums[p][0] for p in fused) / max(1, total)
-    chosen = [p for p in fused if fused[p] > 0 and fused[p] >= THRESHOLD * mean]
+    chosen = {p for p in fused if fused[p] > 0 and fused[p] >= THRESHOLD * mean}
     if not chosen:
         return []
-    if found[0].article:
-        return [b for b in found if b.path in chosen or sums[b.path][2] <= 0.5 * sums[b.path][0]]
     heaviest = max(chosen, key=lambda p: (fused[p] * sums[p][0], p))
+    if articles := _within(found, heaviest, chosen):
+        return [b for b in found if b.article in articles and (b.path in chosen or sums[b.path][2] <= 0.5 * sums[b.path][0])]
     home = heaviest[:-1] if len(heaviest) > 1 else heaviest
     if home and home[-1] in ("body", "html"):  # its paragraphs stand among everything else
         return [b for b in found if b.path in chosen]

@@ -73,6 +73,27 @@ def test_page_without_article():
     assert H.main_text(page) == "\n".join(["Head", long.strip(), long.strip()])
 
 
+LONG = "A long paragraph with several words, some commas, and an end. " * 3
+TEASER = "<article class=card><h3><a href=/x>Other story</a></h3><p>A short teaser.</p></article>"
+
+
+def test_teasers_in_articles_beside_a_body_in_divs():
+    want = "\n".join(["Head", LONG.strip(), LONG.strip()])
+    body = f"<div class=story><h2>Head</h2><p>{LONG}</p><p>{LONG}</p></div>"
+    assert H.main_text(f"<body>{body}<div class=more>{TEASER * 3}</div></body>") == want
+    assert H.main_text(f"<body><div class=more>{TEASER * 3}</div>{body}</body>") == want
+
+
+def test_the_article_around_the_heaviest_path():
+    want = "\n".join(["Head", LONG.strip(), LONG.strip()])
+    body = f"<h2>Head</h2><p>{LONG}</p><p>{LONG}</p>"
+    assert H.main_text(f"<main><article class=story>{body}</article>{TEASER * 3}</main>") == want
+    assert H.main_text(f"<main>{body}{TEASER * 3}</main>") == want
+    assert H.main_text(f"<main><h1>Top</h1><article>{body}</article></main>") == "Top\n" + want
+    assert H.main_text(f"<div role=main>{body}</div><div><p>Short, beside it.</p></div>") == want
+    assert H.main_text(f"<main><article><p>{LONG}</p></article><article><p>{LONG}</p></article></main>") == "\n".join([LONG.strip()] * 2)
+
+
 def test_broken_pages(spark):
     rows = [None, "", "<", "<p", "<p>x<!-- open", "<script>never closed <p>x", "a & b &am", "<p>" * 3000 + "deep, text.", '<a href="unclosed <p>text</p>', "<div>" * 500 + "x. y, z." + "</div>" * 500]
     d = H.extract(pages(spark, [(i, "u", h) for i, h in enumerate(rows)]))
