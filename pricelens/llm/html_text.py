@@ -29,7 +29,7 @@ from .common import batches
 #: Share of the mean weight (by text) from which a path is content, and the smoothing window (blocks each way, sigma).
 THRESHOLD, REACH, SIGMA = 0.35, 2, 1.0
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<!--|<[!?/][^>]*+>""")
-_CLASS = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?+""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _MARKS = re.compile(r"[.,;:!?…。，；：！？、]")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -80,8 +80,12 @@ class Block:
 def _attributes(raw: str) -> tuple[str, set[str], bool]:
     """(label for the path, role and class words, hidden)."""
     label, words, hidden = "", set(), False
-    for m in _CLASS.finditer(raw):
+    seen: set[str] = set()
+    for m in _ATTRIBUTE.finditer(raw):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if name in seen:  # the first one counts
+            continue
+        seen.add(name)
         if name in ("class", "id"):
             words |= {w.lower() for w in _WORDS.findall(value)}
             label = label or value.split(" ")[0] if name == "class" else label
@@ -89,7 +93,7 @@ def _attributes(raw: str) -> tuple[str, set[str], bool]:
             words |= {f"role:{w}" for w in value.lower().split()}
         elif name == "style":
             hidden |= "display:none" in value.replace(" ", "").lower()
-        else:
+        elif name in ("hidden", "aria-hidden"):
             hidden |= name == "hidden" or value.lower() == "true"
     return label, words, hidden
 

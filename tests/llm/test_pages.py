@@ -94,6 +94,14 @@ def test_the_article_around_the_heaviest_path():
     assert H.main_text(f"<main><article><p>{LONG}</p></article><article><p>{LONG}</p></article></main>") == "\n".join([LONG.strip()] * 2)
 
 
+def test_attributes_are_whole_names():
+    clean = ['href="/hidden-gems.html"', 'title="The hidden cost"', 'data-id="comment-7"', 'href="/p?id=menu"', "href=/a/id=menu", "title='a class=ad b'", 'data-hidden="x"', 'x-role=search alt="style=display:none"', 'class=story CLASS="ad"']
+    for a in clean:
+        assert H.main_text(f"<article><p>Before, it.</p><p {a}>The <a {a}>linked</a> text.</p></article>") == "Before, it.\nThe linked text.", a
+    for a in ("hidden", "hidden=''", 'id="menu"', "class = 'x ad'", "ROLE=search", 'title="a"class="ad"', "aria-hidden=true", 'style="display: none"', "href=/x hidden"):
+        assert H.main_text(f"<article><p>Before, it.</p><p {a}>No text.</p></article>") == "Before, it.", a
+
+
 def test_broken_pages(spark):
     rows = [None, "", "<", "<p", "<p>x<!-- open", "<script>never closed <p>x", "a & b &am", "<p>" * 3000 + "deep, text.", '<a href="unclosed <p>text</p>', "<div>" * 500 + "x. y, z." + "</div>" * 500]
     d = H.extract(pages(spark, [(i, "u", h) for i, h in enumerate(rows)]))
