@@ -80,3 +80,20 @@ def test_enrichment_and_dedup_streams(spark, tmp_path):
     raw = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     P.enrich_stream(raw, lambda b: b.withColumn("x", F.col("user_id") * 2), lambda b, i: seen.append(sorted(r.x for r in b.collect())), str(tmp_path / "e")).awaitTermination()
     assert seen == [[2, 2, 4]]
+
+
+def test_week_start_of_every_event(spark, tmp_path):
+    from zoneinfo import ZoneInfo
+
+    from pricelens.plans import QUERIES
+
+    here, utc = ZoneInfo("America/Los_Angeles"), dt.timezone.utc
+    times = [dt.datetime(2023, 12, 25, 7, 59) + dt.timedelta(hours=37 * i) for i in range(300)]
+    d = spark.createDataFrame(list(enumerate(times)), "event_id long, ts timestamp_ntz")
+    d.write.parquet(str(tmp_path / "events.parquet"))
+    want = {}
+    for i, t in enumerate(times):
+        day = t.replace(tzinfo=utc).astimezone(here).date()
+        day -= dt.timedelta(days=(day.weekday() - 2) % 7)
+        want[i] = dt.datetime(day.year, day.month, day.day, tzinfo=here).astimezone(utc).replace(tzinfo=None)
+    assert {x.event_id: x.week_start for x in QUERIES["t4_week_start"](spark, str(tmp_path)).collect()} == want
