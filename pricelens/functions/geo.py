@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +18,26 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: fl
     return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
+def cell_size(degrees: float) -> float:
+    """The least size of cells from degrees up that divides the circle."""
+    return 360.0 / max(1, int(360 / degrees))
+
+
+def cell(lat: Column, lon: Column, step: float) -> Column:
+    """(ci, cj) of the cell that a point lies in; step is a cell_size."""
+    return F.struct(F.floor(lat / step).alias("ci"), F.pmod(F.floor(lon / step), F.lit(round(360 / step))).alias("cj"))
+
+
+def cells_around(lat: Column, lon: Column, reach: Column, step: float, radius: float = MILES) -> Column:
+    """The cells that hold every point within reach (in radius' unit) of a point, over poles and the date line too."""
+    up = F.degrees(F.least(F.greatest(reach, F.lit(0.0)), F.lit(math.pi * radius)) / radius) + 1e-6
+    beside = F.when(F.abs(lat) + up >= 90, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(up)) / F.cos(F.radians(lat))))) + 1e-6)
+    i = F.sequence(F.floor(F.greatest(lat - up, F.lit(-90.0)) / step), F.floor(F.least(lat + up, F.lit(90.0)) / step))
+    j = F.sequence(F.floor((lon - beside) / step), F.floor((lon + beside) / step))
+    j = F.array_distinct(F.transform(j, lambda x: F.pmod(x, F.lit(round(360 / step)))))
+    return F.flatten(F.transform(i, lambda a: F.transform(j, lambda b: F.struct(a.alias("ci"), b.alias("cj")))))
+
+
 def valid_coord(lat: Column, lon: Column) -> Column:
     """Finite, in range and not the null island."""
     ok = lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon) & lat.between(-90, 90) & lon.between(-180, 180)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo
 from ..functions.geo import haversine, is_us, valid_coord
-from ..sources.tables import first_by
+from ..sources.tables import first_by, scratch_path
 
 REQUIRED = ["retailer", "address", "city", "state", "zip_code", "latitude", "longitude"]
 #: issue -> (category, route, fields to repair)
@@ -109,39 +110,55 @@ def accept_geocode(stores: DataFrame, candidates: DataFrame, zips: DataFrame, km
     return d.select("store_id", "b.clat", "b.clon", F.when(F.col("b").isNull(), "failed").otherwise("accepted").alias("status"))
 
 
-def _greedy(metres: float):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        rows = rows.sort_values(["_rank", "id"], kind="stable")
-        lat, lon = np.radians(rows["latitude"].to_numpy(float)), np.radians(rows["longitude"].to_numpy(float))
-        kept: list[int] = []
-        for i in range(len(rows)):
-            if kept:
-                a = np.sin((lat[kept] - lat[i]) / 2) ** 2 + np.cos(lat[kept]) * np.cos(lat[i]) * np.sin((lon[kept] - lon[i]) / 2) ** 2
-                if (2 * geo.METRES * np.arcsin(np.minimum(1, np.sqrt(a))) < metres).any():
-                    continue
-            kept.append(i)
-        return rows.iloc[kept]
+def _apart(d: DataFrame, metres: float) -> DataFrame:
+    """d without the rows of a retailer that lie within metres of a kept one, in the order of (_rank, id); rows without a point stay.
 
-    return run
+    Pairs meet by cells; those that no undecided or kept row precedes are kept, their later neighbours go, until no pair is left.
+    """
+    spark, path = d.sparkSession, scratch_path(d.sparkSession, "apart")
+    d.write.parquet(f"{path}/rows")  # once, so that all rounds see the same
+    d = spark.read.parquet(f"{path}/rows")
+    pointed = F.coalesce(F.col("latitude").between(-90, 90) & F.col("longitude").between(-180, 180), F.lit(False))
+    # of rows at one point only the first can stay
+    p = first_by(d.where(pointed), ["retailer_key", "latitude", "longitude"], [F.col("_rank"), F.col("id")])
+    key, step = F.struct("retailer_key", "_rank", "id", "latitude", "longitude"), geo.cell_size(math.degrees(2 * metres / geo.METRES))
+    k = p.select(key.alias("k"))
+    around = geo.cells_around(F.col("k.latitude"), F.col("k.longitude"), F.lit(float(metres)), step, geo.METRES)
+    x = k.select(F.col("k").alias("a"), F.explode(around).alias("c"))
+    y = k.select(F.col("k").alias("b"), geo.cell(F.col("k.latitude"), F.col("k.longitude"), step).alias("c"))
+    far = haversine(F.col("a.latitude"), F.col("a.longitude"), F.col("b.latitude"), F.col("b.longitude"), geo.METRES)
+    pairs = x.join(y, (x.c == y.c) & F.col("a.retailer_key").eqNullSafe(F.col("b.retailer_key"))).where((F.col("a") < F.col("b")) & (far < metres)).select("a", "b")
+    gone, i = None, 0
+    while True:
+        pairs.write.parquet(f"{path}/pairs{i}")
+        pairs = spark.read.parquet(f"{path}/pairs{i}")
+        if pairs.isEmpty():
+            break
+        kept = pairs.select("a").distinct().join(pairs.select(F.col("b").alias("later")).distinct(), F.col("a").eqNullSafe(F.col("later")), "left_anti")
+        pairs.join(kept.select(F.col("a").alias("first")), F.col("a").eqNullSafe(F.col("first"))).select(F.col("b").alias("out")).distinct().write.parquet(f"{path}/out{i}")
+        out = spark.read.parquet(f"{path}/out{i}")
+        gone = out if gone is None else gone.union(out)
+        pairs = pairs.join(out, F.col("a").eqNullSafe(F.col("out")), "left_anti").join(out, F.col("b").eqNullSafe(F.col("out")), "left_anti")
+        i += 1
+    if gone is not None:
+        p = p.join(gone, key.eqNullSafe(F.col("out")), "left_anti")
+    return p.unionByName(d.where(~pointed))
 
 
 def dedup_osm(rows: DataFrame, metres: float = 500.0) -> DataFrame:
     """Map stores without doubles: node under a way of the same address; same full address; same street number elsewhere; within metres of one kept; one per zip.
 
     Input (retailer_key, type, id, no, street, zip_code, full_address, latitude, longitude). The distance pass takes ways first, then
-    ids, within blocks of a retailer and a cell of a fifth of a degree (stores on both sides of a cell's edge are both kept).
+    ids, over all stores of a retailer that have a point; stores without one stay.
     """
     rank = F.when(F.col("type") == "way", 0).when(F.col("type") == "node", 1).otherwise(2)
     d = rows.withColumn("_rank", rank)
     addressed = F.col("no").isNotNull() & F.col("street").isNotNull()
     for keys in (["retailer_key", "zip_code", "no", "street"], ["retailer_key", "full_address"], ["retailer_key", "no", "street"]):
         d = first_by(d.where(addressed), keys, [F.col("_rank"), F.col("id")]).unionByName(d.where(~addressed))
-    d = d.withColumns({"_ci": F.floor(F.col("latitude") * 5), "_cj": F.floor(F.col("longitude") * 5)})
-    d = d.groupBy("retailer_key", "_ci", "_cj").applyInPandas(_greedy(metres), d.schema)
+    d = _apart(d, metres)
     d = d.withColumn("_has", F.max(addressed.cast("int")).over(Window.partitionBy("retailer_key", "zip_code"))).where(addressed | (F.col("_has") == 0))
-    return first_by(d, ["retailer_key", "zip_code"], [(~addressed).cast("int"), F.col("_rank"), F.col("id")]).drop("_rank", "_ci", "_cj", "_has")
+    return first_by(d, ["retailer_key", "zip_code"], [(~addressed).cast("int"), F.col("_rank"), F.col("id")]).drop("_rank", "_has")
 
 
 def dedup_loose(rows: DataFrame) -> DataFrame:

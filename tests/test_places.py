@@ -62,6 +62,34 @@ def test_dedup_osm(spark):
     assert sorted(r.id for r in C.dedup_osm(d).collect()) == [2, 4]
 
 
+def test_dedup_osm_across_cells_equals_greedy(spark):
+    import math
+    import random
+
+    r = random.Random(3)
+    spots = [(34.2, -118.2), (34.0, -118.0), (0.0, 180.0), (70.0, 20.0), (-34.6, -58.4)]
+    rows = []
+    for i in range(400):
+        lat, lon = r.choice(spots)
+        lat, lon = lat + r.uniform(-0.012, 0.012), lon + r.uniform(-0.012, 0.012)
+        lon -= 360 if lon > 180 else 0
+        where = (None, None) if i % 40 == 0 else (lat, lon)
+        rows.append((r.choice(["k", "l", None]), r.choice(["way", "node"]), i, str(i), f"Street {i}", f"{i:05}", f"{i}", *where))
+    rows += [("k", "way", 1000 + i, str(1000 + i), f"Street {1000 + i}", f"{1000 + i:05}", f"{1000 + i}", 10.0 + 0.004 * i, 10.0) for i in range(6)]  # a chain
+
+    def far(a, b):
+        p, q = math.radians(a[7]), math.radians(b[7])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[8] - a[8]) / 2) ** 2
+        return 2 * C.geo.METRES * math.asin(math.sqrt(h))
+
+    kept = []
+    for x in sorted(rows, key=lambda x: (x[1] != "way", x[2])):
+        if x[7] is None or not any(y[0] == x[0] and y[7] is not None and far(x, y) < 500 for y in kept):
+            kept.append(x)
+    d = spark.createDataFrame(rows, "retailer_key string, type string, id long, no string, street string, zip_code string, full_address string, latitude double, longitude double")
+    assert sorted(x.id for x in C.dedup_osm(d).collect()) == sorted(x[2] for x in kept) and {1000, 1002, 1004} <= {x[2] for x in kept}
+
+
 def test_addresses(spark):
     d = spark.createDataFrame([("o'brien 7up-x nw",), (None,)], "t string").select(G.title_dir(F.col("t")).alias("x"))
     assert [r.x for r in d.collect()] == ["O'Brien 7Up X NW", None]
