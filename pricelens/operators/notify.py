@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.geo import haversine
+from ..functions.geo import cell, cells_around, haversine
 from ..sources.tables import cents
 from .offers import mean_cents
 
@@ -58,11 +58,11 @@ def candidate_pairs(deals: DataFrame, users: DataFrame, zips: DataFrame) -> Data
     uz = users.groupBy("zip_code").agg(F.max("radius_miles").alias("reach")).join(z, "zip_code", "left")
     dz = deals.select("zip_code").distinct().join(z, "zip_code", "left").select(F.col("zip_code").alias("deal_zip"), F.col("latitude").alias("plat"), F.col("longitude").alias("plon"))
     far = haversine(F.col("latitude"), F.col("longitude"), F.col("plat"), F.col("plon"))
-    # whole-degree cells: a radius is at most 69 miles
-    cells = F.array(*[F.struct((F.floor("plat") + a).alias("ci"), (F.floor("plon") + b).alias("cj")) for a in (-1, 0, 1) for b in (-2, -1, 0, 1, 2)])
-    spread = dz.where("plat is not null").select("*", F.explode(cells).alias("c")).select("*", "c.ci", "c.cj")
-    near = uz.where("latitude is not null").withColumns({"ci": F.floor("latitude"), "cj": F.floor("longitude")}).join(spread, ["ci", "cj"])
-    near = near.select("zip_code", "deal_zip", far.alias("miles")).where(F.col("miles") <= F.lit(69.0))
+    # whole-degree cells, as many around a zip as the largest radius there asks for
+    cells = cells_around(F.col("latitude"), F.col("longitude"), F.col("reach"), 1.0)
+    spread = uz.where("latitude is not null").select("*", F.explode(cells).alias("c"))
+    near = spread.join(dz.where("plat is not null").withColumn("c", cell(F.col("plat"), F.col("plon"), 1.0)), "c")
+    near = near.select("zip_code", "deal_zip", far.alias("miles"), "reach").where("miles <= reach").drop("reach")
     same = uz.where("latitude is null").select("zip_code", F.col("zip_code").alias("deal_zip"), F.lit(0.0).alias("miles"))
     pairs = near.union(same)
     u = users.join(pairs, "zip_code").where(F.col("miles") <= F.col("radius_miles")).withColumnRenamed("zip_code", "user_zip")

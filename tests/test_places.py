@@ -90,6 +90,22 @@ def test_dedup_osm_across_cells_equals_greedy(spark):
     assert sorted(x.id for x in C.dedup_osm(d).collect()) == sorted(x[2] for x in kept) and {1000, 1002, 1004} <= {x[2] for x in kept}
 
 
+def test_candidate_pairs_at_any_radius(spark):
+    import random
+
+    from pricelens.operators import notify as N
+
+    r = random.Random(4)
+    z = [(f"{i:05}", r.uniform(25, 71), r.uniform(-180, -65)) for i in range(150)] + [("99998", 52.0, 179.5), ("99999", 52.0, -179.5)]
+    zips = spark.createDataFrame(z, ZIPS)
+    users = spark.createDataFrame([(i, x[0], [10.0, 69.0, 70.0, 100.0, 400.0, 1500.0][i % 6]) for i, x in enumerate(z)], "user_id long, zip_code string, radius_miles double")
+    deals = zips.select("zip_code", F.lit(1).alias("deal"))
+    got = sorted((x.user_id, x.deal_zip) for x in N.candidate_pairs(deals, users, zips).collect())
+    o = zips.select(F.col("zip_code").alias("deal_zip"), F.col("latitude").alias("plat"), F.col("longitude").alias("plon"))
+    near = G.haversine(F.col("latitude"), F.col("longitude"), F.col("plat"), F.col("plon")) <= F.col("radius_miles")
+    assert got == sorted((x.user_id, x.deal_zip) for x in users.join(zips, "zip_code").crossJoin(o).where(near).collect())
+
+
 def test_addresses(spark):
     d = spark.createDataFrame([("o'brien 7up-x nw",), (None,)], "t string").select(G.title_dir(F.col("t")).alias("x"))
     assert [r.x for r in d.collect()] == ["O'Brien 7Up X NW", None]
