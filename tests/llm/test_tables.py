@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pricelens.llm import licenses as L
@@ -37,6 +38,37 @@ def test_license_scan_equals_brute_force(spark, docs):
     assert L.scan(docs([])).count() == 0
 
 
+def test_program_notices_give_their_own_license(spark, docs):
+    gnu = "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} as published by the Free Software Foundation{3} {4}"
+    later, plain = "either version {} of the License, or (at your option) any later version.", "General Public License"
+    heads = {
+        "GPL-2.0": gnu.format("program", ";", plain, ";", later.format("2")),
+        "GPL-3.0": gnu.format("program", ":", plain, ",", later.format("3")),
+        "LGPL-2.1": gnu.format("library", ";", "Lesser " + plain, ";", later.format("2.1")),
+        "LGPL-3.0": gnu.format("program", ":", "Lesser " + plain, ",", later.format("3")),
+        "AGPL-3.0": gnu.format("program", ":", "Affero " + plain, ",", later.format("3")),
+    }
+    names = [*heads, "GPL-2.0"]
+    only = gnu.format("program", ";", plain, ";", "version 2 of the License.")
+    texts = [f"# some code\n# {t}\n# This is distributed in the hope that it will be useful" for t in [*heads.values(), only]]
+    got: dict = {}
+    for x in L.scan(docs(texts)).collect():
+        got.setdefault(x.doc_id, {})[x.license] = x.containment
+    for i, name in enumerate(names):
+        assert got[i][name] == 1.0 and all(c < 1.0 for k, c in got[i].items() if k != name), (name, got[i])
+
+
+def test_full_texts_of_licenses(spark, docs):
+    import os
+
+    folder = "/usr/share/common-licenses"
+    full = {n: f for n, f in {"GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0"}.items() if os.path.exists(f"{folder}/{f}")}
+    if not full:
+        pytest.skip("no license texts")
+    got = {(x.doc_id, x.license) for x in L.scan(docs([open(f"{folder}/{f}").read() for f in full.values()])).collect()}
+    assert {(i, n) for i, n in enumerate(full)} <= got
+
+
 def test_license_plan_is_native(spark, docs):
     plan = L.scan(docs(["x"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
