@@ -5,8 +5,9 @@ revisits that refer to it. The archives are gzip files in a folder of any file s
 record ends in the two line breaks that the format asks for, which the text writer puts after each row.
 
 Reading: a task streams a file's bytes and cuts every payload into rows (record id, chunk number) of at most CHUNK bytes. Each row
-carries the digest of the payload up to there, so that a record is never held as a whole, and the last one has the
-record's digest. Lengths come from the headers, so payloads may hold any bytes, line breaks and header-like lines included.
+carries the digest of the payload up to there, and the last one has the record's digest. The bytes come as Spark's text
+rows: a line up to a line feed is the unit that is held, so a record is not held as a whole unless it is a single line; memory
+isn't bounded for a very long one (minified html). Lengths come from the headers, so payloads may hold any bytes, line breaks and header-like lines included.
 
 A null html is an empty payload, a null url leaves out its header; empty payloads are equal payloads too. Of rows that repeat
 the largest page_id each is a response. An empty table gives no records. Only page_id, url and html are read.
