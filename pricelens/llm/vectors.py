@@ -1,42 +1,73 @@
 """Near-duplicate vectors by collision counting over one-dimensional projections.
 
-TABLES random trees cut the unit sphere: each of DEPTH levels splits at a projection's middle. A vector is stored in one cell of
-each tree and asks in every cell within MARGIN of a split of its own projections, a window centred on the asking vector, so
-that close vectors meet although a split runs between them. Within a cell, PROJECTIONS further projections are sorted; for
-each, the asking vector's window of WIDTH either way holds the vectors that collide with it. Pairs that collide at
-least calibrated() times are verified by their cosine in double precision. The count is calibrated so that a pair at the threshold reaches it with a
-probability of RECALL; DEPTH, MARGIN and TABLES find such a pair with a probability above .95, closer ones more often.
-
-Cells are compared in tiles of TILE vectors, and only sums and spanning edges leave a tile, never its pairs. A pair that meets in
-several trees or in both directions counts once: it belongs to the first meeting. Equal vectors are compared once and
-counted by their number; they always link.
-
-Vectors that are null, of another length than the table's most common one, zero, or that hold a null or non-finite number
-link with nothing. An empty table gives no rows. Only vec_id and embedding are read.
+Random trees cut the unit sphere: each of a tree's levels splits at a projection's middle. A vector is stored in one cell of
+each tree and asks in every cell within MARGIN of a split of its own projections, a window centred on the asking vector.
+Within a cell, PROJECTIONS further projections are sorted; for each, the asking vector's window of WIDTH either way
+holds the vectors that collide with it. Pairs that collide at least calibrated() times are verified by their cosine in
+double precision. Depth follows the number of vectors, and the number of trees follows the depth (trees()), so that a
+pair at the threshold meets with a probability of RECALL and is counted often enough with the same probability, at any table size.
+
+Cells are compared in tiles of TILE vectors and blocks of BLOCK rows; only sums and spanning edges leave a tile, never its pairs. A
+pair that meets in several trees or in both directions counts once: it belongs to the first meeting.
+
+Crowds of near copies are not compared pair by pair: a ball holds vectors within half the threshold's angle of its
+centre, so all of them link. In the trees a ball is one row, stored wherever a member would be. Of two balls the angle between
+the centres, plus or minus the radii, tells that all members link or none; only where it doesn't are the members compared, in
+tiles of their own. Equal vectors are compared once and counted by their number; they always link.
+
+Vectors are compared with those of their own length. Vectors that are null, empty, zero, or that hold a null or non-finite number
+link with nothing; rows that repeat a vec_id are separate rows with equal ids, a row without vec_id stays without
+links. An empty table gives no rows. Only vec_id and embedding are read.
 """
 
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, connected_components, cut, partitions_for
-
-TABLES, MARGIN, PROJECTIONS, WIDTH, RECALL = 4, 0.25, 24, 0.75, 0.99
-#: Vectors of a cell to aim at: the trees' depth follows the number of vectors.
-CELL, MAX_DEPTH, TILE = 512, 24, 2048
-_CELLS = pa.schema([("tree", pa.int32()), ("cell", pa.int64()), ("home", pa.bool_()), ("id", pa.int64()), ("n", pa.int64()), ("v", pa.binary())])
-_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
-
-
-def calibrated(threshold: float) -> int:
-    """Collisions that a pair of unit vectors at the threshold reaches with probability RECALL."""
-    distance = math.sqrt(2 - 2 * threshold)
+from .common import batches, connected_components, cut
+
+MARGIN, PROJECTIONS, WIDTH, RECALL = 0.1, 24, 0.75, 0.995
+#: Vectors of a cell to aim at, rows of a tile's side, and of a block that is compared at once; pairs that are looked at at once.
+CELL, TILE, BLOCK, PAIRS = 512, 2048, 256, 1 << 16
+#: Vectors within a ball, at least, and rounds of gathering: each makes a crowd smaller by up to TILE.
+BALL, ROUNDS, SLACK = 32, 2, 1e-6
+_CELLS = pa.schema([("dim", pa.int32()), ("depth", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("home", pa.bool_()), ("id", pa.int64()), ("n", pa.int64()), ("v", pa.binary())])
+_FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
+_BALLS = pa.schema([("id", pa.int64()), ("ball", pa.int64()), ("r", pa.float64()), ("v", pa.binary())])
+#: Kinds of found rows: links of a, an edge, balls of which all members link, balls whose members must be compared.
+SUM, EDGE, ALL, SOME = range(4)
+
+
+def _phi(x: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.vectorize(math.erf)(x / math.sqrt(2)))
+
+
+@lru_cache(maxsize=64)
+def trees(depth: int, threshold: float) -> int:
+    """Trees of a depth in which a pair of unit vectors at the threshold meets with probability RECALL."""
+    if not depth:
+        return 1
+    x = np.linspace(0, 6, 6001)
+    weight = 2 * np.exp(-(x**2) / 2) / math.sqrt(2 * math.pi) * (x[1] - x[0])
+    weight[0] /= 2
+    spread = math.sqrt(max(1e-12, 1 - threshold**2))
+    same = _phi(threshold * x / spread)  # the other's projection has the same sign
+    one = float((weight * np.where(x <= MARGIN, 1.0, same)).sum())
+    close = _phi((MARGIN + threshold * x) / spread) - _phi(threshold * x / spread)  # another sign, within the margin
+    both = float((weight * (same + np.where(x <= MARGIN, close, 0.0))).sum())
+    meets = min(1 - 1e-9, 2 * one**depth - both**depth)
+    return max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - meets)))
+
+
+def calibrated(distance: float) -> int:
+    """Collisions that a pair of vectors at a distance reaches with probability RECALL."""
     p = math.erf(WIDTH / distance / math.sqrt(2)) if distance else 1.0
     left = 1.0
     for k in range(PROJECTIONS + 1):
@@ -55,69 +86,115 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 class Trees:
-    def __init__(self, dim: int, n: int, seed: int = 11):
-        self.dim = dim
-        self.depth = max(0, min(MAX_DEPTH, math.ceil(math.log2(max(1, n) / CELL))))
-        rng = np.random.default_rng(seed)
-        self.splits = rng.standard_normal((TABLES, self.depth, dim))
+    """The trees for vectors of one length, the same in every task."""
+
+    def __init__(self, dim: int, depth: int, threshold: float, seed: int = 11):
+        self.dim, self.depth, self.n = dim, depth, trees(depth, threshold)
+        rng = np.random.default_rng([seed, dim])
         self.lines = rng.standard_normal((dim, PROJECTIONS))
+        self.splits = rng.standard_normal((self.n, depth, dim))
+        self.bits = 1 << np.arange(depth, dtype=np.int64)
+
+    def codes(self, x: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
+        """(home cell, bits of the splits that a vector is far from) of each vector."""
+        sides = np.einsum("nd,kd->nk", x, self.splits[tree])
+        return (sides > 0) @ self.bits, (np.abs(sides) > MARGIN) @ self.bits
+
+    def asks(self, home: int, far: int) -> list[int]:
+        """The cells in which a vector asks."""
+        cells = [home]
+        for bit in self.bits.tolist():
+            if not far & bit:
+                cells += [c ^ bit for c in cells]
+        return cells
 
-    def sides(self, x: np.ndarray, tree: int) -> np.ndarray:
-        """Signed distances from the splits, (vectors, depth)."""
-        return np.einsum("nd,kd->nk", x, self.splits[tree])
-
-    def home(self, sides: np.ndarray) -> np.ndarray:
-        return ((sides > 0) * (1 << np.arange(self.depth, dtype=np.int64))).sum(1)
-
-    def asks(self, sides: np.ndarray) -> list[np.ndarray]:
-        """The cells in which each vector asks."""
-        out = []
-        for row, base in zip(np.abs(sides) <= MARGIN, self.home(sides).tolist(), strict=True):
-            cells = np.array([base], np.int64)
-            for k in np.flatnonzero(row).tolist():
-                cells = np.concatenate((cells, cells ^ (1 << k)))
-            out.append(cells)
-        return out
 
-    def meets(self, asking: np.ndarray, stored: np.ndarray) -> np.ndarray:
-        """Whether row i's asking vector looks into row i's stored one's cell."""
-        return (((asking > 0) == (stored > 0)) | (np.abs(asking) <= MARGIN)).all(1)
+def meets(asking: tuple[np.ndarray, np.ndarray], stored: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether row i's asking vector looks into row i's stored one's cell."""
+    return ((asking[0] ^ stored[0]) & asking[1]) == 0
+
+
+@lru_cache(maxsize=8)
+def _trees(dim: int, depth: int, threshold: float) -> Trees:
+    return Trees(dim, depth, threshold)
+
+
+class Side:
+    """Rows of one side of a tile: ids, how many rows of the table each stands for, radii, unit vectors."""
+
+    def __init__(self, rows: list[tuple], narrow: bool):
+        self.ids, self.n, self.r = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], float)
+        raw = [np.frombuffer(r[3], np.float32 if narrow and not r[2] else np.float64).astype(np.float64) for r in rows]
+        self.x = _unit(np.array(raw)) if raw else np.empty((0, 0))
+
+    def part(self, rows) -> Side:
+        out = object.__new__(Side)
+        out.ids, out.n, out.r, out.x = self.ids[rows], self.n[rows], self.r[rows], self.x[rows]
+        return out
 
 
-def _tile(trees: Trees, tree: int, ask, have, threshold: float, least: int):
-    """Verified pairs (i, j) of a tile that belong to it; ask and have: (ids, vectors)."""
-    (ids_q, x_q), (ids_s, x_s) = ask, have
-    p_q, p_s = x_q @ trees.lines, x_s @ trees.lines
-    count = np.zeros((len(ids_q), len(ids_s)), np.uint8)
+def _collisions(t: Trees, ask: Side, have: Side):
+    """(rows of ask, their collision counts with each row of have, their cosines), block by block."""
+    p_q, p_s = ask.x @ t.lines, have.x @ t.lines
+    lo, hi, place = [], [], []
     for k in range(PROJECTIONS):
         order = np.argsort(p_s[:, k], kind="stable")
         line = p_s[order, k]
-        lo = np.searchsorted(line, p_q[:, k] - WIDTH, "left")
-        hi = np.searchsorted(line, p_q[:, k] + WIDTH, "right")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        count += (place >= lo[:, None]) & (place < hi[:, None])
-    i, j = np.nonzero(count >= least)
-    keep = ids_q[i] != ids_s[j]
-    i, j = i[keep], j[keep]
-    keep = np.einsum("nd,nd->n", x_q[i], x_s[j]) >= threshold
-    i, j = i[keep], j[keep]
-    if not len(i):
-        return i, j
-    # the first meeting: trees in order, the smaller id asking before the larger one
-    up = ids_q[i] < ids_s[j]
-    a, b = np.where(up[:, None], x_q[i], x_s[j]), np.where(up[:, None], x_s[j], x_q[i])
-    taken = np.zeros(len(i), bool)
-    for t in range(tree + 1):
-        sa, sb = trees.sides(a, t), trees.sides(b, t)
-        if t < tree:
-            taken |= trees.meets(sa, sb) | trees.meets(sb, sa)
-        else:
-            taken |= ~up & trees.meets(sa, sb)
-    return i[~taken], j[~taken]
-
-
-def _spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+        lo.append(np.searchsorted(line, p_q[:, k] - WIDTH, "left").astype(np.int32))
+        hi.append(np.searchsorted(line, p_q[:, k] + WIDTH, "right").astype(np.int32))
+        at = np.empty(len(order), np.int32)
+        at[order] = np.arange(len(order), dtype=np.int32)
+        place.append(at)
+    for at in range(0, len(ask.ids), BLOCK):
+        rows = slice(at, min(at + BLOCK, len(ask.ids)))
+        count = np.zeros((rows.stop - at, len(have.ids)), np.uint8)
+        for k in range(PROJECTIONS):
+            count += (place[k] >= lo[k][rows, None]) & (place[k] < hi[k][rows, None])
+        yield rows, count, ask.x[rows] @ have.x.T
+
+
+def _single_pairs(t: Trees, tree: int | None, ask: Side, have: Side, threshold: float):
+    """Verified pairs (i, j) of a tile that belong to it, at most PAIRS at a time. tree None: all of them do."""
+    least = calibrated(math.sqrt(2 - 2 * threshold))
+    codes = [] if tree is None else [(t.codes(ask.x, k), t.codes(have.x, k)) for k in range(tree + 1)]
+    for rows, count, cos in _collisions(t, ask, have):
+        for i, j in _some_at_a_time(np.nonzero((count >= least) & (cos >= threshold - 1e-9))):
+            close = np.flatnonzero(cos[i, j] < threshold + 1e-9)
+            i = i + rows.start
+            keep = ask.ids[i] != have.ids[j]
+            keep[close] &= np.einsum("nd,nd->n", ask.x[i[close]], have.x[j[close]]) >= threshold
+            i, j = i[keep], j[keep]
+            # the first meeting: trees in order, the smaller id asking before the larger one
+            taken = np.zeros(len(i), bool)
+            for k, (q, s) in enumerate(codes):
+                a, b = (q[0][i], q[1][i]), (s[0][j], s[1][j])
+                taken |= meets(a, b) | meets(b, a) if k < tree else (ask.ids[i] > have.ids[j]) & meets(b, a)
+            yield i[~taken], j[~taken]
+
+
+def _some_at_a_time(pairs):
+    for at in range(0, len(pairs[0]), PAIRS):
+        yield pairs[0][at : at + PAIRS], pairs[1][at : at + PAIRS]
+
+
+def _ball_pairs(t: Trees, ask: Side, have: Side, threshold: float):
+    """(kind, smaller id, larger id) of pairs of which one is a ball and members may link."""
+    theta = math.acos(threshold)
+    # collisions to ask for, by the radii's sum in sixteenths of the threshold's angle
+    least = np.array([calibrated(2 * math.sin(min(math.pi, theta * (1 + k / 16)) / 2)) for k in range(17)], np.uint8)
+    for rows, count, cos in _collisions(t, ask, have):
+        reach = ask.r[rows, None] + have.r[None, :]
+        angle = np.arccos(np.clip(cos, -1, 1))
+        level = np.minimum(16, np.ceil(reach / theta * 16)).astype(np.int64)
+        i, j = np.nonzero((reach > 0) & (angle <= theta + reach + SLACK) & (count >= least[level]))
+        both = angle[i, j] + reach[i, j] <= theta - SLACK
+        a, b = ask.ids[rows][i], have.ids[j]
+        other = a != b
+        found = np.stack((np.where(both, ALL, SOME), np.minimum(a, b), np.maximum(a, b)), 1)[other]
+        yield np.unique(found, axis=0)
+
+
+def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges from each node to the least one of its component."""
     nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
     x, y = at[: len(a)], at[len(a) :]
@@ -131,104 +208,256 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
         if (new == low).all():
             break
         low = new
-    return [(int(n), int(nodes[k])) for n, k in zip(nodes, low, strict=True) if n != nodes[k]]
+    own = np.flatnonzero(low != np.arange(len(nodes)))
+    return nodes[own], nodes[low[own]]
 
 
-def _distinct(vectors: DataFrame, dim: int) -> DataFrame:
-    """(vec_id, v): v the vector as doubles, null where it links with nothing."""
-    e = F.col("embedding").cast("array<double>")
-    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    fine = (F.size(e) == dim) & ~F.exists(e, bad) & F.exists(e, lambda x: x != 0)
-    return vectors.select(F.col("vec_id").cast("long"), F.when(fine, F.transform(e, lambda x: x + F.lit(0.0))).alias("v"))
+def _compared(t: Trees, tree: int | None, ask: Side, have: Side, threshold: float):
+    """Found rows (arrays kind, a, b, links) of a tile."""
+    q, s = np.flatnonzero(ask.r == 0), np.flatnonzero(have.r == 0)
+    ask_one, have_one = ask.part(q), have.part(s)
+    links_q, links_s, edges = np.zeros(len(q), np.int64), np.zeros(len(s), np.int64), []
+    if len(q) and len(s):
+        for i, j in _single_pairs(t, tree, ask_one, have_one, threshold):
+            if len(i):
+                links_q += np.bincount(i, have_one.n[j], len(q)).astype(np.int64)
+                links_s += np.bincount(j, ask_one.n[i], len(s)).astype(np.int64)
+                edges.append(_spanning(ask_one.ids[i], have_one.ids[j]))
+    for ids, links in ((ask_one.ids, links_q), (have_one.ids, links_s)):
+        some = np.flatnonzero(links)
+        yield np.full(len(some), SUM), ids[some], np.zeros(len(some), np.int64), links[some]
+    if edges:
+        a, b = _spanning(*(np.concatenate(x) for x in zip(*edges, strict=True)))
+        yield np.full(len(a), EDGE), a, b, np.zeros(len(a), np.int64)
+    balls_q, balls_s = np.flatnonzero(ask.r > 0), np.flatnonzero(have.r > 0)
+    for x, y in ((ask.part(balls_q), have), (ask_one, have.part(balls_s))):
+        if len(x.ids) and len(y.ids):
+            for f in _ball_pairs(t, x, y, threshold):
+                yield f[:, 0], f[:, 1], f[:, 2], np.zeros(len(f), np.int64)
+
+
+def _balls(x: np.ndarray, r: np.ndarray, reach: float, least: int):
+    """(members, centre, radius) of balls of radius reach at most with so many members at least; no member is in two."""
+    left = r < reach
+    for seed in range(len(x)):
+        if not left[seed]:
+            continue
+        near = np.flatnonzero(left & (x @ x[seed] >= math.cos(reach)))
+        left[seed] = False  # of no further seed's ball, unless of its own
+        if len(near) < least:
+            continue
+        centre = _unit(x[near].mean(0, keepdims=True))[0]
+        angle = np.arccos(np.clip(x[near] @ centre, -1, 1)) + r[near] + SLACK
+        kept = np.flatnonzero(angle <= reach)
+        if len(kept) >= least:
+            left[near[kept]] = False
+            yield near[kept], centre, float(angle[kept].max())
+
+
+def _grid(rows: DataFrame, keys: list[str], own: Column, other: Column) -> DataFrame:
+    """rows (keys, asks, id, ...) once for each tile that they take part in: own, other are the tiles that each side is cut into."""
+    part = lambda n: F.pmod(F.xxhash64("id"), n)
+    whole = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    asked = rows.where("asks").withColumn("own", part(own)).withColumn("other", F.explode(whole(other)))
+    stored = rows.where("not asks").withColumn("other", part(other)).withColumn("own", F.explode(whole(own)))
+    columns = [*keys, "own", "other", "asks", "id", "n", "r", "v"]
+    return asked.select(*columns).unionByName(stored.select(*columns))
+
+
+def _compare(tiles: DataFrame, threshold: float, narrow: bool, in_trees: bool) -> DataFrame:
+    """Found rows of all tiles (dim, depth, k1, k2, own, other, asks, id, n, r, v)."""
+
+    def run(it):
+        held, key = [], None
 
+        def done():
+            ask, have = (Side([r[1:] for r in held if r[0] == which], narrow) for which in (True, False))
+            if len(ask.ids) and len(have.ids):
+                t = _trees(key[0], key[1], threshold)
+                for found in _compared(t, key[2] if in_trees else None, ask, have, threshold):
+                    yield from batches(dict(zip(_FOUND.names, found, strict=True)), _FOUND)
 
-def link(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row of vectors."""
-    spark = vectors.sparkSession
-    top = vectors.where("embedding is not null").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    rows = cut(_distinct(vectors, top.d if top else 0), "vectors")
-    one = cut(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "vectors")
-    trees = Trees(top.d if top else 1, one.count())
-    least = calibrated(threshold)
-    shared = spark.sparkContext.broadcast(trees)
+        for batch in it:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:6] != key and held:
+                    yield from done()
+                    held = []
+                key = row[:6]
+                held.append(row[6:])
+        if held:
+            yield from done()
 
-    narrow = isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
-    kind = np.float32 if narrow else np.float64  # what holds the table's numbers exactly
-
-    def deal(with_vectors: bool):
-        def run(it):
-            t = shared.value
-            for batch in it:
-                if not batch.num_rows:
-                    continue
-                ids, n = batch.column("id").to_pylist(), batch.column("n").to_pylist()
-                raw = np.array(batch.column("v").to_pylist(), np.float64)
-                x = _unit(raw)
-                raw = [r.tobytes() if with_vectors else b"" for r in raw.astype(kind)]
-                for tree in range(TABLES):
-                    sides = t.sides(x, tree)
-                    home = t.home(sides).tolist()
-                    out = [(tree, int(c), c == h, i, k, v) for i, k, v, h, cells in zip(ids, n, raw, home, t.asks(sides), strict=True) for c in cells]
+    keys = ["dim", "depth", "k1", "k2", "own", "other"]
+    spread = tiles.select(*keys, "asks", "id", "n", "r", "v").repartition(*keys).sortWithinPartitions(*keys)
+    return spread.mapInArrow(run, "kind int, a long, b long, links long")
+
+
+def _dealt(rows: DataFrame, threshold: float, narrow: bool, first_only: bool = False, with_vectors: bool = True) -> DataFrame:
+    """rows (dim, depth, id, n, r, v) by tree (k1) and cell (k2); first_only: the home cells of the first tree."""
+
+    def run(it):
+        for batch in it:
+            dims, depths, ids, ns, rs, vs = (c.to_pylist() for c in batch.columns)
+            groups: dict[tuple[int, int], list[int]] = {}
+            for k, kind in enumerate(zip(dims, depths, strict=True)):
+                groups.setdefault(kind, []).append(k)
+            for (dim, depth), own in groups.items():
+                t, side = _trees(dim, depth, threshold), Side([(ids[k], ns[k], rs[k], vs[k]) for k in own], narrow)
+                for tree in range(1 if first_only else t.n):
+                    home, far = (x.tolist() for x in t.codes(side.x, tree))
+                    out = [
+                        (dim, depth, tree, c, c == h, ids[k], ns[k], vs[k] if with_vectors else None)
+                        for k, h, f in zip(own, home, far, strict=True)
+                        for c in ([h] if first_only else t.asks(h, f))
+                    ]
                     yield from batches({f.name: [r[m] for r in out] for m, f in enumerate(_CELLS)}, _CELLS)
 
-        return one.mapInArrow(run, "tree int, cell long, home boolean, id long, n long, v binary")
+    return rows.select("dim", "depth", "id", "n", "r", "v").mapInArrow(run, "dim int, depth int, k1 long, k2 long, home boolean, id long, n long, v binary")
 
-    # tiles of a cell: rows are spread over both sides, so that a large cell becomes many tasks
-    size = deal(False).groupBy("tree", "cell").agg(F.count("*").alias("rows"), F.count_if("home").alias("stored"))
-    size = size.where("stored > 0 and rows > 1").select("tree", "cell", F.ceil(F.col("rows") / TILE).alias("across"))
-    dealt = deal(True).join(size, ["tree", "cell"])
-    part = F.pmod(F.xxhash64("id"), F.col("across")).alias("own")
-    whole = F.sequence(F.lit(0).cast("long"), F.col("across") - 1)
-    asking = dealt.select("tree", "cell", "id", "n", "v", F.lit(True).alias("asks"), part, F.explode(whole).alias("other"))
-    stored = dealt.where("home").select("tree", "cell", "id", "n", "v", F.lit(False).alias("asks"), F.explode(whole).alias("own"), part.alias("other"))
-    tiles = asking.union(stored)
 
-    def compare(it):
-        t, held, key = shared.value, [], None
+def _gathered(rows: DataFrame, threshold: float, narrow: bool, least: int) -> DataFrame:
+    """(id, ball, r, v) of the rows (dim, depth, id, n, r, v) that lie in balls; r and v, radius and centre, only at one row of each ball."""
+    reach = math.acos(threshold) / 2 - SLACK
+    cells = ["dim", "k2"]
+    crowded = _dealt(rows, threshold, narrow, first_only=True, with_vectors=False).groupBy(*cells).count().where(F.col("count") > TILE)
+    across = F.coalesce(F.ceil(F.col("count") / TILE), F.lit(1))
+    homes = _dealt(rows, threshold, narrow, first_only=True).join(rows.select("id", "r"), "id").join(crowded, cells, "left")
+    placed = homes.withColumn("part", F.pmod(F.xxhash64("id"), across))
+
+    def run(it):
+        held, key = [], None
 
         def done():
-            side = []
-            for which in (True, False):
-                own = [r for r in held if r[0] == which]
-                side.append((np.array([r[1] for r in own], np.int64), _unit(np.frombuffer(b"".join(r[3] for r in own), kind).reshape(-1, t.dim).astype(np.float64)), np.array([r[2] for r in own], np.int64)))
-            (iq, xq, nq), (js, xs, ns) = side
-            if not len(iq) or not len(js):
-                return
-            i, j = _tile(t, key[0], (iq, xq), (js, xs), threshold, least)
-            if len(i):
-                a, b = iq[i], js[j]
-                nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-                sums = np.bincount(at, np.concatenate((ns[j], nq[i])))
-                rows = [(int(x), None, int(s)) for x, s in zip(nodes, sums, strict=True)] + [(x, y, 0) for x, y in _spanning(a, b)]
-                yield from batches({f.name: [r[k] for r in rows] for k, f in enumerate(_FOUND)}, _FOUND)
+            side = Side(held, narrow)
+            for own, centre, radius in _balls(side.x, side.r, reach, least):
+                ids = side.ids[own].tolist()
+                ball = min(ids)
+                head = [i == ball for i in ids]
+                yield from batches(
+                    {"id": ids, "ball": [ball] * len(ids), "r": [radius if h else None for h in head], "v": [centre.tobytes() if h else None for h in head]}, _BALLS
+                )
 
         for batch in it:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:4] != key and held:
+                if row[:3] != key and held:
                     yield from done()
                     held = []
-                key = row[:4]
-                held.append(row[4:])
+                key = row[:3]
+                held.append(row[3:])
         if held:
             yield from done()
 
-    spread = tiles.select("tree", "cell", "own", "other", "asks", "id", "n", "v").repartition(partitions_for(spark), "tree", "cell", "own", "other")
-    found = cut(spread.sortWithinPartitions("tree", "cell", "own", "other").mapInArrow(compare, "a long, b long, links long"), "vectors")
-    groups = connected_components(found.where("b is not null").select("a", "b"))
-    sums = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
-    label = one.join(sums, "id", "left").join(groups, F.col("id") == F.col("node"), "left").select(
-        F.col("v").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "id").alias("component")
-    )
-    out = rows.join(label, rows.v == label.w, "left").select("vec_id", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    spread = placed.select("dim", "k2", "part", "id", "n", "r", "v").repartition("dim", "k2", "part").sortWithinPartitions("dim", "k2", "part", "id")
+    return cut(spread.mapInArrow(run, "id long, ball long, r double, v binary"), "vectors")
+
+
+def _distinct(vectors: DataFrame) -> DataFrame:
+    """(vec_id, w): w the vector as doubles, null where it links with nothing."""
+    e = F.col("embedding").cast("array<double>")
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    fine = F.col("vec_id").isNotNull() & ~F.exists(e, bad) & F.exists(e, lambda x: x != 0)
+    return vectors.select(F.col("vec_id").cast("long"), F.when(fine, F.transform(e, lambda x: x + F.lit(0.0))).alias("w"))
+
+
+def _packed(rows: DataFrame, narrow: bool) -> DataFrame:
+    """(dim, depth, id, n, r, v) of the distinct vectors: v their bytes in the type that holds the table's numbers exactly."""
+    schema = pa.schema([("dim", pa.int32()), ("depth", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("r", pa.float64()), ("v", pa.binary())])
+
+    def run(it):
+        for batch in it:
+            columns = {f.name: batch.column(k).to_pylist() for k, f in enumerate(schema)}
+            columns["v"] = [np.array(v, np.float32 if narrow else np.float64).tobytes() for v in columns["v"]]
+            yield from batches(columns, schema)
+
+    sizes = rows.groupBy(F.size("w").alias("dim")).count()
+    depth = F.greatest(F.ceil(F.log2(F.col("count") / CELL)), F.lit(0)).cast("int").alias("depth")
+    sized = rows.withColumn("dim", F.size("w")).join(sizes.select("dim", depth), "dim")
+    return sized.select("dim", "depth", "id", "n", F.lit(0.0).alias("r"), "w").mapInArrow(run, "dim int, depth int, id long, n long, r double, v binary")
+
+
+def _in_cells(singles: DataFrame, members: DataFrame, balls: DataFrame, threshold: float, narrow: bool) -> DataFrame:
+    """The tiles of all cells. A ball is in every cell that one of its members is in."""
+    cells = ["dim", "depth", "k1", "k2"]
+
+    def dealt(vectors: bool) -> DataFrame:
+        own = _dealt(singles, threshold, narrow, with_vectors=vectors).withColumn("r", F.lit(0.0))
+        each = _dealt(members, threshold, narrow, with_vectors=False).select(*cells, "home", "id")
+        of_ball = each.join(members.select("id", "node"), "id").groupBy(*cells, F.col("node").alias("id")).agg(F.max("home").alias("home"))
+        return own.unionByName(of_ball.join(balls.select("id", "n", "r", "v"), "id"))
+
+    size = dealt(False).groupBy(*cells).agg(F.count("*").alias("rows"), F.count_if("home").alias("stored"))
+    size = size.where("stored > 0 and rows > 1").select(*cells, F.ceil(F.col("rows") / TILE).alias("across"))
+    placed = dealt(True).join(size, cells)
+    sides = F.explode(F.when(F.col("home"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True))))
+    return _grid(placed.withColumn("asks", sides), cells, F.col("across"), F.col("across"))
+
+
+def _in_pairs(pairs: DataFrame, nodes: DataFrame, held: DataFrame) -> DataFrame:
+    """The tiles of pairs (a, b) of nodes whose members must be compared."""
+    sizes = [nodes.select(F.col("id").alias(c), F.ceil(F.col("members") / TILE).alias(f"tiles_{c}")) for c in "ab"]
+    sized = pairs.join(sizes[0], "a").join(sizes[1], "b")
+    asking = sized.join(held, sized.a == held.node).withColumn("asks", F.lit(True))
+    stored = sized.join(held, sized.b == held.node).withColumn("asks", F.lit(False))
+    both = asking.unionByName(stored).withColumn("k1", F.col("a")).withColumn("k2", F.col("b"))
+    return _grid(both, ["dim", "depth", "k1", "k2"], F.col("tiles_a"), F.col("tiles_b"))
+
+
+def link(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row of vectors."""
+    narrow = isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
+    rows = cut(_distinct(vectors), "vectors")
+    one = rows.where("w is not null").groupBy("w").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
+    one = cut(one.withColumn("id", F.monotonically_increasing_id()), "vectors")
+    packed = cut(_packed(one, narrow), "vectors")
+
+    # vectors (id) in balls (node)
+    gathered = _gathered(packed, threshold, narrow, BALL)
+    member = gathered.select("id", F.col("ball").alias("node"))
+    for _ in range(ROUNDS - 1):
+        centres = gathered.where("v is not null").select("ball", "r", "v").withColumnRenamed("ball", "id")
+        centres = cut(centres.join(packed.select("id", "dim", "depth", "n"), "id").select("dim", "depth", "id", "n", "r", "v"), "vectors")
+        wider = _gathered(centres, threshold, narrow, 2)
+        member = member.join(wider.select(F.col("id").alias("node"), "ball"), "node", "left").select("id", F.coalesce("ball", "node").alias("node"))
+        stay = centres.join(wider.select("id"), "id", "left_anti").select("id", F.col("id").alias("ball"), "r", "v")
+        gathered = cut(wider.unionByName(stay), "vectors")
+    held = cut(packed.join(member, "id", "left").withColumn("node", F.coalesce("node", "id")), "vectors")
+    centres = gathered.where("v is not null").select(F.col("ball").alias("id"), "r", "v")
+    sums = held.groupBy(F.col("node").alias("id")).agg(F.sum("n").alias("n"), F.count("*").alias("members"))
+    nodes = cut(sums.join(centres, "id", "left"), "vectors")
+    balls = nodes.where("v is not null")
+    in_ball = held.join(balls.select(F.col("id").alias("node")), "node", "left_semi")
+    singles = held.join(balls.select(F.col("id").alias("node")), "node", "left_anti")
+
+    found = cut(_compare(_in_cells(singles, in_ball, balls, threshold, narrow), threshold, narrow, True), "vectors")
+    pairs = cut(found.where(F.col("kind") >= ALL).select("kind", "a", "b").distinct(), "vectors")
+    some = _in_pairs(pairs.where(F.col("kind") == SOME).select("a", "b"), nodes, held)
+    found = found.where(F.col("kind") < ALL).unionByName(cut(_compare(some, threshold, narrow, False), "vectors"))
+
+    # links by vector and by ball; components of balls and single vectors
+    own = found.where(F.col("kind") == SUM).groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("own"))
+    whole = pairs.where(F.col("kind") == ALL).select("a", "b")
+    other = whole.unionByName(whole.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(nodes.select(F.col("id").alias("b"), "n"), "b")
+    other = other.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("other"))
+    edges = found.where(F.col("kind") == EDGE).select("a", "b")
+    for c in "ab":
+        edges = edges.withColumnRenamed(c, "id").join(held.select("id", "node"), "id").withColumnRenamed("node", c).drop("id")
+    groups = connected_components(edges.select("a", "b").union(whole)).withColumnRenamed("node", "at")
+    labelled = held.select("id", "node").join(one.select("id", "first"), "id").join(groups, F.col("node") == F.col("at"), "left")
+    labelled = cut(labelled.select("id", "node", "first", F.coalesce("component", "node").alias("component")), "vectors")
+    least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
+    links = F.coalesce("own", F.lit(0)) + F.coalesce("other", F.lit(0)) + F.col("n") - 1
+    label = labelled.join(least, "component").join(own, "id", "left").join(other, "node", "left")
+    label = label.join(nodes.select(F.col("id").alias("node"), "n"), "node").select("id", "component_id", links.alias("links"))
+    label = one.select("id", F.col("w").alias("x")).join(label, "id")
+    out = rows.join(label, rows.w == label.x, "left").select("vec_id", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 #: The same by DuckDB, comparing all pairs; for small tables.
 SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-dim AS (SELECT len(e) AS d FROM v WHERE e IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
-ok AS (SELECT vec_id, e FROM v WHERE len(e) = (SELECT d FROM dim) AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
-p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+ok AS (SELECT vec_id, e FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
 r AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.vec_id)
 SELECT v.vec_id, coalesce(n, 0) AS n_links, c AS component_id, v.vec_id = c AS kept FROM v LEFT JOIN (SELECT a, count(*) AS n FROM p GROUP BY 1) ON a = v.vec_id
 JOIN (SELECT vec_id, min(c) AS c FROM r GROUP BY 1) USING (vec_id)

@@ -93,32 +93,89 @@ def test_token_counts(spark, tmp_path, monkeypatch):
 
 
 def brute_links(x, threshold=0.9):
-    ok = [i for i, v in enumerate(x) if v is not None and all(c is not None and np.isfinite(c) for c in v) and len(v) == 8 and any(v)]
-    u = {i: np.array(x[i], float) / np.linalg.norm(np.array(x[i], float)) for i in ok}
-    near = {i: {j for j in ok if j != i and u[i] @ u[j] >= threshold} for i in ok}
+    """(links, component) of each row, ids being places; links counts the rows of equal length with a cosine of threshold or more."""
+    ok = [i for i, v in enumerate(x) if v is not None and all(c is not None and np.isfinite(c) for c in v) and any(v)]
+    u = {i: (w := np.array(x[i], float) / np.abs(x[i]).max()) / np.linalg.norm(w) for i in ok}
+    near = {i: {j for j in ok if j != i and len(u[i]) == len(u[j]) and u[i] @ u[j] >= threshold} for i in ok}
     lab = {i: i for i in range(len(x))}
     for _ in range(len(x)):
+        old = dict(lab)
         for i in ok:
             lab[i] = min([lab[i], *(lab[j] for j in near[i])])
+        if old == lab:
+            break
     return {i: (len(near.get(i, ())), lab[i]) for i in range(len(x))}
 
 
-def test_vector_links(spark, monkeypatch):
+def links_of(df):
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in V.link(df).collect()}
+    assert all(k == (i == c) for i, (_, c, k) in got.items())
+    return {i: (n, c) for i, (n, c, _) in got.items()}
+
+
+def table_of(spark, x):
+    rows = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    return rows.withColumns({"v": F.lit("clash"), "n": F.lit(1), "id": F.lit(2), "node": F.lit(3), "r": F.lit(4), "w": F.lit(5)})
+
+
+@pytest.mark.parametrize("depth", [5, 10, 14, 18, 24])
+def test_recall_of_the_trees_at_the_threshold(depth):
+    rng = np.random.default_rng(depth)
+    t = V.Trees(64, depth, 0.9)
+    a = V._unit(rng.standard_normal((4000, 64)))
+    b = rng.standard_normal((4000, 64))
+    b = 0.9 * a + np.sqrt(1 - 0.81) * V._unit(b - np.einsum("nd,nd->n", a, b)[:, None] * a)
+    met = np.zeros(4000, bool)
+    for tree in range(t.n):
+        x, y = t.codes(a, tree), t.codes(b, tree)
+        met |= V.meets(x, y) | V.meets(y, x)
+    assert met.mean() >= 0.98
+    enough = (np.abs(a @ t.lines - b @ t.lines) <= V.WIDTH).sum(1) >= V.calibrated(np.sqrt(0.2))
+    assert (met & enough).mean() >= 0.95
+
+
+def test_vector_links_in_deep_trees(spark, monkeypatch):
     rng = np.random.default_rng(3)
-    base = rng.standard_normal((25, 8))
+    base = rng.standard_normal((40, 8))
     x = [list(map(float, b + 0.12 * rng.standard_normal(8))) for b in base for _ in range(12)]
-    x += [x[0], [2 * c for c in x[0]], None, [0.0] * 8, [float("nan")] + [1.0] * 7, [None] + [1.0] * 7, [float("inf")] * 8, [1.0, 2.0], [1e300] * 8, [1e-300] * 8]
-    want = brute_links(x[:-2])
-    monkeypatch.setattr(V, "CELL", 40)
+    monkeypatch.setattr(V, "CELL", 12)
     monkeypatch.setattr(V, "TILE", 32)
-    d = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>").withColumns({"v": F.lit("clash"), "n": F.lit(1), "id": F.lit(2)})
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in V.link(d).collect()}
-    assert len(got) == len(x) and all(k == (i == c) for i, (_, c, k) in got.items())
-    assert got[len(x) - 1][:2] == got[len(x) - 2][:2][:1] + (len(x) - 2,)
-    links = sum(w for w, _ in want.values())
-    missed = sum(w - got[i][0] for i, (w, _) in want.items() if w >= got[i][0])
-    assert all(got[i][0] <= w for i, (w, _) in want.items()) or got[len(x) - 1][0] > 1
-    assert missed <= 0.02 * links and links > 1000
+    monkeypatch.setattr(V, "BLOCK", 10)
+    monkeypatch.setattr(V, "PAIRS", 50)
+    want, got = brute_links(x), links_of(table_of(spark, x))
+    assert set(got) == set(want) and all(got[i][0] <= want[i][0] for i in want)
+    total = sum(n for n, _ in want.values())
+    assert sum(n for n, _ in got.values()) >= 0.98 * total and total > 2000
+
+
+def test_vectors_of_any_kind(spark):
+    rng = np.random.default_rng(4)
+    x = [list(map(float, v)) for v in rng.standard_normal((30, 8))]
+    x += [x[0], x[0], [2 * c for c in x[0]], None, [], [0.0] * 8, [float("nan")] + [1.0] * 7, [None] + [1.0] * 7, [float("inf")] * 8, [1e300] * 8, [1e-300] * 8]
+    x += [[1.0, 2.0], [1.0, 2.01], [1.0], [3.0], [-3.0]]
+    assert links_of(table_of(spark, x)) == brute_links(x)
+
+
+@pytest.mark.parametrize("tile", [16, 4096])
+def test_crowds_of_near_copies(spark, monkeypatch, tile):
+    """Balls that touch wholly, in part and not at all, gathered in two rounds, beside single vectors."""
+    rng = np.random.default_rng(5)
+    crowd = lambda b, n, s: [list(map(float, b + s * rng.standard_normal(16))) for _ in range(n)]
+    base = rng.standard_normal((5, 16))
+    x = crowd(base[0], 150, 0.02) + crowd(base[0] + 0.5 * base[1], 90, 0.05) + crowd(base[1], 80, 0.1) + crowd(base[2], 60, 0.3) + crowd(base[3], 20, 0.01) + crowd(base[4], 1, 0)
+    x += [x[0], x[0], x[160], *crowd(base[0], 30, 0.15)]
+    order = rng.permutation(len(x))
+    x = [x[k] for k in order]
+    monkeypatch.setattr(V, "TILE", tile)
+    monkeypatch.setattr(V, "BALL", 6)
+    want = brute_links(x)
+    assert links_of(table_of(spark, x)) == want and sum(n for n, _ in want.values()) > 20000
+
+
+def test_repeated_vec_ids(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (5, [0.0, 1.0]), (3, [0.0, 2.0]), (9, [1.0, 0.01]), (None, [1.0, 0.0])]
+    got = V.link(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(5, 1, 5, True), (5, 2, 3, False), (5, 2, 3, False), (3, 2, 3, True), (9, 1, 5, False), (None, 0, None, True)], key=str)
 
 
 def test_vectors_empty(spark):
