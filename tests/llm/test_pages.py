@@ -108,3 +108,89 @@ def test_broken_pages(spark):
     got = {x.page_id: x.text for x in d.collect()}
     assert len(got) == len(rows) and got[0] == got[1] == got[5] == "" and got[4] == "x" and got[6] == "a & b &am" and got[7] == "deep, text."
     assert H.extract(pages(spark, [])).count() == 0
+
+
+def test_wrappers_keep_their_article():
+    body = f"<h1>Head</h1><p>{LONG}</p>"
+    want = "Head\n" + LONG.strip()
+    for open_, close in (('<div class="layout has-sidebar">', "</div>"), ("<div id=main class=comments-closed>", "</div>"), ("<form id=aspnetForm>", "</form>"), ('<div class="page-with-promo sidebar-left">', "</div>")):
+        for inner in (f"<article>{body}</article>", f"<div>{body}</div>"):
+            assert H.main_text(f"<body><nav><a href=/>Home</a></nav>{open_}{inner}{close}<footer>(c) x</footer></body>") == want, (open_, inner)
+    assert H.main_text(f'<article><p class="intro promotion-history">{LONG}</p><p>{LONG}</p></article>') == "\n".join([LONG.strip()] * 2)
+    assert H.main_text(f"<article>{body}<div class=comment-list><p>{LONG}</p></div></article>") == want
+
+
+def test_links_and_small_print_in_plain_divs_go():
+    page = f"<body><div><a href=/a>One</a> <a href=/b>Two</a> <a href=/c>Three</a></div><div><h2>Head</h2><p>{LONG}</p><ul><li>a<li>b</ul><p>{LONG}</p></div><div>Copyright 2024 by x</div></body>"
+    assert H.main_text(page) == "\n".join(["Head", LONG.strip(), "a", "b", LONG.strip()])
+    titled = f"<body><div><h1>Head</h1><div>By x</div><div><p>{LONG}</p><p>{LONG}</p></div></div><div>Copyright 2024 by x</div></body>"
+    assert H.main_text(titled) == "\n".join(["Head", LONG.strip(), LONG.strip()])
+
+
+def test_the_threshold_decides(monkeypatch):
+    page = f"<body><h3>Some words</h3><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><div>A line, of some length, and no more of it.</div><div>Another, a bit shorter.</div><div>And one.</div></body>"
+    got = {}
+    for threshold in (0.01, 0.35, 0.9):
+        monkeypatch.setattr(H, "THRESHOLD", threshold)
+        got[threshold] = H.main_text(page).split("\n")
+    assert got[0.35] == ["Some words", *[LONG.strip()] * 4] or got[0.35] == [LONG.strip()] * 4
+    assert len(got[0.01]) == 8 and got[0.9] == [LONG.strip()] * 4
+
+
+def test_path_sums_equal_brute_force():
+    """Against another parser, on well-formed pages of random structure."""
+    from html.parser import HTMLParser
+
+    r = random.Random(9)
+
+    class Twin(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack, self.sums, self.links = [], {}, 0
+
+        def handle_starttag(self, tag, attrs):
+            self.stack.append(tag if not attrs or tag == "a" else f"{tag}.{attrs[0][1]}")
+
+        def handle_endtag(self, tag):
+            self.stack.pop()
+
+        def handle_data(self, data):
+            path = tuple(x for x in self.stack if x != "a")
+            s = self.sums.setdefault(path, [0, 0, 0, 0])
+            said = data.strip()
+            for k, v in enumerate((len(said), sum(said.count(c) for c in ".,;:!?"), len(said) if "a" in self.stack else 0, 1)):
+                s[k] += v
+
+    def element(depth):
+        tag = r.choice(["div", "section", "div class=x", "div class=y"])
+        inner = "".join(element(depth - 1) if depth and r.random() < 0.6 else leaf() for _ in range(r.randint(1, 4)))
+        return f"<{tag}>{inner}</{tag.split()[0]}>"
+
+    def leaf():
+        said = " ".join(r.choice(["word", "more,", "end."]) for _ in range(r.randint(1, 12)))
+        return f"<p>{said}</p>" if r.random() < 0.7 else f"<p><a href=/>{said}</a></p>"
+
+    for _ in range(40):
+        page = f"<body>{element(4)}</body>"
+        twin = Twin()
+        twin.feed(page)
+        tree, found = H.blocks(page)
+        names = tree.names()
+        assert {names[p]: s for p, s in H.path_sums(found).items()} == twin.sums
+
+
+def test_broken_and_deep_pages_take_linear_time():
+    import time
+
+    for what in ("<a " * 350_000, "<div>x" * 50_000, '<a "' * 250_000, "<b>" * 50_000 + "</i>" * 50_000, "<!" * 500_000, "<li>" * 50_000):
+        start = time.time()
+        H.main_text(what)
+        assert time.time() - start < 4, what[:10]
+
+
+def test_extract_ties_repeats_and_no_ids(spark):
+    page = f"<div class=a><p>{LONG}</p></div><div class=b><p>{LONG}</p></div>"
+    rows = [(None, None, page), (3, "u", page), (3, "u", page), (4, "u", "<p>" + "word, " * 200_000 + "</p>")]
+    got = H.extract(pages(spark, rows)).collect()
+    texts = {x.text for x in got if x.page_id != 4}
+    assert len(got) == 4 and len(texts) == 1 and max(x.n_chars for x in got) == 1_199_999
