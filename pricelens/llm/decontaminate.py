@@ -7,13 +7,19 @@ joined with those of the items; at every hit the two word sequences are aligned
 of aligned words has a share of SIMILARITY or more in common.
 
 The benchmark side is broadcast in parts of at most PART_WORDS words (plus one item), one pass over the documents for
-each part, so that what is broadcast doesn't grow with the benchmark. Items of fewer than MIN_WORDS words are no evidence
-and are skipped. Null and empty texts have no words and
-give no rows. Repeated documents and items are each reported; hits of one pair give one row. Other columns are not read.
+each part; with more than one part, a pass is written to the shared folder before the next part is fetched, so that neither what
+is broadcast nor the driver's memory grows with the benchmark.
+
+Words are runs of letters and digits; in scripts that write without spaces each letter is a word. An item of fewer than five
+words must occur whole. overlaps() reports items of any length; remove_overlapping() drops no document for an item
+of fewer than EVIDENCE words, as clean texts hold such phrases too. Null and empty texts and items have no words and give
+no rows. Repeated documents and items are each reported, rows without an id too; hits of one pair of rows give one row, the stretch
+with the most equal words, the first one of equals. Texts of any length are searched whole. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 import numpy as np
@@ -22,13 +28,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, map_batches
+from .common import batches, cut, map_batches
 
 STRETCH = 13
 SIMILARITY = 0.8
-MIN_WORDS = 5
+#: Words of an item, at least, for which a document goes.
+EVIDENCE = 5
+#: Hits that are looked at at once.
+HITS = 1 << 20
 PART_WORDS = 1_000_000
 FILTER_BITS = 24
+#: Thai, Lao, Burmese, Khmer, kana and Chinese characters.
+_NO_SPACES = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
 _BREAK = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("n_same", pa.int64())])
 
@@ -44,7 +55,10 @@ class _Words(dict):
 
 
 def _hashes(text: str | None, words: _Words) -> np.ndarray:
-    got = (text or "").lower().encode("utf-8", "surrogatepass").translate(_BREAK).split()
+    low = (text or "").lower()
+    if not low.isascii() and _NO_SPACES.search(low):
+        low = _NO_SPACES.sub(r" \1 ", low)
+    got = low.encode("utf-8", "surrogatepass").translate(_BREAK).split()
     return np.fromiter(map(words.__getitem__, got), np.uint64, len(got))
 
 
@@ -95,9 +109,9 @@ class _Seeds(dict):
 class Index:
     """Seeds of a part of the benchmark, sorted, behind a bit table that drops most other hashes."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int, str | None]], least_words: int = 1):
         words = _Words()
-        self.items = [(i, h) for i, t in items if len(h := _hashes(t, words)) >= MIN_WORDS]
+        self.items = [(i, h) for i, t in items if len(h := _hashes(t, words)) >= least_words]
         #: (mask, words that it spans, salt), for each length of stretch that the items ask for.
         spans = sorted({min(len(h), STRETCH) for _, h in self.items})
         self.masks = [(m, n, 100 * n + k) for n in spans for k, m in enumerate(masks(n))]
@@ -120,7 +134,7 @@ class Index:
 
     def search(self, h: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item_id, first word, words, equal words) of the best stretch for each item that the word hashes h overlap."""
-        diagonals: set[tuple[int, int]] = set()
+        found: list[np.ndarray] = []
         runs = _Seeds(h)
         for mask, span, salt in self.masks:
             s = runs.of(mask, span, salt)
@@ -128,11 +142,22 @@ class Index:
             if not len(at):
                 continue
             lo, hi = np.searchsorted(self.seed, s[at], "left"), np.searchsorted(self.seed, s[at], "right")
-            for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                diagonals.update((k, p - q) for k, q in zip(self.owner[a:b].tolist(), self.place[a:b].tolist(), strict=True))
+            hit = np.flatnonzero(hi > lo)
+            at, lo, n = at[hit], lo[hit], (hi - lo)[hit]
+            ends = np.cumsum(n)
+            first = 0
+            while first < len(n):  # positions that make HITS pairs, or one
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + HITS, "right")))
+                own = n[first:last]
+                which = np.repeat(lo[first:last] - np.cumsum(own) + own, own) + np.arange(own.sum())
+                shift = np.repeat(at[first:last], own) - self.place[which]
+                found.append(np.unique(self.owner[which].astype(np.int64) << 40 | (shift + (1 << 39))))
+                first = last
+        diagonals = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
         best: dict[int, tuple[int, int, int]] = {}
-        for k, shift in sorted(diagonals):
-            item_id, w = self.items[k]
+        for code in diagonals.tolist():
+            k, shift = code >> 40, (code & ((1 << 40) - 1)) - (1 << 39)
+            w = self.items[k][1]
             lo, hi = max(0, shift), min(len(h), shift + len(w))
             need = min(STRETCH, len(w))
             if hi - lo < need:
@@ -143,9 +168,9 @@ class Index:
                 good = np.flatnonzero(got >= SIMILARITY * need)
                 first, last = int(good[0]), int(good[-1]) + need
                 one = (lo + first, last - first, int(run[last] - run[first]))
-                if item_id not in best or (one[2], -one[0]) > (best[item_id][2], -best[item_id][0]):
-                    best[item_id] = one
-        return [(i, *x) for i, x in best.items()]
+                if k not in best or (one[2], -one[0]) > (best[k][2], -best[k][0]):
+                    best[k] = one
+        return [(self.items[k][0], *x) for k, x in best.items()]
 
 
 def _parts(benchmark: DataFrame) -> list[DataFrame]:
@@ -154,13 +179,19 @@ def _parts(benchmark: DataFrame) -> list[DataFrame]:
     return [benchmark] if n == 1 else [benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
+def _indexes(benchmark: DataFrame, least_words: int):
+    """Broadcast indexes of the parts, one at a time, and whether another one follows."""
+    parts = _parts(benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null"))
+    for k, part in enumerate(parts):
+        index = Index([(r.item_id, r.text) for r in part.collect()], least_words)
+        yield benchmark.sparkSession.sparkContext.broadcast(index), k + 1 < len(parts)
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, n_same) of every document and benchmark item that overlap."""
-    spark, out = docs.sparkSession, None
+    out, several = None, False
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null")
-    for part in _parts(items):
-        shared = spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in part.collect()]))
+    for shared, more in _indexes(benchmark, 1):
 
         def run(it, shared=shared):
             words = _Words()
@@ -171,11 +202,27 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield from batches({f.name: [x[k] for x in found] for k, f in enumerate(_OUT)}, _OUT)
 
         got = map_batches(rows, run, "doc_id long, item_id long, start_word long, n_words long, n_same long")
+        several |= more
+        if several:
+            got = cut(got, "overlaps")
+            shared.destroy()
         out = got if out is None else out.union(got)
     return out
 
 
 def remove_overlapping(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that overlap no benchmark item."""
-    hit = overlaps(docs, benchmark).select("doc_id").distinct()
-    return docs.join(hit, docs.doc_id == hit.doc_id, "left_anti").select(*docs.columns)
+    """The documents that overlap no benchmark item of EVIDENCE words or more."""
+    several = False
+    for shared, more in _indexes(benchmark, EVIDENCE):
+
+        def run(it, shared=shared):
+            words = _Words()
+            for batch in it:
+                yield batch.filter(pa.array([not shared.value.search(_hashes(t.as_py(), words)) for t in batch.column("text")], pa.bool_()))
+
+        docs = map_batches(docs, run, docs.schema)
+        several |= more
+        if several:
+            docs = cut(docs, "overlaps")
+            shared.destroy()
+    return docs
