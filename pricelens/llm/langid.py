@@ -4,19 +4,19 @@ For every language a suffix automaton is built over a bounded sample of labelled
 into the longest substrings that occur in that sample; the number of phrases, normalised by the text's length and the
 sample's size (phrases * log2(sample) / letters), estimates its cross entropy, and the lowest one wins.
 
-The parse of a text is cut into segments of SEGMENT characters (a phrase doesn't cross a cut), so that thousands of
-segments advance together through dense transition tables. Letters are compared without case; what stands between
-letters counts as one space.
+Texts are parsed in segments of SEGMENT letters, so that thousands of them advance together through a transition table. What a
+segment's parse would have been with the phrase that is open at its start is worked out afterwards: it is run again from that
+phrase until both runs stand in the same state, which they soon do. So the number of phrases is that of the uncut text.
+Letters are compared without case; what stands between letters counts as one space.
 
-Fitting uses at most SAMPLE_DOCS documents of EXCERPT letters a language, and the ALPHABET most frequent letters; that
-is its documented bound. Prediction reads every character of every text. A null text, an empty one and one without a letter
+Fitting uses at most SAMPLE_DOCS whole documents a language, of at most LETTERS characters where there are such, or else the
+shortest ones; that is its documented bound. Prediction reads every character of every text. A null text, an empty one and one without a letter
 give ``und`` and score 0; equal costs go to the language that sorts first; repeated rows are predicted alike; where no
 labelled row can be learned from, all rows give ``und``. Only doc_id, text and lang are read, whatever other columns exist.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
@@ -27,10 +27,13 @@ from pyspark.sql import functions as F
 from .common import batches, map_batches
 
 SAMPLE_DOCS = 64
-EXCERPT = 512
-ALPHABET = 250
+LETTERS = 1024
 SEGMENT = 1024
 CHUNK = 1 << 21
+#: Parses that are run one by one, not together.
+FEW = 24
+#: Entries of a transition table up to which it is kept dense.
+DENSE = 1 << 24
 UNKNOWN, PAD, SPACE = 0, 1, 2
 _OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
@@ -65,39 +68,81 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return step
 
 
-def dense(step: list[dict[int, int]], width: int) -> np.ndarray:
-    """Table at [state * width + code]: the next state's row start, times four, plus the phrases that end.
+class Table:
+    """Steps of a greedy parse: state and letter give the next state and the phrases that end. State 0 is the root.
 
     A letter that the sample lacks is a phrase of its own, and ends the one before it.
     """
-    root = np.full(width, 2, np.int32)
-    for c, q in step[0].items():
-        root[c] = q * width * 4 + 1
-    table = np.tile(root, (len(step), 1))
-    table[0][root == 2] = 1
-    for s, row in enumerate(step):
-        for c, q in row.items():
-            table[s, c] = q * width * 4
-    table[:, PAD] = np.arange(len(step), dtype=np.int32) * width * 4
-    return table.ravel()
+
+    def __init__(self, step: list[dict[int, int]], width: int, dense: bool):
+        self.width = width if dense else 1
+        self.root = np.full(width, 2, np.int64)  # from any state without a transition
+        for c, q in step[0].items():
+            self.root[c] = q * self.width * 4 + 1
+        if dense:
+            table = np.tile(self.root.astype(np.int32), (len(step), 1))
+            table[0][self.root == 2] = 1
+            for s, row in enumerate(step):
+                for c, q in row.items():
+                    table[s, c] = q * width * 4
+            table[:, PAD] = np.arange(len(step), dtype=np.int32) * width * 4
+            self.table, self.keys = table.ravel(), None
+        else:
+            keys = sorted((s * width + c, q * 4) for s, row in enumerate(step) for c, q in row.items())
+            self.keys, self.table = np.array([k for k, _ in keys], np.int64), np.array([v for _, v in keys], np.int64)
+            self.letters = width
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, phrases that end)."""
+        if self.keys is None:
+            v = self.table[state + code]
+        else:
+            key = state.astype(np.int64) * self.letters + code
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            v = np.where(self.keys[at] == key, self.table[at], self.root[code])
+            v = np.where((state == 0) & (v == 2), 1, v)
+            v = np.where(code == PAD, state.astype(np.int64) * 4, v)
+        return (v >> 2).astype(np.int32), v & 3
+
+
+    def alone(self, state: int, codes: list[int], until: list[int]) -> tuple[int, int, int | None]:
+        """One parse: (phrases that end, last state, the place at which it first stands in the state that until has there)."""
+        ended, table, dense = 0, memoryview(self.table), self.keys is None
+        for i, (code, other) in enumerate(zip(codes, until, strict=True)):
+            if dense:
+                v = table[state + code]
+            else:
+                after, more = self.step(np.array([state]), np.array([code]))
+                v = int(after[0]) << 2 | int(more[0])
+            ended += v & 3
+            state = v >> 2
+            if state == other:
+                return ended, state, i
+        return ended, state, None
 
 
 class Model:
-    """Automata by language over one alphabet."""
+    """Automata by language."""
 
     def __init__(self, samples: dict[str, list[str]]):
-        seen = Counter(ch for texts in samples.values() for t in texts for ch in t.lower() if ch.isalpha())
-        letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]]
+        letters = sorted({ch.lower()[0] for texts in samples.values() for t in texts for ch in t if ch.isalpha()})
         self.codes = {c: i + 3 for i, c in enumerate(letters)}
-        self.width = len(letters) + 3
         self.langs = sorted(samples)
         self._lookup = None
-        self.tables, self.bits = [], []
+        self.tables: list[Table] = []
+        self.own: list[np.ndarray] = []  # codes of a language's own letters by code
+        self.bits: list[float] = []
         for lang in self.langs:
             train: list[int] = []
             for t in samples[lang]:
-                train += [*self.encode(t)[: EXCERPT + 1].tolist(), PAD]
-            self.tables.append(dense(suffix_automaton(train), self.width))
+                train += [*self.encode(t).tolist(), PAD]
+            used = sorted(set(train) - {UNKNOWN, PAD, SPACE})
+            own = np.full(len(letters) + 3, UNKNOWN, np.uint16)
+            own[[PAD, SPACE, *used]] = [PAD, SPACE, *range(3, len(used) + 3)]
+            step = suffix_automaton(own[train].tolist())
+            width = len(used) + 3
+            self.own.append(own)
+            self.tables.append(Table(step, width, len(step) * width <= DENSE))
             self.bits.append(np.log2(max(2, len(train))))
 
     def __getstate__(self):
@@ -106,7 +151,7 @@ class Model:
     @property
     def lookup(self) -> np.ndarray:
         if self._lookup is None:
-            self._lookup = np.full(0x110000, SPACE, np.uint8)
+            self._lookup = np.full(0x110000, SPACE, np.uint16)
             for i in range(0x110000):
                 ch = chr(i)
                 if ch.isalpha():
@@ -125,7 +170,7 @@ class Model:
         """Phrase counts by language and text."""
         n_seg = np.array([-(-len(t) // SEGMENT) for t in texts], np.int64)
         owner = np.repeat(np.arange(len(texts)), n_seg)
-        lanes = np.full((len(owner), SEGMENT), PAD, np.uint8)
+        lanes = np.full((len(owner), SEGMENT), PAD, np.uint16)
         ends, at = np.empty(len(owner), np.int64), 0
         for t in texts:
             for i in range(0, len(t), SEGMENT):
@@ -134,20 +179,75 @@ class Model:
                 ends[at] = len(part)
                 at += 1
         order = np.argsort(-ends, kind="stable")
-        lanes, owner, ends = np.ascontiguousarray(lanes[order].T), owner[order], ends[order]
+        place = np.empty(len(order), np.int64)  # the lane of each segment
+        place[order] = np.arange(len(order))
+        follows = np.flatnonzero(owner[1:] == owner[:-1]) + 1  # segments that go on with a text
+        lanes, ends = np.ascontiguousarray(lanes[order].T), ends[order]
         live = np.searchsorted(-ends, -np.arange(SEGMENT), "left")  # lanes longer than i
+        states, counts = np.zeros((SEGMENT, len(owner)), np.int32), np.zeros((SEGMENT, len(owner)), np.int32)
         out = np.zeros((len(self.langs), len(texts)))
-        for k, table in enumerate(self.tables):
+        for k, (table, own) in enumerate(zip(self.tables, self.own, strict=True)):
+            codes = own[lanes]
             state, count = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int32)
             for i in range(SEGMENT):
                 if not (n := live[i]):
                     break
-                v = table[state[:n] + lanes[i, :n]]
-                count[:n] += v & 3
-                state[:n] = v >> 2
-            out[k] = np.bincount(owner, count + 1, minlength=len(texts))
+                state[:n], more = table.step(state[:n], codes[i, :n])
+                count[:n] += more
+                states[i, :n], counts[i, :n] = state[:n], count[:n]
+            whole = self._joined(table, codes, ends, place, follows, state, count, states, counts)
+            open_at_end = np.zeros(len(texts), bool)
+            last = np.cumsum(n_seg) - 1
+            some = n_seg > 0
+            open_at_end[some] = state[place[last[some]]] != 0
+            out[k] = np.bincount(owner, whole[place], minlength=len(texts)) + open_at_end
         return out
 
+    @staticmethod
+    def _joined(table, codes, ends, place, follows, state, count, states, counts) -> np.ndarray:
+        """The counts of all lanes if segments that go on with a text start in the state in which the one before ends.
+
+        state becomes the state at the end of each lane then.
+        """
+        whole, recorded, next_ones = count.copy(), state.copy(), set(follows.tolist())
+        todo = follows
+        while len(todo):
+            lane, now = place[todo], state[place[todo - 1]].copy()
+            seen, end = np.zeros(len(todo), np.int64), recorded[lane]
+            whole[lane] = count[lane]
+            active = np.flatnonzero(now != 0)  # from the root there is nothing to mend
+            for i in range(SEGMENT + 1):
+                if len(active) <= FEW:
+                    break
+                if i:
+                    met = now[active] == states[i - 1, lane[active]]
+                    done = active[met]
+                    whole[lane[done]] += seen[done] - counts[i - 1, lane[done]]
+                    active = active[~met]
+                over = active[ends[lane[active]] <= i]  # another phrase up to the segment's end
+                whole[lane[over]], end[over] = seen[over], now[over]
+                active = active[ends[lane[active]] > i]
+                if not len(active):
+                    break
+                now[active], more = table.step(now[active], codes[i, lane[active]])
+                seen[active] += more
+            for j in active.tolist():  # the last ones go on alone
+                k = lane[j]
+                n, at, begun = int(ends[k]), int(now[j]), max(0, i - 1)
+                met = begun if i and at == states[begun, k] else None
+                if met is None:
+                    more, at, met = table.alone(at, codes[i:n, k].tolist(), states[i:n, k].tolist())
+                    seen[j] += more
+                    met = None if met is None else i + met
+                if met is None:
+                    whole[k], end[j] = seen[j], at
+                else:
+                    whole[k] += seen[j] - counts[met, k]
+            changed = end != state[lane]
+            state[lane] = end
+            todo = np.array(sorted(next_ones & set((todo[changed] + 1).tolist())), np.int64)
+        return whole
+
     def predict(self, texts: Iterable[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = []
         part: list[np.ndarray] = []
@@ -183,23 +283,21 @@ def fit(docs: DataFrame) -> Model | None:
     """A model of the labelled documents outside the held-out fold; None if there are none.
 
     The sample takes, of each language and each of SAMPLE_DOCS slots that a hash of doc_id gives, the document with the
-    lowest hash: one pass over ids, then the chosen texts.
+    lowest hash among those of at most LETTERS characters, or else the shortest: one pass over ids, then the chosen texts.
     """
     h = F.xxhash64("doc_id")
+    long = F.greatest(F.length("text") - LETTERS, F.lit(0))
     pick = (
-        docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-        .select("lang", F.col("doc_id").cast("long"), h.alias("h"), F.pmod(h, F.lit(SAMPLE_DOCS)).alias("slot"))
+        docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
+        .select("lang", F.col("doc_id").cast("long"), long.alias("long"), h.alias("h"), F.pmod(h, F.lit(SAMPLE_DOCS)).alias("slot"))
         .groupBy("lang", "slot")
-        .agg(F.min(F.struct("h", "doc_id")).alias("m"))
-        .select(F.col("m.doc_id").alias("doc_id"))
-    )
-    chosen = [r.doc_id for r in pick.collect()]  # SAMPLE_DOCS a language at most
-    rows = (
-        docs.where(F.col("doc_id").isin(chosen) & F.col("lang").isNotNull() & ~held_out())
-        .select("doc_id", "lang", F.substring("text", 1, 4 * EXCERPT).alias("text"))
-        .distinct()
-        .collect()
+        .agg(F.min(F.struct("long", "h", "doc_id")).alias("m"))
+        .select("lang", "m.doc_id", "m.long")
     )
+    all_picked = pick.collect()  # SAMPLE_DOCS a language at most
+    short = {r.lang for r in all_picked if not r.long}
+    chosen = sorted({r.doc_id for r in all_picked if not r.long or r.lang not in short})
+    rows = docs.where(F.col("doc_id").isin(chosen) & F.col("lang").isNotNull() & ~held_out()).select("doc_id", "lang", "text").distinct().collect()
     samples: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.text)):
         if any(ch.isalpha() for ch in r.text):

@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import pytest
+
 from pricelens.llm import langid as M
 
 TEXT = {"en": "the of and ing tion ther here with that", "de": "der und ung heit lich schön über nicht die", "fr": "le la des eau eux ment tion être où qui"}
@@ -10,10 +12,10 @@ def text(r, lang, n):
     return " ".join("".join(r.choice(TEXT[lang].split()) for _ in range(r.randint(1, 3))) for _ in range(n))
 
 
-def brute_phrases(codes, train):
+def brute_phrases(text, samples):
     """Greedy parse by substring search."""
-    joined = "\0".join("".join(map(chr, t)) for t in train)
-    s, n, i = "".join(map(chr, codes)), 0, 0
+    norm = lambda t: " ".join("".join(c.lower()[0] if c.isalpha() else " " for c in t).split())
+    joined, s, n, i = "\0".join(map(norm, samples)), norm(text), 0, 0
     while i < len(s):
         j = i + 1
         while j <= len(s) and s[i:j] in joined:
@@ -22,18 +24,20 @@ def brute_phrases(codes, train):
     return n
 
 
-def test_phrases_equal_brute_force():
+@pytest.mark.parametrize("segment", [1024, 50, 7, 1])
+@pytest.mark.parametrize("dense", [1 << 24, 0])
+@pytest.mark.parametrize("few", [24, 0])
+def test_phrases_equal_brute_force(monkeypatch, segment, dense, few):
+    """Whatever the segments, a phrase may cross their ends; texts that repeat a sample are one long phrase."""
+    monkeypatch.setattr(M, "SEGMENT", segment)
+    monkeypatch.setattr(M, "DENSE", dense)
+    monkeypatch.setattr(M, "FEW", few)
     r = random.Random(1)
-    samples = {k: [text(r, k, 30) for _ in range(3)] for k in TEXT}
+    samples = {k: [text(r, k, 30) for _ in range(3)] for k in TEXT} | {"zh": ["".join(chr(r.randint(0x4E00, 0x4F00)) for _ in range(300))]}
     m = M.Model(samples)
-    texts = [text(r, k, 40) for k in TEXT] + ["zzz ñ qqq", "a"]
-    codes = [m.encode(t) for t in texts]
-    got = m.phrases(codes)
-    for i, lang in enumerate(m.langs):
-        train = [(m.encode(t)[: M.EXCERPT + 1] + 3).tolist() for t in samples[lang]]
-        # codes unknown to the alphabet never match
-        want = [brute_phrases([c + 3 if c else 1 for c in x.tolist()], train) for x in codes]
-        assert all(w <= g <= w + 1 for g, w in zip(got[i], want, strict=True))
+    texts = [text(r, k, 40) for k in TEXT] + ["zzz ñ qqq", "a", "ñ", "", samples["de"][0], samples["de"][0] + " ñ " + samples["fr"][1] * 2, samples["zh"][0][50:200] + "好 der"]
+    got = m.phrases([m.encode(t) for t in texts])
+    assert [[int(x) for x in row] for row in got] == [[brute_phrases(t, samples[lang]) for t in texts] for lang in m.langs]
 
 
 def test_held_out_accuracy(docs):
@@ -62,3 +66,12 @@ def test_long_text_crosses_segments_and_recognised_keeps_columns(docs):
     kept = M.recognised(d)
     assert kept.columns == d.columns and sorted(x.doc_id for x in kept.collect()) == [0, 1, 3, 4, 5, 6]
     assert M.identify(docs([])).count() == 0
+
+
+def test_ties_repeats_and_long_labelled_texts(docs):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    same = docs(["abc abc"] * 6, ids=ids[:6], langs={ids[k]: "ba"[k % 2] for k in range(6)})
+    assert {(x.lang_pred, x.score) for x in M.identify(same).collect()} == {("a", 0.0)}
+    r = random.Random(5)
+    long = docs([text(r, "en", 3000), text(r, "de", 3000), text(r, "en", 30), text(r, "de", 30)], ids=ids[:4], langs={ids[0]: "en", ids[1]: "de", ids[2]: None, ids[3]: None})
+    assert {x.doc_id: x.lang_pred for x in M.identify(long.union(long)).collect()} == {ids[0]: "en", ids[1]: "de", ids[2]: "en", ids[3]: "de"}
