@@ -19,9 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where none is set (tests)."""
+    """The folder in spark.checkpoint.dir; one of this machine only where none is set and all tasks run here (tests).
+
+    What is written there isn't removed, as results are read from it later: empty the folder when a job's results are stored.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="pricelens-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -92,9 +97,9 @@ def partitions_for(spark: SparkSession) -> int:
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, component) for every node of edges (a long, b long); component is the smallest node that can be reached.
 
-    Alternates large-star and small-star rounds, which keep every hub's rows spread out by key and reach a fixed point in
-    a number of rounds that is logarithmic in the longest path. Each round's edges go to the shared folder. Rows with a
-    null end and self-loops are ignored.
+    Alternates large-star and small-star rounds, which reach a fixed point in a number of rounds that is logarithmic in the
+    longest path. A hub's edges meet the single row that holds the hub's least neighbour: a partition that a hub makes large is split by
+    the adaptive handling of skewed joins. Each round's edges go to the shared folder. Rows with a null end and self-loops are ignored.
     """
     edges = cut(edges.where("a is not null and b is not null and a <> b").distinct(), "cc")
 

@@ -6,7 +6,8 @@ bytes that no token id has. Counting reads each file in blocks, finds separators
 carries what lies across blocks by a prefix scan: tokens since the last separator and documents before, by running sums over
 the blocks of one task's files. A document's place among a task's documents leads back to its doc_id.
 
-A null or empty text has no tokens and counts zero. Repeated rows are counted each. Texts are encoded whole. An empty
+A null or empty text has no tokens and counts zero. Repeated rows are counted each, rows without an id too. Texts are encoded
+whole. If the files' documents and the table's rows don't agree in number in any part, the count fails. An empty
 table gives no rows. Only doc_id and text are read.
 """
 
@@ -99,7 +100,7 @@ def blocks(spark: SparkSession, path: str) -> DataFrame:
 
 def document_lengths(found: DataFrame) -> DataFrame:
     """(part, place, n_tokens) of every document: its place among the documents of its part."""
-    order = Window.partitionBy("part").orderBy("file", "block")
+    order = Window.partitionBy("part").orderBy(F.regexp_extract("file", r"-c(\d+)\.", 1).cast("int"), "block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     count = F.size("ends")
     # documents before a block, and tokens from the last separator before it up to the block
@@ -121,4 +122,6 @@ def count(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     lengths = document_lengths(blocks(docs.sparkSession, path))
     n = F.monotonically_increasing_id()
     places = docs.select(F.col("doc_id").cast("long"), F.shiftright(n, 33).alias("part"), n.bitwiseAND((1 << 33) - 1).alias("place"))
-    return places.join(lengths, ["part", "place"], "left").select("doc_id", "n_tokens")
+    both = places.withColumn("known", F.lit(True)).join(lengths, ["part", "place"], "full")
+    agrees = F.col("known").isNotNull() & F.col("n_tokens").isNotNull()
+    return both.select("doc_id", F.when(agrees, F.col("n_tokens")).otherwise(F.raise_error(F.lit("token files and table differ")).cast("long")).alias("n_tokens"))

@@ -9,8 +9,10 @@ carries the digest of the payload up to there, and the last one has the record's
 rows: a line up to a line feed is the unit that is held, so a record is not held as a whole unless it is a single line; memory
 isn't bounded for a very long one (minified html). Lengths come from the headers, so payloads may hold any bytes, line breaks and header-like lines included.
 
+A response's digest is the one worked out from its chunks, a revisit's the one that its record says.
+
 A null html is an empty payload, a null url leaves out its header; empty payloads are equal payloads too. Of rows that repeat
-the largest page_id each is a response. An empty table gives no records. Only page_id, url and html are read.
+the largest page_id each is a response; rows without page_id come back without one, as revisits if another row with their payload has one. An empty table gives no records. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 CHUNK = 1 << 20
 #: Rows of one payload are dealt over so many keys when the response's id is looked up.
 SALTS = 32
@@ -157,7 +161,8 @@ def read_chunks(spark: SparkSession, path: str, data: bool = True) -> DataFrame:
         yield out()
 
     lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line"))
-    return lines.mapInArrow(
+    return map_batches(
+        lines,
         run,
         "record_id string, chunk long, n_bytes long, total_bytes long, digest string, last boolean, type string, refers_to string, said_digest string, said_bytes long, data binary",
     )
@@ -169,7 +174,7 @@ def summary(chunks: DataFrame) -> DataFrame:
     return chunks.where("last").select(
         F.col("record_id").try_cast("long").alias("page_id"),
         F.when(full, F.col("total_bytes")).otherwise(F.col("said_bytes")).alias("payload_bytes"),
-        F.col("said_digest").alias("payload_digest"),
+        F.when(full, F.col("digest")).otherwise(F.col("said_digest")).alias("payload_digest"),
         F.col("type").alias("record_type"),
         F.col("refers_to").try_cast("long").alias("refers_to"),
         (~full | (F.col("digest") == F.col("said_digest"))).alias("digest_ok"),

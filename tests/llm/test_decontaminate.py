@@ -107,10 +107,13 @@ def test_scripts_without_spaces_and_short_items(spark, docs):
 
 
 def test_seeds_that_are_frequent_on_both_sides(spark, docs, monkeypatch):
-    monkeypatch.setattr(M, "HITS", 500)
     items, texts = ["a " * 60, "a b " * 30], ["a " * 3000, "b a " * 500, "c " * 40 + "a " * 12]
     got = {x.doc_id * 10 + x.item_id: (x.start_word, x.n_words, x.n_same) for x in M.overlaps(docs(texts), bench(spark, items)).collect()}
     assert {(k // 10, k % 10) for k in got} == brute(texts, items) and got[0] == (0, 60, 60)
+    index, words_of = M.Index(list(enumerate(items))), M._Words()
+    whole = [sorted(index.search(M._hashes(t, words_of))) for t in texts]
+    monkeypatch.setattr(M, "HITS", 500)
+    assert whole == [sorted(index.search(M._hashes(t, words_of))) for t in texts]
 
 
 def test_ties_repeats_and_rows_without_ids(spark, docs):

@@ -59,6 +59,16 @@ def test_warc_empty_table_and_repeated_rows(spark, tmp_path):
     assert got == [(0, "revisit"), (1, "response"), (1, "response")]
 
 
+def test_warc_rows_without_an_id_and_a_long_payload(spark, tmp_path):
+    long = "x" * 1_500_000 + "\n" + "é" * 400_000
+    W.write(pages(spark, [(None, "u", "a"), (1, "u", "a"), (2, None, long)]), str(tmp_path / "w"))
+    chunks = W.read_chunks(spark, str(tmp_path / "w"))
+    got = {str(x.page_id): x for x in W.summary(chunks).collect()}
+    assert got["None"].record_type == "revisit" and got["None"].refers_to == 1 and got["1"].record_type == "response"
+    assert got["2"].payload_bytes == 2_300_001 and got["2"].payload_digest == base64.b32encode(hashlib.sha1(long.encode()).digest()).decode()
+    assert [x.n_bytes for x in chunks.where("record_id = '2'").orderBy("chunk").collect()] == [W.CHUNK, W.CHUNK, 2_300_001 - 2 * W.CHUNK]
+
+
 def test_article_text():
     page = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var x="</p>";</script></head><body class="has-sidebar">
     <nav><ul><li><a href=#>Menu</a></li></ul></nav><div class="ad">Buy this now, it is very good.</div><!-- <p>hidden</p> -->

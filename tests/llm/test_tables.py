@@ -77,6 +77,22 @@ def test_license_plan_is_native(spark, docs):
 RANKS = {bytes([i]): i for i in range(256)}
 
 
+def test_token_files_that_differ_from_the_table_are_an_error(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(i, "a b") for i in range(50)], "doc_id long, text string")
+    rows.repartition(2).write.parquet(str(tmp_path / "d"))
+    d = spark.read.parquet(str(tmp_path / "d"))
+    monkeypatch.setattr(K, "write", lambda docs, ranks, path, write=K.write: write(docs.where("doc_id <> 7"), ranks, path))
+    with pytest.raises(Exception, match="token files and table differ"):
+        K.count(d, RANKS).collect()
+
+
+def test_files_of_a_task_are_taken_in_order(spark):
+    rows = [(0, f"part-00000-u-c{k:03d}.txt", 0, 2, [k % 2]) for k in range(1100)]
+    found = spark.createDataFrame(rows, "part long, file string, block long, n_tokens long, ends array<int>")
+    got = {x.place: x.n_tokens for x in K.document_lengths(found).collect()}
+    assert got == {k: 0 if k == 0 else 2 if k % 2 else 0 for k in range(1100)}
+
+
 def test_token_counts(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(K, "ROW", 50)
     monkeypatch.setattr(K, "BLOCK", 7)
@@ -134,14 +150,23 @@ def test_recall_of_the_trees_at_the_threshold(depth):
     assert (met & enough).mean() >= 0.95
 
 
+def test_blocks_of_a_tile(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.standard_normal((30, 16)), 8, 0) + 0.1 * rng.standard_normal((240, 16))
+    side = V.Side([(i, 1, 0.0, v.tobytes()) for i, v in enumerate(x)], False)
+    pairs = lambda: {(int(a), int(b)) for i, j in V._single_pairs(V.Trees(16, 0, 0.9), 0, side, side, 0.9) for a, b in zip(i, j, strict=True)}
+    whole = pairs()
+    monkeypatch.setattr(V, "BLOCK", 17)
+    monkeypatch.setattr(V, "PAIRS", 5)
+    assert pairs() == whole and len(whole) > 400 and all(a < b for a, b in whole)
+
+
 def test_vector_links_in_deep_trees(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((40, 8))
     x = [list(map(float, b + 0.12 * rng.standard_normal(8))) for b in base for _ in range(12)]
     monkeypatch.setattr(V, "CELL", 12)
     monkeypatch.setattr(V, "TILE", 32)
-    monkeypatch.setattr(V, "BLOCK", 10)
-    monkeypatch.setattr(V, "PAIRS", 50)
     want, got = brute_links(x), links_of(table_of(spark, x))
     assert set(got) == set(want) and all(got[i][0] <= want[i][0] for i in want)
     total = sum(n for n, _ in want.values())
