@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geo import cell, cells_around, haversine
-from ..sources.tables import cents
-from .offers import mean_cents
+from ..sources.tables import cents, small, union_all
 
 MIN_SCORE = 55.0
+#: Sends a week and user by kind of trigger.
+WEEKLY = {"new_deals": 2, "drop": 1}
 SEGMENT_SCORE = {"power": 45.0, "regular": 55.0, "casual": 70.0}
 CATEGORIES = ["produce", "dairy", "meat", "bakery", "frozen", "snacks", "beverages", "pantry", "household"]
 
@@ -34,7 +35,8 @@ def blend(deal: Column, relevant: Column) -> Column:
 
 def quiet(as_of: Column, zone: Column, start: Column, end: Column) -> Column:
     """Whether the user's hour lies in [start, end), past midnight where start is larger; unknown zones count as UTC."""
-    good = zone.rlike(r"^([A-Z][A-Za-z_]+/[A-Za-z_/]+|UTC)$")
+    # a time of day in a zone that doesn't exist can't be read
+    good = zone.rlike(r"^([A-Z][A-Za-z_]+/[A-Za-z_/]+|UTC)$") & F.try_to_timestamp(F.concat(F.lit("2024-01-01 12:00:00 "), zone)).isNotNull()
     hour = F.hour(F.from_utc_timestamp(as_of, F.when(good, zone).otherwise(F.lit("UTC"))))
     return F.when(start == end, F.lit(False)).when(start < end, (hour >= start) & (hour < end)).otherwise((hour >= start) | (hour < end))
 
@@ -70,33 +72,62 @@ def candidate_pairs(deals: DataFrame, users: DataFrame, zips: DataFrame) -> Data
 
 
 def decide(pairs: DataFrame, sent: DataFrame, as_of: str) -> DataFrame:
-    """Rows (user_id, product, retailer, segment, score, is_quiet) with blocked_reason, the first gate that stops them, or none.
+    """Rows (user_id, product, retailer, trigger_type, segment, score, is_quiet) with blocked_reason, the first gate that stops them, or none.
 
-    Gates: quiet hours; the same (user, product, retailer) in seven days; the retailer's weekly cap; the score; the segment's score.
+    Gates: quiet hours; the same (user, product, retailer) in seven days; the daily cap; the retailer's weekly cap; the weekly caps of the
+    kinds of triggers (WEEKLY); the score; the segment's score.
     """
     now = F.to_timestamp(F.lit(as_of))
     week = sent.where((F.col("sent_at") > now - F.expr("INTERVAL 7 DAYS")) & (F.col("sent_at") <= now))
     seen = week.select("user_id", "product", "retailer").distinct().withColumn("_seen", F.lit(True))
     shop = week.groupBy("user_id", "retailer").agg(F.count("*").alias("_shop"))
     day = week.where(F.col("sent_at") > now - F.expr("INTERVAL 1 DAY")).groupBy("user_id").agg(F.count("*").alias("_day"))
+    kinds = [week.where(F.col("trigger_type") == k).groupBy("user_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= most).select("user_id", F.lit(k).alias("trigger_type")) for k, most in WEEKLY.items()]
+    full = union_all(kinds).withColumn("_full", F.lit(True))
+    pairs = pairs.join(full, ["user_id", "trigger_type"], "left")
     d = pairs.join(seen, ["user_id", "product", "retailer"], "left").join(shop, ["user_id", "retailer"], "left").join(day, "user_id", "left")
     need = F.create_map(*[F.lit(x) for kv in SEGMENT_SCORE.items() for x in kv])
     why = (
         F.when(F.col("is_quiet"), "quiet_hours").when(F.col("_seen"), "duplicate").when(F.col("_day") >= 3, "daily_cap").when(F.col("_shop") >= 1, "retailer_cap")
-        .when(F.col("score") < MIN_SCORE, "low_score").when(F.col("score") < F.try_element_at(need, F.col("segment")), "segment_score").otherwise("none")
+        .when(F.col("_full"), F.concat("trigger_type", F.lit("_cap"))).when(F.col("score") < MIN_SCORE, "low_score").when(F.col("score") < F.try_element_at(need, F.col("segment")), "segment_score").otherwise("none")
     )
-    return d.withColumn("blocked_reason", why).drop("_seen", "_shop", "_day")
+    return d.withColumn("blocked_reason", why).drop("_seen", "_shop", "_day", "_full")
 
 
 def capped(decisions: DataFrame, per_day: int = 3) -> DataFrame:
-    """Of what passes all gates: one for each user and retailer, then the best few of each user."""
+    """Of what passes all gates: one for each user and retailer, the weekly caps by kind, then the best few of each user."""
     d = decisions.where("blocked_reason = 'none'")
-    n = F.row_number().over(Window.partitionBy("user_id", "retailer").orderBy(F.desc("score"), "product"))
+    n = F.row_number().over(Window.partitionBy("user_id", "retailer").orderBy(F.desc("score"), "product", "trigger_type"))
     d = d.withColumn("_n", n).where("_n = 1")
+    most = F.create_map(*[F.lit(x) for kv in WEEKLY.items() for x in kv])
+    n = F.row_number().over(Window.partitionBy("user_id", "trigger_type").orderBy(F.desc("score"), "retailer", "product"))
+    d = d.withColumn("_n", n).where(F.col("_n") <= F.coalesce(F.try_element_at(most, F.col("trigger_type")), F.lit(per_day)))
     n = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "retailer", "product"))
     return d.withColumn("rank", n).where(F.col("rank") <= per_day).drop("_n")
 
 
+def trigger_run(drops: DataFrame, users: DataFrame, zips: DataFrame, sent: DataFrame, as_of: str) -> DataFrame:
+    """Decisions of all pairs of price drops (product, retailer, category, drop_pct, zip_code) and users near them."""
+    u = profiles(users)
+    pairs = candidate_pairs(drops, u, zips)
+    none = F.array().cast("array<string>")
+    liking = relevance(F.col("category"), F.col("category_prefs"), F.col("product"), none, F.lit(None).cast("string"), none)
+    score = blend(deal_score(F.col("drop_pct"), F.col("drop_pct"), F.lit(1)), liking)
+    zone = F.col("time_zone") if "time_zone" in users.columns else F.lit("UTC")
+    still = quiet(F.to_timestamp(F.lit(as_of)), zone, F.col("quiet_start"), F.col("quiet_end"))
+    rows = pairs.select("user_id", "product", "retailer", "segment", F.lit("drop").alias("trigger_type"), score.alias("score"), still.alias("is_quiet"))
+    best = rows.groupBy("user_id", "product", "retailer", "segment", "trigger_type", "is_quiet").agg(F.max("score").alias("score"))
+    return decide(best, sent, as_of)
+
+
+def in_segments(users: DataFrame, segments: list[str]) -> DataFrame:
+    return users.where(F.col("segment").isin(segments))
+
+
+def of_triggers(rows: DataFrame, kinds: list[str]) -> DataFrame:
+    return rows.where(F.col("trigger_type").isin(kinds))
+
+
 def first_above(rows: DataFrame, threshold: float, cap: int, order: list[Column]) -> DataFrame:
     """By user: the first cap rows at or above the threshold, in processing order."""
     n = F.sum((F.col("score") >= threshold).cast("int")).over(Window.partitionBy("user_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
@@ -109,20 +140,22 @@ def message(product: Column, retailer: Column, price: Column, savings_pct: Colum
     return F.struct(title.alias("title"), F.format_string("Now $%.2f, %.0f%% below the usual price", price, savings_pct).alias("body"))
 
 
-def digest(products: DataFrame, users: DataFrame, k: int = 3, threshold: float = 30.0) -> DataFrame:
-    """By user: up to k products (canonical, category, best_retailer, savings_pct, n_retailers), one per retailer, best score first.
+def digest(products: DataFrame, users: DataFrame, zips: DataFrame, k: int = 3, threshold: float = 30.0) -> DataFrame:
+    """By user: up to k products (canonical, category, best_retailer, best_price, best_zip, savings_pct, n_retailers) near them, one per retailer, best score first.
 
-    products is the short list of the week's offers and joins users by category; a score is the deal's blended with the user's liking.
+    products is the short list of the week's offers; savings on produce and meat count less. A score is the deal's blended with the user's liking.
     """
-    liked = users.select("user_id", F.explode("category_prefs").alias("category")).distinct()
-    d = liked.join(products, "category")
-    s = blend(deal_score(F.col("savings_pct"), F.col("savings_pct"), F.col("n_retailers")), F.lit(60.0))
-    penalty = F.when(F.col("category").isin("produce", "meat"), 0.7).otherwise(1.0)
-    d = d.withColumn("score", cents(s * penalty)).where(F.col("score") >= threshold)
-    n = F.row_number().over(Window.partitionBy("user_id", "best_retailer").orderBy(F.desc("score"), "canonical"))
-    d = d.withColumn("_n", n).where("_n = 1")
+    near = candidate_pairs(products.withColumn("zip_code", F.col("best_zip")), profiles(users), zips)
+    none = F.array().cast("array<string>")
+    liking = relevance(F.col("category"), F.col("category_prefs"), F.col("canonical"), none, F.lit(None).cast("string"), none)
+    penalty = F.when(F.lower("category").isin("produce", "meat"), 0.7).otherwise(1.0)
+    d = near.withColumn("score", blend(deal_score(F.col("savings_pct") * penalty, F.lit(0.0), F.col("n_retailers")), liking)).where(F.col("score") >= threshold)
+    best = F.min_by(F.struct("canonical", "score", "best_price", "savings_pct"), F.struct(-F.col("score"), F.col("canonical")))
+    d = d.groupBy("user_id", "best_retailer").agg(best.alias("b")).select("user_id", "best_retailer", "b.*")
     n = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "canonical"))
-    return d.withColumn("rank", n).where(F.col("rank") <= k).select("user_id", "rank", "canonical", "best_retailer", "score")
+    text = message(F.col("canonical"), F.col("best_retailer"), F.col("best_price"), F.floor("savings_pct").cast("double"))
+    top = d.withColumn("rank", n).where(F.col("rank") <= k)
+    return top.select("user_id", "rank", "canonical", "best_retailer", "score", text["title"].alias("title"), text["body"].alias("body"))
 
 
 def eligible_devices(devices: DataFrame, flag: str) -> DataFrame:
@@ -130,22 +163,47 @@ def eligible_devices(devices: DataFrame, flag: str) -> DataFrame:
 
 
 def statistics(log: DataFrame) -> DataFrame:
-    """Totals by day, product, retailer, trigger and overall, in one pass: (level, value, n, users, low, high, mean)."""
+    """Totals by day, product, retailer, trigger, user and overall, in one pass: (level, value, n, users, low, high, mean, median).
+
+    Rows are counted by value and score first, which bounds what a level's median and distinct users need.
+    """
     d = log.select(F.to_date("sent_at").cast("string").alias("day"), "product", "retailer", "trigger_type", "user_id", "score")
-    dims = F.array(*[F.struct(F.lit(n).alias("level"), F.col(n).alias("value")) for n in ("day", "product", "retailer", "trigger_type")], F.struct(F.lit("all").alias("level"), F.lit("").alias("value")))
-    x = d.select("user_id", "score", F.explode(dims).alias("d")).groupBy("d.level", "d.value")
-    return x.agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.min("score").alias("low"), F.max("score").alias("high"), mean_cents(F.col("score")).alias("mean"))
+    dims = F.array(*[F.struct(F.lit(n).alias("level"), F.col(n).cast("string").alias("value")) for n in ("day", "product", "retailer", "trigger_type", "user_id")], F.struct(F.lit("all").alias("level"), F.lit("").alias("value")))
+    x = d.select("user_id", "score", F.explode(dims).alias("d")).select("d.level", "d.value", "user_id", "score")
+    by_score = x.groupBy("level", "value", "score").agg(F.count("*").alias("k"))
+    mean = cents(F.sum(F.round(F.col("score") * 100).cast("long") * F.col("k")) / F.sum("k") / 100)
+    g = by_score.groupBy("level", "value").agg(F.sum("k").alias("n"), F.min("score").alias("low"), F.max("score").alias("high"), mean.alias("mean"), F.expr("percentile(score, 0.5, k)").alias("median"))
+    users = x.select("level", "value", "user_id").distinct().groupBy("level", "value").agg(F.count("user_id").alias("users"))
+    return g.join(users, ["level", "value"]).select("level", "value", "n", "users", "low", "high", "mean", "median")
 
 
 def score_buckets(log: DataFrame, width: int = 10) -> DataFrame:
     return log.groupBy((F.floor(F.col("score") / width) * width).alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def _backtest_rows(products: DataFrame, users: DataFrame, drops: list[float], cap: int, threshold: float) -> DataFrame:
+    """(drop_pct, n_alike, canonical, score) of what users with the same likings would get; n_alike is how many they are."""
+    alike = profiles(users).groupBy(F.array_sort(F.array_distinct("category_prefs")).alias("prefs")).agg(F.count("*").alias("n_alike"))
+    none, no = F.array().cast("array<string>"), F.lit(None).cast("string")
+    each = products.select("*", F.explode(F.array(*map(F.lit, drops))).alias("drop_pct"), F.explode(F.array(F.lit(0.0), F.lit(60.0))).alias("liking"))
+    each = each.withColumn("score", blend(deal_score(F.col("savings_pct"), F.col("drop_pct"), F.col("n_retailers")), F.col("liking"))).where(F.col("score") >= threshold)
+    fits = relevance(F.col("category"), F.col("prefs"), F.col("canonical"), none, no, none) == F.col("liking")
+    d = alike.join(small(each.select("canonical", "category", "drop_pct", "liking", "score")), fits)
+    n = F.row_number().over(Window.partitionBy("drop_pct", "prefs").orderBy(F.desc("score"), "canonical"))
+    return d.withColumn("_n", n).where(F.col("_n") <= cap)
+
+
 def backtest(products: DataFrame, users: DataFrame, drops: list[float], cap: int = 3, threshold: float = MIN_SCORE) -> DataFrame:
-    """By assumed price drop: notifications and users they would reach, with a daily cap; products join users by category."""
-    liked = users.select("user_id", F.explode("category_prefs").alias("category")).distinct()
-    d = liked.join(products, "category").select("*", F.explode(F.array(*map(F.lit, drops))).alias("drop_pct"))
-    d = d.withColumn("score", blend(deal_score(F.col("savings_pct"), F.col("drop_pct"), F.col("n_retailers")), F.lit(60.0))).where(F.col("score") >= threshold)
-    n = F.row_number().over(Window.partitionBy("drop_pct", "user_id").orderBy(F.desc("score"), "canonical"))
-    d = d.withColumn("_n", n).where(F.col("_n") <= cap)
-    return d.groupBy("drop_pct").agg(F.count("*").alias("n_sent"), F.count_distinct("user_id").alias("n_users"), F.median("score").alias("median_score"))
+    """By assumed price drop: notifications and users they would reach, with a daily cap, and the median score.
+
+    Users with the same likings get the same, so products meet distinct likings, not users.
+    """
+    d = _backtest_rows(products, users, drops, cap, threshold)
+    sent = d.groupBy("drop_pct").agg(F.sum("n_alike").alias("n_sent"), F.expr("percentile(score, 0.5, n_alike)").alias("median_score"))
+    return sent.join(d.where("_n = 1").groupBy("drop_pct").agg(F.sum("n_alike").alias("n_users")), "drop_pct")
+
+
+def backtest_buckets(products: DataFrame, users: DataFrame, drops: list[float], cap: int = 3, threshold: float = MIN_SCORE, width: int = 10) -> DataFrame:
+    """By assumed price drop and bucket of scores: notifications, and the product that is sent most."""
+    d = _backtest_rows(products, users, drops, cap, threshold).groupBy("drop_pct", (F.floor(F.col("score") / width) * width).alias("bucket"), "canonical").agg(F.sum("n_alike").alias("n"))
+    return d.groupBy("drop_pct", "bucket").agg(F.sum("n").alias("n_sent"), F.max_by("canonical", F.struct("n", "canonical")).alias("top_product"))

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import notify as N
 from ..operators import offers as O
+from ..operators.history import deal_delta
 from ..sources import tables as S
+from .history import BASE, DELTA, HIST, LATEST, history
 from .offers import PRODUCT, mean
+from .places import hav
 from .registry import query
 
 NOW = "2024-01-15 12:00:00"
@@ -49,31 +52,39 @@ def n2_relevance(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN extract(hour FROM ts) >= 22 OR extract(hour FROM ts) < 7 WHEN 1 THEN extract(hour FROM ts + INTERVAL 9 HOUR) >= 22 OR extract(hour FROM ts + INTERVAL 9 HOUR) < 7 ELSE extract(hour FROM ts) >= 9 AND extract(hour FROM ts) < 17 END AS quiet FROM events")
 def n4_quiet_hours(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("event_id") % 3
-    zone = F.when(k == 1, "Asia/Tokyo").when(k == 0, "not a zone").otherwise("UTC")
+    zone = F.when(k == 1, "Asia/Tokyo").when(k == 0, "Mars/Phobos").otherwise("UTC")
     day = k == 2
     return S.table(spark, sf, "events").select("event_id", N.quiet(F.col("ts"), zone, F.when(day, 9).otherwise(22), F.when(day, 17).otherwise(7)).alias("quiet"))
 
 
 _WEEK = f"week AS (SELECT * FROM log WHERE sent_at > TIMESTAMP '{NOW}' - INTERVAL 7 DAY AND sent_at <= TIMESTAMP '{NOW}')"
-_DECIDE = f"""cand AS (SELECT user_id, product, retailer, CASE user_id % 3 WHEN 0 THEN 'power' WHEN 1 THEN 'regular' ELSE 'casual' END AS segment, max(score) * 3 AS score, user_id % 11 = 0 AS is_quiet FROM log WHERE log_id % 5 = 0 GROUP BY 1, 2, 3),
-  decision AS (SELECT c.*, CASE WHEN is_quiet THEN 'quiet_hours' WHEN EXISTS (SELECT 1 FROM week w WHERE w.user_id = c.user_id AND w.product = c.product AND w.retailer = c.retailer) THEN 'duplicate'
+_KIND = "CASE trigger_type WHEN 'view' THEN 'new_deals' WHEN 'click' THEN 'drop' ELSE trigger_type END"
+_GATES = f"""decision AS (SELECT c.*, CASE WHEN is_quiet THEN 'quiet_hours' WHEN EXISTS (SELECT 1 FROM week w WHERE w.user_id = c.user_id AND w.product = c.product AND w.retailer = c.retailer) THEN 'duplicate'
     WHEN coalesce(dn, 0) >= 3 THEN 'daily_cap' WHEN coalesce(sn, 0) >= 1 THEN 'retailer_cap'
+    WHEN c.trigger_type = 'new_deals' AND coalesce(new_n, 0) >= 2 THEN 'new_deals_cap' WHEN c.trigger_type = 'drop' AND coalesce(drop_n, 0) >= 1 THEN 'drop_cap'
     WHEN score < 55 THEN 'low_score' WHEN score < CASE segment WHEN 'power' THEN 45 WHEN 'regular' THEN 55 ELSE 70 END THEN 'segment_score' ELSE 'none' END AS blocked_reason FROM cand c
     LEFT JOIN (SELECT user_id, count(*) AS dn FROM week WHERE sent_at > TIMESTAMP '{NOW}' - INTERVAL 1 DAY GROUP BY 1) d ON d.user_id = c.user_id
-    LEFT JOIN (SELECT user_id, retailer, count(*) AS sn FROM week GROUP BY 1, 2) s ON s.user_id = c.user_id AND s.retailer = c.retailer)"""
+    LEFT JOIN (SELECT user_id, retailer, count(*) AS sn FROM week GROUP BY 1, 2) s ON s.user_id = c.user_id AND s.retailer = c.retailer
+    LEFT JOIN (SELECT user_id, count(*) FILTER ({_KIND} = 'new_deals') AS new_n, count(*) FILTER ({_KIND} = 'drop') AS drop_n FROM week GROUP BY 1) t ON t.user_id = c.user_id)"""
+_DECIDE = f"""cand AS (SELECT user_id, product, retailer, {_KIND} AS trigger_type, CASE user_id % 3 WHEN 0 THEN 'power' WHEN 1 THEN 'regular' ELSE 'casual' END AS segment, max(score) * 3 AS score, user_id % 11 = 0 AS is_quiet FROM log GROUP BY 1, 2, 3, 4), {_GATES}"""
+
+
+def _log(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.col("trigger_type")
+    return S.notification_log(spark, sf).withColumn("trigger_type", F.when(kind == "view", "new_deals").when(kind == "click", "drop").otherwise(kind))
 
 
 def _decisions(spark: SparkSession, sf: str) -> DataFrame:
-    log = S.notification_log(spark, sf)
+    log = _log(spark, sf)
     k = F.col("user_id") % 3
-    c = log.where("log_id % 5 = 0").groupBy("user_id", "product", "retailer").agg((F.max("score") * 3).alias("score"))
+    c = log.groupBy("user_id", "product", "retailer", "trigger_type").agg((F.max("score") * 3).alias("score"))
     c = c.withColumns({"segment": F.when(k == 0, "power").when(k == 1, "regular").otherwise("casual"), "is_quiet": F.col("user_id") % 11 == 0})
     return N.decide(c, log, NOW)
 
 
-@query(_sql("log", [_WEEK, _DECIDE], "SELECT user_id, product, retailer, segment, score, is_quiet, blocked_reason FROM decision"))
+@query(_sql("log", [_WEEK, _DECIDE], "SELECT user_id, product, retailer, trigger_type, segment, score, is_quiet, blocked_reason FROM decision"))
 def n5_w8_gates(spark: SparkSession, sf: str) -> DataFrame:
-    return _decisions(spark, sf).select("user_id", "product", "retailer", "segment", "score", "is_quiet", "blocked_reason")
+    return _decisions(spark, sf).select("user_id", "product", "retailer", "trigger_type", "segment", "score", "is_quiet", "blocked_reason")
 
 
 @query(_sql("log", [_WEEK, _DECIDE], "SELECT blocked_reason, count(*) AS n FROM decision GROUP BY 1"))
@@ -85,8 +96,9 @@ def n8_block_summary(spark: SparkSession, sf: str) -> DataFrame:
     _sql(
         "log",
         [_WEEK, _DECIDE],
-        """SELECT user_id, product, retailer, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, retailer, product) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY user_id, retailer ORDER BY score DESC, product) AS k FROM decision WHERE blocked_reason = 'none') WHERE k = 1) WHERE rank <= 3""",
+        """SELECT user_id, product, retailer, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, retailer, product) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id, trigger_type ORDER BY score DESC, retailer, product) AS j FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, retailer ORDER BY score DESC, product, trigger_type) AS k FROM decision WHERE blocked_reason = 'none') WHERE k = 1)
+  WHERE j <= CASE trigger_type WHEN 'new_deals' THEN 2 WHEN 'drop' THEN 1 ELSE 3 END) WHERE rank <= 3""",
     )
 )
 def w6_capped(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,19 +121,41 @@ def n6_messages(spark: SparkSession, sf: str) -> DataFrame:
     return O.product_offers(S.deals(spark, sf)).select("canonical", m["body"].alias("body"))
 
 
-_LIKED = "liked AS (SELECT DISTINCT user_id, unnest(category_prefs) AS category FROM users)"
+def _scored(drop: str) -> str:
+    """The score of a product (columns of product) for a user (category_prefs)."""
+    return c2(f"{_DEAL.replace('drop', drop)} * 0.7::DOUBLE + CASE WHEN list_contains(category_prefs, category) THEN 60.0::DOUBLE ELSE 0.0::DOUBLE END * 0.3::DOUBLE")
 
 
 @query(
     _sql(
-        "deals users",
-        [PRODUCT, _LIKED],
-        f"""SELECT user_id, rank, canonical, best_retailer, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, canonical) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY user_id, best_retailer ORDER BY score DESC, canonical) AS k FROM (SELECT user_id, canonical, best_retailer, {c2(_BLEND.replace("drop", "savings_pct") + " * 1.0::DOUBLE")} AS score FROM liked JOIN product USING (category)) WHERE score >= 30) WHERE k = 1) WHERE rank <= 3""",
+        "deals users zips",
+        [PRODUCT],
+        f"""SELECT user_id, rank, canonical, best_retailer, score, initcap2 AS title, printf('Now $%.2f, %.0f%% below the usual price', best_price, floor(savings_pct)) AS body FROM (
+  SELECT *, list_aggregate(list_transform(string_split(canonical, ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') || ' at ' || best_retailer AS initcap2, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, canonical) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, best_retailer ORDER BY score DESC, canonical) AS k FROM (SELECT user_id, canonical, best_retailer, best_price, savings_pct, {_scored("0.0::DOUBLE")} AS score
+    FROM users JOIN zips u ON u.zip_code = users.zip_code, product JOIN zips p ON p.zip_code = product.best_zip WHERE {hav("u.latitude", "u.longitude", "p.latitude", "p.longitude")} <= coalesce(radius_miles, 25)) WHERE score >= 30) WHERE k = 1) WHERE rank <= 3""",
     )
 )
 def n9_digest(spark: SparkSession, sf: str) -> DataFrame:
-    return N.digest(O.product_offers(S.deals(spark, sf)), S.users(spark, sf))
+    return N.digest(O.product_offers(S.deals(spark, sf)), S.users(spark, sf), S.zips(spark))
+
+
+_RUN = f"""cand AS (SELECT user_id, product, retailer, segment, 'drop' AS trigger_type, extract(hour FROM TIMESTAMP '{NOW}') >= 22 OR extract(hour FROM TIMESTAMP '{NOW}') < 7 AS is_quiet, max(score) AS score FROM (
+  SELECT user_id, match_key AS product, retailer_key AS retailer, segment, {c2(c2("least(100.0::DOUBLE, pct * 0.5::DOUBLE + pct * 0.3::DOUBLE + least(1::DOUBLE / 10, 1.0::DOUBLE) * 0.2::DOUBLE * 100)") + " * 0.7::DOUBLE + CASE WHEN list_contains(category_prefs, category) THEN 60.0::DOUBLE ELSE 0.0::DOUBLE END * 0.3::DOUBLE")} AS score
+  FROM users JOIN zips u ON u.zip_code = users.zip_code, (SELECT match_key, category, -price_change_pct AS pct, retailer_key, z.latitude, z.longitude FROM delta JOIN stores s ON s.store_id = delta.store_id JOIN zips z ON z.zip_code = s.zip_code WHERE delta_type = 'drop') d
+  WHERE {hav("u.latitude", "u.longitude", "d.latitude", "d.longitude")} <= coalesce(radius_miles, 25)) GROUP BY 1, 2, 3, 4, 5, 6)"""
+
+
+def _run(spark: SparkSession, sf: str) -> DataFrame:
+    delta = deal_delta(history(spark, sf), S.AS_OF).where("delta_type = 'drop'").select(F.col("match_key").alias("product"), "store_id", "category", (-F.col("price_change_pct")).alias("drop_pct"))
+    drops = delta.join(S.stores(spark, sf).select("store_id", F.col("retailer_key").alias("retailer"), "zip_code"), "store_id").drop("store_id")
+    return N.trigger_run(drops, S.users(spark, sf), S.zips(spark), _log(spark, sf), NOW)
+
+
+@query(_sql("deals stores users zips log", [HIST, BASE, LATEST, DELTA, _WEEK, _RUN, _GATES], "SELECT blocked_reason, count(*) AS n, count(DISTINCT user_id) AS users, max(score) AS high FROM decision GROUP BY 1"))
+def n8_trigger_run(spark: SparkSession, sf: str) -> DataFrame:
+    """From price drops to decisions: pairs within the radius, scores, gates, and the summary of blocks."""
+    return _run(spark, sf).groupBy("blocked_reason").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.max("score").alias("high"))
 
 
 @query("SELECT event_id FROM events WHERE event_type <> 'error' AND user_id % 3 > 0 AND event_id % 7 > 0")
@@ -134,8 +168,8 @@ def n10_devices(spark: SparkSession, sf: str) -> DataFrame:
     _sql(
         "log",
         [],
-        f"""SELECT level, value, count(*) AS n, count(DISTINCT user_id) AS users, min(score) AS low, max(score) AS high, {mean("score")} AS mean FROM (
-  SELECT user_id, score, unnest(['day', 'product', 'retailer', 'trigger_type', 'all']) AS level, unnest([sent_at::DATE::VARCHAR, product, retailer, trigger_type, '']) AS value FROM log) GROUP BY 1, 2""",
+        f"""SELECT level, value, count(*) AS n, count(DISTINCT user_id) AS users, min(score) AS low, max(score) AS high, {mean("score")} AS mean, median(score) AS median FROM (
+  SELECT user_id, score, unnest(['day', 'product', 'retailer', 'trigger_type', 'user_id', 'all']) AS level, unnest([sent_at::DATE::VARCHAR, product, retailer, trigger_type, user_id::VARCHAR, '']) AS value FROM log) GROUP BY 1, 2""",
     )
 )
 def a21_statistics(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,13 +181,15 @@ def a21_score_buckets(spark: SparkSession, sf: str) -> DataFrame:
     return N.score_buckets(S.notification_log(spark, sf))
 
 
-@query(
-    _sql(
-        "deals users",
-        [PRODUCT, _LIKED],
-        f"""SELECT drop_pct, count(*) AS n_sent, count(DISTINCT user_id) AS n_users, median(score) AS median_score FROM (SELECT *, row_number() OVER (PARTITION BY drop_pct, user_id ORDER BY score DESC, canonical) AS k FROM (
-  SELECT user_id, canonical, drop_pct, {_BLEND.replace("drop", "drop_pct")} AS score FROM (SELECT *, unnest([10.0::DOUBLE, 20.0::DOUBLE, 40.0::DOUBLE]) AS drop_pct FROM liked JOIN product USING (category))) WHERE score >= 55) WHERE k <= 3 GROUP BY 1""",
-    )
-)
+_BACK = f"""back AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY drop_pct, user_id ORDER BY score DESC, canonical) AS k FROM (
+  SELECT user_id, canonical, drop_pct, {_scored("drop_pct")} AS score FROM users, (SELECT *, unnest([10.0::DOUBLE, 20.0::DOUBLE, 40.0::DOUBLE]) AS drop_pct FROM product)) WHERE score >= 55) WHERE k <= 3)"""
+
+
+@query(_sql("deals users", [PRODUCT, _BACK], "SELECT drop_pct, count(*) AS n_sent, count(DISTINCT user_id) AS n_users, median(score) AS median_score FROM back GROUP BY 1"))
 def a22_backtest(spark: SparkSession, sf: str) -> DataFrame:
     return N.backtest(O.product_offers(S.deals(spark, sf)), S.users(spark, sf), [10.0, 20.0, 40.0])
+
+
+@query(_sql("deals users", [PRODUCT, _BACK], "SELECT drop_pct, bucket, sum(n)::BIGINT AS n_sent, arg_max(canonical, (n, canonical)) AS top_product FROM (SELECT drop_pct, (floor(score / 10) * 10)::BIGINT AS bucket, canonical, count(*) AS n FROM back GROUP BY 1, 2, 3) GROUP BY 1, 2"))
+def a22_backtest_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    return N.backtest_buckets(O.product_offers(S.deals(spark, sf)), S.users(spark, sf), [10.0, 20.0, 40.0])
