@@ -62,6 +62,7 @@ def geo_score(metres: Column) -> Column:
 
 def retailer_slug(c: Column) -> Column:
     s = F.regexp_replace(F.lower(F.trim(c)), r"#\s*\d+", "")
+    # fixed values: what store names end in
     for suffix in (" store", " supermarket", " super market", " market", " grocery", " foods", " food", " pharmacy", " drug"):
         s = F.replace(s, F.lit(suffix), F.lit(""))
     return F.nullif(F.regexp_replace(F.regexp_replace(s, "[^a-z0-9]+", "_"), "^_+|_+$", ""), F.lit(""))
@@ -132,6 +133,7 @@ def store_name(retailer: Column, kind: Column, number: Column) -> Column:
 
 def is_non_store(c: Column) -> Column:
     """Departments and services that are listed like stores."""
+    # fixed values: departments
     words = "fuel|gas station|pharmacy|optical|vision|bakery|deli|liquor|tire|photo|clinic|car wash"
     return F.coalesce(F.lower(c).rlike(rf"\b({words})\b"), F.lit(False))
 

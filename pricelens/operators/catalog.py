@@ -198,6 +198,23 @@ def resolve_entities(internal: DataFrame, external: DataFrame, threshold: float
     return internal.withColumn("source", F.lit("internal")).unionByName(external.join(same, "id", "left_anti").withColumn("source", F.lit("external")))
 
 
+def in_order(resolved: DataFrame, lat: Column, lon: Column, locator_rank: Column | None = None) -> DataFrame:
+    """By retailer: resolved stores with their miles from a point and their place by (miles, rank of the locator, id); without a point last."""
+    miles = F.floor(haversine(lat, lon, F.col("latitude"), F.col("longitude")) * 100 + 0.5) / 100
+    rank = F.when(F.col("source") == "internal", 0).otherwise(1) if locator_rank is None else locator_rank
+    d = resolved.withColumn("miles", F.when(valid_coord(F.col("latitude"), F.col("longitude")), miles)).withColumn("_r", rank)
+    order = Window.partitionBy("retailer_key").orderBy(F.coalesce("miles", F.lit(999_999.0)), "_r", "id")
+    return d.withColumn("place", F.row_number().over(order)).drop("_r")
+
+
+def promotion_frames(gated: DataFrame, key: str = "store_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows with a status (promote): (those to write, failures with their reason, updates of the staging rows)."""
+    done = gated.where("status = 'SUCCESS'")
+    failed = gated.where("status not in ('SUCCESS', 'NOT_TARGET', 'ALREADY_PROMOTED')").select(key, F.col("status").alias("reason"))
+    updates = gated.where("status <> 'NOT_TARGET'").select(key, (F.col("promoted") | (F.col("status") == "SUCCESS")).alias("promoted"), F.when(F.col("status") == "SUCCESS", "promoted").otherwise("kept").alias("action"))
+    return done, failed, updates
+
+
 def stage(batch: DataFrame, staged: DataFrame) -> DataFrame:
     """New records of a batch (retailer, store_number not staged yet, first by seq) with the reasons for a manual review."""
     new = first_by(batch, ["retailer", "store_number"], [F.col("seq")]).join(staged.select("retailer", "store_number"), ["retailer", "store_number"], "left_anti")
@@ -214,8 +231,9 @@ def promote(rows: DataFrame, targets: list[str]) -> DataFrame:
 
 
 def verify(stores: DataFrame, zips: DataFrame, far_km: float = 50.0) -> DataFrame:
-    """stores with issues, verified, confidence and where the issues go (route auto, llm, manual or none)."""
-    z = zips.select("zip_code", F.col("latitude").alias("zlat"), F.col("longitude").alias("zlon"))
+    """stores with issues, verified, confidence and where the issues go (route auto, llm, manual or none); zips may have a state."""
+    zip_state = F.col("state") if "state" in zips.columns else F.lit(None).cast("string")
+    z = zips.select("zip_code", F.col("latitude").alias("zlat"), F.col("longitude").alias("zlon"), F.upper(zip_state).alias("zstate"))
     d = stores.join(z, "zip_code", "left")
     lat, lon = F.col("latitude"), F.col("longitude")
     there = lat.isNotNull() & lon.isNotNull()
@@ -227,11 +245,12 @@ def verify(stores: DataFrame, zips: DataFrame, far_km: float = 50.0) -> DataFram
             "invalid_coordinates": there & ~valid_coord(lat, lon),
             "outside_us": valid_coord(lat, lon) & ~is_us(lat, lon),
             "city_not_in_address": ~empty("city") & ~empty("full_address") & ~F.contains(F.lower("full_address"), F.lower("city")),
+            "zip_state_mismatch": ~empty("state") & (F.upper(F.trim("state")) != F.col("zstate")),
             "address_far_from_zip": valid_coord(lat, lon) & (km > far_km),
             "retailer_key_mismatch": ~empty("retailer") & (F.col("retailer_key") != geo.retailer_slug(F.col("retailer"))),
         }
     )
-    d = d.withColumn("issues", found).drop("zlat", "zlon")
+    d = d.withColumn("issues", found).drop("zlat", "zlon", "zstate")
     return routed(d.withColumns({"verified": F.size("issues") == 0, "confidence": F.greatest(F.lit(0.1), F.lit(1.0) - F.size("issues") * 0.15)}))
 
 

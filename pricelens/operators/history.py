@@ -103,6 +103,11 @@ def best_deals(hist: DataFrame, as_of: str, retailers: int = 2, days: int = 3, b
     return g.where((F.col("retailer_count") >= retailers) & (F.col("days_tracked") >= days) & (below >= below_pct) & (F.col("best_current_price") <= max_price))
 
 
+def ordered_union(*lists: Column) -> Column:
+    """Keys of several lists, each once, in order of first sight."""
+    return F.array_distinct(F.flatten(F.array(*lists)))
+
+
 def price_chart(requests: DataFrame, hist: DataFrame) -> DataFrame:
     """By request (request_id, match_key, start, end) and day: low, high and the store of the low; and the low and high of the whole."""
     d = hist.join(requests, "match_key").where(F.col("day").between(F.col("start"), F.col("end")))

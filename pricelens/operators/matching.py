@@ -15,7 +15,7 @@ from ..functions.geo import haversine, valid_coord
 from ..sources.tables import first_by
 
 MILES_PER_DEGREE = 69.0
-#: Radius by retailer where it isn't the default.
+#: The radius by retailer where it isn't the default.
 DEFAULT_RADIUS = 15.0
 RADII = {"aldi": 20.0, "smiths": 20.0, "wholefoods": 20.0} | dict.fromkeys(("costco", "heb", "bjs", "foodlion", "samsclub", "dollartree", "kroger"), 30.0)
 

@@ -71,14 +71,18 @@ def candidate_pairs(deals: DataFrame, users: DataFrame, zips: DataFrame) -> Data
     return u.join(deals.withColumnRenamed("zip_code", "deal_zip"), "deal_zip")
 
 
+def _with_kind(df: DataFrame) -> DataFrame:
+    return df if "trigger_type" in df.columns else df.withColumn("trigger_type", F.lit(None).cast("string"))
+
+
 def decide(pairs: DataFrame, sent: DataFrame, as_of: str) -> DataFrame:
     """Rows (user_id, product, retailer, trigger_type, segment, score, is_quiet) with blocked_reason, the first gate that stops them, or none.
 
     Gates: quiet hours; the same (user, product, retailer) in seven days; the daily cap; the retailer's weekly cap; the weekly caps of the
     kinds of triggers (WEEKLY); the score; the segment's score.
     """
-    now = F.to_timestamp(F.lit(as_of))
-    week = sent.where((F.col("sent_at") > now - F.expr("INTERVAL 7 DAYS")) & (F.col("sent_at") <= now))
+    now, pairs = F.to_timestamp(F.lit(as_of)), _with_kind(pairs)
+    week = _with_kind(sent).where((F.col("sent_at") > now - F.expr("INTERVAL 7 DAYS")) & (F.col("sent_at") <= now))
     seen = week.select("user_id", "product", "retailer").distinct().withColumn("_seen", F.lit(True))
     shop = week.groupBy("user_id", "retailer").agg(F.count("*").alias("_shop"))
     day = week.where(F.col("sent_at") > now - F.expr("INTERVAL 1 DAY")).groupBy("user_id").agg(F.count("*").alias("_day"))
@@ -96,7 +100,7 @@ def decide(pairs: DataFrame, sent: DataFrame, as_of: str) -> DataFrame:
 
 def capped(decisions: DataFrame, per_day: int = 3) -> DataFrame:
     """Of what passes all gates: one for each user and retailer, the weekly caps by kind, then the best few of each user."""
-    d = decisions.where("blocked_reason = 'none'")
+    d = _with_kind(decisions.where("blocked_reason = 'none'"))
     n = F.row_number().over(Window.partitionBy("user_id", "retailer").orderBy(F.desc("score"), "product", "trigger_type"))
     d = d.withColumn("_n", n).where("_n = 1")
     most = F.create_map(*[F.lit(x) for kv in WEEKLY.items() for x in kv])

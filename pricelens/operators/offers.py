@@ -86,6 +86,15 @@ def offer_details(deals: DataFrame) -> DataFrame:
     return out.withColumn("savings_pct", cents((F.col("avg_price") - F.col("best_price")) / F.col("avg_price") * 100))
 
 
+def candidate_score(likeness: Column, n_retailers: Column) -> Column:
+    return likeness * 10 + n_retailers * 0.1
+
+
+def best_candidate(rows: DataFrame, keys: list[str], name: str, likeness: Column, n_retailers: Column) -> DataFrame:
+    """By keys: the candidate (name) with the best score, on equal scores the last by name."""
+    return rows.groupBy(*keys).agg(F.max_by(name, F.struct(candidate_score(likeness, n_retailers), F.col(name))).alias("best"))
+
+
 def search(requests: DataFrame, deals: DataFrame, k: int = 20) -> DataFrame:
     """By request (request_id, term): products whose name holds the term, those with most retailers first, with their first key.
 
@@ -138,7 +147,7 @@ def resolve_names(requests: DataFrame, deals: DataFrame, curated: DataFrame | No
     turned = r.join(by_words, word_sort(r.term) == by_words.w).select("request_id", "term", "canonical", "n", F.lit(2).alias("step"), F.lit(0.0).alias("fit"))
     short = names.where(F.length("canonical") <= 80)
     like = short.join(small(r), F.contains("canonical", "term")).select(
-        "request_id", "term", "canonical", "n", F.lit(3).alias("step"), (name_similarity(F.col("term"), F.col("canonical")) * 10 + F.col("n") * 0.1).alias("fit")
+        "request_id", "term", "canonical", "n", F.lit(3).alias("step"), candidate_score(name_similarity(F.col("term"), F.col("canonical")), F.col("n")).alias("fit")
     )
     words = F.split("term", " ")
     parts = r.select("request_id", "term", F.explode(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1)))).alias("k"))

@@ -159,15 +159,18 @@ def p19_word_sort(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH q AS (SELECT unnest(['red widget', 'widget', 'small bolt']) AS q), n AS (SELECT DISTINCT p_name AS c FROM part),
- x AS (SELECT q, c, string_split(q, ' ') AS qw, string_split(c, ' ') AS cw FROM q, n)
+    """WITH n AS (SELECT DISTINCT p_name AS c FROM part), q AS (SELECT c AS q FROM n UNION SELECT unnest(string_split(c, ' ')) FROM n),
+ x AS (SELECT q, c, string_split(q, ' ') AS qw, string_split(c, ' ') AS cw FROM q JOIN n ON list_has_any(string_split(q, ' '), string_split(c, ' ')))
  SELECT q, c, CASE WHEN q = c THEN 1.0::DOUBLE WHEN starts_with(c, q || ' ') OR ends_with(c, ' ' || q) THEN 0.9::DOUBLE
    ELSE floor(len(list_intersect(qw, cw))::DOUBLE / len(list_distinct(qw)) * least(len(qw)::DOUBLE / len(cw), 1.0::DOUBLE) * 1000 + 0.5) / 1000 END AS fit FROM x"""
 )
 def p20_name_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    q = spark.createDataFrame([("red widget",), ("widget",), ("small bolt",)], "q string")
+    """Names and single words against all names that share a word with them."""
     n = S.table(spark, sf, "part").select(F.col("p_name").alias("c")).distinct()
-    return n.crossJoin(F.broadcast(q)).select("q", "c", T.name_similarity(F.col("q"), F.col("c")).alias("fit"))  # three fixed queries
+    by_word = n.select("c", F.explode(F.split("c", " ")).alias("w"))
+    q = n.select(F.col("c").alias("q")).union(by_word.select("w")).distinct()
+    pairs = q.select("q", F.explode(F.split("q", " ")).alias("w")).join(by_word, "w").select("q", "c").distinct()
+    return pairs.select("q", "c", T.name_similarity(F.col("q"), F.col("c")).alias("fit"))
 
 
 # ---- scans and sinks

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import audit as A
 from ..operators import catalog as C
 from ..operators import history as H
 from ..operators import matching as M
 from ..operators import notify as N
+from ..operators import offers as O
 from ..sources import tables as S
 from .history import BASE, DELTA, HIST, LATEST, history
 from .places import hav
@@ -69,7 +71,12 @@ def f10_allowed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_sql("users", [], "SELECT user_id FROM users WHERE segment IN ('power', 'regular')"))
 def f12_segments(spark: SparkSession, sf: str) -> DataFrame:
-    return S.users(spark, sf).where(F.col("segment").isin("power", "regular")).select("user_id")
+    return N.in_segments(S.users(spark, sf), ["power", "regular"]).select("user_id")
+
+
+@query("SELECT event_id AS log_id FROM events WHERE event_type IN ('view', 'click')")
+def f12_triggers(spark: SparkSession, sf: str) -> DataFrame:
+    return N.of_triggers(S.notification_log(spark, sf), ["view", "click"]).select("log_id")
 
 
 @query(_sql("deals", [], "SELECT DISTINCT deal_id, min(store_id) AS store_id, 0 AS seq FROM deals GROUP BY deal_id UNION ALL SELECT deal_id, NULL, 2 FROM deals GROUP BY deal_id"))
@@ -85,26 +92,24 @@ def u4_u6_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return C.dedup_candidates(rows).select("deal_id", F.col("id").alias("store_id"), "seq")
 
 
-@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN 'a,b,c' ELSE 'b,c' END AS issues FROM part")
+@query("""SELECT p_partkey, array_to_string(list_filter(a || list_filter(b, lambda x: NOT list_contains(a, x)), lambda x: x IS NOT NULL), ',') AS issues
+  FROM (SELECT p_partkey, CASE WHEN p_size > 25 THEN [lower(p_brand), split_part(p_name, ' ', 1)] ELSE [] END AS a, [split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)] AS b FROM part)""")
 def u8_merge_issues(spark: SparkSession, sf: str) -> DataFrame:
-    big = F.when(F.col("p_size") > 25, F.array(F.lit("a"), F.lit("b")))
-    return S.table(spark, sf, "part").select("p_partkey", F.array_join(C.merge_issues(big, F.array(F.lit("b"), F.lit("c"))), ",").alias("issues"))
+    w = F.split("p_name", " ")
+    big = F.when(F.col("p_size") > 25, F.array(F.lower("p_brand"), w[0]))
+    return S.table(spark, sf, "part").select("p_partkey", F.array_join(C.merge_issues(big, F.array(w[0], w[1])), ",").alias("issues"))
 
 
 @query("SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN p_size % 5 = 0 THEN 999 ELSE p_size END, p_retailprice DESC, p_partkey) AS place FROM part ORDER BY place LIMIT 50")
 def w10_sort_with_nulls(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
     p = S.table(spark, sf, "part").withColumn("d", F.when(F.col("p_size") % 5 > 0, F.col("p_size")))
-    order = [F.coalesce("d", F.lit(999)), F.desc("p_retailprice"), F.col("p_partkey")]
-    top = p.orderBy(*order).limit(50)  # a report of the first 50
-    return top.select("p_partkey", F.row_number().over(Window.orderBy(*order)).alias("place"))
+    return A.best_rows(p, [("d", 999, False), ("p_retailprice", None, True)], "p_partkey", 50).select("p_partkey", "place")
 
 
-@query("SELECT p_brand, arg_max(p_name, (p_size * 10 + p_retailprice * 0.1::DOUBLE, p_name)) AS best FROM part GROUP BY 1")
+@query("SELECT p_brand, arg_max(p_name, (p_size * 10 + n * 0.1::DOUBLE, p_name)) AS best FROM (SELECT p_brand, p_name, max(p_size) AS p_size, count(*) AS n FROM part GROUP BY 1, 2) GROUP BY 1")
 def w11_best_candidate(spark: SparkSession, sf: str) -> DataFrame:
-    score = F.col("p_size") * 10 + F.col("p_retailprice") * 0.1
-    return S.table(spark, sf, "part").groupBy("p_brand").agg(F.max_by("p_name", F.struct(score, "p_name")).alias("best"))
+    d = S.table(spark, sf, "part").groupBy("p_brand", "p_name").agg(F.max("p_size").alias("p_size"), F.count("*").alias("n"))
+    return O.best_candidate(d, ["p_brand"], "p_name", F.col("p_size"), F.col("n"))
 
 
 @query(_sql("deals users zips stores", [HIST, BASE, LATEST, DELTA], f"""SELECT user_id, count(*) AS n FROM (SELECT user_id, coalesce(radius_miles, 25) AS r, latitude, longitude FROM users JOIN zips USING (zip_code)) u,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo as G
 from ..operators import audit as A
 from ..operators import catalog as C
+from ..operators import history as H
 from ..sources import tables as S
 from .registry import query
 
@@ -60,46 +61,74 @@ def g1_display(spark: SparkSession, sf: str) -> DataFrame:
     return _stores(spark, sf).select("store_id", C.display_retailer(F.col("retailer"), ALIAS).alias("shown"))
 
 
-@query(_sql("stores", [], "SELECT store_id, 'trader joes and co' AS token, CASE WHEN store_id % 2 = 0 THEN 'Supercenter' END AS store_type FROM stores"))
+_NAME = "p_brand || CASE p_partkey % 3 WHEN 0 THEN '''' || 's & ' WHEN 1 THEN ' - ' ELSE ' ' END || p_name || CASE p_partkey % 4 WHEN 0 THEN ' Supercenter' WHEN 1 THEN '-Pharmacy' WHEN 2 THEN ' Neighborhood  Market!' ELSE '' END"
+_TOKEN = f"trim(regexp_replace(replace(replace(replace(lower({_NAME}), '&', ' and '), '''', ''), '-', ' '), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(
+    f"""WITH n AS (SELECT p_partkey, {_TOKEN} AS t FROM part)
+  SELECT p_partkey, CASE WHEN ends_with(t, ' supercenter') THEN 'Supercenter' WHEN ends_with(t, ' neighborhood market') THEN 'Neighborhood Market' WHEN ends_with(t, ' pharmacy') THEN 'Pharmacy' END AS store_type,
+    regexp_replace(t, ' (supercenter|neighborhood market|pharmacy)$', '') AS token FROM n"""
+)
 def g6_canonical_retailer(spark: SparkSession, sf: str) -> DataFrame:
-    name = F.concat(F.lit("Trader Joe's & Co"), F.when(F.col("store_id") % 2 == 0, " Supercenter").otherwise(""))
-    c = C.canonical_retailer(name)
-    return S.stores(spark, sf).select("store_id", c["retailer"].alias("token"), c["store_type"].alias("store_type"))
+    k = F.col("p_partkey")
+    between = F.when(k % 3 == 0, "'s & ").when(k % 3 == 1, " - ").otherwise(" ")
+    end = F.when(k % 4 == 0, " Supercenter").when(k % 4 == 1, "-Pharmacy").when(k % 4 == 2, " Neighborhood  Market!").otherwise("")
+    c = C.canonical_retailer(F.concat("p_brand", between, "p_name", end))
+    return S.table(spark, sf, "part").select("p_partkey", c["retailer"].alias("token"), c["store_type"].alias("store_type"))
+
+
+_ADDRESS = "p_size || '-' || p_size || '   ' || p_name || CASE p_partkey % 4 WHEN 0 THEN ' St., Ste. #' || p_size WHEN 1 THEN ' SR 5, Suite 4B' WHEN 2 THEN ' Blvd, unit ' || p_size ELSE ' US Hwy 9' END"
+
+
+def _address() -> F.Column:
+    k, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    end = F.when(k == 0, F.concat(F.lit(" St., Ste. #"), size)).when(k == 1, " SR 5, Suite 4B").when(k == 2, F.concat(F.lit(" Blvd, unit "), size)).otherwise(" US Hwy 9")
+    return F.concat(size, F.lit("-"), size, F.lit("   "), "p_name", end)
+
+
+def _sub(x: str, *rules: tuple[str, str, str]) -> str:
+    for pattern, to, how in rules:
+        x = f"regexp_replace({x}, '{pattern}', '{to}', '{how}')"
+    return x
+
+
+_KEY = _sub("lower(trim(a))", (r"\s+", " ", "g"), (r"\bste\.?\s*#?\d+\b", "", "g"), (r"\bunit\s*#?\d+\b", "", "g"), (r"\bsuite\s*#?\d+\b", "", "g"), ("^[, ]+|[, ]+$", "", "g"))
+_GEO = "lower(trim(" + _sub("a", (r"[, ]*\b(ste|suite|unit)\.?\s*#?\w+", "", "gi"), (r"^(\d+)-[A-Za-z0-9]+\b", r"\1", "g"), (r"\.", "", "g"), (r"\s+", " ", "g")) + "))"
+_ROAD = _sub("lower(a)", *[(p, to, "g") for p, to in G.ROADS])
 
 
 @query(
-    _sql(
-        "stores",
-        [],
-        """SELECT store_id, store_id || ' main st' AS address_key, lower(store_id || ' Main St') AS geocode_key, 'Shop Super #' || store_id AS store_name, store_id % 3 = 0 AS non_store, store_id || ' state road 5' AS road, 'TX' AS state FROM stores""",
-    )
+    f"""SELECT p_partkey, {_KEY} AS address_key, {_GEO} AS geocode_key, p_brand || ' ' || p_type || ' #' || p_partkey AS store_name,
+  regexp_matches(lower(p_name || CASE p_partkey % 5 WHEN 0 THEN ' Fuel Center' WHEN 1 THEN ' Delight' WHEN 2 THEN ' car wash' ELSE '' END), '\\b(fuel|gas station|pharmacy|optical|vision|bakery|deli|liquor|tire|photo|clinic|car wash)\\b') AS non_store,
+  {_ROAD} AS road, CASE p_partkey % 3 WHEN 0 THEN 'TX' WHEN 1 THEN 'CA' END AS state FROM (SELECT *, {_ADDRESS} AS a FROM part)"""
 )
 def g11_g26_addresses(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("store_id").cast("string")
-    return S.stores(spark, sf).select(
-        "store_id",
-        G.address_key(F.concat(k, F.lit("  Main St, Ste. #12"))).alias("address_key"),
-        G.geocode_key(F.concat(k, F.lit("-12 Main St., Suite 4B"))).alias("geocode_key"),
-        G.store_name(F.lit("Shop"), F.lit("Super"), k).alias("store_name"),
-        G.is_non_store(F.when(F.col("store_id") % 3 == 0, "Shop Fuel Center").otherwise("Shop")).alias("non_store"),
-        G.highway_alias(F.concat(k, F.lit(" SR 5"))).alias("road"),
-        G.norm_state_alias(F.lit(" Texas")).alias("state"),
-    )
+    a, k = _address(), F.col("p_partkey")
+    name = F.concat("p_name", F.when(k % 5 == 0, " Fuel Center").when(k % 5 == 1, " Delight").when(k % 5 == 2, " car wash").otherwise(""))
+    state = F.when(k % 3 == 0, " Texas").when(k % 3 == 1, "ca").otherwise(F.col("p_type"))
+    return S.table(spark, sf, "part").select(
+        "p_partkey", G.address_key(a).alias("address_key"), G.geocode_key(a).alias("geocode_key"), G.store_name(F.col("p_brand"), F.col("p_type"), k.cast("string")).alias("store_name"),
+        G.is_non_store(name).alias("non_store"), G.highway_alias(a).alias("road"), G.norm_state_alias(state).alias("state"),
+    )
+
+
+_SET = "list_distinct(list_filter(string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> ''))"
+_A, _B = _SET.format("p_name"), _SET.format("p_type || ' ' || split_part(p_name, ' ', 2) || ', ' || p_brand")
 
 
 @query(
-    _sql(
-        "stores",
-        [],
-        """SELECT store_id, 0.5::DOUBLE AS jaccard, CASE WHEN store_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS zip, CASE WHEN store_id % 3 = 0 THEN 1.0::DOUBLE WHEN store_id % 3 = 1 THEN 0.75::DOUBLE ELSE 0.2::DOUBLE END AS near FROM stores""",
-    )
+    f"""SELECT p_partkey, len(list_intersect({_A}, {_B}))::DOUBLE / len(list_distinct({_A} || {_B})) AS jaccard,
+  CASE WHEN z1 = z2 THEN 1.0::DOUBLE WHEN z1[:3] = z2[:3] THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS zip,
+  CASE WHEN m <= 25 THEN 1.0::DOUBLE WHEN m <= 75 THEN 0.9::DOUBLE WHEN m <= 150 THEN 0.75::DOUBLE WHEN m <= 300 THEN 0.5::DOUBLE WHEN m <= 1000 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END AS near
+  FROM (SELECT *, (p_partkey % 7 * 100 + 90000 + p_size % 3)::VARCHAR AS z1, (p_size % 7 * 100 + 90000)::VARCHAR AS z2, CASE WHEN p_size % 10 > 0 THEN (p_partkey * 37 % 1200)::DOUBLE END AS m FROM part)"""
 )
 def g18_g21_scores(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("store_id")
-    metres = F.when(k % 3 == 0, 20.0).when(k % 3 == 1, 120.0).otherwise(900.0)
-    return S.stores(spark, sf).select(
-        "store_id", G.token_jaccard(F.lit("a b c"), F.lit("B, c d")).alias("jaccard"), G.zip_score(F.lit("90001"), F.when(k % 2 == 0, "90001").otherwise("90077")).alias("zip"), G.geo_score(metres).alias("near")
-    )
+    k, size = F.col("p_partkey"), F.col("p_size")
+    other = F.concat("p_type", F.lit(" "), F.get(F.split("p_name", " "), F.lit(1)), F.lit(", "), "p_brand")
+    z1, z2 = (k % 7 * 100 + 90000 + size % 3).cast("string"), (size % 7 * 100 + 90000).cast("string")
+    metres = F.when(size % 10 > 0, (k * 37 % 1200).cast("double"))
+    return S.table(spark, sf, "part").select("p_partkey", G.token_jaccard(F.col("p_name"), other).alias("jaccard"), G.zip_score(z1, z2).alias("zip"), G.geo_score(metres).alias("near"))
 
 
 @query()
@@ -135,6 +164,12 @@ def c3_c8_verify(spark: SparkSession, sf: str) -> DataFrame:
     return C.verify(d, S.zips(spark)).select("store_id", F.array_join("issues", ",").alias("issues"), "verified", "confidence", "route")
 
 
+@query(_sql("stores", [RAW], "SELECT store_id, state IS NOT NULL AND zip_code::BIGINT % 2 = 1 AS mismatch FROM raw"))
+def c4_zip_state(spark: SparkSession, sf: str) -> DataFrame:
+    z = S.zips(spark).withColumn("state", F.when(F.col("zip_code").cast("long") % 2 == 1, "NV").otherwise("CA"))
+    return C.verify(_stores(spark, sf), z).select("store_id", F.array_contains("issues", "zip_state_mismatch").alias("mismatch"))
+
+
 @query(_sql("stores", [RAW], "SELECT store_id, CASE WHEN retailer IS NULL OR city IS NULL OR state IS NULL THEN 'unresolved' ELSE 'verified' END AS status FROM raw"))
 def c9_c10_verify_repair(spark: SparkSession, sf: str) -> DataFrame:
     return C.verify_repair(_stores(spark, sf), S.zips(spark)).select("store_id", "status")
@@ -156,11 +191,25 @@ def c7_combine(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_sql("stores", [RAW], "SELECT store_id, CASE WHEN retailer_id >= 20 THEN 'NOT_TARGET' WHEN store_id % 7 = 0 THEN 'ALREADY_PROMOTED' WHEN store_id % 8 = 0 THEN 'REVIEW_PENDING' WHEN store_id % 3 = 0 THEN 'MISSING_ADDRESS' WHEN city IS NULL THEN 'VALIDATION_FAILED' WHEN store_id % 10 = 1 THEN 'GEOCODE_FAILED' ELSE 'SUCCESS' END AS status FROM raw"))
 def c2_promote(spark: SparkSession, sf: str) -> DataFrame:
+    return _gated(spark, sf).select("store_id", "status")
+
+
+def _gated(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("store_id")
     d = _stores(spark, sf).withColumns(
         {"promoted": k % 7 == 0, "review_status": F.when(k % 8 == 0, "pending"), "address": F.when(k % 3 > 0, F.col("address")), "issues": F.when(F.col("city").isNull(), F.array(F.lit("missing_city"))).otherwise(F.array().cast("array<string>")), "latitude": F.when(k % 10 != 1, F.col("latitude"))}
     )
-    return C.promote(d, [f"retailer_{i}" for i in range(20)]).select("store_id", "status")
+    return C.promote(d, [f"retailer_{i}" for i in range(20)])
+
+
+_GATED = "gated AS (SELECT store_id, store_id % 7 = 0 AS promoted, CASE WHEN retailer_id >= 20 THEN 'NOT_TARGET' WHEN store_id % 7 = 0 THEN 'ALREADY_PROMOTED' WHEN store_id % 8 = 0 THEN 'REVIEW_PENDING' WHEN store_id % 3 = 0 THEN 'MISSING_ADDRESS' WHEN city IS NULL THEN 'VALIDATION_FAILED' WHEN store_id % 10 = 1 THEN 'GEOCODE_FAILED' ELSE 'SUCCESS' END AS status FROM raw)"
+
+
+@query(_sql("stores", [RAW, _GATED], """SELECT store_id, 'write' AS frame, 'SUCCESS' AS value FROM gated WHERE status = 'SUCCESS' UNION ALL SELECT store_id, 'failure', status FROM gated WHERE status IN ('REVIEW_PENDING', 'MISSING_ADDRESS', 'VALIDATION_FAILED', 'GEOCODE_FAILED')
+  UNION ALL SELECT store_id, CASE WHEN status = 'SUCCESS' THEN 'promoted' ELSE 'kept' END, CASE WHEN promoted OR status = 'SUCCESS' THEN 'true' ELSE 'false' END FROM gated WHERE status <> 'NOT_TARGET'"""))
+def c2_promotion_frames(spark: SparkSession, sf: str) -> DataFrame:
+    done, failed, updates = C.promotion_frames(_gated(spark, sf))
+    return done.select("store_id", F.lit("write").alias("frame"), F.col("status").alias("value")).union(failed.select("store_id", F.lit("failure"), "reason")).union(updates.select("store_id", "action", F.col("promoted").cast("string")))
 
 
 @query(_sql("stores", [RAW], "SELECT retailer_key AS retailer, min(store_id) AS seq, CASE WHEN arg_min(city, store_id) IS NULL THEN 'missing_city' ELSE '' END AS reasons FROM (SELECT retailer_key, store_id % 4 AS number, store_id, city FROM raw WHERE store_id % 4 <> 2) GROUP BY retailer_key, number"))
@@ -182,9 +231,21 @@ def a27_repair_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return C.repair_confidence(r.select("store_id", F.col("x.w").alias("weight"), F.col("x.c").alias("confidence"), F.lit(0.9).alias("overall")))
 
 
-@query(_sql("stores", [], "SELECT *, CASE WHEN n_real::DOUBLE / n >= 0.95 THEN 'good' WHEN n_real::DOUBLE / n >= 0.5 THEN 'partial' ELSE 'bad' END AS status FROM (SELECT retailer_key, count(*) AS n, count(*) FILTER (geocode_confidence <> 'zip_centroid') AS n_real, 0 AS null_zips, count(DISTINCT zip_code) AS n_zips FROM stores GROUP BY 1)"))
+@query(_sql("stores", [RAW], "SELECT 'missing_' || c AS issue, count(*) AS n FROM (SELECT unnest([CASE WHEN retailer IS NULL THEN 'retailer' END, CASE WHEN city IS NULL THEN 'city' END, CASE WHEN state IS NULL THEN 'state' END]) AS c FROM raw) WHERE c IS NOT NULL GROUP BY 1"))
+def a29_issue_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return A.issue_counts(C.verify(_stores(spark, sf), S.zips(spark))).where("issue like 'missing%'")
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (p_size > 10) AS n_filled, floor(count(*) FILTER (p_size > 10)::DOUBLE / count(*) * 100 * 100 + 0.5) / 100 AS pct FROM part")
+def a18_candidate_fill(spark: SparkSession, sf: str) -> DataFrame:
+    ids = F.when(F.col("p_size") > 20, F.array("p_partkey")).when(F.col("p_size") > 10, F.array("p_partkey", "p_partkey")).when(F.col("p_size") > 5, F.array().cast("array<bigint>"))
+    return A.candidate_fill(S.table(spark, sf, "part").select(ids.alias("candidate_store_ids")))
+
+
+@query(_sql("stores", [], "SELECT *, CASE WHEN n_real::DOUBLE / n >= 0.95 THEN 'good' WHEN n_real::DOUBLE / n >= 0.5 THEN 'partial' ELSE 'bad' END AS status FROM (SELECT retailer_key, count(*) AS n, count(*) FILTER (geocode_confidence <> 'zip_centroid') AS n_real, 0 AS null_zips, count(DISTINCT zip_code) AS n_zips, CASE WHEN bool_or(store_id % 5 > 0) THEN 'CA' ELSE '' END AS states, count(*) FILTER (geocode_confidence IS NULL) AS n_none FROM stores GROUP BY 1)"))
 def a19_store_audit(spark: SparkSession, sf: str) -> DataFrame:
-    return A.store_audit(S.stores(spark, sf))
+    d = A.store_audit(_stores(spark, sf)).withColumns({"states": F.array_join("states", ","), "n_none": F.coalesce(F.try_element_at("confidence", F.lit("none")), F.lit(0))})
+    return d.drop("confidence")
 
 
 @query(_sql("stores", [], "SELECT coalesce(geocode_confidence, 'none') AS confidence, retailer_key, count(*) AS n FROM stores GROUP BY 1, 2 UNION ALL SELECT coalesce(geocode_confidence, 'none'), NULL, count(*) FROM stores GROUP BY 1"))
@@ -224,14 +285,14 @@ def u1_set_difference(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT p_partkey, p_brand || ',' || p_name || ',' || p_type AS keys FROM part")
 def u2_ordered_union(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.array_distinct(F.flatten(F.array(F.array("p_brand", "p_name"), F.array("p_name", "p_type", "p_brand"))))
+    k = H.ordered_union(F.array("p_brand", "p_name"), F.array("p_name", "p_type", "p_brand"))
     return S.table(spark, sf, "part").select("p_partkey", F.array_join(k, ",").alias("keys"))
 
 
 @query(_sql("stores", [], "SELECT store_id FROM stores WHERE store_id % 7 = 0 OR geocode_confidence = 'zip_centroid'"))
 def u3_flag_union(spark: SparkSession, sf: str) -> DataFrame:
     s = S.stores(spark, sf)
-    return s.where("store_id % 7 = 0").select("store_id").union(s.where("geocode_confidence = 'zip_centroid'").select("store_id")).distinct()
+    return A.flag_union("store_id", s.where("store_id % 7 = 0"), s.where("geocode_confidence = 'zip_centroid'"))
 
 
 @query(_sql("stores", [], "SELECT min(store_id) AS id FROM stores GROUP BY retailer_key, zip_code"))
@@ -260,10 +321,23 @@ def u9_neutralize(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_sql("stores", [], "SELECT store_id AS id, 'internal' AS source FROM stores WHERE store_id % 2 = 0 UNION ALL SELECT store_id + 1000, 'external' FROM stores WHERE store_id % 3 = 0 AND store_id % 2 > 0"))
 def j22_resolve_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return _resolved(spark, sf).select("id", "source")
+
+
+def _resolved(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("store_id")
     d = S.stores(spark, sf).select(k.alias("id"), F.col("retailer_key"), F.concat((k * 7919 % 9973).cast("string"), F.lit(" "), F.md5(k.cast("string")), F.lit(" Street")).alias("address"), F.concat(F.lit("shop "), k.cast("string")).alias("name"), F.concat(F.lit("city"), k.cast("string")).alias("city"), F.lit("CA").alias("state"), "zip_code", "latitude", "longitude")
     ext = d.where("id % 3 = 0").withColumns({"id": F.col("id") + 1000, "address": F.replace("address", F.lit("Street"), F.lit("St"))})
-    return C.resolve_entities(d.where("id % 2 = 0"), ext).select("id", "source")
+    return C.resolve_entities(d.where("id % 2 = 0"), ext)
+
+
+_HAV = "2 * 3958.8::DOUBLE * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians(latitude - 34.0) / 2), 2) + cos(radians(34.0)) * cos(radians(latitude)) * pow(sin(radians(longitude - -118.0) / 2), 2))))"
+
+
+@query(_sql("stores", [], f"""SELECT id, source, row_number() OVER (PARTITION BY retailer_key ORDER BY floor({_HAV} * 100 + 0.5) / 100, source = 'external', id) AS place FROM (
+  SELECT store_id AS id, 'internal' AS source, * FROM stores WHERE store_id % 2 = 0 UNION ALL SELECT store_id + 1000, 'external', * FROM stores WHERE store_id % 3 = 0 AND store_id % 2 > 0)"""))
+def j22_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    return C.in_order(_resolved(spark, sf), F.lit(34.0), F.lit(-118.0)).select("id", "source", "place")
 
 
 @query(_sql("deals stores", [], "SELECT deal_id, (deal_id % 3 > 0)::INT::VARCHAR AS stage, min(store_id) AS first FROM deals GROUP BY 1"))
@@ -287,3 +361,21 @@ def s5_osm_to_store(spark: SparkSession, sf: str) -> DataFrame:
     at = z.select("zip_code", F.col("latitude").alias("zlat"), F.col("longitude").alias("zlon"))
     e = s.join(at, "zip_code").select(F.lit("node").alias("type"), k.alias("id"), F.col("zlat").alias("lat"), F.col("zlon").alias("lon"), F.struct(F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon")).alias("center"), tags.alias("tags"))
     return S.osm_to_store(e, z).select("id", "zip_code", "full_address")
+
+
+@query(_sql("stores", [], "SELECT store_id AS id, zip_code FROM stores WHERE substr(zip_code, 1, 3) = '901'"))
+def s5_zip_prefixes(spark: SparkSession, sf: str) -> DataFrame:
+    s = S.stores(spark, sf)
+    e = s.select(F.lit("way").alias("type"), F.col("store_id").alias("id"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.struct(F.col("latitude").alias("lat"), F.col("longitude").alias("lon")).alias("center"), F.create_map(F.lit("addr:postcode"), F.col("zip_code")).alias("tags"))
+    return S.osm_to_store(e, S.zips(spark), prefixes=["901"]).select("id", "zip_code")
+
+
+@query(_sql("stores", [], "SELECT f AS format, retailer_key, store_id::VARCHAR AS store_id, zip_code, latitude, longitude, geocode_confidence FROM stores, (SELECT unnest(['csv', 'json']) AS f)"))
+def s4_store_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """The stores written as CSV and as JSON lines, and read back."""
+    path, none = S.scratch_path(spark, "catalog"), F.lit(None).cast("string")
+    d = S.stores(spark, sf).select(none.alias("retailer"), "retailer_key", F.col("store_id").cast("string"), F.concat("store_id", F.lit(' "Main" St, 5')).alias("address"), none.alias("full_address"), "zip_code", "latitude", "longitude", "geocode_confidence", none.alias("geocode_source"))
+    d.write.option("header", True).option("escape", '"').csv(f"{path}/csv")
+    d.write.json(f"{path}/json")
+    columns = ["retailer_key", "store_id", "zip_code", "latitude", "longitude", "geocode_confidence"]
+    return S.union_all([S.read_store_catalog(spark, f"{path}/{f}", f).select(F.lit(f).alias("format"), *columns) for f in ("csv", "json")])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import matching as M
 from ..sources import tables as S
 from ..streaming import prices as P
 from .registry import query
@@ -48,3 +49,48 @@ def t6_catch_up(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_id, date_trunc('day', ts - INTERVAL 8 HOUR) - INTERVAL 1 DAY * ((isodow(date_trunc('day', ts - INTERVAL 8 HOUR)) - 3 + 7) % 7) + INTERVAL 8 HOUR AS week_start FROM events")
 def t4_week_start(spark: SparkSession, sf: str) -> DataFrame:
     return S.table(spark, sf, "events").select("event_id", P.flyer_week_start(F.col("ts")).alias("week_start"))
+
+
+_LINES = """SELECT l_orderkey * 8 + l_linenumber AS line_id, 'retailer_' || s_nationkey AS retailer_key, (l_suppkey * 3 % 200 + 90000)::VARCHAR AS zip_code, l_shipdate::DATE AS day, l_partkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey"""
+_OWN = "(SELECT retailer_key, zip_code, min(store_id) AS matched_store FROM stores GROUP BY 1, 2)"
+
+
+def _lines(lines: DataFrame, supplier: DataFrame) -> DataFrame:
+    d = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    zip_code = (F.col("l_suppkey") * 3 % 200 + 90000).cast("string")
+    return d.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line_id"), F.concat(F.lit("retailer_"), "s_nationkey").alias("retailer_key"), zip_code.alias("zip_code"), F.to_date("l_shipdate").alias("day"), "l_partkey")
+
+
+@query(f"WITH {S.CTE['stores']} SELECT line_id, matched_store FROM ({_LINES}) LEFT JOIN {_OWN} USING (retailer_key, zip_code)")
+def t4_enrich_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream of deals, each micro-batch matched to stores and appended by its number, so that a repeated batch changes nothing."""
+    path = S.scratch_path(spark, "enriched")
+    stores, supplier = S.stores(spark, sf), S.table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    match = lambda b: M.match_exact(_lines(b, supplier), stores, ["retailer_key", "zip_code"]).select("line_id", "matched_store")
+    sink = lambda b, i: b.write.mode("overwrite").parquet(f"{path}/table/batch={i}")
+    P.enrich_stream(_stream(spark, sf, "lineitem"), match, sink, f"{path}/offsets").awaitTermination()
+    return spark.read.parquet(f"{path}/table").select("line_id", "matched_store")
+
+
+@query(
+    f"""WITH {S.CTE['stores']}, m AS (SELECT l.*, CASE WHEN l_partkey % 3 > 0 THEN own.matched_store END AS before, own.matched_store AS own FROM ({_LINES}) l LEFT JOIN {_OWN} own USING (retailer_key, zip_code))
+  SELECT line_id, CASE WHEN before IS NULL AND day >= DATE '{S.AS_OF}' - 120 AND day < DATE '{S.AS_OF}' THEN own ELSE before END AS matched_store FROM m"""
+)
+def t5_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """A third of the deals have lost their store; those of the last 120 days get it again."""
+    stores, supplier = S.stores(spark, sf), S.table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    match = lambda d: M.match_exact(d, stores, ["retailer_key", "zip_code"])
+    matched = match(_lines(S.table(spark, sf, "lineitem"), supplier))
+    matched = matched.withColumn("matched_store", F.when(F.col("l_partkey") % 3 > 0, F.col("matched_store")))
+    return P.repair_recent(matched, match, "day", S.AS_OF, 120).select("line_id", "matched_store")
+
+
+@query()
+def t7_capped_sends(spark: SparkSession, sf: str) -> DataFrame:
+    """The log as a stream of sends under the caps; each depends on those before it, so no SQL: tests compare with a plain loop."""
+    path = S.scratch_path(spark, "sends")
+    k = F.col("event_id")
+    rows = _stream(spark, sf, "events").select("user_id", F.concat(F.lit("product_"), k % 40).alias("product"), F.concat(F.lit("retailer_"), k % 25).alias("retailer"), F.col("ts").cast("timestamp").alias("sent_at"))
+    out = P.capped_sends(rows).writeStream.outputMode("append").option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True)
+    out.format("parquet").option("path", f"{path}/table").start().awaitTermination()
+    return spark.read.schema("user_id long, product string, retailer string, sent_at timestamp").parquet(f"{path}/table")

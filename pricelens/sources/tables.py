@@ -188,7 +188,7 @@ CATALOG = "retailer string, retailer_key string, store_id string, address string
 def read_store_catalog(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """A retailer's store catalog as CSV with a header, or JSON lines."""
     reader = spark.read.schema(CATALOG)
-    return reader.csv(path, header=True) if fmt == "csv" else reader.json(path)
+    return reader.csv(path, header=True, escape='"') if fmt == "csv" else reader.json(path)
 
 
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
@@ -241,10 +241,11 @@ def audit_frames(results: DataFrame, status: str = "status") -> tuple[DataFrame,
     return as_json, as_json.where(F.col(status) != "SUCCESS"), results.groupBy(status).agg(F.count("*").alias("n"))
 
 
-def osm_to_store(elements: DataFrame, zip_points: DataFrame, box: tuple[float, float, float, float] = (24.0, 50.0, -125.0, -66.0)) -> DataFrame:
+def osm_to_store(elements: DataFrame, zip_points: DataFrame, box: tuple[float, float, float, float] = (24.0, 50.0, -125.0, -66.0), prefixes: list[str] | None = None) -> DataFrame:
     """Store rows from map elements (type, id, lat, lon, center, tags): country and box guards, zip from tags or nearest zip point.
 
-    zip_points must be small; each element without a zip is compared with those within half a degree.
+    Elements without a zip meet the zip points of their cell of half a degree and of those around it. prefixes: the first three digits of the
+    zips that stay, all if None.
     """
     t = lambda k: F.try_element_at("tags", F.lit(k))
     lat, lon = F.coalesce("lat", "center.lat"), F.coalesce("lon", "center.lon")
@@ -259,10 +260,13 @@ def osm_to_store(elements: DataFrame, zip_points: DataFrame, box: tuple[float, f
     near = rows.where("tag_zip = ''").select("type", "id", "latitude", "longitude").join(
         around, (F.floor(F.col("latitude") * 2) == F.col("c.i")) & (F.floor(F.col("longitude") * 2) == F.col("c.j"))
     )
-    far = F.pow(F.col("latitude") - F.col("zlat"), 2) + F.pow(F.col("longitude") - F.col("zlon"), 2)
+    turn = F.cos(F.radians((F.col("latitude") + F.col("zlat")) / 2))  # degrees of longitude are shorter than those of latitude
+    far = F.pow(F.col("latitude") - F.col("zlat"), 2) + F.pow((F.col("longitude") - F.col("zlon")) * turn, 2)
     near = near.groupBy("type", "id").agg(F.min_by("near_zip", F.struct(far, "near_zip")).alias("near_zip"))
     out = rows.join(near, ["type", "id"], "left")
     zip_code = F.when(F.col("tag_zip") != "", F.col("tag_zip")).otherwise(F.col("near_zip"))
+    if prefixes is not None:
+        out = out.where(F.substring(zip_code, 1, 3).isin(prefixes))
     street = F.nullif(F.concat_ws(" ", "no", "street"), F.lit(""))
     return out.select("type", "id", "name", "no", "street", "city", "state", zip_code.alias("zip_code"), "latitude", "longitude", F.concat_ws(", ", street, "city", F.concat_ws(" ", "state", zip_code)).alias("full_address"))
 
@@ -271,6 +275,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the folder of spark.checkpoint.dir; a local one only where none is set (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="pricelens-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

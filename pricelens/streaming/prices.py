@@ -80,11 +80,25 @@ def enrich_stream(rows: DataFrame, match: Callable[[DataFrame], DataFrame], sink
     return rows.writeStream.foreachBatch(lambda b, i: sink(match(b), i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def repair_recent(matched: DataFrame, match: Callable[[DataFrame], DataFrame], day: str, as_of: str, days: int = 7) -> DataFrame:
+    """matched with the deals of the days before as_of that have no store (matched_store) given to match again; others are left alone.
+
+    match takes the columns of matched but matched_store, and adds it.
+    """
+    now = F.to_date(F.lit(as_of))
+    again = F.col("matched_store").isNull() & (F.col(day) >= F.date_sub(now, days)) & (F.col(day) < now)
+    todo = F.coalesce(again, F.lit(False))
+    return matched.where(~todo).unionByName(match(matched.where(todo).drop("matched_store")).select(*matched.columns))
+
+
 WEEK, PER_DAY = 7 * 86_400, 3
 
 
 def _cap(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Of one user's sends, the first of a product and retailer in seven days and at most three a day; the state holds what is younger."""
+    if state.hasTimedOut:  # nothing sent for longer than any cap looks back
+        state.remove()
+        return
     sent = json.loads(state.get[0]) if state.exists else []  # (product, retailer, seconds) of passed sends
     out = []
     for r in pd.concat(list(batches)).sort_values(["sent_at", "product"]).itertuples():
@@ -95,13 +109,15 @@ def _cap(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iter
             sent.append([r.product, r.retailer, at])
             out.append((key[0], r.product, r.retailer, r.sent_at))
     state.update((json.dumps(sent),))
+    state.setTimeoutTimestamp(max([state.getCurrentWatermarkMs(), *(1000 * x[2] for x in sent)]) + 1000 * WEEK)
     yield pd.DataFrame(out, columns=["user_id", "product", "retailer", "sent_at"])
 
 
 def capped_sends(rows: DataFrame) -> DataFrame:
-    """A stream of sends (user_id, product, retailer, sent_at) under weekly and daily caps, kept as state of each user."""
+    """A stream of sends (user_id, product, retailer, sent_at) under weekly and daily caps, kept as state of each user for a week after the last."""
     schema = "user_id long, product string, retailer string, sent_at timestamp"
-    return rows.groupBy("user_id").applyInPandasWithState(_cap, schema, "sent string", "append", GroupStateTimeout.NoTimeout)
+    late = rows.withWatermark("sent_at", "7 days")  # rows that come later than that are dropped
+    return late.groupBy("user_id").applyInPandasWithState(_cap, schema, "sent string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def dedup_sends(rows: DataFrame, days: int = 7) -> DataFrame:

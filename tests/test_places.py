@@ -113,3 +113,26 @@ def test_addresses(spark):
     assert tuple(p) == ("1 Main St, Suite 2", "Springfield", "IL", "62704")
     s = spark.createDataFrame([("ABC Grocery Store",), ("Fresh Market #789",), ("##",)], "t string").select(G.retailer_slug(F.col("t")).alias("x"))
     assert [r.x for r in s.collect()] == ["abc", "fresh", None]
+
+
+def test_likeness_of_addresses_equals_plain_python(spark):
+    from difflib import SequenceMatcher
+
+    from pricelens.functions import geo as G
+
+    def plain(a, b):
+        split = lambda x: [w for w in "".join(c if c.isalnum() else " " for c in x.lower()).split()]
+        x, free, total = split(a), split(b), 0.0
+        n = max(len(x), len(free))
+        for w in x:
+            worth = [1.0 if w == y else min(len(w), len(y)) / max(len(w), len(y)) if w.startswith(y) or y.startswith(w) else 0.0 for y in free]
+            if worth and max(worth) > 0:
+                total += max(worth)
+                free.pop(worth.index(max(worth)))
+        return total / n if n else 0.0
+
+    rows = [("12 main", "12 main"), ("12 main x", "main 12"), ("12 maple way", "12 map"), ("a b", ""), ("", ""), ("5 oak 5", "5 5 oaks"), ("one two", "three four")]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", G.token_prefix_sim(F.col("a"), F.col("b")).alias("p"), G.sequence_ratio()(F.col("a"), F.col("b")).alias("r")).collect()
+    for x in got:
+        assert abs(x.p - plain(x.a, x.b)) < 1e-9, (x.a, x.b)
+        assert abs(x.r - SequenceMatcher(None, x.a, x.b).ratio()) < 1e-9
