@@ -149,7 +149,9 @@ def resolve_store(deals: DataFrame, stores: DataFrame) -> DataFrame:
 def deals_near(requests: DataFrame, deals: DataFrame, stores: DataFrame, miles: float, k: int) -> DataFrame:
     """By request (point_id, latitude, longitude): the k cheapest deals of stores within miles, then nearest first."""
     near = geo_join(requests, as_places(stores, "store_id"), miles).select("point_id", "store_id", (F.floor(F.col("distance_miles") * 100 + 0.5) / 100).alias("distance_miles"))
-    d = deals.where("price > 0").join(near, "store_id")
+    # a point's k cheapest are among the k cheapest of each of its stores
+    own = F.row_number().over(Window.partitionBy("store_id").orderBy("price", "deal_id"))
+    d = deals.where("price > 0").select("deal_id", "store_id", "canonical", "price").withColumn("_n", own).where(F.col("_n") <= k).drop("_n").join(near, "store_id")
     n = F.row_number().over(Window.partitionBy("point_id").orderBy("price", "deal_id"))
     d = d.withColumn("_n", n).where(F.col("_n") <= k)
     order = F.row_number().over(Window.partitionBy("point_id").orderBy(F.coalesce("distance_miles", F.lit(999.0)), "price", "deal_id"))

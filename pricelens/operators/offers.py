@@ -281,9 +281,10 @@ def deal_details(requests: DataFrame, deals: DataFrame) -> DataFrame:
 
 def browse(requests: DataFrame, deals: DataFrame, k: int = 2000) -> DataFrame:
     """By request (request_id, zip_code): the cheapest named deals of its zip."""
-    d = deals.where("price > 0 and canonical is not null and canonical <> ''").join(requests, "zip_code")
-    n = F.row_number().over(Window.partitionBy("request_id").orderBy("price", "deal_id"))
-    return d.withColumn("rank", n).where(F.col("rank") <= k).select("request_id", "rank", "deal_id", "canonical", "retailer", "price")
+    d = deals.where("price > 0 and canonical is not null and canonical <> ''").join(requests.select("zip_code").distinct(), "zip_code", "left_semi")
+    n = F.row_number().over(Window.partitionBy("zip_code").orderBy("price", "deal_id"))  # once for each zip
+    top = d.withColumn("rank", n).where(F.col("rank") <= k)
+    return requests.select("request_id", "zip_code").join(top, "zip_code").select("request_id", "rank", "deal_id", "canonical", "retailer", "price")
 
 
 def cart_stores(requests: DataFrame, deals: DataFrame) -> DataFrame:
