@@ -302,11 +302,17 @@ def cart_stores(requests: DataFrame, deals: DataFrame) -> DataFrame:
 
 
 def cart_totals(basket: DataFrame, deals: DataFrame) -> DataFrame:
-    """By (basket_id, retailer, zip): the cheapest of each item, total, items found and missing; basket (basket_id, items)."""
-    asked = basket.select("basket_id", "items", F.explode("items").alias("canonical"))
-    cheapest = deals.join(asked, "canonical").groupBy("basket_id", "items", "retailer", "zip_code", "canonical").agg(F.min("price").alias("price"))
-    g = cheapest.groupBy("basket_id", "items", "retailer", "zip_code").agg(cents(F.sum(F.round(F.col("price") * 100).cast("long")) / 100).alias("total_price"), F.count("*").alias("items_found"), F.collect_set("canonical").alias("found"))
-    return g.select("basket_id", "retailer", "zip_code", "total_price", "items_found", F.size(F.array_except("items", "found")).alias("items_missing"))
+    """By (basket_id, retailer, zip): the cheapest of each item, total, items found and missing; basket (basket_id, canonical), an item a row.
+
+    Items that several baskets ask for are priced once; repeated items count once, null items never.
+    """
+    asked = basket.select("basket_id", "canonical").where("canonical is not null").distinct()
+    priced = deals.join(asked.select("canonical").distinct(), "canonical", "left_semi")
+    cheapest = priced.groupBy("retailer", "zip_code", "canonical").agg(F.min("price").alias("price"))
+    total = cents(F.sum(F.round(F.col("price") * 100).cast("long")) / 100)
+    found = cheapest.join(asked, "canonical").groupBy("basket_id", "retailer", "zip_code").agg(total.alias("total_price"), F.count("*").alias("items_found"))
+    sizes = asked.groupBy("basket_id").agg(F.count("*").alias("z"))
+    return found.join(sizes, "basket_id").select("basket_id", "retailer", "zip_code", "total_price", "items_found", (F.col("z") - F.col("items_found")).cast("int").alias("items_missing"))
 
 
 def nearest_size(items: DataFrame, catalog: DataFrame) -> DataFrame:
