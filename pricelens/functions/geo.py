@@ -15,7 +15,7 @@ US_BOXES = [(24.0, 50.0, -125.0, -66.0), (18.5, 22.5, -161.0, -154.0), (51.0, 72
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = MILES) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return 2 * radius * F.asin(F.when(a > 1, 1.0).otherwise(F.sqrt(a)))  # null where a point is: least() would skip it
 
 
 def cell_size(degrees: float) -> float:
@@ -158,7 +158,15 @@ def token_jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(words(a), words(b))) / union).otherwise(0.0)
 
 
-STATES = {"texas": "TX", "california": "CA", "florida": "FL", "new york": "NY", "illinois": "IL", "ohio": "OH", "georgia": "GA", "arizona": "AZ"}
+#: The states and the capital's district.
+STATES = {
+    "alabama": "AL", "alaska": "AK", "arizona": "AZ", "arkansas": "AR", "california": "CA", "colorado": "CO", "connecticut": "CT", "delaware": "DE", "district of columbia": "DC",
+    "florida": "FL", "georgia": "GA", "hawaii": "HI", "idaho": "ID", "illinois": "IL", "indiana": "IN", "iowa": "IA", "kansas": "KS", "kentucky": "KY", "louisiana": "LA", "maine": "ME",
+    "maryland": "MD", "massachusetts": "MA", "michigan": "MI", "minnesota": "MN", "mississippi": "MS", "missouri": "MO", "montana": "MT", "nebraska": "NE", "nevada": "NV",
+    "new hampshire": "NH", "new jersey": "NJ", "new mexico": "NM", "new york": "NY", "north carolina": "NC", "north dakota": "ND", "ohio": "OH", "oklahoma": "OK", "oregon": "OR",
+    "pennsylvania": "PA", "rhode island": "RI", "south carolina": "SC", "south dakota": "SD", "tennessee": "TN", "texas": "TX", "utah": "UT", "vermont": "VT", "virginia": "VA",
+    "washington": "WA", "west virginia": "WV", "wisconsin": "WI", "wyoming": "WY",
+}
 
 
 def norm_state_alias(c: Column, names: dict[str, str] = STATES) -> Column:
@@ -168,17 +176,40 @@ def norm_state_alias(c: Column, names: dict[str, str] = STATES) -> Column:
     return F.coalesce(F.try_element_at(table, s), F.when(F.length(s) == 2, F.upper(s)))
 
 
+#: Directions and kinds of streets that count as the same word.
+DIRECTIONS = {
+    "n": "n", "north": "n", "s": "s", "south": "s", "e": "e", "east": "e", "w": "w", "west": "w",
+    "ne": "ne", "northeast": "ne", "nw": "nw", "northwest": "nw", "se": "se", "southeast": "se", "sw": "sw", "southwest": "sw",
+}
+STREETS = {
+    "st": "st", "street": "st", "ave": "ave", "avenue": "ave", "blvd": "blvd", "boulevard": "blvd", "rd": "rd", "road": "rd", "dr": "dr", "drive": "dr", "ln": "ln", "lane": "ln",
+    "pkwy": "pkwy", "parkway": "pkwy", "hwy": "hwy", "highway": "hwy", "pl": "pl", "place": "pl", "ct": "ct", "court": "ct", "cir": "cir", "circle": "cir", "ter": "ter", "terrace": "ter",
+    "way": "way", "loop": "loop", "trail": "trl", "trl": "trl", "expy": "expy", "expressway": "expy",
+}
+
+
+def short_streets(c: Column) -> Column:
+    """An address in title case whose last word, before a comma or the end, is written short if it is a kind of street."""
+    for word, short in STREETS.items():
+        if word != short:
+            c = F.regexp_replace(c, rf"(?i)(?<=\S )\b{word}(?=$|,)", short.capitalize())
+    return c
+
+
 def token_prefix_sim(a: Column, b: Column) -> Column:
     """Share of a's words that find a word of b, each at most once: equal words count 1, prefixes the ratio of their lengths.
 
-    Words are matched in order, each with the best free partner.
+    Names of one direction or of one kind of street are equal; words of one character are no prefixes. Words are matched in order,
+    each with the best free partner, the first of equally good ones.
     """
-    words = lambda x: F.array_remove(F.split(F.trim(F.regexp_replace(highway_alias(x), "[^a-z0-9]+", " ")), " "), "")
+    words = lambda x: F.array_remove(F.split(F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " ")), " "), "")
     wa, wb = words(a), words(b)
+    alias = F.create_map(*[F.lit(x) for kv in (DIRECTIONS | STREETS).items() for x in kv])
 
     def worth(x: Column, y: Column) -> Column:
         short, long = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
-        return F.when(x == y, 1.0).when(F.startswith(x, y) | F.startswith(y, x), short / long).otherwise(0.0)
+        same = (x == y) | F.coalesce(F.try_element_at(alias, x) == F.try_element_at(alias, y), F.lit(False))
+        return F.when(same, 1.0).when((short > 1) & (F.startswith(x, y) | F.startswith(y, x)), short / long).otherwise(0.0)
 
     def step(acc: Column, x: Column) -> Column:
         options = F.transform(acc["free"], lambda y, i: F.struct(worth(x, y).alias("w"), (-i).alias("i"), y.alias("y")))

@@ -83,6 +83,39 @@ def canonical_retailer(c: Column, types: dict[str, str] = {"supercenter": "Super
     return F.struct(bare.alias("retailer"), kind.alias("store_type"))
 
 
+#: What follows the retailer's name, and the type of store it means.
+VARIANTS = {
+    "walmart": {
+        "supercenter": "Supercenter", "super center": "Supercenter", "neighborhood market": "Neighborhood Market", "neighborhood": "Neighborhood Market",
+        "business center": "Business Center", "fuel center": "Fuel Center", "discount": "Discount",
+    }
+}
+
+
+def normalize_retailer(raw: Column, raw_type: Column, names: dict[str, str], variants: dict[str, dict[str, str]] = VARIANTS) -> Column:
+    """(retailer, store_type, notes): a name by its token from names, else a retailer's variant, else title case; a variant's type goes before raw_type.
+
+    notes say what was changed. Null names stay null and keep their type.
+    """
+    raw, raw_type = F.nullif(F.trim(raw), F.lit("")), geo.title_dir(F.nullif(F.trim(raw_type), F.lit("")))
+    token = retailer_token(raw)
+    pairs = {**{t: (n, None) for t, n in names.items()}, **{f"{r} {end}": (r.title(), kind) for r, ends in variants.items() for end, kind in ends.items()}}
+    table = F.create_map(*[x for t, (n, kind) in pairs.items() for x in (F.lit(t), F.struct(F.lit(n).alias("n"), F.lit(kind).cast("string").alias("k")))])
+    known = F.try_element_at(table, token)
+    shown = F.coalesce(known["n"], geo.title_dir(raw))
+    notes = _when_notes(
+        (known.isNotNull(), F.concat(F.lit("retailer canonicalized: "), raw, F.lit(" -> "), known["n"])),
+        (known.isNull() & (shown != raw), F.concat(F.lit("retailer normalized: "), raw, F.lit(" -> "), shown)),
+        (known["k"].isNotNull(), F.concat(F.lit("store_type inferred from retailer variant: "), known["k"])),
+        (known["k"] != raw_type, F.concat(F.lit("store_type overridden by retailer variant: "), raw_type, F.lit(" -> "), known["k"])),
+    )
+    return F.struct(shown.alias("retailer"), F.coalesce(known["k"], raw_type).alias("store_type"), notes.alias("notes"))
+
+
+def _when_notes(*notes: tuple[Column, Column]) -> Column:
+    return F.array_compact(F.array(*[F.when(holds, text) for holds, text in notes]))
+
+
 def classify_geocode(stores: DataFrame, zips: DataFrame, km: float = 50.0) -> DataFrame:
     """stores with verdict outside_us, wrong_city or ok, and km_from_zip."""
     z = zips.select("zip_code", F.col("latitude").alias("zlat"), F.col("longitude").alias("zlon"))
@@ -277,8 +310,8 @@ def combine(checks: DataFrame) -> DataFrame:
 
 
 def repair(stores: DataFrame) -> DataFrame:
-    """The automatic repairs: case, spaces, directions, road names, retailer key."""
-    fix = {"address": geo.title_dir(F.regexp_replace("address", r"[.,]+", "")), "city": geo.norm_city(F.col("city")), "state": geo.norm_state(F.col("state")), "zip_code": geo.norm_zip(F.col("zip_code"))}
+    """The automatic repairs: case, spaces, directions, kinds of streets written short, dots and commas that end a word, retailer key."""
+    fix = {"address": geo.short_streets(geo.title_dir(F.regexp_replace(F.regexp_replace("address", r"\.(?!\d)|(?<!\d)\.", ""), r"[,\s]*,[,\s]*$|,(?=\s*,)", ""))), "city": geo.norm_city(F.col("city")), "state": geo.norm_state(F.col("state")), "zip_code": geo.norm_zip(F.col("zip_code"))}
     d = stores.withColumns(fix).withColumn("full_address", geo.compose_address(F.col("address"), F.col("city"), F.col("state"), F.col("zip_code")))
     return d.withColumn("retailer_key", F.coalesce(geo.retailer_slug(F.col("retailer")), "retailer_key"))
 

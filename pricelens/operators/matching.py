@@ -98,29 +98,52 @@ def radius_of(key: Column, radii: dict[str, float] = RADII) -> Column:
 def match_store(deals: DataFrame, stores: DataFrame, zips: DataFrame, radii: dict[str, float] = RADII) -> DataFrame:
     """By deal (id, retailer_key, zip_code, store_lat, store_lng): the store by banner key, exact zip first, else nearest within the retailer's radius.
 
-    Only stores with valid coordinates count. match_confidence: zip_single, zip_multi, nearest_within_radius,
-    no_store_within_radius, no_point or no_catalog; candidate_store_ids by distance.
+    Only stores with valid coordinates count. A key without any takes the stores whose retailer is named like the deal's (retailer, in both
+    tables or not at all; case and outer spaces don't count). match_confidence: zip_single, zip_multi, nearest_within_radius,
+    no_store_within_radius, no_point or no_catalog; candidate_store_ids by distance. Deals that ask alike are matched once, so that
+    stores meet distinct keys, zips and points.
     """
-    d = deals.withColumn("key", banner_key(F.col("retailer_key"))).join(zips.select("zip_code", F.col("latitude").alias("zlat"), F.col("longitude").alias("zlon")), "zip_code", "left")
+    named = "retailer" in deals.columns and "retailer" in stores.columns
     own = valid_coord(F.col("store_lat"), F.col("store_lng"))
-    d = d.withColumns({"latitude": F.when(own, F.col("store_lat")).otherwise(F.col("zlat")), "longitude": F.when(own, F.col("store_lng")).otherwise(F.col("zlon"))})
+    name = F.lower(F.trim("retailer")) if named else F.lit(None).cast("string")
+    d = deals.select("id", banner_key(F.col("retailer_key")).alias("key"), name.alias("name"), "zip_code", F.when(own, F.col("store_lat")).alias("own_lat"), F.when(own, F.col("store_lng")).alias("own_lng"))
+    ask = ["key", "name", "zip_code", "own_lat", "own_lng"]
     s = stores.where(valid_coord(F.col("latitude"), F.col("longitude"))).withColumn("key", banner_key(F.col("retailer_key")))
-    known = s.select("key").distinct().withColumn("known", F.lit(True))
+    shelf = s.select("*", F.concat(F.lit("key "), "key").alias("shelf"))
+    if named:
+        shelf = shelf.unionByName(s.withColumn("shelf", F.concat(F.lit("name "), F.lower(F.trim("retailer")))))
+    has = lambda c, flag: shelf.select(F.col("shelf").alias(c)).distinct().withColumn(flag, F.lit(True))
+    a = d.select(ask).distinct().join(zips.select("zip_code", F.col("latitude").alias("zlat"), F.col("longitude").alias("zlon")), "zip_code", "left")
+    a = a.withColumns({"by_key": F.concat(F.lit("key "), "key"), "by_name": F.concat(F.lit("name "), "name")}).join(has("by_key", "_k"), "by_key", "left").join(has("by_name", "_n"), "by_name", "left")
+    a = a.withColumn("shelf", F.when(F.col("_k"), F.col("by_key")).when(F.col("_n"), F.col("by_name")))
+    a = a.withColumns({"latitude": F.coalesce("own_lat", "zlat"), "longitude": F.coalesce("own_lng", "zlon")})
+    pointed = valid_coord(F.col("latitude"), F.col("longitude"))
+    a = a.select(*ask, "shelf", F.when(pointed, F.col("latitude")).alias("latitude"), F.when(pointed, F.col("longitude")).alias("longitude"))
+    places = shelf.select("shelf", "zip_code", F.col("id").alias("cand"), F.col("key").alias("cand_key"), F.col("latitude").alias("plat"), F.col("longitude").alias("plon"))
     dist = haversine(F.col("latitude"), F.col("longitude"), F.col("plat"), F.col("plon"))
-    same = d.join(as_places(s, "id", "key", "zip_code").withColumnRenamed("id", "cand"), ["key", "zip_code"]).withColumn("distance_miles", dist)
-    widest = max([DEFAULT_RADIUS, *radii.values()])
-    near = geo_join(d, as_places(s, "id", "key").withColumnRenamed("id", "cand"), widest, ["key"], radius_of(F.col("key"), radii))
-    pick = lambda x: x.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("distance_miles", F.lit(0.0)).alias("miles"), "cand"))).alias("c"))
-    d = d.join(known, "key", "left").join(pick(same).withColumnRenamed("c", "zip_c"), "id", "left").join(pick(near).withColumnRenamed("c", "near_c"), "id", "left")
+    same = a.join(places, ["shelf", "zip_code"]).withColumn("distance_miles", dist)
+    near = geo_join(a, places.drop("zip_code"), max([DEFAULT_RADIUS, *radii.values()]), ["shelf"], radius_of(F.col("key"), radii))
+    hit = F.struct(F.col("distance_miles").alias("miles"), "cand", "cand_key")
+    pick = lambda x, name: x.groupBy(*ask).agg(F.array_sort(F.collect_list(hit)).alias(name))
+    for found in (pick(same, "zip_c"), pick(near, "near_c")):
+        a = _join_null_safe(a, found, ask)
     cands = F.coalesce("zip_c", "near_c")
     how = (
         F.when(F.size("zip_c") == 1, "zip_single").when(F.size("zip_c") > 1, "zip_multi").when(F.size("near_c") > 0, "nearest_within_radius")
-        .when(F.col("known").isNull(), "no_catalog").when(~valid_coord(F.col("latitude"), F.col("longitude")), "no_point").otherwise("no_store_within_radius")
+        .when(F.col("shelf").isNull(), "no_catalog").when(F.col("latitude").isNull(), "no_point").otherwise("no_store_within_radius")
     )
-    return d.select(
-        "id", cands[0]["cand"].alias("store_id"), how.alias("match_confidence"), F.coalesce(F.size(cands), F.lit(0)).alias("candidate_store_count"),
-        F.transform(cands, lambda c: c["cand"]).alias("candidate_store_ids"), cands[0]["miles"].alias("distance_miles"), F.when(cands.isNotNull(), F.col("key")).alias("store_retailer_key"),
+    a = a.select(
+        *ask, cands[0]["cand"].alias("store_id"), how.alias("match_confidence"), F.coalesce(F.size(cands), F.lit(0)).alias("candidate_store_count"),
+        F.transform(cands, lambda c: c["cand"]).alias("candidate_store_ids"), cands[0]["miles"].alias("distance_miles"), cands[0]["cand_key"].alias("store_retailer_key"),
     )
+    return _join_null_safe(d, a, ask).drop(*ask)
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with right's further columns, by keys that are equal or both null."""
+    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(r, on, "left").drop(*[f"_r_{k}" for k in keys])
 
 
 def repair_store_ids(deals: DataFrame, stores: DataFrame, zips: DataFrame) -> DataFrame:
@@ -173,6 +196,28 @@ def nearest_per_retailer(points: DataFrame, stores: DataFrame, miles: float) ->
     return g.select("point_id", "retailer_key", "b.store_id", (F.floor(F.col("b.distance_miles") * 100 + 0.5) / 100).alias("distance_miles"))
 
 
+def store_of_request(requests: DataFrame, stores: DataFrame, miles: float) -> DataFrame:
+    """By request (request_id, retailer, zip_code and the user's latitude and longitude): one store of the retailer, found_by and distance_miles.
+
+    A retailer is known by its key (letters and digits only) or by its name (stores.retailer). The store is the one nearest to the user within
+    miles that has a real position; without any, or without a user's point, that of the request's zip, by key first. Requests that ask
+    alike are answered once.
+    """
+    said = F.lower(F.trim("retailer"))
+    bare = F.regexp_replace(said, "[^a-z0-9]", "")
+    ask = ["retailer", "zip_code", "latitude", "longitude"]
+    a = requests.select(ask).distinct().select("*", F.explode(F.array(F.struct(F.concat(F.lit("key "), bare).alias("shelf"), F.lit(0).alias("way")), F.struct(F.concat(F.lit("name "), said).alias("shelf"), F.lit(1).alias("way")))).alias("s"))
+    a = a.select(*ask, "s.shelf", "s.way")
+    shelves = F.explode(F.array_distinct(F.array(F.concat(F.lit("key "), "retailer_key"), F.concat(F.lit("name "), said)))).alias("shelf")
+    s = stores.where(valid_coord(F.col("latitude"), F.col("longitude"))).select("store_id", F.trim("zip_code").alias("store_zip"), "geocode_confidence", F.col("latitude").alias("plat"), F.col("longitude").alias("plon"), shelves)
+    real = s.where(~F.coalesce("geocode_confidence", F.lit("zip")).isin("zip_centroid", "zip"))
+    near = geo_join(a, real, miles, ["shelf"]).groupBy(*ask).agg(F.min_by(F.struct("store_id", "distance_miles"), F.struct("distance_miles", "store_id")).alias("near"))
+    there = a.join(s, [a.shelf == s.shelf, F.trim("zip_code") == F.col("store_zip")]).groupBy(*ask).agg(F.min_by("store_id", F.struct("way", "store_id")).alias("there"))
+    d = _join_null_safe(_join_null_safe(requests.select("request_id", *ask), near, ask), there, ask)
+    by = F.when(F.col("near").isNotNull(), "nearest").when(F.col("there").isNotNull(), "zip").otherwise("none")
+    return d.select("request_id", F.coalesce("near.store_id", "there").alias("store_id"), by.alias("found_by"), (F.floor(F.col("near.distance_miles") * 100 + 0.5) / 100).alias("distance_miles"))
+
+
 def retailer_proximity(points: DataFrame, stores: DataFrame, retailers: list[str], miles: float = 10.0) -> DataFrame:
     """By point: whether each retailer has a store within miles."""
     near = geo_join(points, as_places(stores.where(F.col("retailer_key").isin(retailers)), "retailer_key"), miles)

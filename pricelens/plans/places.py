@@ -43,6 +43,26 @@ def j9_nearest_per_retailer(spark: SparkSession, sf: str) -> DataFrame:
     return M.nearest_per_retailer(_points(spark), S.stores(spark, sf), 25.0)
 
 
+_ASKED = """asked AS (SELECT retailer || '/' || zip_code AS request_id, 'retailer_' || replace(retailer, 'retailer_', '') AS retailer_key, zip_code, zip_code::BIGINT % 2 = 0 AS pointed FROM (SELECT DISTINCT retailer, zip_code FROM deals))"""
+
+
+@query(_sql("deals stores zips", [_ASKED], f"""SELECT request_id, coalesce(a, b) AS store_id, CASE WHEN a IS NOT NULL THEN 'nearest' WHEN b IS NOT NULL THEN 'zip' ELSE 'none' END AS found_by, {c2("miles")} AS distance_miles FROM asked LEFT JOIN (
+  SELECT request_id, arg_min(store_id, (m, store_id)) AS a, min(m) AS miles FROM (SELECT request_id, store_id, {hav("z.latitude", "z.longitude", "s.latitude", "s.longitude")} AS m FROM asked JOIN zips z USING (zip_code) JOIN stores s USING (retailer_key) WHERE pointed AND geocode_confidence = 'high') WHERE m <= 25 GROUP BY 1) USING (request_id)
+  LEFT JOIN (SELECT request_id, min(store_id) AS b FROM asked JOIN stores USING (retailer_key, zip_code) GROUP BY 1) USING (request_id)"""))
+def j9_store_of_request(spark: SparkSession, sf: str) -> DataFrame:
+    n = lambda c: F.regexp_extract(c, r"(\d+)$", 1)
+    by_name = lambda c: n(c).cast("int") % 3 == 0
+    p = S.deals(spark, sf).select("retailer", "zip_code").distinct().join(S.zips(spark), "zip_code", "left")
+    here = F.col("zip_code").cast("long") % 2 == 0
+    asked = p.select(
+        F.concat_ws("/", "retailer", "zip_code").alias("request_id"), F.when(by_name("retailer"), F.concat(F.lit(" RETAILER "), n("retailer"))).otherwise(F.concat(F.lit("Retailer-"), n("retailer"))).alias("retailer"), "zip_code",
+        F.when(here, F.col("latitude")).alias("latitude"), F.when(here, F.col("longitude")).alias("longitude"),
+    )
+    k = n("retailer_key")
+    s = S.stores(spark, sf).withColumn("retailer", F.concat(F.lit("Retailer "), k)).withColumn("retailer_key", F.concat(F.when(by_name("retailer_key"), "other").otherwise("retailer"), k))
+    return M.store_of_request(asked, s, 25.0)
+
+
 _DN = """dn AS (SELECT point_id, deal_id, d.store_id, canonical, price, distance_miles, slat, slon FROM (SELECT point_id, deals.*, distance_miles, slat, slon, row_number() OVER (PARTITION BY point_id ORDER BY price, deal_id) AS k
   FROM deals JOIN near USING (store_id) WHERE price > 0) d WHERE k <= 50)"""
 
@@ -112,6 +132,14 @@ def j6_match_store(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("id", "store_id", "match_confidence", "candidate_store_count", (F.floor(F.col("distance_miles") * 100 + 0.5) / 100).alias("miles"))
 
 
+@query(_sql("deals stores zips", [_PAIRS, _J6], "SELECT id, store_id, match_confidence, CASE WHEN store_id IS NOT NULL THEN 'own_' || split_part(id, '/', 1) END AS key FROM j6"))
+def j6_match_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    d, s, z = _match_input(spark, sf)
+    d = d.withColumns({"retailer": F.upper("retailer_key"), "retailer_key": F.concat(F.lit("unknown_"), "retailer_key")})
+    s = s.withColumns({"retailer": F.concat(F.lit(" "), "retailer_key"), "retailer_key": F.concat(F.lit("own_"), "retailer_key")})
+    return M.match_store(d, s, z).select("id", "store_id", "match_confidence", F.col("store_retailer_key").alias("key"))
+
+
 @query(_sql("deals stores zips", [_PAIRS, _J6], "SELECT id, store_id, CASE WHEN store_id IS NULL THEN match_confidence ELSE 'remapped' END AS reason FROM j6"))
 def j18_repair_store_ids(spark: SparkSession, sf: str) -> DataFrame:
     d, s, z = _match_input(spark, sf)

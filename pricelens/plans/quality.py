@@ -78,6 +78,20 @@ def g6_canonical_retailer(spark: SparkSession, sf: str) -> DataFrame:
     return S.table(spark, sf, "part").select("p_partkey", c["retailer"].alias("token"), c["store_type"].alias("store_type"))
 
 
+@query(
+    """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Walmart' WHEN 1 THEN 'Sam''s Club' WHEN 2 THEN p_brand WHEN 3 THEN 'Wal Mart Discount ' || p_size END AS shown,
+  CASE WHEN p_partkey % 5 = 0 THEN 'Supercenter' WHEN p_size % 2 = 0 THEN 'Discount' END AS store_type, CASE p_partkey % 5
+    WHEN 0 THEN 'retailer canonicalized: WALMART Supercenter -> Walmart; store_type inferred from retailer variant: Supercenter' || CASE WHEN p_size % 2 = 0 THEN '; store_type overridden by retailer variant: Discount -> Supercenter' ELSE '' END
+    WHEN 1 THEN 'retailer canonicalized: SAM''S CLUB -> Sam''s Club' WHEN 2 THEN 'retailer normalized: ' || lower(p_brand) || ' -> ' || p_brand
+    WHEN 3 THEN 'retailer normalized: wal-mart discount ' || p_size || ' -> Wal Mart Discount ' || p_size ELSE '' END AS notes FROM part"""
+)
+def g6_normalize_retailer(spark: SparkSession, sf: str) -> DataFrame:
+    k, size = F.col("p_partkey") % 5, F.col("p_size")
+    raw = F.when(k == 0, "WALMART Supercenter").when(k == 1, "SAM'S CLUB").when(k == 2, F.lower("p_brand")).when(k == 3, F.concat(F.lit("wal-mart discount "), size))
+    c = C.normalize_retailer(raw, F.when(size % 2 == 0, " discount"), {"sams club": "Sam's Club"})
+    return S.table(spark, sf, "part").select("p_partkey", c["retailer"].alias("shown"), c["store_type"].alias("store_type"), F.array_join(c["notes"], "; ").alias("notes"))
+
+
 _ADDRESS = "p_size || '-' || p_size || '   ' || p_name || CASE p_partkey % 4 WHEN 0 THEN ' St., Ste. #' || p_size WHEN 1 THEN ' SR 5, Suite 4B' WHEN 2 THEN ' Blvd, unit ' || p_size ELSE ' US Hwy 9' END"
 
 
@@ -175,6 +189,14 @@ def c9_c10_verify_repair(spark: SparkSession, sf: str) -> DataFrame:
     return C.verify_repair(_stores(spark, sf), S.zips(spark)).select("store_id", "status")
 
 
+@query("SELECT p_partkey, p_size || ' ' || upper(p_name[1]) || p_name[2:length(p_name) - length(split_part(p_name, ' ', -1))] || upper(split_part(p_name, ' ', -1)[1]) || split_part(p_name, ' ', -1)[2:] || CASE p_partkey % 3 WHEN 0 THEN ' St' WHEN 1 THEN ' SW Pkwy' ELSE ' Ave, Apt 1.5' END AS address FROM part WHERE length(p_name) - length(replace(p_name, ' ', '')) = 1")
+def c9_repair_address(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey") % 3
+    end = F.when(k == 0, "  STREET.,").when(k == 1, "-sw parkway").otherwise(" avenue, apt. 1.5 , ")
+    d = S.table(spark, sf, "part").where("p_name rlike '^[^ ]+ [^ ]+$'").select("p_partkey", F.concat("p_size", F.lit(" "), "p_name", end).alias("address"), *[F.lit(None).cast("string").alias(c) for c in ("city", "state", "zip_code", "retailer", "retailer_key")])
+    return C.repair(d).select("p_partkey", "address")
+
+
 @query(_sql("stores", [RAW], "SELECT store_id, store_id % 2 = 0 AS evidence FROM raw"))
 def c6_external_evidence(spark: SparkSession, sf: str) -> DataFrame:
     d = _stores(spark, sf).drop_duplicates(["retailer_key", "zip_code"])

@@ -44,6 +44,28 @@ def test_radius_by_banner(spark):
     assert far.match_confidence == "no_store_within_radius" and near.store_id == 5
 
 
+def test_name_stands_in_for_a_key_without_stores(spark):
+    stores = [(1, "own", "90001", 34.0, -118.0, " El Super"), (2, "own", "90001", 34.1, -118.0, "EL SUPER"), (3, "aldi", "90001", 34.0, -118.0, "Aldi")]
+    deals = [(1, "elsuper", "90001", None, None, "el super "), (2, "aldi", "90001", None, None, "el super"), (3, "elsuper", "90001", 34.09, -118.0, "el super"), (4, None, None, None, None, None), (5, "elsuper", "90001", None, None, "el super")]
+    out = M.match_store(spark.createDataFrame(deals, DEAL + ", retailer string"), spark.createDataFrame(stores, STORE + ", retailer string"), spark.createDataFrame([("90001", 34.0, -118.0)], ZIPS))
+    got = {r.id: (r.store_id, r.match_confidence, r.candidate_store_count, r.store_retailer_key) for r in out.collect()}
+    assert got == {1: (1, "zip_multi", 2, "own"), 2: (3, "zip_single", 1, "aldi"), 3: (2, "zip_multi", 2, "own"), 4: (None, "no_catalog", 0, None), 5: (1, "zip_multi", 2, "own")}
+
+
+def test_store_without_a_point_to_measure_from(spark):
+    m = match(spark, [(7, "aldi", "90001", 34.0, -118.0), (8, "aldi", "90002", 34.0, -118.0)], (1, "aldi", "90001", None, None))
+    assert (m.store_id, m.match_confidence, m.distance_miles) == (7, "zip_single", None)
+    assert match(spark, [(7, "aldi", "90001", 34.0, -118.0)], (1, "aldi", "90009", None, None)).match_confidence == "no_point"
+
+
+def test_unknown_places_are_not_far(spark):
+    d = spark.createDataFrame([(None, 1.0, 2.0, 3.0), (1.0, 2.0, 1.0, 2.0), (0.0, 0.0, 0.0, 180.0)], "a double, b double, c double, d double")
+    got = [r.x for r in d.select(G.haversine(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("x")).collect()]
+    assert got[:2] == [None, 0.0] and abs(got[2] - 12436.937) < 0.01
+    s = spark.createDataFrame([("r", "r", "1 A St", "B", "CA", "99999", 34.0, -118.0, None)], "retailer string, retailer_key string, address string, city string, state string, zip_code string, latitude double, longitude double, full_address string")
+    assert C.verify(s, spark.createDataFrame([("90001", 34.0, -118.0)], ZIPS)).first().issues == []
+
+
 def test_geo_join_equals_brute_force(spark):
     import random
 
@@ -120,18 +142,23 @@ def test_likeness_of_addresses_equals_plain_python(spark):
 
     from pricelens.functions import geo as G
 
+    names = [{"n", "north"}, {"sw", "southwest"}, {"st", "street"}, {"trl", "trail"}]
+
+    def like(x, y):
+        return x == y or any({x, y} <= s for s in names)
+
     def plain(a, b):
         split = lambda x: [w for w in "".join(c if c.isalnum() else " " for c in x.lower()).split()]
         x, free, total = split(a), split(b), 0.0
         n = max(len(x), len(free))
         for w in x:
-            worth = [1.0 if w == y else min(len(w), len(y)) / max(len(w), len(y)) if w.startswith(y) or y.startswith(w) else 0.0 for y in free]
+            worth = [1.0 if like(w, y) else min(len(w), len(y)) / max(len(w), len(y)) if min(len(w), len(y)) > 1 and (w.startswith(y) or y.startswith(w)) else 0.0 for y in free]
             if worth and max(worth) > 0:
                 total += max(worth)
                 free.pop(worth.index(max(worth)))
         return total / n if n else 0.0
 
-    rows = [("12 main", "12 main"), ("12 main x", "main 12"), ("12 maple way", "12 map"), ("a b", ""), ("", ""), ("5 oak 5", "5 5 oaks"), ("one two", "three four")]
+    rows = [("12 main", "12 main"), ("12 main x", "main 12"), ("12 maple way", "12 map"), ("a b", ""), ("", ""), ("5 oak 5", "5 5 oaks"), ("one two", "three four"), ("5 n oak st", "5 North Oak Street"), ("9 sw trail", "southwest 9 trl."), ("s 5", "s5 south 5"), ("stone", "st street"), ("7 a", "7 able")]
     got = spark.createDataFrame(rows, "a string, b string").select("a", "b", G.token_prefix_sim(F.col("a"), F.col("b")).alias("p"), G.sequence_ratio()(F.col("a"), F.col("b")).alias("r")).collect()
     for x in got:
         assert abs(x.p - plain(x.a, x.b)) < 1e-9, (x.a, x.b)
