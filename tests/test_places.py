@@ -142,7 +142,7 @@ def test_likeness_of_addresses_equals_plain_python(spark):
 
     from pricelens.functions import geo as G
 
-    names = [{"n", "north"}, {"sw", "southwest"}, {"st", "street"}, {"trl", "trail"}]
+    names = [{"n", "north"}, {"s", "south"}, {"sw", "southwest"}, {"st", "street"}, {"trl", "trail"}]
 
     def like(x, y):
         return x == y or any({x, y} <= s for s in names)
