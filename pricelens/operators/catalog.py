@@ -345,6 +345,14 @@ def resolution_payload(candidates: DataFrame) -> DataFrame:
     return g.select("deal_id", F.struct(F.col("c")[0]["store_id"].alias("store_id"), F.col("c")[0]["latitude"].alias("latitude"), F.col("c")[0]["longitude"].alias("longitude"), F.transform("c", lambda x: x["store_id"]).alias("candidate_store_ids"), F.col("c")[0]["stage"].alias("stage")).alias("payload"))
 
 
+def candidate_buckets(candidates: DataFrame) -> DataFrame:
+    """By deal: its own stores (id not null) and external ones (seq), each nearest first; candidates (deal_id, id, seq, distance_miles)."""
+    place = F.struct(F.coalesce("distance_miles", F.lit(999_999.0)).alias("m"), F.col("id").alias("i"), F.col("seq").alias("s"))
+    g = candidates.groupBy("deal_id").agg(F.array_sort(F.collect_list(place)).alias("c"))
+    of = lambda keep, field: F.transform(F.filter("c", keep), lambda x: x[field])
+    return g.select("deal_id", of(lambda x: x["i"].isNotNull(), "i").alias("local"), of(lambda x: x["i"].isNull(), "s").alias("external"))
+
+
 def merge_issues(*lists: Column) -> Column:
     """Issue names of several lists, each once, in order of first sight."""
     return F.array_distinct(F.flatten(F.array(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists])))

@@ -371,6 +371,16 @@ def c11_j23_payload(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("deal_id", F.col("payload.stage").alias("stage"), F.col("payload.store_id").alias("first"))
 
 
+@query(_sql("deals", [], "SELECT deal_id, CASE WHEN deal_id % 2 = 0 THEN store_id + 1 || ',' || store_id ELSE store_id || ',' || store_id + 1 END AS local, CASE WHEN deal_id % 3 = 0 THEN '1,2' ELSE '2,1' END AS external FROM (SELECT deal_id, min(store_id) AS store_id FROM deals GROUP BY 1)"))
+def j23_candidate_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    d, k, s = S.deals(spark, sf).groupBy("deal_id").agg(F.min("store_id").alias("store_id")), F.col("deal_id"), F.col("store_id")
+    one = lambda i, n, miles: F.struct(i.alias("id"), F.lit(n).alias("seq"), miles.cast("double").alias("distance_miles"))
+    none = F.lit(None).cast("long")
+    c = F.array(one(s, 0, F.when(k % 2 == 0, 9).otherwise(2)), one(none, 1, F.when(k % 3 == 0, 1)), one(s + 1, 0, F.lit(3)), one(none, 2, F.lit(5)))
+    b = C.candidate_buckets(d.select("deal_id", F.explode(c).alias("c")).select("deal_id", "c.*"))
+    return b.select("deal_id", F.array_join("local", ",").alias("local"), F.array_join("external", ",").alias("external"))
+
+
 @query(_sql("stores", [], "SELECT store_id AS id, zip_code, store_id || ' Main St, Town, CA ' || zip_code AS full_address FROM stores"))
 def s5_osm_to_store(spark: SparkSession, sf: str) -> DataFrame:
     s = S.stores(spark, sf).withColumn("longitude", F.col("longitude") + 0.0)
