@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, langid, licenses, pieces, repeats, simhash, token_files, vectors, warc
+from . import conversations, decontaminate, html_text, imatch, langid, licenses, phrases, pieces, repeats, simhash, token_files, vectors, warc
 from .common import scratch_path, table
 
 #: Folder of the public tokenizers' vocabulary files.
@@ -62,6 +62,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.summary(table(spark, sf_dir, "conversations"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -75,7 +87,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_embedding_dedup,
         op9_decontaminate,
         op10_language,
+        op11_conversation_repair,
+        op12_collocations,
+        op13_imatch,
     )
 }
 
-SQL: dict[str, str] = {"op1_warc": warc.SQL, "op8_embedding_dedup": vectors.SQL}
+SQL: dict[str, str] = {
+    "op1_warc": warc.SQL,
+    "op8_embedding_dedup": vectors.SQL,
+    "op11_conversation_repair": conversations.SQL,
+    "op12_collocations": phrases.SQL,
+    "op13_imatch": imatch.SQL,
+}
