@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import name_similarity, price_per_oz, size_key, word_sort
-from ..sources.tables import cents, small
+from ..sources.tables import cents
+from .containment import contained
 
 PRODUCE = "apple banana orange lettuce tomato potato onion carrot pepper grape berry melon peach plum corn".split()
 
@@ -53,11 +57,15 @@ def no_produce(c: Column) -> Column:
 
 
 def trim_outliers(df: DataFrame, keys: list[str], price: str = "price", factor: float = 2.0) -> DataFrame:
-    """Groups of three or more lose prices above factor times their median, unless that would empty them."""
-    w = Window.partitionBy(*keys)
-    d = df.withColumn("_n", F.count("*").over(w)).withColumn("_m", F.median(price).over(w))
-    d = d.withColumn("_ok", (F.col("_n") < 3) | (F.col(price) <= factor * F.col("_m"))).withColumn("_any", F.max("_ok").over(w))
-    return d.where("_ok or not _any").drop("_n", "_m", "_ok", "_any")
+    """Groups of three or more lose prices above factor times their median, unless that would empty them.
+
+    Medians come from the counts of each price, so that a group with many rows is not one task's. Rows with a null in a key are a group as well.
+    """
+    by_price = df.groupBy(*keys, F.col(price).alias("_p")).agg(F.count("*").alias("_c"))
+    bound = by_price.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.sum("_c").alias("_n"), F.expr("percentile(_p, 0.5, _c)").alias("_m"), F.min("_p").alias("_low"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    kept = (F.col("_n") < 3) | (F.col(price) <= factor * F.col("_m")) | ~F.coalesce(F.col("_low") <= factor * F.col("_m"), F.lit(False))
+    return df.join(bound, same).where(kept).select(*df.columns)
 
 
 def product_offers(deals: DataFrame, min_retailers: int = 2) -> DataFrame:
@@ -98,12 +106,11 @@ def best_candidate(rows: DataFrame, keys: list[str], name: str, likeness: Column
 def search(requests: DataFrame, deals: DataFrame, k: int = 20) -> DataFrame:
     """By request (request_id, term): products whose name holds the term, those with most retailers first, with their first key.
 
-    Distinct terms meet distinct names, not requests and deals: containment has no key to join on, so the fewer rows there the better.
-    Names are compared and grouped as normalised again; deals may have a match_key.
+    Distinct terms meet distinct names by the index of containment.py. Names are compared and grouped as normalised again; deals may have a match_key.
     """
     r = requests.select("request_id", F.lower("term").alias("term"))
     renamed = deals.select("canonical").distinct().withColumn("name", F.lower(F.trim(F.regexp_replace("canonical", r"\s+", " "))))
-    hits = renamed.join(small(r.select("term").distinct()), F.contains("name", "term")).select("term", "canonical", "name")
+    hits = renamed.join(contained(renamed, "name", r, "term"), "name").select("term", "canonical", "name")
     key = F.col("match_key") if "match_key" in deals.columns else F.lit(None).cast("string")
     d = deals.select("canonical", "brand", "retailer", "price", "deal_id", key.alias("match_key"))
     # by name and brand once, however many terms ask for it
@@ -146,13 +153,13 @@ def resolve_names(requests: DataFrame, deals: DataFrame, curated: DataFrame | No
     by_words = names.withColumn("w", word_sort(F.col("canonical")))
     turned = r.join(by_words, word_sort(r.term) == by_words.w).select("request_id", "term", "canonical", "n", F.lit(2).alias("step"), F.lit(0.0).alias("fit"))
     short = names.where(F.length("canonical") <= 80)
-    like = short.join(small(r), F.contains("canonical", "term")).select(
-        "request_id", "term", "canonical", "n", F.lit(3).alias("step"), candidate_score(name_similarity(F.col("term"), F.col("canonical")), F.col("n")).alias("fit")
+    like = short.join(contained(short, "canonical", r, "term"), "canonical").select(
+        F.col("term").alias("request_id"), "term", "canonical", "n", F.lit(3).alias("step"), candidate_score(name_similarity(F.col("term"), F.col("canonical")), F.col("n")).alias("fit")
     )
     words = F.split("term", " ")
     parts = r.select("request_id", "term", F.explode(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1)))).alias("k"))
     parts = parts.withColumn("lead", F.array_join(F.slice(F.split("term", " "), 1, F.col("k")), " "))
-    held = names.join(small(parts.select("lead").distinct()), F.contains("canonical", "lead"))
+    held = names.join(contained(names, "canonical", parts, "lead"), "canonical")
     held = held.groupBy("lead").agg(F.max_by(F.struct("canonical", "n"), F.struct("n", "canonical")).alias("h")).select("lead", "h.canonical", "h.n")
     lead = parts.join(held, "lead")
     lead = lead.select("request_id", "term", "canonical", "n", F.lit(4).alias("step"), F.col("k").cast("double").alias("fit"))
@@ -209,7 +216,8 @@ def compare(requests: DataFrame, deals: DataFrame) -> DataFrame:
     by_ounce = F.col("mode").startswith("ppu")
     rows = _active(asked, rows).withColumn("size", F.coalesce("size", F.lit(""))).withColumn("value", F.when(by_ounce, F.col("ppu")).otherwise(F.col("price")))
     best = rows.groupBy("canonical", "size", "mode", "size_key", "retailer").agg(F.min("value").alias("value"))
-    one, own = trim_outliers(best, ["canonical", "size"], "value"), Window.partitionBy("canonical", "size")
+    own = Window.partitionBy("canonical", "size")  # a row a retailer
+    one = best.withColumns({"_n": F.count("*").over(own), "_m": F.median("value").over(own)}).where("_n < 3 or value <= 2 * _m")
     scale = F.when(by_ounce, 10000).otherwise(100)
     mean = F.floor(F.sum(F.round(F.col("value") * scale).cast("long")).over(own) / F.count("*").over(own) + 0.5) / scale
     one = one.withColumn("avg_value", mean).withColumn("n_retailers", F.count("*").over(own))
@@ -289,9 +297,9 @@ def browse(requests: DataFrame, deals: DataFrame, k: int = 2000) -> DataFrame:
 
 def cart_stores(requests: DataFrame, deals: DataFrame) -> DataFrame:
     """By request (request_id, items) and store of deals (with distance_miles): what matches, its total and a score with a cost per mile."""
-    item = F.explode("items").alias("item")
-    asked = requests.select("request_id", item)
-    names = deals.select("canonical").distinct().join(small(asked), has_text(F.col("canonical"), F.col("item")))
+    asked = requests.select("request_id", F.explode("items").alias("item")).withColumn("_low", F.lower("item"))
+    lower = deals.select("canonical").distinct().withColumn("_name", F.lower("canonical"))
+    names = lower.join(contained(lower, "_name", asked, "_low"), "_name").join(asked, "_low").select("canonical", "request_id", "item")
     keys = ["canonical", "request_id"] if "request_id" in deals.columns else ["canonical"]  # distances may be those of a request
     hits = deals.join(names, keys)
     hits = hits.groupBy("request_id", "store_id", "deal_id").agg(F.max("price").alias("price"), F.max("distance_miles").alias("miles"), F.collect_set("item").alias("items"))
