@@ -11,7 +11,9 @@ wider one that holds no text in other articles; articles in it without a content
 container without one belongs to it.
 
 Before that, elements that never hold the article go (menus, footers, adverts, comments, ...: by tag, role, class or id). A class that
-only has such a word as a part, or a form, doesn't count where the element holds most of the page's text.
+only has such a word as a part, or a form, doesn't count where the element holds most of the page's text, and no article has text outside it. Comments
+never count, however long, unless the page's h1 is in their element; they are also told by an article within an article that has text of its own, by a
+heading that says so (TALK) before lists or sections, and by lists of which nearly every item holds a paragraph and a time.
 
 A null or empty page gives an empty text; a page without content paths too. Of paths of equal weight the one that sorts last
 is the heaviest. Broken markup is read as browsers do: an unclosed comment, script or tag lasts to the end of the page, a new
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, map_batches
 
 #: Shares of the mean weight (by text) from which a path is content, and of that bound within the container; the smoothing
 #: window (blocks each way, sigma); the share of the heaviest path's text that its container holds.
@@ -54,11 +56,17 @@ NO_ROLES = frozenset("navigation banner contentinfo complementary search dialog
 NO_WORDS = frozenset(
     """ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice
     notices popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer social share sharing related
-    recommended comment comments disqus respond reply replies newsletter subscribe subscription signup login widget widgets
+    recommended comment comments commentlist commentslist commentarea commentsection disqus respond reply replies newsletter subscribe subscription signup login widget widgets
     toolbar pagination pager""".split()
 )
 #: Not the article's unless inside it: its own heading may stand in such an element.
 TOP_ONLY = frozenset("header masthead topbar".split())
+#: Those of NO_WORDS that stand for readers' comments; last words of a class that only say whether there are any; headings of comments.
+COMMENTS = frozenset("comment comments commentlist commentslist commentarea commentsection disqus respond reply replies".split())
+STATES = frozenset("open closed enabled disabled on off".split())
+TALK = re.compile(r"\W*(?:\d+\s+)?(?:(?:reader|user|your|leser)\s?)?(?:comments?|repl(?:y|ies)|responses?|discussion|kommentare?|antworten|commentaires?|réponses?|comentarios?|respuestas?)(?:\s*\(?\d+\)?)?\W*", re.I)
+#: Characters of its own from which an article's inner articles are comments or teasers.
+OWN_TEXT = 100
 #: First words of class names that say what a page has or lacks elsewhere.
 SAYS = frozenset("has have no not with without is hide show".split())
 #: Elements of single blocks: a part of a class name says nothing there.
@@ -88,9 +96,10 @@ class Tree:
     path: list[int] = field(default_factory=lambda: [0])
     flag: list[int] = field(default_factory=lambda: [FINE])
     article: list[int] = field(default_factory=lambda: [-1])
+    talk: list[bool] = field(default_factory=lambda: [False])
     paths: dict[tuple[int, str], int] = field(default_factory=dict)
 
-    def add(self, tag: str, label: str, parent: int, flag: int, article: bool) -> int:
+    def add(self, tag: str, label: str, parent: int, flag: int, article: bool, talk: bool) -> int:
         at = len(self.tag)
         self.tag.append(tag)
         self.parent.append(parent)
@@ -98,6 +107,7 @@ class Tree:
         self.path.append(own if tag in INLINE else self.paths.setdefault((own, label), len(self.paths) + 1))
         self.flag.append(flag)
         self.article.append(at if article else self.article[parent])
+        self.talk.append(talk)
         return at
 
     def upward(self, value: list) -> list:
@@ -144,6 +154,8 @@ def _flag(tag: str, names: list[str], roles: set[str], hidden: bool, in_article:
         if name.lower() in NO_WORDS or (not in_article and name.lower() in TOP_ONLY):
             return HARDLY
         words = [w.lower() for w in _WORDS.findall(name)]
+        if words and words[-1] in STATES and not COMMENTS.isdisjoint(words):
+            continue
         if len(words) > 1 and words[0] not in SAYS and tag not in SMALL and not NO_WORDS.isdisjoint(words):
             flag = UNLIKELY
     return flag
@@ -247,7 +259,8 @@ def parse(page: str) -> tuple[Tree, list[tuple[int, list[tuple[int, str, bool]]]
         article = tag in ("article", "main") or "main" in roles or "article" in roles
         flag = _flag(tag, names, roles, hidden, tree.article[stack[-1]] >= 0)
         if not _EMPTY.search(m[3]):
-            k = tree.add(tag, f"{tag}.{label}" if label else tag, stack[-1], flag, article)
+            talk = flag in (UNLIKELY, HARDLY) and any(not COMMENTS.isdisjoint([x.lower(), *(w.lower() for w in _WORDS.findall(x))]) for x in names)
+            k = tree.add(tag, f"{tag}.{label}" if label else tag, stack[-1], flag, article, talk)
             stack.append(k)
             is_open[tag] += 1
             if tag not in INLINE:
@@ -257,6 +270,44 @@ def parse(page: str) -> tuple[Tree, list[tuple[int, list[tuple[int, str, bool]]]
     return tree, out
 
 
+def _comments(tree: Tree, raw: list, own: list[int], tops: list[int]) -> list[bool]:
+    """By element: whether it is readers' comments by what stands around it. own: the text of an article that is in none of its inner articles."""
+    n = len(tree.tag)
+    out, inside = [False] * n, [-1] * n  # inside: the nearest article element, itself included
+    items, told, times, texts = [0] * n, [0] * n, [int(t == "time") for t in tree.tag], [int(t == "p") for t in tree.tag]
+    times, texts = tree.upward(times), tree.upward(texts)
+    for k in range(1, n):
+        up = tree.parent[k]
+        inside[k] = k if tree.tag[k] == "article" else inside[up]
+        if tree.tag[k] == "article" and inside[up] >= 0 and own[inside[up]] >= OWN_TEXT and not tops[k]:
+            out[k] = True
+        if tree.tag[k] == "li":
+            items[up] += 1
+            told[up] += times[k] > 0 and texts[k] > 0
+    for k in range(1, n):
+        if tree.tag[k] in ("ol", "ul") and told[k] >= 2 and 5 * told[k] >= 4 * items[k]:
+            out[k] = True
+    heads: dict[int, list[tuple[int, str]]] = {}  # headings that speak of comments, by what they stand in
+    for node, pieces in raw:
+        if re.fullmatch("h[2-6]", tree.tag[node]) and TALK.fullmatch("".join(said for _, said, _ in pieces).strip()):
+            heads.setdefault(tree.parent[node], []).append((node, tree.tag[node]))
+    if heads:
+        active: dict[int, tuple[int, str]] = {}
+        for k in range(1, n):
+            up = tree.parent[k]
+            if up not in heads:
+                continue
+            if re.fullmatch("h[1-6]", tree.tag[k]):
+                here = next((h for h in heads[up] if h[0] == k), None)
+                if here:
+                    active[up] = here
+                elif up in active and tree.tag[k] <= active[up][1]:
+                    del active[up]
+            elif up in active and tree.tag[k] in ("ol", "ul", "dl", "div", "section", "article") and not tops[k]:
+                out[k] = out[active[up][0]] = True
+    return out
+
+
 def blocks(page: str) -> tuple[Tree, list[Block]]:
     """The text blocks of a page in order, without those that never hold the article."""
     tree, raw = parse(page)
@@ -264,19 +315,25 @@ def blocks(page: str) -> tuple[Tree, list[Block]]:
     never = [False] * n
     for k in range(1, n):
         never[k] = never[tree.parent[k]] or tree.flag[k] == NEVER
-    if any(HARDLY >= f > FINE for f in tree.flag):
-        free, many, marks = [0] * n, [0] * n, [int(t in ("article", "main", "h1")) for t in tree.tag]
-        for node, pieces in raw:
-            size = sum(len(said.strip()) for k, said, linked in pieces if not linked and not never[k])
-            free[node] += size
-            many[node] += size > 0
-        free, many, marks = tree.upward(free), tree.upward(many), tree.upward(marks)
+    free, many, own, spoken = [0] * n, [0] * n, [0] * n, [0] * n
+    for node, pieces in raw:
+        size = sum(len(said.strip()) for k, said, linked in pieces if not linked and not never[k])
+        free[node] += size
+        many[node] += size > 0
+        if tree.article[node] >= 0:
+            own[tree.article[node]] += size
+            spoken[node] += size
+    free, many, spoken = tree.upward(free), tree.upward(many), tree.upward(spoken)
+    marks, tops = (tree.upward([int(t in names) for t in tree.tag]) for names in (("article", "main", "h1"), ("h1",)))
+    talk = _comments(tree, raw, own, tops)
     gone = [False] * n
     for k in range(1, n):
         f = tree.flag[k]
-        if f and f < NEVER and 2 * free[k] > free[0] and (marks[k] or (f == UNLIKELY and many[k] > 2)):
-            f = FINE  # it holds most of the page, the article too
-        gone[k] = gone[tree.parent[k]] or f > FINE
+        if f and f < NEVER and 2 * free[k] > free[0]:  # it holds most of the page, the article too
+            alone = f == UNLIKELY and many[k] > 2 and spoken[0] == spoken[k]
+            if tops[k] if tree.talk[k] else marks[k] or alone:
+                f = FINE
+        gone[k] = gone[tree.parent[k]] or f > FINE or talk[k]
     out = []
     for node, pieces in raw:
         text = " ".join("".join(said for k, said, _ in pieces if not gone[k]).split())
@@ -401,4 +458,4 @@ def extract(pages: DataFrame) -> DataFrame:
             )
 
     rows = pages.select(F.col("page_id").cast("long"), "url", "html")
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return map_batches(rows, run, "page_id long, url string, text string, n_chars long")

@@ -9,10 +9,13 @@ segment's parse would have been with the phrase that is open at its start is wor
 phrase until both runs stand in the same state, which they soon do. So the number of phrases is that of the uncut text.
 Letters are compared without case; what stands between letters counts as one space.
 
-Fitting uses at most SAMPLE_DOCS whole documents a language, of at most LETTERS characters where there are such, or else the
-shortest ones; that is its documented bound. Prediction reads every character of every text. A null text, an empty one and one without a letter
+Fitting uses at most SAMPLE_DOCS documents a language, those of at most LETTERS characters first and then the shortest of the others,
+until they have TARGET characters (the last one only as far as needed); that is its documented bound. Samples are of like size: all are cut to that of the smallest
+language that has an ENOUGH share of the largest, and a phrase of a language with less costs as many bits as one of that size. Prediction reads every character of every text. A null text, an empty one and one without a letter
 give ``und`` and score 0; equal costs go to the language that sorts first; repeated rows are predicted alike; where no
-labelled row can be learned from, all rows give ``und``. Only doc_id, text and lang are read, whatever other columns exist.
+labelled row can be learned from, all rows give ``und``. A language that few labelled characters tell of can be learned, but takes no texts from the
+others. recognised() rejects what fits no language: ``und``, and texts whose phrases need as many bits as letters drawn at
+random from the winning language's would (GRACE phrases aside, as a short text begins and ends one). Only doc_id, text and lang are read, whatever other columns exist.
 """
 
 from __future__ import annotations
@@ -28,6 +31,9 @@ from .common import batches, map_batches
 
 SAMPLE_DOCS = 64
 LETTERS = 1024
+TARGET = 1 << 16
+ENOUGH = 1 / 8
+GRACE = 2
 SEGMENT = 1024
 CHUNK = 1 << 21
 #: Parses that are run one by one, not together.
@@ -124,7 +130,8 @@ class Table:
 class Model:
     """Automata by language."""
 
-    def __init__(self, samples: dict[str, list[str]]):
+    def __init__(self, samples: dict[str, list[str]], least: int = 2):
+        """samples: texts by language; least: the size from which a sample's phrases cost more bits."""
         letters = sorted({ch.lower()[0] for texts in samples.values() for t in texts for ch in t if ch.isalpha()})
         self.codes = {c: i + 3 for i, c in enumerate(letters)}
         self.langs = sorted(samples)
@@ -132,6 +139,7 @@ class Model:
         self.tables: list[Table] = []
         self.own: list[np.ndarray] = []  # codes of a language's own letters by code
         self.bits: list[float] = []
+        self.uniform: list[float] = []  # bits of a letter drawn at random, spaces included
         for lang in self.langs:
             train: list[int] = []
             for t in samples[lang]:
@@ -143,7 +151,8 @@ class Model:
             width = len(used) + 3
             self.own.append(own)
             self.tables.append(Table(step, width, len(step) * width <= DENSE))
-            self.bits.append(np.log2(max(2, len(train))))
+            self.bits.append(np.log2(max(2, least, len(train))))
+            self.uniform.append(np.log2(len(used) + 1))
 
     def __getstate__(self):
         return self.__dict__ | {"_lookup": None}
@@ -248,8 +257,9 @@ class Model:
             todo = np.array(sorted(next_ones & set((todo[changed] + 1).tolist())), np.int64)
         return whole
 
-    def predict(self, texts: Iterable[str | None]) -> list[tuple[str, float]]:
-        out: list[tuple[str, float]] = []
+    def predict(self, texts: Iterable[str | None]) -> list[tuple[str, float, bool]]:
+        """(language, score, whether the text fits the language) of each text."""
+        out: list[tuple[str, float, bool]] = []
         part: list[np.ndarray] = []
         size = 0
         for t in texts:
@@ -260,16 +270,18 @@ class Model:
                 part, size = [], 0
         return out + self._predict(part)
 
-    def _predict(self, texts: list[np.ndarray]) -> list[tuple[str, float]]:
+    def _predict(self, texts: list[np.ndarray]) -> list[tuple[str, float, bool]]:
         if not texts:
             return []
-        cost = self.phrases(texts) * np.array(self.bits)[:, None]
+        phrases, bits = self.phrases(texts), np.array(self.bits)
+        cost = phrases * bits[:, None]
         best = cost.argmin(0)
         low = cost.min(0)
         second = np.partition(cost, 1, axis=0)[1] if len(self.langs) > 1 else np.full(len(texts), np.inf)
         score = 1 - low / np.where(second > 0, second, 1)
+        fits = low - GRACE * bits[best] < np.array([len(t) for t in texts]) * np.array(self.uniform)[best]
         return [
-            (self.langs[best[i]], float(min(1.0, max(0.0, score[i])))) if len(t) else ("und", 0.0)
+            (self.langs[best[i]], float(min(1.0, max(0.0, score[i]))), bool(fits[i])) if len(t) else ("und", 0.0, False)
             for i, t in enumerate(texts)
         ]
 
@@ -282,27 +294,42 @@ def held_out():
 def fit(docs: DataFrame) -> Model | None:
     """A model of the labelled documents outside the held-out fold; None if there are none.
 
-    The sample takes, of each language and each of SAMPLE_DOCS slots that a hash of doc_id gives, the document with the
-    lowest hash among those of at most LETTERS characters, or else the shortest: one pass over ids, then the chosen texts.
+    The sample has, of each language and each of SAMPLE_DOCS slots that a hash of doc_id gives, the document with the
+    lowest hash among those of at most LETTERS characters, or else the shortest: one pass over ids and lengths, then the chosen rows' texts.
     """
     h = F.xxhash64("doc_id")
-    long = F.greatest(F.length("text") - LETTERS, F.lit(0))
+    size = F.length("text")
+    learned = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
+    key = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t")]
     pick = (
-        docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
-        .select("lang", F.col("doc_id").cast("long"), long.alias("long"), h.alias("h"), F.pmod(h, F.lit(SAMPLE_DOCS)).alias("slot"))
+        learned.select("lang", *key, F.greatest(size - LETTERS, F.lit(0)).alias("long"), size.alias("size"), h.alias("h"), F.pmod(h, F.lit(SAMPLE_DOCS)).alias("slot"))
         .groupBy("lang", "slot")
-        .agg(F.min(F.struct("long", "h", "doc_id")).alias("m"))
-        .select("lang", "m.doc_id", "m.long")
+        .agg(F.min(F.struct("long", "h", "doc_id", "t", "size")).alias("m"))
+        .select("lang", "m.*")
     )
-    all_picked = pick.collect()  # SAMPLE_DOCS a language at most
-    short = {r.lang for r in all_picked if not r.long}
-    chosen = sorted({r.doc_id for r in all_picked if not r.long or r.lang not in short})
-    rows = docs.where(F.col("doc_id").isin(chosen) & F.col("lang").isNotNull() & ~held_out()).select("doc_id", "lang", "text").distinct().collect()
+    by_lang: dict[str, list] = {}
+    for r in sorted(pick.collect(), key=lambda r: (r.lang, r.long, r.h, r.t)):  # SAMPLE_DOCS a language at most
+        by_lang.setdefault(r.lang, []).append(r)
+    if not by_lang:
+        return None
+    have = {lang: min(TARGET, sum(r.size for r in rows)) for lang, rows in by_lang.items()}
+    most = max(have.values())
+    like = min(n for n in have.values() if n >= ENOUGH * most)
+    wanted: dict[tuple, int] = {}  # how many characters of each chosen row
+    for lang, rows in by_lang.items():
+        left = like
+        for r in rows:
+            if left > 0:
+                wanted[lang, r.doc_id, r.t] = min(left, r.size)
+                left -= r.size
+    ids, hashes = ({k[i] for k in wanted} - {None} for i in (1, 2))
+    chosen = F.col("doc_id").isin(list(ids)) | F.col("doc_id").isNull() if any(k[1] is None for k in wanted) else F.col("doc_id").isin(list(ids))
+    rows = learned.select("lang", *key, F.substring("text", 1, TARGET).alias("text")).where(chosen & F.col("t").isin(list(hashes))).distinct().collect()
     samples: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.text)):
-        if any(ch.isalpha() for ch in r.text):
-            samples.setdefault(r.lang, []).append(r.text)
-    return Model(samples) if samples else None
+    for r in sorted(rows, key=lambda r: (r.lang, r.doc_id is not None, r.doc_id or 0, r.t)):
+        if n := wanted.get((r.lang, r.doc_id, r.t)):
+            samples.setdefault(r.lang, []).append(r.text[:n])
+    return Model(samples, like)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -316,9 +343,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in it:
             said = shared.value.predict(t.as_py() for t in batch.column(1))
             ids = batch.column(0).to_pylist()
-            yield from batches(
-                {"doc_id": ids, "lang_pred": [x for x, _ in said], "score": [y for _, y in said]}, _OUT
-            )
+            yield from batches({"doc_id": ids, "lang_pred": [x[0] for x in said], "score": [x[1] for x in said]}, _OUT)
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     return map_batches(rows, run, "doc_id long, lang_pred string, score double")
@@ -330,7 +355,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def recognised(docs: DataFrame) -> DataFrame:
-    """The documents that a language is found for, with all their columns."""
+    """The documents that a language is found for and that fit it, with all their columns."""
     model = fit(docs)
     if model is None:
         return docs.where("false")
@@ -339,6 +364,6 @@ def recognised(docs: DataFrame) -> DataFrame:
     def run(it):
         for batch in it:
             said = shared.value.predict(t.as_py() for t in batch.column("text"))
-            yield batch.filter(pa.array([lang != "und" for lang, _ in said], pa.bool_()))
+            yield batch.filter(pa.array([fits for _, _, fits in said], pa.bool_()))
 
     return map_batches(docs, run, schema)

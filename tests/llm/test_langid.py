@@ -75,3 +75,61 @@ def test_ties_repeats_and_long_labelled_texts(docs):
     r = random.Random(5)
     long = docs([text(r, "en", 3000), text(r, "de", 3000), text(r, "en", 30), text(r, "de", 30)], ids=ids[:4], langs={ids[0]: "en", ids[1]: "de", ids[2]: None, ids[3]: None})
     assert {x.doc_id: x.lang_pred for x in M.identify(long.union(long)).collect()} == {ids[0]: "en", ids[1]: "de", ids[2]: "en", ids[3]: "de"}
+
+
+def learned(n):
+    """The first n ids that are learned from."""
+    return [i for i in range(10 * n + 10) if zlib.crc32(str(i).encode()) % 4 != 2][:n]
+
+
+def accuracy(d, langs):
+    rows = [x for x in M.identify(d).collect() if x.held_out and langs.get(x.doc_id)]
+    return sum(x.lang_pred == langs[x.doc_id] for x in rows) / len(rows)
+
+
+def test_one_short_row_does_not_replace_a_sample(docs):
+    r = random.Random(6)
+    langs = {i: list(TEXT)[i % 3] for i in range(90)}
+    texts = [text(r, langs[i], 400 if langs[i] == "de" else 20) for i in range(90)]
+    assert accuracy(docs(texts, langs=langs), langs) == 1
+    short = next(i for i in range(90, 200) if zlib.crc32(str(i).encode()) % 4 != 2)
+    more = langs | {short: "de"}
+    d = docs([*texts, "und"], ids=[*range(90), short], langs=more)
+    assert accuracy(d, langs) == 1
+    m = M.fit(d)
+    assert max(m.bits) - min(m.bits) < 1
+
+
+def test_a_language_of_a_few_letters_takes_nothing(docs):
+    r = random.Random(7)
+    langs = {i: list(TEXT)[i % 3] for i in range(90)}
+    texts = [text(r, langs[i], 30) for i in range(90)]
+    odd = next(i for i in range(90, 200) if zlib.crc32(str(i).encode()) % 4 != 2)
+    assert accuracy(docs([*texts, "zz"], ids=[*range(90), odd], langs=langs | {odd: "xx"}), langs) >= 0.95
+
+
+def test_only_very_long_rows_bound_the_sample(docs, monkeypatch):
+    monkeypatch.setattr(M, "TARGET", 3000)
+    r = random.Random(8)
+    ids = learned(4)
+    langs = dict(zip(ids, ["en", "de", "en", "de"], strict=True))
+    d = docs([text(r, langs[i], 2000) for i in ids], ids=ids, langs=langs)
+    m = M.fit(d.union(d))
+    assert all(2 ** b <= 3100 for b in m.bits)
+    assert {x.doc_id: x.lang_pred for x in M.identify(d).collect()} == langs
+
+
+def test_rows_that_repeat_a_chosen_id_are_not_learned(docs):
+    i = learned(1)[0]
+    d = docs(["aaaa bbbb", "zz" * 2000], ids=[i, i], langs={i: "en"})
+    assert M.fit(d).bits[0] < 5
+
+
+def test_what_fits_no_language_is_rejected(docs):
+    r = random.Random(9)
+    langs = {i: list(TEXT)[i % 3] for i in range(60)}
+    texts = [text(r, langs[i], 60) for i in range(60)]
+    other = ["".join(chr(r.randint(0x4E00, 0x8FFF)) for _ in range(200)), " ".join("".join(r.choice("bcdfghjklmnpqrstvwxyzåøæłžšđ") for _ in range(9)) for _ in range(60)), "The", "12", None]
+    kept = {x.doc_id for x in M.recognised(docs(texts + other, langs=langs | dict.fromkeys(range(60, 65)))).collect()}
+    assert kept == {*range(60), 62}
+    assert {x.doc_id for x in docs(texts + other).where("text rlike '\\\\p{L}'").collect()} == {*range(60), 60, 61, 62}

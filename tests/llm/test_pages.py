@@ -130,6 +130,59 @@ def test_wrappers_keep_their_article():
     assert H.main_text(f"<article>{body}<div class=comment-list><p>{LONG}</p></div></article>") == want
 
 
+def test_comments_never_win():
+    """However long comments are, beside the article or in it."""
+    post, want = f"<p>{LONG}</p><p>{LONG}</p>", "\n".join([LONG.strip()] * 2)
+    said = "".join(f"<p>I think that this is so, {i}. {LONG}</p>" for i in range(6))
+    names = "comments comments-list comment-thread replies-list reader_comments CommentList disqus_thread fb-comments commentlist comments-section".split()
+    for name in names:
+        for tag in ("div", "section", "ol"):
+            inner = said.replace("<p>", "<li><p>").replace("</p>", "</p></li>") if tag == "ol" else said
+            comments = f"<{tag} class={name}>{inner}</{tag}>"
+            assert H.main_text(f"<body><article>{post}</article>{comments}</body>") == want, (name, tag)
+            assert H.main_text(f"<body><article>{post}{comments}</article></body>") == want, (name, tag)
+            assert H.main_text(f"<body><div class=post>{post}</div>{comments}</body>") == want, (name, tag)
+            assert H.main_text(f"<body><h1>Top</h1><div class=post>{post}</div>{comments}</body>").endswith(want), (name, tag)
+
+
+def test_comments_without_a_name():
+    post, want = f"<p>{LONG}</p><p>{LONG}</p>", "\n".join([LONG.strip()] * 2)
+    nested = "".join(f"<article><p>I think so, {i}. {LONG}</p></article>" for i in range(6))
+    assert H.main_text(f"<article>{post}{nested}</article>") == want
+    assert H.main_text(f"<main><article>{post}<section>{nested}</section></article></main>") == want
+    items = "".join(f"<li><p>Bob, <time>1 May</time></p><p>{LONG}</p></li>" for i in range(6))
+    assert H.main_text(f"<article>{post}<ol>{items}</ol></article>") == want
+    plain = "".join(f"<li>Bob says: {LONG}</li>" for i in range(6))
+    for head in ("Comments", "3 Comments", "Kommentare (3)", "Commentaires", "12 replies", "Comentarios:"):
+        assert H.main_text(f"<article>{post}<h2>{head}</h2><ol>{plain}</ol></article>") == want, head
+        assert H.main_text(f"<article>{post}<h3>{head}</h3><div>{said_of(6)}</div><h3>More</h3><p>{LONG}</p></article>") == f"{want}\nMore\n{LONG.strip()}", head
+    # lists, headings and parts that aren't comments
+    assert H.main_text(f"<article><h2>Comments</h2>{post}</article>") == "Comments\n" + want
+    assert H.main_text(f"<article>{post}<ol><li><p>One, it.</p></li><li><p>Two, it.</p></li></ol></article>") == want + "\nOne, it.\nTwo, it."
+    assert H.main_text(f"<main><article><p>{LONG}</p></article><article><p>{LONG}</p></article></main>") == want
+    assert H.main_text(f'<body><div class="post comments-open">{post}</div><div class=comments-list>{said_of(9)}</div></body>') == want
+
+
+def said_of(n):
+    return "".join(f"<p>I think that this is so, {i}. {LONG}</p>" for i in range(n))
+
+
+def test_weights_decide_without_articles(monkeypatch):
+    """Length, punctuation, links and smoothing each change what is taken of a page that has neither article elements nor telling names."""
+    line, flat = "Some words of no great length", "Plain words without any marks that go on and on for a while"
+    page = f"<body><p>{LONG}</p><p>{LONG}</p><div>{line}</div><h4>{flat}</h4><section><a href=/>{flat}, {flat}.</a> {flat}, it.</section><p>{LONG}</p><p>{LONG}</p></body>"
+    base = H.main_text(page)
+    assert base == "\n".join([LONG.strip()] * 4)
+    for name, value in (("THRESHOLD", 1e-9), ("_MARKS", H.re.compile(r"\w"))):
+        with monkeypatch.context() as m:
+            m.setattr(H, name, value)
+            assert H.main_text(page) != base, name
+    fused = lambda: [round(w, 6) for w in H.weights(H.blocks(page)[1])[0].values()]
+    before = fused()
+    monkeypatch.setattr(H, "REACH", 0)
+    assert fused() != before
+
+
 def test_links_and_small_print_in_plain_divs_go():
     page = f"<body><div><a href=/a>One</a> <a href=/b>Two</a> <a href=/c>Three</a></div><div><h2>Head</h2><p>{LONG}</p><ul><li>a<li>b</ul><p>{LONG}</p></div><div>Copyright 2024 by x</div></body>"
     assert H.main_text(page) == "\n".join(["Head", LONG.strip(), "a", "b", LONG.strip()])
