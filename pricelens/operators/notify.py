@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geo import cell, cells_around, haversine
-from ..sources.tables import cents, small, union_all
+from ..sources.tables import cents, union_all
 
 MIN_SCORE = 55.0
 #: Sends a week and user by kind of trigger.
@@ -50,15 +50,14 @@ def profiles(users: DataFrame) -> DataFrame:
     return out.withColumn("category_prefs", F.coalesce("category_prefs", F.array(*map(F.lit, CATEGORIES))))
 
 
-def candidate_pairs(deals: DataFrame, users: DataFrame, zips: DataFrame) -> DataFrame:
-    """Deal and user pairs whose zip centres are within the user's radius.
+def _near_zips(users: DataFrame, deal_zips: DataFrame, zips: DataFrame) -> DataFrame:
+    """(zip_code, deal_zip, miles): zips of users and of deals that lie within the largest radius of the users' zip.
 
-    Zips stand between: pairs of zips are few, so distances are worked out between distinct zips and then joined, without a
-    product of deals and users. Deals or users whose zip has no centre pass only in the same zip.
+    A zip without a centre is near itself only.
     """
     z = zips.select("zip_code", "latitude", "longitude")
     uz = users.groupBy("zip_code").agg(F.max("radius_miles").alias("reach")).join(z, "zip_code", "left")
-    dz = deals.select("zip_code").distinct().join(z, "zip_code", "left").select(F.col("zip_code").alias("deal_zip"), F.col("latitude").alias("plat"), F.col("longitude").alias("plon"))
+    dz = deal_zips.select("zip_code").distinct().join(z, "zip_code", "left").select(F.col("zip_code").alias("deal_zip"), F.col("latitude").alias("plat"), F.col("longitude").alias("plon"))
     far = haversine(F.col("latitude"), F.col("longitude"), F.col("plat"), F.col("plon"))
     # whole-degree cells, as many around a zip as the largest radius there asks for
     cells = cells_around(F.col("latitude"), F.col("longitude"), F.col("reach"), 1.0)
@@ -66,11 +65,54 @@ def candidate_pairs(deals: DataFrame, users: DataFrame, zips: DataFrame) -> Data
     near = spread.join(dz.where("plat is not null").withColumn("c", cell(F.col("plat"), F.col("plon"), 1.0)), "c")
     near = near.select("zip_code", "deal_zip", far.alias("miles"), "reach").where("miles <= reach").drop("reach")
     same = uz.where("latitude is null").select("zip_code", F.col("zip_code").alias("deal_zip"), F.lit(0.0).alias("miles"))
-    pairs = near.union(same)
-    u = users.join(pairs, "zip_code").where(F.col("miles") <= F.col("radius_miles")).withColumnRenamed("zip_code", "user_zip")
+    return near.union(same)
+
+
+def candidate_pairs(deals: DataFrame, users: DataFrame, zips: DataFrame) -> DataFrame:
+    """Deal and user pairs whose zip centres are within the user's radius.
+
+    Distances are worked out between distinct zips. The result is users times the deals near them: where only each user's best deals are
+    wanted, take best_near(). Deals or users whose zip has no centre pass only in the same zip.
+    """
+    u = users.join(_near_zips(users, deals, zips), "zip_code").where(F.col("miles") <= F.col("radius_miles")).withColumnRenamed("zip_code", "user_zip")
     return u.join(deals.withColumnRenamed("zip_code", "deal_zip"), "deal_zip")
 
 
+def near_counts(deals: DataFrame, users: DataFrame, zips: DataFrame) -> DataFrame:
+    """(user_id, n): how many deals are near each user that has any. Deals are counted by zip before they meet the zips around."""
+    by_zip = deals.groupBy(F.col("zip_code").alias("deal_zip")).agg(F.count("*").alias("k"))
+    rings = users.select("zip_code", "radius_miles").distinct().join(_near_zips(users, deals, zips), "zip_code").where("miles <= radius_miles")
+    n = rings.join(by_zip, "deal_zip").groupBy("zip_code", "radius_miles").agg(F.sum("k").alias("n"))
+    return users.join(n, ["zip_code", "radius_miles"]).select("user_id", "n")
+
+
+_CLASS = ["zip_code", "radius_miles", "likes"]
+
+
+def with_class(users: DataFrame) -> DataFrame:
+    """users with likes, their categories in order: who shares zip, radius and likes has the same best deals."""
+    return users.withColumn("likes", F.array_sort(F.array_distinct("category_prefs")))
+
+
+def best_near(deals: DataFrame, users: DataFrame, zips: DataFrame, k: int, order: list[str], least: float = 0.0) -> DataFrame:
+    """By class of users (zip_code, radius_miles, likes) the best k deals near it, the best one of each retailer: (..., retailer, name, score, about, rank).
+
+    deals (zip_code, retailer, category, name, liked, other, about): the score for users who like the category and for others, and any struct to keep.
+    Deals are cut to the best of each zip, retailer and category before they meet the zips around, to the best of each retailer there, and to k of a class, so that what is
+    joined follows zips, retailers and classes, not users and deals. Equal scores go by name within a retailer, by the columns order between retailers.
+    """
+    best = lambda way: F.min_by(F.struct("name", F.col(way).alias("score"), "about"), F.struct(-F.col(way), F.col("name"), F.col("about"))).alias(way)
+    better = lambda way: F.min_by(way, F.struct(-F.col(f"{way}.score"), F.col(f"{way}.name"), F.col(f"{way}.about"))).alias(way)
+    zone = deals.groupBy(F.col("zip_code").alias("deal_zip"), "retailer", "category").agg(best("liked"), best("other"))
+    rings = users.select("zip_code", "radius_miles").distinct().join(_near_zips(users, deals, zips), "zip_code").where("miles <= radius_miles")
+    around = rings.join(zone, "deal_zip").groupBy("zip_code", "radius_miles", "retailer", "category").agg(better("liked"), better("other"))
+    each = users.select(*_CLASS).distinct().join(around, ["zip_code", "radius_miles"])
+    each = each.withColumn("b", F.when(F.array_contains("likes", F.col("category")), F.col("liked")).otherwise(F.col("other"))).where(F.col("b.score") >= least)
+    shops = each.groupBy(*_CLASS, "retailer").agg(better("b")).select(*_CLASS, "retailer", "b.*")
+    n = F.row_number().over(Window.partitionBy(*_CLASS).orderBy(F.desc("score"), *order))
+    return shops.withColumn("rank", n).where(F.col("rank") <= k)
+
+
 def _with_kind(df: DataFrame) -> DataFrame:
     return df if "trigger_type" in df.columns else df.withColumn("trigger_type", F.lit(None).cast("string"))
 
@@ -110,20 +152,86 @@ def capped(decisions: DataFrame, per_day: int = 3) -> DataFrame:
     return d.withColumn("rank", n).where(F.col("rank") <= per_day).drop("_n")
 
 
+def _drop_score(drop_pct: Column, liking: Column) -> Column:
+    return blend(deal_score(drop_pct, drop_pct, F.lit(1)), liking)
+
+
+def _still(users: DataFrame, as_of: str) -> Column:
+    zone = F.col("time_zone") if "time_zone" in users.columns else F.lit("UTC")
+    return quiet(F.to_timestamp(F.lit(as_of)), zone, F.col("quiet_start"), F.col("quiet_end"))
+
+
 def trigger_run(drops: DataFrame, users: DataFrame, zips: DataFrame, sent: DataFrame, as_of: str) -> DataFrame:
-    """Decisions of all pairs of price drops (product, retailer, category, drop_pct, zip_code) and users near them."""
+    """Decisions of all pairs of price drops (product, retailer, category, drop_pct, zip_code) and users near them; further columns of users stay.
+
+    For the sends alone, send_list() needs no such product; for counts of decisions, run it over representatives().
+    """
     u = profiles(users)
-    pairs = candidate_pairs(drops, u, zips)
+    keep = [c for c in users.columns if c == "n_users"]
+    largest = drops.groupBy("zip_code", "product", "retailer", "category").agg(F.max("drop_pct").alias("drop_pct"))
+    pairs = candidate_pairs(largest, u, zips)
     none = F.array().cast("array<string>")
     liking = relevance(F.col("category"), F.col("category_prefs"), F.col("product"), none, F.lit(None).cast("string"), none)
-    score = blend(deal_score(F.col("drop_pct"), F.col("drop_pct"), F.lit(1)), liking)
-    zone = F.col("time_zone") if "time_zone" in users.columns else F.lit("UTC")
-    still = quiet(F.to_timestamp(F.lit(as_of)), zone, F.col("quiet_start"), F.col("quiet_end"))
-    rows = pairs.select("user_id", "product", "retailer", "segment", F.lit("drop").alias("trigger_type"), score.alias("score"), still.alias("is_quiet"))
-    best = rows.groupBy("user_id", "product", "retailer", "segment", "trigger_type", "is_quiet").agg(F.max("score").alias("score"))
+    rows = pairs.select("user_id", "product", "retailer", "segment", *keep, F.lit("drop").alias("trigger_type"), _drop_score(F.col("drop_pct"), liking).alias("score"), _still(users, as_of).alias("is_quiet"))
+    best = rows.groupBy("user_id", "product", "retailer", "segment", *keep, "trigger_type", "is_quiet").agg(F.max("score").alias("score"))
     return decide(best, sent, as_of)
 
 
+def representatives(users: DataFrame, sent: DataFrame, as_of: str) -> DataFrame:
+    """users with n_users, so that counts over them are counts over all: one user stands for all who have the same profile and had nothing sent in the week.
+
+    Such users' decisions are alike. Users with sends in the week stand for themselves.
+    """
+    now = F.to_timestamp(F.lit(as_of))
+    busy = sent.where((F.col("sent_at") > now - F.expr("INTERVAL 7 DAYS")) & (F.col("sent_at") <= now)).select("user_id").distinct()
+    facts = [c for c in users.columns if c != "user_id"]
+    calm = users.join(busy, "user_id", "left_anti").groupBy(*facts).agg(F.min("user_id").alias("user_id"), F.count("*").alias("n_users"))
+    return calm.unionByName(users.join(busy, "user_id", "left_semi").withColumn("n_users", F.lit(1).cast("long")))
+
+
+def block_summary(decisions: DataFrame) -> DataFrame:
+    """By blocked_reason: decisions, users and the highest score, of decisions over representatives()."""
+    each = decisions.groupBy("blocked_reason", "user_id", "n_users").agg(F.count("*").alias("k"), F.max("score").alias("high"))
+    return each.groupBy("blocked_reason").agg(F.sum(F.col("k") * F.col("n_users")).alias("n"), F.sum("n_users").alias("users"), F.max("high").alias("high"))
+
+
+def send_list(drops: DataFrame, users: DataFrame, zips: DataFrame, sent: DataFrame, devices: DataFrame | None, as_of: str, per_day: int = 3) -> DataFrame:
+    """What is sent to each user for price drops: capped(trigger_run(...)) without the product of users and drops, with reason and, given devices, subscription.
+
+    What stops a retailer's best deal stops all its deals: a send of the week stops its retailer, other gates the user, or all scores up to a bound. So a user needs the best
+    deal of a retailer alone, of as many retailers as may be taken or were sent to any one user in the week.
+    devices (user_id, provider_subscription_id, active, drop_alerts_enabled): the first eligible one of a user by subscription; null where there is none.
+    """
+    u = with_class(profiles(users))
+    now = F.to_timestamp(F.lit(as_of))
+    week = sent.where((F.col("sent_at") > now - F.expr("INTERVAL 7 DAYS")) & (F.col("sent_at") <= now))
+    stopped = week.groupBy("user_id").agg(F.count_distinct("retailer").alias("n")).agg(F.max("n")).first()[0] or 0
+    about = F.struct("drop_pct")
+    deals = drops.select("zip_code", "retailer", "category", F.col("product").alias("name"), _drop_score(F.col("drop_pct"), F.lit(60.0)).alias("liked"), _drop_score(F.col("drop_pct"), F.lit(0.0)).alias("other"), about.alias("about"))
+    top = best_near(deals, u, zips, per_day + stopped, ["retailer", "name"]).drop("rank")
+    rows = u.join(top, _CLASS).select("user_id", F.col("name").alias("product"), "retailer", "segment", F.lit("drop").alias("trigger_type"), "score", _still(users, as_of).alias("is_quiet"), "about.drop_pct")
+    out = capped(decide(rows, sent, as_of), per_day).withColumn("reason", drop_reason(F.col("product"), F.col("retailer"), F.col("drop_pct")))
+    if devices is not None:
+        own = eligible_devices(devices, "drop_alerts_enabled").groupBy("user_id").agg(F.min("provider_subscription_id").alias("subscription_id"))
+        out = out.join(own, "user_id", "left")
+    return out
+
+
+def drop_reason(product: Column, retailer: Column, drop_pct: Column) -> Column:
+    return F.format_string("%s cut the price of %s by %.2f%%", retailer, product, drop_pct)
+
+
+def deal_reason(product: Column, retailer: Column, price: Column, savings_pct: Column, n_retailers: Column, drop_pct: Column) -> Column:
+    """Why a deal is sent: its drop where it has one (drop_pct), else its savings from 15 % on, else how many offer it."""
+    of_all = F.format_string("%d%% below the mean of %d retailers", F.floor(savings_pct), n_retailers)
+    sells = F.format_string("%s sells %s for $%.2f", retailer, product, price)
+    return (
+        F.when(drop_pct > 0, F.concat(drop_reason(product, retailer, drop_pct), F.format_string(", to $%.2f: ", price), of_all))
+        .when(savings_pct >= 15, F.concat(sells, F.lit(", "), of_all))
+        .otherwise(F.concat(sells, F.format_string(", one of %d retailers near you", n_retailers)))
+    )
+
+
 def in_segments(users: DataFrame, segments: list[str]) -> DataFrame:
     return users.where(F.col("segment").isin(segments))
 
@@ -147,19 +255,34 @@ def message(product: Column, retailer: Column, price: Column, savings_pct: Colum
 def digest(products: DataFrame, users: DataFrame, zips: DataFrame, k: int = 3, threshold: float = 30.0) -> DataFrame:
     """By user: up to k products (canonical, category, best_retailer, best_price, best_zip, savings_pct, n_retailers) near them, one per retailer, best score first.
 
-    products is the short list of the week's offers; savings on produce and meat count less. A score is the deal's blended with the user's liking.
+    Savings on produce and meat count less. A score is the deal's blended with the user's liking. Users who share zip, radius and likes share their list, which is worked
+    out once (best_near).
     """
-    near = candidate_pairs(products.withColumn("zip_code", F.col("best_zip")), profiles(users), zips)
-    none = F.array().cast("array<string>")
-    liking = relevance(F.col("category"), F.col("category_prefs"), F.col("canonical"), none, F.lit(None).cast("string"), none)
     penalty = F.when(F.lower("category").isin("produce", "meat"), 0.7).otherwise(1.0)
-    d = near.withColumn("score", blend(deal_score(F.col("savings_pct") * penalty, F.lit(0.0), F.col("n_retailers")), liking)).where(F.col("score") >= threshold)
-    best = F.min_by(F.struct("canonical", "score", "best_price", "savings_pct"), F.struct(-F.col("score"), F.col("canonical")))
-    d = d.groupBy("user_id", "best_retailer").agg(best.alias("b")).select("user_id", "best_retailer", "b.*")
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "canonical"))
-    text = message(F.col("canonical"), F.col("best_retailer"), F.col("best_price"), F.floor("savings_pct").cast("double"))
-    top = d.withColumn("rank", n).where(F.col("rank") <= k)
-    return top.select("user_id", "rank", "canonical", "best_retailer", "score", text["title"].alias("title"), text["body"].alias("body"))
+    deal = deal_score(F.col("savings_pct") * penalty, F.lit(0.0), F.col("n_retailers"))
+    about = F.struct("best_price", "savings_pct", (F.col("avg_price") - F.col("best_price") if "avg_price" in products.columns else F.lit(None).cast("double")).alias("saved"))
+    deals = products.select(F.col("best_zip").alias("zip_code"), F.col("best_retailer").alias("retailer"), "category", F.col("canonical").alias("name"), blend(deal, F.lit(60.0)).alias("liked"), blend(deal, F.lit(0.0)).alias("other"), about.alias("about"))
+    u = with_class(profiles(users))
+    top = u.join(best_near(deals, u, zips, k, ["name", "retailer"], threshold), _CLASS)
+    text = message(F.col("name"), F.col("retailer"), F.col("about.best_price"), F.floor("about.savings_pct").cast("double"))
+    return top.select("user_id", "rank", F.col("name").alias("canonical"), F.col("retailer").alias("best_retailer"), "score", text["title"].alias("title"), text["body"].alias("body"), "about.best_price", "about.savings_pct", "about.saved")
+
+
+def digest_payloads(digests: DataFrame, devices: DataFrame) -> DataFrame:
+    """(user_id, subscription_id, n_deals, body) of the users of a digest() who have an eligible device: one text of all their products.
+
+    devices (user_id, provider_subscription_id, active, weekly_summary_enabled); a user's first subscription is taken.
+    """
+    own = eligible_devices(devices, "weekly_summary_enabled").groupBy("user_id").agg(F.min("provider_subscription_id").alias("subscription_id"))
+    item = F.format_string("%s for $%.2f at %s", F.initcap("canonical"), F.col("best_price"), F.col("best_retailer"))
+    cents_saved = F.sum(F.round(F.coalesce("saved", F.lit(0.0)) * 100).cast("long"))
+    g = digests.join(own, "user_id").groupBy("user_id", "subscription_id").agg(
+        F.count("*").alias("n_deals"), F.sort_array(F.collect_list(F.struct("rank", item.alias("item")))).alias("items"), cents_saved.alias("saved"), F.max("savings_pct").alias("pct")
+    )
+    items = F.array_join(F.transform("items", lambda x: x["item"]), ", ")
+    one = F.format_string("Your best deal this week: %s, %d%% below the mean", items, F.floor("pct"))
+    more = F.format_string("These deals save you up to $%d: %s", F.floor(F.col("saved") / 100), items)
+    return g.select("user_id", "subscription_id", "n_deals", F.when(F.col("n_deals") == 1, one).otherwise(more).alias("body"))
 
 
 def eligible_devices(devices: DataFrame, flag: str) -> DataFrame:
@@ -189,10 +312,23 @@ def _backtest_rows(products: DataFrame, users: DataFrame, drops: list[float], ca
     """(drop_pct, n_alike, canonical, score) of what users with the same likings would get; n_alike is how many they are."""
     alike = profiles(users).groupBy(F.array_sort(F.array_distinct("category_prefs")).alias("prefs")).agg(F.count("*").alias("n_alike"))
     none, no = F.array().cast("array<string>"), F.lit(None).cast("string")
-    each = products.select("*", F.explode(F.array(*map(F.lit, drops))).alias("drop_pct"), F.explode(F.array(F.lit(0.0), F.lit(60.0))).alias("liking"))
-    each = each.withColumn("score", blend(deal_score(F.col("savings_pct"), F.col("drop_pct"), F.col("n_retailers")), F.col("liking"))).where(F.col("score") >= threshold)
-    fits = relevance(F.col("category"), F.col("prefs"), F.col("canonical"), none, no, none) == F.col("liking")
-    d = alike.join(small(each.select("canonical", "category", "drop_pct", "liking", "score")), fits)
+    each = products.select("canonical", "category", "savings_pct", "n_retailers", F.explode(F.array(*map(F.lit, drops))).alias("drop_pct"))
+    scored = lambda liking: blend(deal_score(F.col("savings_pct"), F.col("drop_pct"), F.col("n_retailers")), F.lit(liking))
+    # of the products of a category the best cap, for those who like it and for others: no more of them can be taken
+    ways = each.select("canonical", "category", "drop_pct", F.explode(F.array(F.struct(F.lit(True).alias("liked"), scored(60.0).alias("score")), F.struct(F.lit(False).alias("liked"), scored(0.0).alias("score")))).alias("w"))
+    ways = ways.select("canonical", "category", "drop_pct", "w.liked", "w.score").where(F.col("score") >= threshold)
+    of_kind = F.row_number().over(Window.partitionBy("drop_pct", "category", "liked").orderBy(F.desc("score"), "canonical"))
+    ways = ways.withColumn("_k", of_kind).where(F.col("_k") <= cap).drop("_k")
+    likes = alike.select("prefs", "n_alike", F.explode("prefs").alias("category"))
+    d_liked = likes.join(ways.where("liked"), "category").select("prefs", "n_alike", "drop_pct", "canonical", "score")
+    # others: the best of all categories, of which as many more are needed as a user likes categories
+    most = alike.agg(F.max(F.size("prefs"))).first()[0] or 0
+    rest = ways.where("not liked").groupBy("drop_pct", "category").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("low"), "canonical"))).alias("items"))
+    first = F.row_number().over(Window.partitionBy("drop_pct").orderBy(F.col("items")[0]["low"], F.col("items")[0]["canonical"]))
+    rest = rest.withColumn("_k", first).where(F.col("_k") <= cap + most).drop("_k")
+    d_rest = alike.join(F.broadcast(rest), ~F.coalesce(F.array_contains("prefs", F.col("category")), F.lit(False)))  # len(drops) * (cap + most) rows at most
+    d_rest = d_rest.select("prefs", "n_alike", "drop_pct", F.explode("items").alias("i")).select("prefs", "n_alike", "drop_pct", "i.canonical", (-F.col("i.low")).alias("score"))
+    d = d_liked.unionByName(d_rest)
     n = F.row_number().over(Window.partitionBy("drop_pct", "prefs").orderBy(F.desc("score"), "canonical"))
     return d.withColumn("_n", n).where(F.col("_n") <= cap)
 
@@ -208,6 +344,9 @@ def backtest(products: DataFrame, users: DataFrame, drops: list[float], cap: int
 
 
 def backtest_buckets(products: DataFrame, users: DataFrame, drops: list[float], cap: int = 3, threshold: float = MIN_SCORE, width: int = 10) -> DataFrame:
-    """By assumed price drop and bucket of scores: notifications, and the product that is sent most."""
+    """By assumed price drop and bucket of scores: notifications, and the products that are sent most, the five first by number, then the last by name."""
     d = _backtest_rows(products, users, drops, cap, threshold).groupBy("drop_pct", (F.floor(F.col("score") / width) * width).alias("bucket"), "canonical").agg(F.sum("n_alike").alias("n"))
-    return d.groupBy("drop_pct", "bucket").agg(F.sum("n").alias("n_sent"), F.max_by("canonical", F.struct("n", "canonical")).alias("top_product"))
+    first = F.row_number().over(Window.partitionBy("drop_pct", "bucket").orderBy(F.desc("n"), F.desc("canonical")))
+    top = d.withColumn("k", first).where("k <= 5").groupBy("drop_pct", "bucket").agg(F.sort_array(F.collect_list(F.struct("k", "canonical"))).alias("top"))
+    total = d.groupBy("drop_pct", "bucket").agg(F.sum("n").alias("n_sent"))
+    return total.join(top, ["drop_pct", "bucket"]).select("drop_pct", "bucket", "n_sent", F.array_join(F.transform("top", lambda x: x["canonical"]), "; ").alias("top_products"))

@@ -118,4 +118,4 @@ def n8_trigger_pairs(spark: SparkSession, sf: str) -> DataFrame:
     h = history(spark, sf)
     drops = M.trigger_deals(H.deal_delta(h, S.AS_OF), h, S.stores(spark, sf), ["drop"]).where("zip_code is not null")
     u = S.users(spark, sf).withColumn("radius_miles", F.coalesce("radius_miles", F.lit(25.0)))
-    return N.candidate_pairs(drops.select("match_key", "zip_code"), u, S.zips(spark)).groupBy("user_id").agg(F.count("*").alias("n"))
+    return N.near_counts(drops, u, S.zips(spark))

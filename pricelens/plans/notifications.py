@@ -115,10 +115,26 @@ def n7_profiles(spark: SparkSession, sf: str) -> DataFrame:
     return N.profiles(S.users(spark, sf)).select("user_id", "radius_miles", "segment", "quiet_start", "quiet_end", F.size("category_prefs").cast("long").alias("n_prefs"))
 
 
-@query(_sql("deals", [PRODUCT], "SELECT canonical, printf('Now $%.2f, %.0f%% below the usual price', best_price, floor(savings_pct)) AS body FROM product"))
+_TITLE = "list_aggregate(list_transform(string_split({0}, ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ')"
+_BELOW = "printf('%d%% below the mean of %d retailers', floor(savings_pct)::BIGINT, n_retailers)"
+_SELLS = "printf('%s sells %s for $%.2f', best_retailer, canonical, best_price)"
+
+
+@query(
+    _sql(
+        "deals",
+        [PRODUCT],
+        f"""SELECT canonical, {_TITLE.format("canonical")} || ' at ' || best_retailer AS title, printf('Now $%.2f, %.0f%% below the usual price', best_price, floor(savings_pct)) AS body,
+  CASE WHEN contains(canonical, 'a') THEN printf('%s cut the price of %s by %.2f%%', best_retailer, canonical, {c2("savings_pct / 2")}) || printf(', to $%.2f: ', best_price) || {_BELOW}
+    WHEN savings_pct >= 15 THEN {_SELLS} || ', ' || {_BELOW} ELSE {_SELLS} || printf(', one of %d retailers near you', n_retailers) END AS reason FROM product""",
+    )
+)
 def n6_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Title, body and reason; products with an a in their name count as dropped by half their savings."""
     m = N.message(F.col("canonical"), F.col("best_retailer"), F.col("best_price"), F.floor("savings_pct").cast("double"))
-    return O.product_offers(S.deals(spark, sf)).select("canonical", m["body"].alias("body"))
+    drop = F.when(F.contains("canonical", F.lit("a")), S.cents(F.col("savings_pct") / 2))
+    why = N.deal_reason(F.col("canonical"), F.col("best_retailer"), F.col("best_price"), F.col("savings_pct"), F.col("n_retailers"), drop)
+    return O.product_offers(S.deals(spark, sf)).select("canonical", m["title"].alias("title"), m["body"].alias("body"), why.alias("reason"))
 
 
 def _scored(drop: str) -> str:
@@ -126,18 +142,45 @@ def _scored(drop: str) -> str:
     return c2(f"{_DEAL.replace('drop', drop)} * 0.7::DOUBLE + CASE WHEN list_contains(category_prefs, category) THEN 60.0::DOUBLE ELSE 0.0::DOUBLE END * 0.3::DOUBLE")
 
 
+_DIGEST = f"""digest AS (SELECT *, {_TITLE.format("canonical")} AS name FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, canonical) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, best_retailer ORDER BY score DESC, canonical) AS k FROM (SELECT user_id, canonical, best_retailer, best_price, savings_pct, avg_price - best_price AS saved, {_scored("0.0::DOUBLE")} AS score
+    FROM users JOIN zips u ON u.zip_code = users.zip_code, product JOIN zips p ON p.zip_code = product.best_zip WHERE {hav("u.latitude", "u.longitude", "p.latitude", "p.longitude")} <= coalesce(radius_miles, 25)) WHERE score >= 30) WHERE k = 1) WHERE rank <= 3)"""
+
+
 @query(
     _sql(
         "deals users zips",
-        [PRODUCT],
-        f"""SELECT user_id, rank, canonical, best_retailer, score, initcap2 AS title, printf('Now $%.2f, %.0f%% below the usual price', best_price, floor(savings_pct)) AS body FROM (
-  SELECT *, list_aggregate(list_transform(string_split(canonical, ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') || ' at ' || best_retailer AS initcap2, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, canonical) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY user_id, best_retailer ORDER BY score DESC, canonical) AS k FROM (SELECT user_id, canonical, best_retailer, best_price, savings_pct, {_scored("0.0::DOUBLE")} AS score
-    FROM users JOIN zips u ON u.zip_code = users.zip_code, product JOIN zips p ON p.zip_code = product.best_zip WHERE {hav("u.latitude", "u.longitude", "p.latitude", "p.longitude")} <= coalesce(radius_miles, 25)) WHERE score >= 30) WHERE k = 1) WHERE rank <= 3""",
+        [PRODUCT, _DIGEST],
+        "SELECT user_id, rank, canonical, best_retailer, score, name || ' at ' || best_retailer AS title, printf('Now $%.2f, %.0f%% below the usual price', best_price, floor(savings_pct)) AS body FROM digest",
     )
 )
 def n9_digest(spark: SparkSession, sf: str) -> DataFrame:
-    return N.digest(O.product_offers(S.deals(spark, sf)), S.users(spark, sf), S.zips(spark))
+    return N.digest(O.product_offers(S.deals(spark, sf)), S.users(spark, sf), S.zips(spark)).drop("best_price", "savings_pct", "saved")
+
+
+_DEVICES = """devices AS (SELECT c_custkey AS user_id, CASE WHEN c_custkey % 7 > 0 THEN 'sub-' || (c_custkey + k) END AS provider_subscription_id, c_custkey % 11 > 0 AS active, (c_custkey + k) % 3 > 0 AS enabled FROM customer, (SELECT unnest([0, 1]) AS k)),
+  own AS (SELECT user_id, min(provider_subscription_id) AS subscription_id FROM devices WHERE active AND enabled AND provider_subscription_id IS NOT NULL GROUP BY 1)"""
+
+
+def _devices(spark: SparkSession, sf: str) -> DataFrame:
+    """Two devices a customer, some without subscription, inactive or switched off."""
+    k, more = F.col("c_custkey"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k")
+    d = S.table(spark, sf, "customer").select("c_custkey", more)
+    on = (k + F.col("k")) % 3 > 0
+    subscription = F.when(k % 7 > 0, F.concat(F.lit("sub-"), (k + F.col("k")).cast("string")))
+    return d.select(k.alias("user_id"), subscription.alias("provider_subscription_id"), (k % 11 > 0).alias("active"), on.alias("weekly_summary_enabled"), on.alias("drop_alerts_enabled"))
+
+
+@query(
+    _sql(
+        "deals users zips",
+        [PRODUCT, _DIGEST, _DEVICES],
+        """SELECT user_id, subscription_id, n_deals, CASE WHEN n_deals = 1 THEN printf('Your best deal this week: %s, %d%% below the mean', items, floor(pct)::BIGINT) ELSE printf('These deals save you up to $%d: %s', floor(saved / 100.0::DOUBLE)::BIGINT, items) END AS body FROM (
+  SELECT user_id, subscription_id, count(*) AS n_deals, sum(round(saved * 100)::BIGINT)::BIGINT AS saved, max(savings_pct) AS pct, string_agg(printf('%s for $%.2f at %s', name, best_price, best_retailer), ', ' ORDER BY rank) AS items FROM digest JOIN own USING (user_id) GROUP BY 1, 2)""",
+    )
+)
+def n9_digest_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    return N.digest_payloads(N.digest(O.product_offers(S.deals(spark, sf)), S.users(spark, sf), S.zips(spark)), _devices(spark, sf))
 
 
 _RUN = f"""cand AS (SELECT user_id, product, retailer, segment, 'drop' AS trigger_type, extract(hour FROM TIMESTAMP '{NOW}') >= 22 OR extract(hour FROM TIMESTAMP '{NOW}') < 7 AS is_quiet, max(score) AS score FROM (
@@ -146,16 +189,33 @@ _RUN = f"""cand AS (SELECT user_id, product, retailer, segment, 'drop' AS trigge
   WHERE {hav("u.latitude", "u.longitude", "d.latitude", "d.longitude")} <= coalesce(radius_miles, 25)) GROUP BY 1, 2, 3, 4, 5, 6)"""
 
 
-def _run(spark: SparkSession, sf: str) -> DataFrame:
+def _drops(spark: SparkSession, sf: str) -> DataFrame:
     delta = deal_delta(history(spark, sf), S.AS_OF).where("delta_type = 'drop'").select(F.col("match_key").alias("product"), "store_id", "category", (-F.col("price_change_pct")).alias("drop_pct"))
-    drops = delta.join(S.stores(spark, sf).select("store_id", F.col("retailer_key").alias("retailer"), "zip_code"), "store_id").drop("store_id")
-    return N.trigger_run(drops, S.users(spark, sf), S.zips(spark), _log(spark, sf), NOW)
+    return delta.join(S.stores(spark, sf).select("store_id", F.col("retailer_key").alias("retailer"), "zip_code"), "store_id").drop("store_id")
 
 
 @query(_sql("deals stores users zips log", [HIST, BASE, LATEST, DELTA, _WEEK, _RUN, _GATES], "SELECT blocked_reason, count(*) AS n, count(DISTINCT user_id) AS users, max(score) AS high FROM decision GROUP BY 1"))
 def n8_trigger_run(spark: SparkSession, sf: str) -> DataFrame:
     """From price drops to decisions: pairs within the radius, scores, gates, and the summary of blocks."""
-    return _run(spark, sf).groupBy("blocked_reason").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.max("score").alias("high"))
+    users, log = S.users(spark, sf), _log(spark, sf)
+    return N.block_summary(N.trigger_run(_drops(spark, sf), N.representatives(users, log, NOW), S.zips(spark), log, NOW))
+
+
+_SENT = """sends AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, retailer, product) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id, trigger_type ORDER BY score DESC, retailer, product) AS j FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, retailer ORDER BY score DESC, product) AS k FROM decision WHERE blocked_reason = 'none') WHERE k = 1) WHERE j <= 1)"""
+
+
+@query(
+    _sql(
+        "deals stores users zips log",
+        [HIST, BASE, LATEST, DELTA, _WEEK, _RUN, _GATES, _SENT, _DEVICES],
+        "SELECT s.user_id, product, retailer, score, rank, subscription_id FROM sends s LEFT JOIN own USING (user_id) WHERE rank <= 3",
+    )
+)
+def n8_send_list(spark: SparkSession, sf: str) -> DataFrame:
+    """What each user is sent for price drops, and to which device."""
+    out = N.send_list(_drops(spark, sf), S.users(spark, sf), S.zips(spark), _log(spark, sf), _devices(spark, sf), NOW)
+    return out.select("user_id", "product", "retailer", "score", "rank", "subscription_id")
 
 
 @query("SELECT event_id FROM events WHERE event_type <> 'error' AND user_id % 3 > 0 AND event_id % 7 > 0")
@@ -190,6 +250,6 @@ def a22_backtest(spark: SparkSession, sf: str) -> DataFrame:
     return N.backtest(O.product_offers(S.deals(spark, sf)), S.users(spark, sf), [10.0, 20.0, 40.0])
 
 
-@query(_sql("deals users", [PRODUCT, _BACK], "SELECT drop_pct, bucket, sum(n)::BIGINT AS n_sent, arg_max(canonical, (n, canonical)) AS top_product FROM (SELECT drop_pct, (floor(score / 10) * 10)::BIGINT AS bucket, canonical, count(*) AS n FROM back GROUP BY 1, 2, 3) GROUP BY 1, 2"))
+@query(_sql("deals users", [PRODUCT, _BACK], "SELECT drop_pct, bucket, sum(n)::BIGINT AS n_sent, array_to_string(list(canonical ORDER BY n DESC, canonical DESC)[1:5], '; ') AS top_products FROM (SELECT drop_pct, (floor(score / 10) * 10)::BIGINT AS bucket, canonical, count(*) AS n FROM back GROUP BY 1, 2, 3) GROUP BY 1, 2"))
 def a22_backtest_buckets(spark: SparkSession, sf: str) -> DataFrame:
     return N.backtest_buckets(O.product_offers(S.deals(spark, sf)), S.users(spark, sf), [10.0, 20.0, 40.0])
