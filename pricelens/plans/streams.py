@@ -1,4 +1,4 @@
-"""Queries that run a stream over a table to its end."""
+"""Queries that run a stream over a table to its end."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import matching as M
+from ..operators.history import daily_price_history
 from ..sources import tables as S
 from ..streaming import prices as P
 from .registry import query
@@ -20,28 +21,49 @@ def _rows(lines: DataFrame) -> DataFrame:
     price = F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity") + 0.5) / 100
     none = F.lit(None).cast("string")
     return lines.select(
-        F.concat(F.lit("part_"), F.col("l_partkey") % 50).alias("match_key"), F.col("l_suppkey").alias("store_id"), F.date_trunc("month", "l_shipdate").cast("date").alias("day"), price.alias("price"),
+        F.concat(F.lit("part_"), F.col("l_partkey")).alias("match_key"), F.col("l_suppkey").alias("store_id"), F.to_date("l_shipdate").alias("day"), price.alias("price"),
         F.col("l_orderkey").alias("row_id"), F.col("l_returnflag").alias("brand"), none.alias("category"), F.lit(None).cast("double").alias("base_amount"), none.alias("base_unit"),
     )
 
 
-@query("SELECT 'part_' || (l_partkey % 50) AS match_key, l_suppkey AS store_id, date_trunc('month', l_shipdate)::DATE AS day, min(floor(l_extendedprice * 100 / l_quantity + 0.5) / 100) AS price FROM lineitem GROUP BY 1, 2, 3")
+_MINIMA = "SELECT 'part_' || l_partkey AS match_key, l_suppkey AS store_id, l_shipdate::DATE AS day, min(floor(l_extendedprice * 100 / l_quantity + 0.5) / 100) AS price FROM lineitem"
+
+
+@query(f"{_MINIMA} GROUP BY 1, 2, 3")
 def t1_t2_price_stream(spark: SparkSession, sf: str) -> DataFrame:
     path = S.scratch_path(spark, "prices")
     P.price_stream(_rows(_stream(spark, sf, "lineitem")), f"{path}/table", f"{path}/offsets").awaitTermination()
-    return spark.read.parquet(f"{path}/table").select("match_key", "store_id", "day", "price")
+    schema = daily_price_history(_rows(S.table(spark, sf, "lineitem"))).schema
+    return P.stored_minima(spark, f"{path}/table", schema).select("match_key", "store_id", "day", "price")
+
 
+_DAYS = "e AS (SELECT date_trunc('day', ts) AS day_start, event_type AS match_key, value FROM events)"
 
-@query("WITH e AS (SELECT date_trunc('day', ts) AS day_start, event_type AS match_key, value FROM events) SELECT day_start, match_key, min(value) AS low, count(*) AS n FROM e WHERE day_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY GROUP BY 1, 2")
+
+@query(f"WITH {_DAYS} SELECT day_start, match_key, min(value) AS low, count(*) AS n FROM e WHERE day_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY GROUP BY 1, 2")
 def t3_daily_windows(spark: SparkSession, sf: str) -> DataFrame:
     path = S.scratch_path(spark, "windows")
-    rows = _stream(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("match_key"), F.col("value").alias("price"))
-    w = P.daily_windows(rows, "ts").writeStream.outputMode("append").option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True)
+    w = P.daily_windows(_prices(spark, sf), "ts").writeStream.outputMode("append").option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True)
     w.format("parquet").option("path", f"{path}/table").start().awaitTermination()
     return spark.read.schema("day_start timestamp, match_key string, low double, n long").parquet(f"{path}/table")
 
 
-@query("SELECT 'part_' || (l_partkey % 50) AS match_key, l_suppkey AS store_id, date_trunc('month', l_shipdate)::DATE AS day, min(floor(l_extendedprice * 100 / l_quantity + 0.5) / 100) AS price FROM lineitem WHERE date_trunc('month', l_shipdate) BETWEEN DATE '2000-01-01' AND DATE '2000-06-30' GROUP BY 1, 2, 3")
+def _prices(spark: SparkSession, sf: str) -> DataFrame:
+    return _stream(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("match_key"), F.col("value").alias("price"))
+
+
+@query(f"WITH {_DAYS} SELECT day_start, match_key, min(value) AS low, count(*) AS n FROM e GROUP BY 1, 2")
+def t3_t6_caught_up(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as two streams, the later half of the hours first, so that all of the others come late; stream and late rows give the batch's windows."""
+    path = S.scratch_path(spark, "late")
+    rows = _prices(spark, sf)
+    for k, late in enumerate((False, True)):
+        half = rows.where((F.hour("ts") < 12) == F.lit(late))
+        P.window_stream(half, "ts", f"{path}/table", f"{path}/offsets{k}", stream="events" if k == 0 else "events again").awaitTermination()
+    return P.caught_up(spark, f"{path}/table").select("day_start", "match_key", "low", "n")
+
+
+@query(f"{_MINIMA} WHERE l_shipdate::DATE BETWEEN DATE '2000-01-01' AND DATE '2000-06-30' GROUP BY 1, 2, 3")
 def t6_catch_up(spark: SparkSession, sf: str) -> DataFrame:
     return P.catch_up(_rows(S.table(spark, sf, "lineitem")), "2000-01-01", "2000-06-30").select("match_key", "store_id", "day", "price")
 
@@ -85,9 +107,20 @@ def t5_repair(spark: SparkSession, sf: str) -> DataFrame:
     return P.repair_recent(matched, match, "day", S.AS_OF, 120).select("line_id", "matched_store")
 
 
-@query()
+_WEEK = f"list_filter(sent, lambda x: epoch(r.sent_at)::BIGINT - x.t < {P.WEEK})"
+
+
+@query(
+    f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sent_at, product, retailer) AS i FROM (
+  SELECT user_id, 'product_' || (event_id % 40) AS product, 'retailer_' || (event_id % 25) AS retailer, ts AS sent_at FROM events)),
+  s AS (SELECT DISTINCT user_id, 0::BIGINT AS i, []::STRUCT(p VARCHAR, q VARCHAR, t BIGINT)[] AS sent, NULL::VARCHAR AS product, NULL::VARCHAR AS retailer, NULL::TIMESTAMP AS sent_at, false AS ok FROM r
+    UNION ALL SELECT user_id, i, CASE WHEN ok THEN list_append(held, {{'p': product, 'q': retailer, 't': epoch(sent_at)::BIGINT}}) ELSE held END, product, retailer, sent_at, ok FROM (
+      SELECT *, len(list_filter(held, lambda x: x.p = product AND x.q = retailer)) = 0 AND len(list_filter(held, lambda x: x.t // 86400 = epoch(sent_at)::BIGINT // 86400)) < {P.PER_DAY} AS ok FROM (
+        SELECT r.user_id, r.i, r.product, r.retailer, r.sent_at, {_WEEK} AS held FROM s JOIN r ON r.user_id = s.user_id AND r.i = s.i + 1)))
+  SELECT user_id, product, retailer, sent_at FROM s WHERE ok"""
+)
 def t7_capped_sends(spark: SparkSession, sf: str) -> DataFrame:
-    """The log as a stream of sends under the caps; each depends on those before it, so no SQL: tests compare with a plain loop."""
+    """The log as a stream of sends under the caps; each depends on those before it."""
     path = S.scratch_path(spark, "sends")
     k = F.col("event_id")
     rows = _stream(spark, sf, "events").select("user_id", F.concat(F.lit("product_"), k % 40).alias("product"), F.concat(F.lit("retailer_"), k % 25).alias("retailer"), F.col("ts").cast("timestamp").alias("sent_at"))

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..operators.history import daily_price_history
+from ..sources import versions
 
 KEY = ["match_key", "store_id", "day"]
 
@@ -24,38 +26,34 @@ def merge_minima(stored: DataFrame, batch: DataFrame) -> DataFrame:
     return best.select(*[F.col(k) if k in KEY else F.col(f"b.{k}").alias(k) for k in stored.columns])
 
 
-def write_minima(path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: merges a micro-batch's daily minima into the Parquet table at path, by day partitions.
+def _by_month(history: DataFrame) -> DataFrame:
+    return history.withColumn("part", F.trunc("day", "month"))
 
-    A batch that is run again changes nothing, since minima are idempotent. Only the batch's days are read and rewritten.
+
+def write_minima(path: str, stream: str = "prices") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: merges a micro-batch's daily minima into the table of versions at path, by months.
+
+    Only the batch's months are read and written. A batch that stopped at any point, or comes again, loses and repeats nothing (sources/versions.py).
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = daily_price_history(batch).persist()
+        new = _by_month(daily_price_history(batch)).persist()
         try:
-            days = [r.day for r in new.select("day").distinct().collect()]
-            if not days:
-                return
-            out = new
-            try:
-                stored = spark.read.parquet(path).where(F.col("day").isin(days))
-                out = merge_minima(stored.select(new.columns), new)
-            except Exception as e:  # no table yet
-                if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                    raise
-            staged = f"{path}_staged/batch={batch_id}"
-            out.write.mode("overwrite").parquet(staged)  # else the days would be read while they are overwritten
-            spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+            versions.write(path, stream, batch_id, new, lambda stored, rows: merge_minima(stored.select(rows.columns), rows))
         finally:
             new.unpersist()
 
     return run
 
 
-def price_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def stored_minima(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The history that write_minima() keeps at path. schema: that of daily_price_history()."""
+    return versions.current(spark, path, schema).drop("part")
+
+
+def price_stream(rows: DataFrame, path: str, checkpoint: str, stream: str = "prices") -> StreamingQuery:
     """Runs a stream of deal rows into the history at path and ends when it has read all there is."""
-    return rows.writeStream.foreachBatch(write_minima(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(write_minima(path, stream)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def catch_up(deals: DataFrame, start: str, end: str) -> DataFrame:
@@ -69,6 +67,62 @@ def daily_windows(rows: DataFrame, time: str, delay: str = "2 days") -> DataFram
     return w.agg(F.min("price").alias("low"), F.count("*").alias("n")).select(F.col("w.start").alias("day_start"), "match_key", "low", "n")
 
 
+WINDOWS = "match_key string, day_start timestamp, low double, n long"
+
+
+def _merge_windows(stored: DataFrame, new: DataFrame) -> DataFrame:
+    both = stored.select(new.columns).unionByName(new)
+    return both.groupBy("match_key", "day_start", "part").agg(F.min("low").alias("low"), F.sum("n").alias("n"))
+
+
+def _windows(rows: DataFrame, time: str) -> DataFrame:
+    return rows.groupBy("match_key", F.date_trunc("day", time).alias("day_start")).agg(F.min("price").alias("low"), F.count("*").alias("n"))
+
+
+def window_stream(rows: DataFrame, time: str, path: str, checkpoint: str, delay: str = "2 days", stream: str = "windows") -> StreamingQuery:
+    """Day windows of a stream of rows (match_key, price, time) in a table of versions, and aside (late_rows) the rows that come after their window has closed.
+
+    A window closes when the latest time seen in earlier batches lies delay after its end, as with a watermark; closed_windows() reads such ones.
+    Rows without a time are late rows, too.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.select("match_key", "price", F.col(time).cast("timestamp").alias("time")).persist()
+        try:
+            before = versions.commits(spark, path).where(F.col("stream") == stream).agg(F.max("seen")).first()[0]
+            closed = F.date_trunc("day", "time") + F.expr("INTERVAL 1 DAY") <= F.lit(before).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+            late = F.col("time").isNull() | (F.coalesce(closed, F.lit(False)) if before else F.lit(False))
+            new = _windows(batch.where(~late), "time").withColumn("part", F.to_date("day_start"))
+            seen = batch.agg(F.max("time")).first()[0]
+            versions.write(path, stream, batch_id, new, _merge_windows, seen, {"late": batch.where(late)})
+        finally:
+            batch.unpersist()
+
+    return rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _all_windows(spark: SparkSession, path: str) -> DataFrame:
+    return versions.current(spark, path, StructType.fromDDL(WINDOWS)).drop("part")
+
+
+def closed_windows(spark: SparkSession, path: str, delay: str = "2 days") -> DataFrame:
+    """(match_key, day_start, low, n) of the windows of window_stream() that no row on time can change."""
+    seen = versions.commits(spark, path).agg(F.max("seen")).first()[0]
+    return _all_windows(spark, path).where(F.col("day_start") + F.expr("INTERVAL 1 DAY") <= F.lit(seen).cast("timestamp") - F.expr(f"INTERVAL {delay}"))
+
+
+def late_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(match_key, price, time) of the rows that window_stream() put aside."""
+    return versions.appended(spark, path, StructType.fromDDL("match_key string, price double, time timestamp"), "late")
+
+
+def caught_up(spark: SparkSession, path: str) -> DataFrame:
+    """All windows of window_stream(), the late rows' shares merged in: what a batch over all rows with a time would give."""
+    late = _windows(late_rows(spark, path).where("time is not null"), "time")
+    return _merge_windows(_all_windows(spark, path).withColumn("part", F.to_date("day_start")), late.withColumn("part", F.to_date("day_start"))).drop("part")
+
+
 def flyer_week_start(as_of, zone: str = "America/Los_Angeles"):
     """Wednesday 00:00 of the flyer week in a time zone, as a UTC timestamp column."""
     day = F.to_date(F.from_utc_timestamp(as_of, zone))
@@ -101,7 +155,7 @@ def _cap(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iter
         return
     sent = json.loads(state.get[0]) if state.exists else []  # (product, retailer, seconds) of passed sends
     out = []
-    for r in pd.concat(list(batches)).sort_values(["sent_at", "product"]).itertuples():
+    for r in pd.concat(list(batches)).sort_values(["sent_at", "product", "retailer"]).itertuples():
         at = int(r.sent_at.timestamp())
         sent = [x for x in sent if at - x[2] < WEEK]
         again = any(x[0] == r.product and x[1] == r.retailer for x in sent)

@@ -1,7 +1,11 @@
 import datetime as dt
 
+import pytest
+
 from pricelens.operators import notify as N
+from pricelens.operators.history import daily_price_history
 from pricelens.sources import tables as S
+from pricelens.sources import versions as V
 from pricelens.streaming import prices as P
 from pyspark.sql import functions as F
 
@@ -14,8 +18,58 @@ def test_later_batch_does_not_raise_the_minimum(spark, tmp_path):
         spark.createDataFrame([("k", 1, day, price, i, None, None, None, None), (f"only{i}", 1, day, price, i, None, None, None, None)], SCHEMA).coalesce(1).write.parquet(str(tmp_path / f"in/b{i}"))
         rows = P.read_deal_stream(spark, str(tmp_path / "in/*"), SCHEMA)
         P.price_stream(rows, str(tmp_path / "out"), str(tmp_path / "offsets")).awaitTermination()
-    got = {r.match_key: r.price for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {"k": 4.0, "only0": 4.0, "only1": 5.0}
+    assert minima(spark, tmp_path / "out") == {"k": 4.0, "only0": 4.0, "only1": 5.0}
+
+
+def minima(spark, path):
+    schema = daily_price_history(spark.createDataFrame([], SCHEMA)).schema
+    return {r.match_key: r.price for r in P.stored_minima(spark, str(path), schema).collect()}
+
+
+def batch(spark, prices, month=1):
+    return spark.createDataFrame([(k, 1, dt.date(2026, month, 1), p, i, None, None, None, None) for i, (k, p) in enumerate(prices.items())], SCHEMA)
+
+
+def test_a_writer_that_stops_loses_and_repeats_nothing(spark, tmp_path, monkeypatch):
+    """Stops before the commit, within the data and after the commit; each batch then comes again."""
+    path = str(tmp_path / "t")
+    write = P.write_minima(path)
+    write(batch(spark, {"a": 3.0, "b": 5.0}), 0)
+    before = {"a": 3.0, "b": 5.0}
+    assert minima(spark, path) == before
+    with monkeypatch.context() as m:
+        m.setattr(V, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("stopped")))
+        for _ in range(2):
+            with pytest.raises(RuntimeError, match="stopped"):
+                write(batch(spark, {"a": 2.0, "c": 1.0}), 1)
+            assert minima(spark, path) == before
+    (tmp_path / "t/data/version=2/part=2026-01-01/part-broken.parquet").write_bytes(b"half a file")
+    write(batch(spark, {"a": 2.0, "c": 1.0}), 1)
+    after = {"a": 2.0, "b": 5.0, "c": 1.0}
+    assert minima(spark, path) == after
+    write(batch(spark, {"a": 1.0}), 1)  # committed: left out
+    assert minima(spark, path) == after
+    write(batch(spark, {"d": 9.0}, month=2), 2)
+    write(batch(spark, {}, month=2), 3)
+    assert minima(spark, path) == after | {"d": 9.0}
+    V.compact(spark, path, daily_price_history(spark.createDataFrame([], SCHEMA)).schema)
+    assert minima(spark, path) == after | {"d": 9.0}
+    versions = {r.version for r in V.commits(spark, path).collect()}
+    assert versions == {1, 2, 3, 4, 5}
+
+
+def test_late_rows_go_aside_and_catch_up(spark, tmp_path):
+    t = lambda d, h: dt.datetime(2026, 1, d, h)
+    batches = [[("k", 5.0, t(1, 1)), ("k", 4.0, t(1, 9)), ("m", 7.0, t(6, 1))], [("k", 1.0, t(1, 5)), ("k", 8.0, t(5, 5)), ("n", 2.0, None)], [("k", 3.0, t(5, 6)), ("k", 0.5, t(9, 1))]]
+    schema = "match_key string, price double, ts timestamp"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/b{i}"))
+        P.window_stream(P.read_deal_stream(spark, str(tmp_path / "in/*"), schema), "ts", str(tmp_path / "w"), str(tmp_path / "o")).awaitTermination()
+    late = sorted((r.match_key, r.price) for r in P.late_rows(spark, str(tmp_path / "w")).collect())
+    assert late == [("k", 1.0), ("n", 2.0)]
+    rows = lambda d: sorted((r.match_key, r.day_start.day, r.low, r.n) for r in d.collect())
+    assert rows(P.closed_windows(spark, str(tmp_path / "w"))) == [("k", 1, 4.0, 2), ("k", 5, 3.0, 2), ("m", 6, 7.0, 1)]
+    assert rows(P.caught_up(spark, str(tmp_path / "w"))) == [("k", 1, 1.0, 3), ("k", 5, 3.0, 2), ("k", 9, 0.5, 1), ("m", 6, 7.0, 1)]
 
 
 def test_upsert_is_idempotent_and_patch_keeps_values(spark):
