@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.tables import cents
+from ..sources.tables import cents, written
 
 PAIR = ["match_key", "store_id"]
 
@@ -123,25 +123,64 @@ def history_for(keys: DataFrame, hist: DataFrame) -> DataFrame:
     return found.withColumn("_first", first).where("rank = _first").drop("_first")
 
 
-def history_keys(keys: DataFrame, edges: DataFrame, depth: int = 8) -> DataFrame:
+def _ends(edges: DataFrame) -> DataFrame:
+    """(o, end, steps, open) of edges (o, n), at most one an o: where each path ends, by pointer doubling; open: it doesn't, it comes to a cycle.
+
+    After k rounds 2^k steps are made. Rounds end when no path moves on, or when there were as many steps as edges.
+    """
+    at = written(edges.select("o", F.col("n").alias("end"), F.lit(1).cast("long").alias("steps"), F.lit(True).alias("open")), "ends")
+    left = at.count()
+    for _ in range(left.bit_length()):
+        on = at.select(F.col("o").alias("end"), F.col("end").alias("_end"), F.col("steps").alias("_steps"))
+        moved = at.join(on, "end", "left")
+        step = F.col("_end").isNotNull()
+        at = written(moved.select("o", F.coalesce("_end", "end").alias("end"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), step.alias("open")), "ends")
+        if not at.where("open").limit(1).count():
+            break
+    return at
+
+
+def _cycles(edges: DataFrame) -> DataFrame:
+    """(x, leader, place, size) of edges (o, n) that are cycles: the least key of each, the steps to it, and the number of keys."""
+    low = edges.select("o", F.col("n").alias("to"), F.least("o", "n").alias("low"))
+    for _ in range(edges.count().bit_length()):
+        on = low.select(F.col("o").alias("to"), F.col("to").alias("_to"), F.col("low").alias("_low"))
+        low = written(low.join(on, "to").select("o", F.col("_to").alias("to"), F.least("low", "_low").alias("low")), "cycles")
+    leaders = low.select(F.col("o").alias("x"), F.col("low").alias("leader"))
+    cut = edges.join(leaders.where("x = leader").select(F.col("x").alias("o")), "o", "left_anti")
+    steps = _ends(cut).select(F.col("o").alias("x"), F.col("steps").alias("place"))
+    placed = leaders.join(steps, "x", "left").select("x", "leader", F.coalesce("place", F.lit(0)).cast("long").alias("place"))
+    return placed.join(placed.groupBy("leader").agg(F.count("*").alias("size")), "leader")
+
+
+def history_keys(keys: DataFrame, edges: DataFrame) -> DataFrame:
     """(match_key, related_key, rank): each key's terminal successor, then all that lead to it, nearest first.
 
-    edges (old_match_key, new_match_key, is_unique_successor); only unique successors are followed, at most depth steps,
-    and no key twice.
+    edges (old_match_key, new_match_key, is_unique_successor); only unique successors are followed, and no key that has several such. On a
+    cycle a key's terminal is the last before one comes again. Paths may have any length: rounds grow with its logarithm.
     """
-    unique = edges.where("is_unique_successor and old_match_key <> new_match_key").select(F.col("old_match_key").alias("o"), F.col("new_match_key").alias("n"))
-    forward = unique.groupBy("o").agg(F.min("n").alias("n"), F.count_distinct("n").alias("c")).where("c = 1").drop("c")
-    at = keys.select("match_key", F.col("match_key").alias("end"), F.array("match_key").alias("seen"))
-    for _ in range(depth):
-        step = at.join(forward, at.end == forward.o, "left")
-        go = F.col("n").isNotNull() & ~F.array_contains("seen", F.coalesce("n", F.lit("")))
-        at = step.select("match_key", F.when(go, F.col("n")).otherwise(F.col("end")).alias("end"), F.when(go, F.concat("seen", F.array("n"))).otherwise(F.col("seen")).alias("seen"))
-    layer = at.select("match_key", F.col("end").alias("related_key"), F.lit(0).alias("rank"))
-    out = layer
-    for k in range(1, depth + 1):
-        layer = layer.join(unique, layer.related_key == unique.n).select("match_key", F.col("o").alias("related_key"), F.lit(k).alias("rank"))
-        out = out.union(layer)
-    return out.groupBy("match_key", "related_key").agg(F.min("rank").alias("rank"))
+    unique = edges.where("is_unique_successor and old_match_key <> new_match_key").select(F.col("old_match_key").alias("o"), F.col("new_match_key").alias("n")).distinct()
+    forward = unique.groupBy("o").agg(F.min("n").alias("n"), F.count("*").alias("c")).where("c = 1").select("o", "n")
+    asked = keys.select("match_key").distinct()
+    ends = _ends(forward)
+    tree = ends.where("not open")
+    own = tree.select(F.col("end").alias("o")).distinct().select("o", F.col("o").alias("end"), F.lit(0).cast("long").alias("steps"))
+    members = tree.select("o", "end", "steps").unionByName(own)
+    alone = asked.join(ends.select(F.col("o").alias("match_key")), "match_key", "left_anti").join(own.select(F.col("o").alias("match_key")), "match_key", "left_anti")
+    found = alone.select("match_key", F.col("match_key").alias("related_key"), F.lit(0).cast("long").alias("rank"))
+    mine = asked.join(members.select(F.col("o").alias("match_key"), "end"), "match_key")
+    found = found.unionByName(mine.join(members, "end").select("match_key", F.col("o").alias("related_key"), F.col("steps").alias("rank")))
+    looping = ends.where("open")
+    if looping.limit(1).count():
+        round_ = looping.select(F.col("end").alias("o")).distinct()  # as many steps as edges were made: these keys are on cycles
+        ring = _cycles(forward.join(round_, "o"))
+        # tails end where they meet a cycle
+        tails = _ends(forward.join(looping.select("o"), "o").join(round_, "o", "left_anti")).select("o", F.col("end").alias("x"), "steps")
+        there = tails.unionByName(ring.select(F.col("x").alias("o"), "x", F.lit(0).cast("long").alias("steps"))).join(ring, "x")
+        goal = asked.join(there.select(F.col("o").alias("match_key"), "leader", F.pmod(F.col("place") + 1, F.col("size")).alias("goal")), "match_key")
+        rank = F.col("steps") + F.pmod(F.col("place") - F.col("goal"), F.col("size"))
+        found = found.unionByName(goal.join(there, "leader").select("match_key", F.col("o").alias("related_key"), rank.alias("rank")))
+    return found.select("match_key", "related_key", F.col("rank").cast("int").alias("rank"))
 
 
 def change_runs(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:

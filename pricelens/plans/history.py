@@ -139,12 +139,13 @@ def j21_history_for(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT p_partkey AS o, p_partkey // 3 AS n FROM part WHERE p_partkey >= 3 AND p_partkey % 7 > 0),
- f AS (SELECT p_partkey AS k, p_partkey AS pos, 0 AS d FROM part WHERE p_size <= 10 UNION ALL SELECT k, n, d + 1 FROM f JOIN e ON pos = o WHERE d < 8),
- t AS (SELECT k, arg_max(pos, d) AS pos FROM f GROUP BY k), b AS (SELECT k, pos, 0 AS d FROM t UNION ALL SELECT k, o, d + 1 FROM b JOIN e ON pos = n WHERE d < 8)
+    """WITH RECURSIVE e AS (SELECT p_partkey AS o, p_partkey - 1 AS n FROM part WHERE p_partkey % 25 > 0),
+ f AS (SELECT p_partkey AS k, p_partkey AS pos, 0 AS d FROM part UNION ALL SELECT k, n, d + 1 FROM f JOIN e ON pos = o),
+ t AS (SELECT k, arg_max(pos, d) AS pos FROM f GROUP BY k), b AS (SELECT k, pos, 0 AS d FROM t UNION ALL SELECT k, o, d + 1 FROM b JOIN e ON pos = n)
  SELECT 'k' || k AS match_key, 'k' || pos AS related_key, min(d)::INT AS rank FROM b GROUP BY ALL"""
 )
 def j20_history_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Products follow each other in chains of 25."""
     p, key = S.table(spark, sf, "part"), lambda c: F.concat(F.lit("k"), c)
-    e = p.where("p_partkey >= 3").select(key(F.col("p_partkey")).alias("old_match_key"), key(F.floor(F.col("p_partkey") / 3)).alias("new_match_key"), (F.col("p_partkey") % 7 > 0).alias("is_unique_successor"))
-    return H.history_keys(p.where("p_size <= 10").select(key(F.col("p_partkey")).alias("match_key")), e)
+    e = p.select(key(F.col("p_partkey")).alias("old_match_key"), key(F.col("p_partkey") - 1).alias("new_match_key"), (F.col("p_partkey") % 25 > 0).alias("is_unique_successor"))
+    return H.history_keys(p.select(key(F.col("p_partkey")).alias("match_key")), e)

@@ -183,30 +183,30 @@ def a30_browse(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     S.with_sql(
         "deals",
-        f""", basket AS (SELECT DISTINCT c_custkey % 40 AS basket_id, p_name FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1 AND l_quantity >= 45),
+        f""", basket AS (SELECT DISTINCT c_nationkey AS basket_id, p_name FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
   cheap AS (SELECT retailer, zip_code, canonical, min(price) AS price FROM deals GROUP BY 1, 2, 3), size AS (SELECT basket_id, count(*) AS z FROM basket GROUP BY 1)
   SELECT basket_id, retailer, zip_code, {c2("sum(round(price * 100)::BIGINT)::DOUBLE / 100")} AS total_price, count(*) AS items_found, (any_value(z) - count(*))::INT AS items_missing FROM basket JOIN cheap ON canonical = p_name JOIN size USING (basket_id) GROUP BY 1, 2, 3""",
     ).replace(" ,", ",", 1)
 )
 def a28_cart_totals(spark: SparkSession, sf: str) -> DataFrame:
-    """Baskets: the products that a group of customers ordered first and in bulk."""
-    line, orders, part = (S.table(spark, sf, n) for n in ("lineitem", "orders", "part"))
-    bought = line.where("l_linenumber = 1 and l_quantity >= 45").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
-    b = bought.select((F.col("o_custkey") % 40).alias("basket_id"), F.col("p_name").alias("canonical"))
+    """Baskets: what the customers of each nation ordered."""
+    line, orders, part, customer = (S.table(spark, sf, n) for n in ("lineitem", "orders", "part", "customer"))
+    bought = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    b = bought.select(F.col("c_nationkey").alias("basket_id"), F.col("p_name").alias("canonical"))
     return O.cart_totals(b, S.deals(spark, sf))
 
 
 @query(
     S.with_sql(
         "deals",
-        f""", asked AS (SELECT DISTINCT n_regionkey AS request_id, split_part(p_name, ' ', 1 + n_nationkey % 2) AS item FROM nation JOIN part ON p_partkey % 25 = n_nationkey AND p_size <= 2),
+        f""", asked AS (SELECT DISTINCT n_regionkey AS request_id, split_part(p_name, ' ', 1 + n_nationkey % 2) AS item FROM nation JOIN part ON p_partkey % 25 = n_nationkey),
   hits AS (SELECT request_id, store_id, deal_id, max(price) AS price, (store_id % 13)::DOUBLE AS miles, list(DISTINCT item) AS items FROM deals JOIN asked ON contains(canonical, item) GROUP BY 1, 2, 3)
   SELECT *, {c2("total + miles * 0.1::DOUBLE")} AS score FROM (SELECT request_id, store_id, {c2("sum(round(price * 100)::BIGINT)::DOUBLE / 100")} AS total, count(*) AS n_deals, len(list_distinct(flatten(list(items))))::INT AS items_found, max(miles) AS miles FROM hits GROUP BY 1, 2)""",
     ).replace(" ,", ",", 1)
 )
 def a17_cart_stores(spark: SparkSession, sf: str) -> DataFrame:
-    """Carts: words of small products, by region."""
-    n, p = S.table(spark, sf, "nation"), S.table(spark, sf, "part").where("p_size <= 2")
+    """Carts: words of the products, by region."""
+    n, p = S.table(spark, sf, "nation"), S.table(spark, sf, "part")
     item = F.get(F.split("p_name", " "), (F.col("n_nationkey") % 2).cast("int"))
     r = p.join(n, F.col("p_partkey") % 25 == F.col("n_nationkey")).groupBy(F.col("n_regionkey").alias("request_id")).agg(F.collect_set(item).alias("items"))
     d = S.deals(spark, sf).withColumn("distance_miles", (F.col("store_id") % 13).cast("double"))

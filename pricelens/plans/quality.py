@@ -189,11 +189,11 @@ def c9_c10_verify_repair(spark: SparkSession, sf: str) -> DataFrame:
     return C.verify_repair(_stores(spark, sf), S.zips(spark)).select("store_id", "status")
 
 
-@query("SELECT p_partkey, p_size || ' ' || upper(p_name[1]) || p_name[2:length(p_name) - length(split_part(p_name, ' ', -1))] || upper(split_part(p_name, ' ', -1)[1]) || split_part(p_name, ' ', -1)[2:] || CASE p_partkey % 3 WHEN 0 THEN ' St' WHEN 1 THEN ' SW Pkwy' ELSE ' Ave, Apt 1.5' END AS address FROM part WHERE length(p_name) - length(replace(p_name, ' ', '')) = 1")
+@query("SELECT p_partkey, p_size || ' ' || upper(p_name[1]) || p_name[2:length(p_name) - length(split_part(p_name, ' ', -1))] || upper(split_part(p_name, ' ', -1)[1]) || split_part(p_name, ' ', -1)[2:] || CASE p_partkey % 3 WHEN 0 THEN ' St' WHEN 1 THEN ' SW Pkwy' ELSE ' Ave, Apt 1.5' END AS address FROM part")
 def c9_repair_address(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey") % 3
     end = F.when(k == 0, "  STREET.,").when(k == 1, "-sw parkway").otherwise(" avenue, apt. 1.5 , ")
-    d = S.table(spark, sf, "part").where("p_name rlike '^[^ ]+ [^ ]+$'").select("p_partkey", F.concat("p_size", F.lit(" "), "p_name", end).alias("address"), *[F.lit(None).cast("string").alias(c) for c in ("city", "state", "zip_code", "retailer", "retailer_key")])
+    d = S.table(spark, sf, "part").select("p_partkey", F.concat("p_size", F.lit(" "), "p_name", end).alias("address"), *[F.lit(None).cast("string").alias(c) for c in ("city", "state", "zip_code", "retailer", "retailer_key")])
     return C.repair(d).select("p_partkey", "address")
 
 

@@ -191,11 +191,6 @@ def read_store_catalog(spark: SparkSession, path: str, fmt: str = "csv") -> Data
     return reader.csv(path, header=True, escape='"') if fmt == "csv" else reader.json(path)
 
 
-def small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows (they are counted); larger ones are left to the optimizer."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in a given order."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -282,5 +277,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df, written to the shared folder and read again: iterations don't depend on what executors hold of earlier rounds."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
