@@ -35,7 +35,7 @@ from .common import batches, connected_components, cut
 
 MARGIN, PROJECTIONS, WIDTH, RECALL = 0.1, 24, 0.75, 0.995
 #: Vectors of a cell to aim at, rows of a tile's side, and of a block that is compared at once; pairs that are looked at at once.
-CELL, TILE, BLOCK, PAIRS = 512, 2048, 256, 1 << 16
+CELL, TILE, BLOCK, PAIRS = 512, 2048, 256, 1 << 15
 #: Vectors within a ball, at least, and rounds of gathering: each makes a crowd smaller by up to TILE.
 BALL, ROUNDS, SLACK = 32, 2, 1e-6
 _CELLS = pa.schema([("dim", pa.int32()), ("depth", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("home", pa.bool_()), ("id", pa.int64()), ("n", pa.int64()), ("v", pa.binary())])
@@ -134,7 +134,7 @@ class Side:
 
 
 def _collisions(t: Trees, ask: Side, have: Side):
-    """(rows of ask, their collision counts with each row of have, their cosines), block by block."""
+    """(rows of ask, their collision counts with each row of have), block by block."""
     p_q, p_s = ask.x @ t.lines, have.x @ t.lines
     lo, hi, place = [], [], []
     for k in range(PROJECTIONS):
@@ -150,19 +150,22 @@ def _collisions(t: Trees, ask: Side, have: Side):
         count = np.zeros((rows.stop - at, len(have.ids)), np.uint8)
         for k in range(PROJECTIONS):
             count += (place[k] >= lo[k][rows, None]) & (place[k] < hi[k][rows, None])
-        yield rows, count, ask.x[rows] @ have.x.T
+        yield rows, count
+
+
+def _cosines(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of the pairs of rows i of x and j of y, in double precision."""
+    return np.einsum("nd,nd->n", x[i], y[j])
 
 
 def _single_pairs(t: Trees, tree: int | None, ask: Side, have: Side, threshold: float):
     """Verified pairs (i, j) of a tile that belong to it, at most PAIRS at a time. tree None: all of them do."""
     least = calibrated(math.sqrt(2 - 2 * threshold))
     codes = [] if tree is None else [(t.codes(ask.x, k), t.codes(have.x, k)) for k in range(tree + 1)]
-    for rows, count, cos in _collisions(t, ask, have):
-        for i, j in _some_at_a_time(np.nonzero((count >= least) & (cos >= threshold - 1e-9))):
-            close = np.flatnonzero(cos[i, j] < threshold + 1e-9)
+    for rows, count in _collisions(t, ask, have):
+        for i, j in _some_at_a_time(np.nonzero(count >= least)):  # only these are verified
             i = i + rows.start
-            keep = ask.ids[i] != have.ids[j]
-            keep[close] &= np.einsum("nd,nd->n", ask.x[i[close]], have.x[j[close]]) >= threshold
+            keep = (ask.ids[i] != have.ids[j]) & (_cosines(ask.x, i, have.x, j) >= threshold)
             i, j = i[keep], j[keep]
             # the first meeting: trees in order, the smaller id asking before the larger one
             taken = np.zeros(len(i), bool)
@@ -182,16 +185,17 @@ def _ball_pairs(t: Trees, ask: Side, have: Side, threshold: float):
     theta = math.acos(threshold)
     # collisions to ask for, by the radii's sum in sixteenths of the threshold's angle
     least = np.array([calibrated(2 * math.sin(min(math.pi, theta * (1 + k / 16)) / 2)) for k in range(17)], np.uint8)
-    for rows, count, cos in _collisions(t, ask, have):
+    for rows, count in _collisions(t, ask, have):
         reach = ask.r[rows, None] + have.r[None, :]
-        angle = np.arccos(np.clip(cos, -1, 1))
         level = np.minimum(16, np.ceil(reach / theta * 16)).astype(np.int64)
-        i, j = np.nonzero((reach > 0) & (angle <= theta + reach + SLACK) & (count >= least[level]))
-        both = angle[i, j] + reach[i, j] <= theta - SLACK
-        a, b = ask.ids[rows][i], have.ids[j]
-        other = a != b
-        found = np.stack((np.where(both, ALL, SOME), np.minimum(a, b), np.maximum(a, b)), 1)[other]
-        yield np.unique(found, axis=0)
+        for i, j in _some_at_a_time(np.nonzero((reach > 0) & (count >= least[level]))):
+            wide = reach[i, j]
+            i = i + rows.start
+            angle = np.arccos(np.clip(_cosines(ask.x, i, have.x, j), -1, 1))
+            a, b = ask.ids[i], have.ids[j]
+            near = (angle <= theta + wide + SLACK) & (a != b)
+            both = angle + wide <= theta - SLACK
+            yield np.unique(np.stack((np.where(both, ALL, SOME), np.minimum(a, b), np.maximum(a, b)), 1)[near], axis=0)
 
 
 def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
