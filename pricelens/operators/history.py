@@ -84,7 +84,10 @@ def top_deals(scores: DataFrame, k: int = 10) -> DataFrame:
 
 
 def best_deals(hist: DataFrame, as_of: str, retailers: int = 2, days: int = 3, below_pct: float = 10.0, max_price: float = 1e9) -> DataFrame:
-    """By match_key: current best price against its own past; those well below their median and lately seen."""
+    """By match_key: current best price against its own past; those well below their median and lately seen.
+
+    One pass without a row for each distinct count: a key's days and stores are sets that combine before the shuffle and are bounded by the calendar and the catalog.
+    """
     now = F.to_date(F.lit(as_of))
     recent = F.when(F.col("day") >= F.date_sub(now, 30), F.col("price"))
     g = hist.where(F.length("match_key") <= 80).groupBy("match_key").agg(
@@ -92,8 +95,8 @@ def best_deals(hist: DataFrame, as_of: str, retailers: int = 2, days: int = 3, b
         F.min("price").alias("all_time_low"),
         F.max("price").alias("all_time_high"),
         F.median("price").alias("median_price"),
-        F.count_distinct("day").alias("days_tracked"),
-        F.count_distinct("store_id").alias("retailer_count"),
+        F.size(F.collect_set("day")).cast("long").alias("days_tracked"),
+        F.size(F.collect_set("store_id")).cast("long").alias("retailer_count"),
         F.max("day").alias("last_seen"),
     )
     below = cents((F.col("median_price") - F.col("best_current_price")) / F.col("median_price") * 100)
