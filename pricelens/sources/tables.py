@@ -236,10 +236,36 @@ def audit_frames(results: DataFrame, status: str = "status") -> tuple[DataFrame,
     return as_json, as_json.where(F.col(status) != "SUCCESS"), results.groupBy(status).agg(F.count("*").alias("n"))
 
 
+def nearest_zip(rows: DataFrame, zip_points: DataFrame) -> DataFrame:
+    """(type, id, near_zip) of rows (type, id, latitude, longitude): the zip of the nearest point, by degrees with those of longitude as short as they are there.
+
+    Rows meet the points of their cell and of those around it. Where the nearest of these is nearer than any point beyond can be, it is the answer; the others, fewer each
+    time, go on to cells four times as wide, and at last to all of a hemisphere's.
+    """
+    z = zip_points.select(F.col("zip_code").alias("near_zip"), F.col("latitude").alias("zlat"), F.col("longitude").alias("zlon")).where("zlat is not null and zlon is not null")
+    left, found = rows.select("type", "id", "latitude", "longitude").distinct(), []
+    turn = F.cos(F.radians((F.col("latitude") + F.col("zlat")) / 2))  # degrees of longitude are shorter than those of latitude
+    far = F.pow(F.col("latitude") - F.col("zlat"), 2) + F.pow((F.col("longitude") - F.col("zlon")) * turn, 2)
+    for step in (0.5, 2.0, 8.0, 32.0, 360.0):
+        cell = lambda c, i=0: (F.floor(F.col(c) / step) + i).cast("long")  # noqa: B023, E731
+        around = z.select("*", F.explode(F.array(*[F.struct(cell("zlat", i).alias("i"), cell("zlon", j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c"))
+        met = left.join(around, (cell("latitude") == F.col("c.i")) & (cell("longitude") == F.col("c.j")))
+        best = met.groupBy("type", "id", "latitude", "longitude").agg(F.min(F.struct(far.alias("far"), "near_zip")).alias("m"))
+        # what isn't met lies a cell away at least, in longitude counted where degrees are shortest
+        beyond = step * F.cos(F.radians(F.least(F.abs("latitude") + step / 2, F.lit(90.0))))
+        sure = best.where(F.sqrt("m.far") <= beyond) if step < 360 else best
+        sure = written(sure.select("type", "id", "m.near_zip"), "nearest")
+        found.append(sure)
+        left = written(left.join(sure.select("type", "id"), ["type", "id"], "left_anti"), "left")
+        if not left.limit(1).count():
+            break
+    return union_all(found)
+
+
 def osm_to_store(elements: DataFrame, zip_points: DataFrame, box: tuple[float, float, float, float] = (24.0, 50.0, -125.0, -66.0), prefixes: list[str] | None = None) -> DataFrame:
     """Store rows from map elements (type, id, lat, lon, center, tags): country and box guards, zip from tags or nearest zip point.
 
-    Elements without a zip meet the zip points of their cell of half a degree and of those around it. prefixes: the first three digits of the
+    Elements without a zip get the nearest zip point's, however far it is. prefixes: the first three digits of the
     zips that stay, all if None.
     """
     t = lambda k: F.try_element_at("tags", F.lit(k))
@@ -250,14 +276,7 @@ def osm_to_store(elements: DataFrame, zip_points: DataFrame, box: tuple[float, f
         F.regexp_extract(F.coalesce(t("addr:postcode"), F.lit("")), r"^(\d{5})", 1).alias("tag_zip"),
     )
     rows = rows.where((F.col("country").isNull() | (F.upper("country") == "US")) & F.col("latitude").between(*box[:2]) & F.col("longitude").between(*box[2:]))
-    z = zip_points.select(F.col("zip_code").alias("near_zip"), F.col("latitude").alias("zlat"), F.col("longitude").alias("zlon"))
-    around = z.select("*", F.explode(F.array(*[F.struct((F.floor(F.col("zlat") * 2) + i).alias("i"), (F.floor(F.col("zlon") * 2) + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c"))
-    near = rows.where("tag_zip = ''").select("type", "id", "latitude", "longitude").join(
-        around, (F.floor(F.col("latitude") * 2) == F.col("c.i")) & (F.floor(F.col("longitude") * 2) == F.col("c.j"))
-    )
-    turn = F.cos(F.radians((F.col("latitude") + F.col("zlat")) / 2))  # degrees of longitude are shorter than those of latitude
-    far = F.pow(F.col("latitude") - F.col("zlat"), 2) + F.pow((F.col("longitude") - F.col("zlon")) * turn, 2)
-    near = near.groupBy("type", "id").agg(F.min_by("near_zip", F.struct(far, "near_zip")).alias("near_zip"))
+    near = nearest_zip(rows.where("tag_zip = ''").select("type", "id", "latitude", "longitude"), zip_points)
     out = rows.join(near, ["type", "id"], "left")
     zip_code = F.when(F.col("tag_zip") != "", F.col("tag_zip")).otherwise(F.col("near_zip"))
     if prefixes is not None:
