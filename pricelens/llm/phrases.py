@@ -5,9 +5,9 @@ is a multiple of TRIGGER begins one, and a chunk also takes the first LONGEST_PH
 whole in the chunk in which it begins, and is counted there alone. Equal chunks are counted once: the distinct ones form a
 dictionary with frequencies, in which words and phrases are counted, weighted by frequency.
 
-A phrase is as frequent as its parts at most: pairs are counted where both words are frequent enough, longer phrases where all
-pairs in them are. What is frequent is told by bits of a fixed number (FILTER_BITS); a false hit costs a count that is dropped later, so
-the counts are exact at every size.
+A phrase is as frequent as its parts at most: phrases of more than two words are counted where all pairs in them are frequent
+enough. Which pairs are is told by bits of a fixed number (FILTER_BITS); a false hit costs a count that is dropped later, so the counts are exact
+at every size.
 
 A null text is empty, a null lang ``und``. Repeated rows count each time. Texts of any length are read whole; a stretch
 of LONGEST_CHUNK words without a trigger is cut there. Equal scores are settled by the rule of rank(), which is total. An empty table gives no rows.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, cut, map_batches
 
-TRIGGER = 16
+TRIGGER = 64
 LONGEST_PHRASE = 4
 LONGEST_CHUNK = 4096
 LEAST = 30
@@ -36,6 +36,8 @@ SHARE = 80
 RANKS = 2000
 #: Bits of a filter: 4 MB, broadcast.
 FILTER_BITS = 1 << 25
+#: Bytes of chunks that a task looks through together.
+BLOCK = 1 << 20
 #: Entries that a task counts up before it hands them on.
 HELD = 200_000
 _SEPARATORS = bytes.maketrans(b".,;:!?\x0b\x0c\x0d", b"\n" * 9)
@@ -61,10 +63,11 @@ def pieces(text: bytes) -> list[list[bytes]]:
 def chunks(words: list[bytes], begins: dict[bytes, bool]):
     """(words of a chunk, how many of them are its own) of a piece."""
     n, last = len(words), 0
-    for i in range(1, n):
-        if begins[words[i]] or i - last >= LONGEST_CHUNK:
-            yield words[last : i + LONGEST_PHRASE - 1], i - last
-            last = i
+    if n > LONGEST_CHUNK or True in map(begins.__getitem__, words):
+        for i in range(1, n):
+            if begins[words[i]] or i - last >= LONGEST_CHUNK:
+                yield words[last : i + LONGEST_PHRASE - 1], i - last
+                last = i
     yield words[last:], n - last
 
 
@@ -102,68 +105,111 @@ def word_counts(parsed: DataFrame) -> DataFrame:
     return parsed.select("lang", own.alias("phrase"), "freq").groupBy("lang", "phrase").agg(F.sum("freq").alias("f"))
 
 
-def bits(counts: DataFrame) -> np.ndarray:
-    """A filter of the rows of counts: FILTER_BITS bits, whatever their number."""
-    at = F.pmod(F.xxhash64("lang", "phrase"), F.lit(FILTER_BITS))
-    words = counts.select(F.shiftright(at, 6).alias("at"), F.expr("shiftleft(1L, CAST(pmod(xxhash64(lang, phrase), 64) AS INT))").alias("bit"))
-    rows = words.groupBy("at").agg(F.bit_or("bit").alias("bit")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[rows["at"].to_numpy(np.int64)] = rows["bit"].to_numpy(np.int64)
-    return out
+def pair_counts(parsed: DataFrame) -> DataFrame:
+    """(lang, phrase, f) of the phrases of two words."""
+    words, own = F.split("chunk", " "), F.col("own")
+    both = F.explode(F.arrays_zip(F.slice(words, 1, own).alias("x"), F.slice(words, 2, own).alias("y"))).alias("p")
+    rows = parsed.where("instr(chunk, ' ') > 0").select("lang", both, "freq").select("lang", "p.x", "p.y", "freq").where("y is not null")
+    found = rows.groupBy("lang", "x", "y").agg(F.sum("freq").alias("f"))
+    return found.where(F.col("f") >= LEAST).select("lang", F.concat_ws(" ", "x", "y").alias("phrase"), "f")
 
 
-class _Filter:
-    """Whether a phrase of a language may be in a filter."""
+class _Hashes(dict):
+    """Hashes of words, none of them 0 but that of a chunk's end. Starts anew when it is full."""
 
-    def __init__(self, table: np.ndarray):
-        self.table, self.seeds, self.known = memoryview(table.view(np.uint64)), {}, {}
+    def __init__(self):
+        self[b"\n"] = 0
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= HELD:
+            self.clear()
+            self[b"\n"] = 0
+        self[word] = h = xxhash.xxh64_intdigest(word) or 1
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def _pair_bits(lang: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The bit of a filter that stands for two words of a language that follow each other; all by their hashes."""
+    x = (a + lang) * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(32)) % np.uint64(FILTER_BITS)
 
-    def __call__(self, lang: str, phrase: bytes) -> bool:
-        known = self.known.setdefault(lang, {})
-        said = known.get(phrase)
-        if said is None:
-            if lang not in self.seeds:
-                self.seeds[lang] = xxhash.xxh64_intdigest(lang.encode(), 42)
-            h = xxhash.xxh64_intdigest(phrase, self.seeds[lang])
-            said = bool(self.table[(h % FILTER_BITS) >> 6] >> (h & 63) & 1)
-            if len(known) >= HELD:
-                known.clear()
-            known[phrase] = said
-        return said
 
+def bits(pairs: DataFrame) -> np.ndarray:
+    """A filter of the rows of pairs (lang, phrase): FILTER_BITS bits, whatever their number."""
 
-def phrase_counts(parsed: DataFrame, frequent: np.ndarray, part: int, lengths: range) -> DataFrame:
-    """(lang, phrase, f) of the phrases of these lengths in words of which all parts of so many words may be frequent."""
+    def run(it):
+        known, langs = _Hashes(), _Hashes()
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            h = known.of(b" ".join(batch.column(1).cast(pa.binary()).to_pylist()).split(b" "))
+            at = _pair_bits(langs.of(batch.column(0).cast(pa.binary()).to_pylist()), h[::2], h[1::2]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], names=["at", "bit"])
+
+    found = map_batches(pairs.select("lang", "phrase"), run, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bit")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[found["at"].to_numpy(np.int64)] = found["bit"].to_numpy(np.int64)
+    return out
+
+
+def longer_counts(parsed: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(lang, phrase, f) of the phrases of three words and more all pairs of which may be frequent."""
     shared = parsed.sparkSession.sparkContext.broadcast(frequent)
 
     def run(it):
-        test, held = _Filter(shared.value), Counter()
+        table, known, lang_known = shared.value.view(np.uint64), _Hashes(), _Hashes()
+        held: dict[tuple[bytes, bytes], int] = {}
+        langs: list[bytes] = []
+        parts: list[bytes] = []
+        owns: list[np.ndarray] = []
+        freqs: list[np.ndarray] = []
+        size = 0
 
         def out():
             yield from batches({"lang": [k[0] for k in held], "phrase": [k[1] for k in held], "f": list(held.values())}, _COUNTS)
             held.clear()
 
+        def count() -> None:
+            words = b" \n ".join(parts).split(b" ")
+            h = known.of(words)
+            ends = np.append(np.flatnonzero(h == 0), len(h))
+            starts = np.concatenate(([0], ends[:-1] + 1))
+            row = np.repeat(np.arange(len(parts)), ends - starts + 1)[: len(h)]
+            at = _pair_bits(lang_known.of(langs)[row[:-1]], h[:-1], h[1:])
+            may = (table[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool) & (h[:-1] != 0) & (h[1:] != 0)
+            begins = (np.arange(len(h) - 1) < (starts + np.concatenate(owns))[row[:-1]]) & may
+            freq = np.concatenate(freqs)
+            for n in range(3, LONGEST_PHRASE + 1):
+                begins = begins[:-1] & may[n - 2 :]
+                first = np.flatnonzero(begins)
+                rows = row[first]
+                for i, k, f in zip(first.tolist(), rows.tolist(), freq[rows].tolist(), strict=True):
+                    key = (langs[k], b" ".join(words[i : i + n]))
+                    held[key] = held.get(key, 0) + f
+
         for batch in it:
-            columns = (batch.column(i).to_pylist() for i in (0, 2, 3))
-            for lang, own, freq, chunk in zip(*columns, batch.column(1), strict=True):
-                words = chunk.as_buffer().to_pybytes().split(b" ")
-                n = len(words)
-                if n < lengths.start:
-                    continue
-                run_of = 0  # parts in a row from here on that may be frequent
-                for i in range(n - part, -1, -1):
-                    run_of = run_of + 1 if test(lang, words[i] if part == 1 else b" ".join(words[i : i + part])) else 0
-                    if i < own:
-                        for k in lengths:
-                            if k - part >= run_of:
-                                break
-                            held[lang, b" ".join(words[i : i + k])] += freq
+            langs += batch.column(0).cast(pa.binary()).to_pylist()
+            parts += batch.column(1).cast(pa.binary()).to_pylist()
+            owns.append(batch.column(2).to_numpy(zero_copy_only=False))
+            freqs.append(batch.column(3).to_numpy(zero_copy_only=False))
+            size += batch.column(1).nbytes
+            if size >= BLOCK:
+                count()
+                langs, parts, owns, freqs, size = [], [], [], [], 0
                 if len(held) >= HELD:
                     yield from out()
+        if parts:
+            count()
         if held:
             yield from out()
 
-    found = map_batches(parsed.select("lang", "chunk", "own", "freq"), run, "lang string, phrase string, f long")
+    longer = parsed.where("locate(' ', chunk, locate(' ', chunk) + 1) > 0").select("lang", "chunk", "own", "freq")  # three words or more
+    found = map_batches(longer, run, "lang string, phrase string, f long")
     return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
@@ -172,8 +218,8 @@ def frequent_phrases(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     parsed = cut(dictionary(docs), "chunks")
     words = cut(word_counts(parsed), "words")
     often = words.where(F.col("f") >= LEAST)
-    pairs = cut(phrase_counts(parsed, bits(often), 1, range(2, 3)).where(F.col("f") >= LEAST), "pairs")
-    longer = phrase_counts(parsed, bits(pairs), 2, range(3, LONGEST_PHRASE + 1)).where(F.col("f") >= LEAST)
+    pairs = cut(pair_counts(parsed), "pairs")
+    longer = longer_counts(parsed, bits(pairs)).where(F.col("f") >= LEAST)
     return often.unionByName(pairs).unionByName(longer), words.groupBy("lang").agg(F.sum("f").alias("n"))
 
 
