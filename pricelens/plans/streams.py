@@ -95,16 +95,17 @@ def t4_enrich_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {S.CTE['stores']}, m AS (SELECT l.*, CASE WHEN l_partkey % 3 > 0 THEN own.matched_store END AS before, own.matched_store AS own FROM ({_LINES}) l LEFT JOIN {_OWN} own USING (retailer_key, zip_code))
-  SELECT line_id, CASE WHEN before IS NULL AND day >= DATE '{S.AS_OF}' - 120 AND day < DATE '{S.AS_OF}' THEN own ELSE before END AS matched_store FROM m"""
+    f"""WITH {S.CTE['stores']}, m AS (SELECT l.*, CASE l_partkey % 3 WHEN 1 THEN own.matched_store + 1 WHEN 2 THEN own.matched_store END AS before, own.matched_store AS own FROM ({_LINES}) l LEFT JOIN {_OWN} own USING (retailer_key, zip_code))
+  SELECT line_id, CASE WHEN NOT EXISTS (SELECT 1 FROM stores s WHERE s.store_id = before AND s.retailer_key = m.retailer_key) AND day >= DATE '{S.AS_OF}' - 120 AND day < DATE '{S.AS_OF}' THEN own ELSE before END AS matched_store FROM m"""
 )
 def t5_repair(spark: SparkSession, sf: str) -> DataFrame:
-    """A third of the deals have lost their store; those of the last 120 days get it again."""
+    """A third of the deals have lost their store, a third have the next store, most often another retailer's; those of the last 120 days are mended."""
     stores, supplier = S.stores(spark, sf), S.table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
     match = lambda d: M.match_exact(d, stores, ["retailer_key", "zip_code"])
     matched = match(_lines(S.table(spark, sf, "lineitem"), supplier))
-    matched = matched.withColumn("matched_store", F.when(F.col("l_partkey") % 3 > 0, F.col("matched_store")))
-    return P.repair_recent(matched, match, "day", S.AS_OF, 120).select("line_id", "matched_store")
+    k, store = F.col("l_partkey") % 3, F.col("matched_store")
+    matched = matched.withColumn("matched_store", F.when(k == 1, store + 1).when(k == 2, store))
+    return P.repair_recent(matched, match, "day", S.AS_OF, 120, stores).select("line_id", "matched_store")
 
 
 _WEEK = f"list_filter(sent, lambda x: epoch(r.sent_at)::BIGINT - x.t < {P.WEEK})"

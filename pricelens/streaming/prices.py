@@ -134,15 +134,21 @@ def enrich_stream(rows: DataFrame, match: Callable[[DataFrame], DataFrame], sink
     return rows.writeStream.foreachBatch(lambda b, i: sink(match(b), i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def repair_recent(matched: DataFrame, match: Callable[[DataFrame], DataFrame], day: str, as_of: str, days: int = 7) -> DataFrame:
+def repair_recent(matched: DataFrame, match: Callable[[DataFrame], DataFrame], day: str, as_of: str, days: int = 7, stores: DataFrame | None = None) -> DataFrame:
     """matched with the deals of the days before as_of that have no store (matched_store) given to match again; others are left alone.
 
+    stores (retailer_key, store_id): a deal of those days whose store isn't one of its retailer's is matched again, too, and loses the store if none is found.
     match takes the columns of matched but matched_store, and adds it.
     """
     now = F.to_date(F.lit(as_of))
-    again = F.col("matched_store").isNull() & (F.col(day) >= F.date_sub(now, days)) & (F.col(day) < now)
-    todo = F.coalesce(again, F.lit(False))
-    return matched.where(~todo).unionByName(match(matched.where(todo).drop("matched_store")).select(*matched.columns))
+    cols, lost = matched.columns, F.col("matched_store").isNull()
+    if stores is not None:
+        own = stores.select("retailer_key", F.col("store_id").alias("matched_store")).distinct().withColumn("_own", F.lit(True))
+        matched = matched.join(own, ["retailer_key", "matched_store"], "left")
+        lost = F.col("_own").isNull()
+    again = F.coalesce(lost & (F.col(day) >= F.date_sub(now, days)) & (F.col(day) < now), F.lit(False))
+    fine, todo = matched.where(~again).select(*cols), matched.where(again).select(*[c for c in cols if c != "matched_store"])
+    return fine.unionByName(match(todo).select(*cols))
 
 
 WEEK, PER_DAY = 7 * 86_400, 3
