@@ -256,6 +256,33 @@ def unmatched_retailers(deals: DataFrame, stores: DataFrame, skip: list[str]) ->
     return d.where(~F.col("retailer").isin(skip)) if skip else d
 
 
+def import_targets(unmatched: DataFrame, targets: DataFrame) -> DataFrame:
+    """(retailer, map_name, retailer_key, status) of unmatched retailers: what to look for on the map and the key to store it by (targets: retailer, map_name, retailer_key).
+
+    status: import, or no_target where targets has none; of several targets of a retailer all are looked for. Names are compared without case and outer spaces.
+    """
+    named = lambda d: d.withColumn("_name", F.lower(F.trim("retailer")))
+    out = named(unmatched.select("retailer").distinct()).join(named(targets.select("retailer", "map_name", "retailer_key").distinct()).drop("retailer"), "_name", "left")
+    return out.select("retailer", "map_name", "retailer_key", F.when(F.col("map_name").isNull(), "no_target").otherwise("import").alias("status"))
+
+
+def nearby_prices(requests: DataFrame, deals: DataFrame, stores: DataFrame, zips: DataFrame, miles: float, k: int) -> DataFrame:
+    """By request (request_id, canonical, zip_code): the k cheapest stores within miles of the zip's centre that offer the product, on equal prices the nearer one.
+
+    A store's best price of a product and the stores near a zip are worked out once, and the k cheapest once for each distinct (product, zip).
+    """
+    asked = requests.select("canonical", "zip_code").distinct()
+    points = asked.select("zip_code").distinct().join(zips.select("zip_code", "latitude", "longitude"), "zip_code")
+    near = geo_join(points, as_places(stores, "store_id", "retailer_key"), miles)
+    near = near.select("zip_code", "store_id", "retailer_key", (F.floor(F.col("distance_miles") * 100 + 0.5) / 100).alias("distance_miles"))
+    wanted = deals.where("price > 0").join(asked.select("canonical").distinct(), "canonical", "left_semi")
+    best = wanted.groupBy("canonical", "store_id").agg(F.min("price").alias("price"))
+    found = asked.join(near, "zip_code").join(best, ["canonical", "store_id"])
+    n = F.row_number().over(Window.partitionBy("canonical", "zip_code").orderBy("price", "distance_miles", "store_id"))
+    top = found.withColumn("rank", n).where(F.col("rank") <= k)
+    return requests.select("request_id", "canonical", "zip_code").join(top, ["canonical", "zip_code"]).select("request_id", "rank", "store_id", "retailer_key", "distance_miles", "price")
+
+
 def attach_addresses(stores: DataFrame, deals: DataFrame) -> DataFrame:
     """Stores known by zip only get the address of their earliest deal that has one."""
     a = deals.where("address is not null").groupBy("retailer_key", "zip_code").agg(F.min_by("address", "id").alias("deal_address"))

@@ -203,6 +203,29 @@ def j26_unmatched_retailers(spark: SparkSession, sf: str) -> DataFrame:
     return M.unmatched_retailers(S.deals(spark, sf), S.stores(spark, sf).where("store_id % 4 > 0"), ["retailer_1"])
 
 
+@query(_sql("deals", [], """SELECT retailer, n_name AS map_name, 'key_' || n_nationkey AS retailer_key, CASE WHEN n_name IS NULL THEN 'no_target' ELSE 'import' END AS status FROM (
+  SELECT DISTINCT retailer, retailer_id FROM deals WHERE store_id % 4 = 0 AND retailer NOT IN ('retailer_1')) LEFT JOIN nation ON n_nationkey = retailer_id AND n_nationkey % 5 > 0"""))
+def j26_import_targets(spark: SparkSession, sf: str) -> DataFrame:
+    n = S.table(spark, sf, "nation").where("n_nationkey % 5 > 0")
+    targets = n.select(F.concat(F.lit(" Retailer_"), "n_nationkey").alias("retailer"), F.col("n_name").alias("map_name"), F.concat(F.lit("key_"), "n_nationkey").alias("retailer_key"))
+    return M.import_targets(M.unmatched_retailers(S.deals(spark, sf), S.stores(spark, sf).where("store_id % 4 > 0"), ["retailer_1"]), targets)
+
+
+@query(
+    _sql(
+        "deals stores zips",
+        [NEAR],
+        """SELECT request_id, rank, store_id, retailer_key, distance_miles, price FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY price, distance_miles, store_id) AS rank FROM (
+  SELECT p_partkey AS request_id, n.store_id, n.retailer_key, n.distance_miles, b.price FROM part JOIN near n ON n.point_id = (p_partkey % 200 + 90000)::VARCHAR
+  JOIN (SELECT canonical, store_id, min(price) AS price FROM deals WHERE price > 0 GROUP BY 1, 2) b ON b.canonical = p_name AND b.store_id = n.store_id)) WHERE rank <= 5""",
+    )
+)
+def a14_nearby_prices(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    asked = S.table(spark, sf, "part").select(k.alias("request_id"), F.col("p_name").alias("canonical"), (k % 200 + 90000).cast("string").alias("zip_code"))
+    return M.nearby_prices(asked, S.deals(spark, sf), S.stores(spark, sf), S.zips(spark), 25.0, 5)
+
+
 @query(_sql("deals stores", [], """SELECT store_id, CASE WHEN store_id % 2 = 0 THEN 'own' ELSE a END AS address FROM stores LEFT JOIN (SELECT retailer, zip_code, arg_min('street ' || deal_id, deal_id) AS a FROM deals GROUP BY 1, 2) d ON retailer = retailer_key AND d.zip_code = stores.zip_code"""))
 def j24_attach_addresses(spark: SparkSession, sf: str) -> DataFrame:
     d = S.deals(spark, sf).select(F.col("retailer").alias("retailer_key"), "zip_code", F.col("deal_id").alias("id"), F.concat(F.lit("street "), "deal_id").alias("address"))
