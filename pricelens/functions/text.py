@@ -21,6 +21,7 @@ FILLER = [
     r"\bcontainer\b", r"\bcanister\b", r"\btub\b", r"\bwrap\b", r"\btin\b", r"[-–]\s*\d+(?:\.\d+)?\s*(?:oz|lb|g|ml|fl\.?\s*oz)\b",
     r"\d+(?:\.\d+)?\s*(?:oz|lb|g|ml|fl\.?\s*oz|ounce|pound|gram|liter)\b",
 ]
+#: Words that no name ends in; brands whose words may come in any order.
 STOPWORDS = "with|and|or|in|of|for|the|a|an"
 SORTABLE = ["cheerios", "eggo", "oreo", "wheaties", "trix", "kix", "chex", "clif", "rxbar"]
 #: Ounces in a unit, singular forms only.
