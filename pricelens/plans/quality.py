@@ -255,7 +255,7 @@ def a27_repair_confidence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_sql("stores", [RAW], "SELECT 'missing_' || c AS issue, count(*) AS n FROM (SELECT unnest([CASE WHEN retailer IS NULL THEN 'retailer' END, CASE WHEN city IS NULL THEN 'city' END, CASE WHEN state IS NULL THEN 'state' END]) AS c FROM raw) WHERE c IS NOT NULL GROUP BY 1"))
 def a29_issue_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return A.issue_counts(C.verify(_stores(spark, sf), S.zips(spark))).where("issue like 'missing%'")
+    return A.issue_counts(C.verify(_stores(spark, sf), S.zips(spark)))
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (p_size > 10) AS n_filled, floor(count(*) FILTER (p_size > 10)::DOUBLE / count(*) * 100 * 100 + 0.5) / 100 AS pct FROM part")
