@@ -46,7 +46,12 @@ def latest_price(hist: DataFrame) -> DataFrame:
 
 def deal_delta(hist: DataFrame, as_of: str, days: int = 90) -> DataFrame:
     """Change of the latest price against the baseline: drop, rise, unchanged, or new where there is no baseline."""
-    d = latest_price(hist).join(baseline(hist, as_of, days), PAIR, "left")
+    return compared(latest_price(hist), baseline(hist, as_of, days))
+
+
+def compared(latest: DataFrame, base: DataFrame) -> DataFrame:
+    """deal_delta() of latest_price() and baseline(), wherever they come from."""
+    d = latest.join(base, PAIR, "left")
     base, now = F.col("baseline_price"), F.col("current_price")
     change = (now - base) / base * 100
     return d.select(
@@ -99,6 +104,11 @@ def best_deals(hist: DataFrame, as_of: str, retailers: int = 2, days: int = 3, b
         F.size(F.collect_set("store_id")).cast("long").alias("retailer_count"),
         F.max("day").alias("last_seen"),
     )
+    return judged(g, retailers, days, below_pct, max_price)
+
+
+def judged(g: DataFrame, retailers: int = 2, days: int = 3, below_pct: float = 10.0, max_price: float = 1e9) -> DataFrame:
+    """The rows of best_deals() from each key's figures."""
     below = cents((F.col("median_price") - F.col("best_current_price")) / F.col("median_price") * 100)
     g = g.withColumn("pct_below_median", below).withColumn(
         "price_status", F.when(F.col("best_current_price") <= F.col("all_time_low"), "all_time_low").when(below >= 25, "great").otherwise("good")

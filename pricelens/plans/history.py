@@ -10,9 +10,9 @@ from ..sources import tables as S
 from .registry import query
 
 
-def history_rows(spark: SparkSession, sf: str) -> DataFrame:
+def history_rows(spark: SparkSession, sf: str, line: DataFrame | None = None) -> DataFrame:
     """Deals as rows of the history job: product by retailer and day."""
-    d = S.deals(spark, sf)
+    d = S.deals(spark, sf, line)
     return d.select(F.col("canonical").alias("match_key"), F.col("retailer_id").alias("store_id"), F.col("date_added").alias("day"), "price", F.col("deal_id").alias("row_id"), "brand", "category", "base_amount", "base_unit")
 
 
@@ -82,16 +82,17 @@ def w9_top_deals(spark: SparkSession, sf: str) -> DataFrame:
     return H.top_deals(H.score_deals(H.deal_delta(h, S.AS_OF), h, S.AS_OF)).select("match_key", "store_id", "composite_score")
 
 
-@query(
-    _sql(
-        [HIST],
-        f"""SELECT *, CASE WHEN best_current_price <= all_time_low THEN 'all_time_low' WHEN pct_below_median >= 25 THEN 'great' ELSE 'good' END AS price_status FROM (
+BEST = _sql(
+    [HIST],
+    f"""SELECT *, CASE WHEN best_current_price <= all_time_low THEN 'all_time_low' WHEN pct_below_median >= 25 THEN 'great' ELSE 'good' END AS price_status FROM (
   SELECT *, floor((median_price - best_current_price) / median_price * 100 * 100 + 0.5) / 100 AS pct_below_median FROM (
     SELECT match_key, min(price) FILTER (day >= {_NOW} - 30) AS best_current_price, min(price) AS all_time_low, max(price) AS all_time_high, median(price) AS median_price,
       count(DISTINCT day) AS days_tracked, count(DISTINCT store_id) AS retailer_count, max(day) AS last_seen FROM hist WHERE length(match_key) <= 80 GROUP BY 1))
   WHERE retailer_count >= 2 AND days_tracked >= 3 AND pct_below_median >= 10""",
-    )
 )
+
+
+@query(BEST)
 def a12_best_deals(spark: SparkSession, sf: str) -> DataFrame:
     return H.best_deals(history(spark, sf), S.AS_OF)
 

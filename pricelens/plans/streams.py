@@ -9,6 +9,8 @@ from ..operators import matching as M
 from ..operators.history import daily_price_history
 from ..sources import tables as S
 from ..streaming import prices as P
+from ..streaming.summaries import Summaries
+from . import history as HP
 from .registry import query
 
 
@@ -37,6 +39,31 @@ def t1_t2_price_stream(spark: SparkSession, sf: str) -> DataFrame:
     return P.stored_minima(spark, f"{path}/table", schema).select("match_key", "store_id", "day", "price")
 
 
+def _summaries(spark: SparkSession, sf: str) -> Summaries:
+    """The deals as three streams, one after the other, into one history with its summaries."""
+    path = S.scratch_path(spark, "summaries")
+    kept = Summaries(spark, f"{path}/table", HP.history(spark, sf).schema)
+    for k in range(3):
+        third = _stream(spark, sf, "lineitem").where(F.col("l_orderkey") % 3 == k)
+        kept.stream(HP.history_rows(spark, sf, third), f"{path}/offsets{k}", f"deals {k}").awaitTermination()
+    return kept
+
+
+_SCORES = ["match_key", "store_id", "current_price", "pct_savings", "absolute_savings", "deal_velocity", "composite_score"]
+
+
+@query(HP._sql([HP.HIST, HP.BASE, HP.LATEST, HP.DELTA, HP.VEL, HP.SCORE], f"SELECT {', '.join(_SCORES)} FROM score"))
+def a2_a6_kept_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores from the summaries that three streams kept."""
+    return _summaries(spark, sf).score_deals(S.AS_OF).select(*_SCORES)
+
+
+@query(HP.BEST)
+def a12_kept_best_deals(spark: SparkSession, sf: str) -> DataFrame:
+    """Best deals from the summaries that three streams kept."""
+    return _summaries(spark, sf).best_deals(S.AS_OF)
+
+
 _DAYS = "e AS (SELECT date_trunc('day', ts) AS day_start, event_type AS match_key, value FROM events)"
 
 

@@ -30,9 +30,10 @@ def cents(x: Column) -> Column:
 # ---- adapters
 
 
-def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One deal for each line item: product, price, retailer, store and the postal code of the ordering customer."""
-    line, part, supplier, orders = (table(spark, sf_dir, n) for n in ("lineitem", "part", "supplier", "orders"))
+def deals(spark: SparkSession, sf_dir: str, line: DataFrame | None = None) -> DataFrame:
+    """One deal for each line item (those of line, if given): product, price, retailer, store and the postal code of the ordering customer."""
+    part, supplier, orders = (table(spark, sf_dir, n) for n in ("part", "supplier", "orders"))
+    line = table(spark, sf_dir, "lineitem") if line is None else line
     unit = F.element_at(F.array(*map(F.lit, ("oz", "lb", "g", "ct"))), (F.col("l_partkey") % 4 + 1).cast("int"))
     joined = (
         line.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))

@@ -40,16 +40,16 @@ def current(spark: SparkSession, path: str, schema: StructType, name: str = "dat
     return rows.join(F.broadcast(last), ["version", "part"]).drop("version")  # a row a part
 
 
-def appended(spark: SparkSession, path: str, schema: StructType, name: str) -> DataFrame:
-    """All rows that committed writes have put into the side table name."""
-    done = commits(spark, path).select("version").distinct()
+def appended(spark: SparkSession, path: str, schema: StructType, name: str, after: int = 0) -> DataFrame:
+    """All rows that committed writes, those of versions above after, have put into the side table name."""
+    done = commits(spark, path).where(F.col("version") > after).select("version").distinct()
     try:
         rows = spark.read.schema(StructType(list(schema.fields)).add("version", "integer")).parquet(f"{path}/{name}")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], schema)
-    return rows.join(done, "version").drop("version")
+    return rows.where(F.col("version") > after).join(done, "version").drop("version")
 
 
 def _commit(spark: SparkSession, path: str, rows: list[tuple], version: int) -> None:
@@ -57,10 +57,10 @@ def _commit(spark: SparkSession, path: str, rows: list[tuple], version: int) ->
     made.coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/version={version}")
 
 
-def write(path: str, stream: str, batch: int, new: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], seen=None, aside: dict[str, DataFrame] | None = None) -> bool:
+def write(path: str, stream: str, batch: int, new: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], seen=None, aside: dict[str, DataFrame] | Callable[[DataFrame, DataFrame], dict[str, DataFrame]] | None = None) -> bool:
     """Merges new (with column part) into the table's parts that it touches; merge takes their stored rows and the new ones. False if the batch was committed before.
 
-    aside: rows to append to side tables in the same commit.
+    aside: rows to append to side tables in the same commit, or a function that makes them of the stored rows and the new ones.
     """
     spark = new.sparkSession
     log = commits(spark, path)
@@ -70,11 +70,11 @@ def write(path: str, stream: str, batch: int, new: DataFrame, merge: Callable[[D
     version = facts.v + 1
     rows = StructType([f for f in new.schema.fields if f.name != "part"])
     parts = [r.part for r in new.select("part").distinct().collect()]  # days or months of one batch
+    stored = current(spark, path, rows).where(F.col("part").isin(parts) if parts else F.lit(False))
     if parts:
-        stored = current(spark, path, rows).where(F.col("part").isin(parts))
         merged = merge(stored, new).repartition("part")
         merged.write.mode("overwrite").partitionBy("part").parquet(f"{path}/data/version={version}")
-    for name, more in (aside or {}).items():
+    for name, more in ((aside(stored, new) if callable(aside) else aside) or {}).items():
         more.write.mode("overwrite").parquet(f"{path}/{name}/version={version}")
     _commit(spark, path, [(stream, batch, p, seen) for p in parts or [None]], version)
     return True

@@ -30,16 +30,25 @@ def _by_month(history: DataFrame) -> DataFrame:
     return history.withColumn("part", F.trunc("day", "month"))
 
 
-def write_minima(path: str, stream: str = "prices") -> Callable[[DataFrame, int], None]:
+def changed_days(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """(match_key, store_id, day, part, before, price, brand, category): the days that new makes cheaper, before null where they are new."""
+    old = stored.select(*KEY, F.col("price").alias("before"))
+    cheaper = F.col("before").isNull() | (F.col("price") < F.col("before"))
+    return new.join(old, KEY, "left").where(cheaper).select(*KEY, "part", "before", "price", "brand", "category")
+
+
+def write_minima(path: str, stream: str = "prices", changes: bool = False) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: merges a micro-batch's daily minima into the table of versions at path, by months.
 
     Only the batch's months are read and written. A batch that stopped at any point, or comes again, loses and repeats nothing (sources/versions.py).
+    changes: also puts changed_days() into the side table changes, from which streaming/summaries.py follows.
     """
+    aside = (lambda stored, rows: {"changes": changed_days(stored, rows)}) if changes else None
 
     def run(batch: DataFrame, batch_id: int) -> None:
         new = _by_month(daily_price_history(batch)).persist()
         try:
-            versions.write(path, stream, batch_id, new, lambda stored, rows: merge_minima(stored.select(rows.columns), rows))
+            versions.write(path, stream, batch_id, new, lambda stored, rows: merge_minima(stored.select(rows.columns), rows), aside=aside)
         finally:
             new.unpersist()
 
