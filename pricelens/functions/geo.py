@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MILES, METRES, KILOMETRES = 3958.8, 6_371_000.0, 6371.0
@@ -196,15 +196,28 @@ def short_streets(c: Column) -> Column:
     return c
 
 
+def address_words(c: Column) -> Column:
+    """The words that token_prefix_sim() compares, in order."""
+    return F.array_remove(F.split(F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), " "), "")
+
+
+def _alias() -> Column:
+    return F.create_map(*[F.lit(x) for kv in (DIRECTIONS | STREETS).items() for x in kv])
+
+
+def word_keys(word: Column) -> Column:
+    """One or two keys of a word: words that token_prefix_sim() counts as alike share one, their first two characters or those of their short form."""
+    return F.array_distinct(F.array(F.substring(word, 1, 2), F.substring(F.coalesce(F.try_element_at(_alias(), word), word), 1, 2)))
+
+
 def token_prefix_sim(a: Column, b: Column) -> Column:
     """Share of a's words that find a word of b, each at most once: equal words count 1, prefixes the ratio of their lengths.
 
     Names of one direction or of one kind of street are equal; words of one character are no prefixes. Words are matched in order,
     each with the best free partner, the first of equally good ones.
     """
-    words = lambda x: F.array_remove(F.split(F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " ")), " "), "")
-    wa, wb = words(a), words(b)
-    alias = F.create_map(*[F.lit(x) for kv in (DIRECTIONS | STREETS).items() for x in kv])
+    wa, wb = address_words(a), address_words(b)
+    alias = _alias()
 
     def worth(x: Column, y: Column) -> Column:
         short, long = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
@@ -223,11 +236,49 @@ def token_prefix_sim(a: Column, b: Column) -> Column:
 
 
 def sequence_ratio():
-    """An Arrow UDF: matched share of two strings by longest common blocks (no built-in function has it)."""
+    """An Arrow UDF: matched share of two strings by longest common blocks (no built-in function has it); null counts as empty."""
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
-        return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+        pairs, seen = list(zip(a.fillna(""), b.fillna(""), strict=True)), {}
+        # the matcher keeps an index of its second text: pairs are taken by it, equal pairs once
+        matcher, of = SequenceMatcher(None), None
+        for x, y in sorted(set(pairs), key=lambda p: p[1]):
+            if y != of:
+                matcher.set_seq2(y)
+                of = y
+            matcher.set_seq1(x)
+            seen[x, y] = matcher.ratio()
+        return pd.Series([seen[p] for p in pairs], dtype="float64")
 
     return ratio
+
+
+def _letters_shared(a: Column, b: Column) -> Column:
+    """How many letters two texts have in common, whatever their order: as many of each as the text with fewer has."""
+    chars = lambda c: F.array_sort(F.array_remove(F.split(c, ""), ""))
+    numbered = lambda x: F.transform(x, lambda y, i: F.concat(y, (i - F.array_position(x, y)).cast("string")))
+    return F.size(F.array_intersect(numbered(chars(a)), numbered(chars(b))))
+
+
+def ratio_bound(a: Column, b: Column) -> Column:
+    """An upper bound of sequence_ratio() without Python: by the letters that the texts share in any order; null counts as empty."""
+    a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
+    both = F.length(a) + F.length(b)
+    by_length = 2.0 * F.least(F.length(a), F.length(b)) / both
+    return F.when(both == 0, 1.0).otherwise(F.least(by_length, 2.0 * _letters_shared(a, b) / both))
+
+
+def ratio_at_least(df: DataFrame, a: str, b: str, least: float, name: str = "ratio") -> DataFrame:
+    """The rows of df whose sequence_ratio() of columns a and b is at least least, with it as name.
+
+    Equal texts have 1, rows whose bound by length, then by letters, lies below least are gone before the matcher, and each distinct pair of texts is matched once.
+    """
+    x, y = F.coalesce(F.col(a), F.lit("")), F.coalesce(F.col(b), F.lit(""))
+    by_length = 2 * F.least(F.length(x), F.length(y)) >= F.lit(least) * (F.length(x) + F.length(y)) - 1e-9
+    left = df.where(by_length).where(ratio_bound(x, y) >= least - 1e-9).withColumns({"_x": x, "_y": y})
+    pairs = left.where("_x <> _y").select("_x", "_y").distinct().withColumn(name, sequence_ratio()(F.col("_x"), F.col("_y"))).where(F.col(name) >= least)
+    unlike = left.where("_x <> _y").join(pairs, ["_x", "_y"])
+    alike = left.where("_x = _y").withColumn(name, F.lit(1.0))
+    return alike.select(*df.columns, name).unionByName(unlike.select(*df.columns, name))

@@ -220,14 +220,40 @@ def match_score(a: str = "", b: str = "x_") -> Column:
     )
 
 
+def entity_pairs(internal: DataFrame, external: DataFrame, threshold: float = 0.82) -> DataFrame:
+    """Pairs (external's columns, internal's with x_) that may reach a match_score() of threshold: within retailer and three digits of the zip, addresses with a rare word alike.
+
+    A score of threshold asks for a likeness of addresses of (threshold - .65) / .35 at least, since all else gives .65; so of the n words of an internal address that many
+    times n have a partner, and of any n + 1 without as many, one has. The internal side goes by its rarest words, as many as that, the external side by all of its words.
+    Below a threshold of .65 addresses decide nothing, and all pairs of a retailer and three digits are made; rows without an address can't reach more.
+    """
+    block = ["retailer_key", "_zip3"]
+    external = external.withColumn("_zip3", F.substring("zip_code", 1, 3))
+    x = internal.select(*[F.col(c).alias(f"x_{c}") for c in internal.columns], F.col("retailer_key"), F.substring("zip_code", 1, 3).alias("_zip3"))
+    least = (threshold - 0.65) / 0.35
+    if least <= 0:
+        return external.join(x, block).drop("_zip3")
+    keys = F.array_distinct(F.flatten(F.transform(geo.address_words(F.col("address")), geo.word_keys)))
+    external = external.withColumn("_keys", keys)
+    seen = external.select(*block, F.explode("_keys").alias("_key")).groupBy(*block, "_key").agg(F.count("*").alias("_n"))
+    words = x.select("x_id", *block, F.posexplode(geo.address_words(F.col("x_address"))).alias("_at", "_word"))
+    words = words.select("x_id", *block, "_at", F.explode(geo.word_keys(F.col("_word"))).alias("_key")).join(seen, [*block, "_key"], "left")
+    words = words.groupBy("x_id", *block, "_at").agg(F.collect_set("_key").alias("_k"), F.sum(F.coalesce("_n", F.lit(0))).alias("_n"))
+    rare = words.groupBy("x_id").agg(F.array_sort(F.collect_list(F.struct("_n", "_at", "_k"))).alias("_w"))  # one address's words
+    n = F.size("_w")
+    take = F.greatest(n - F.ceil(n * F.lit(least) - 1e-9).cast("int") + 1, F.lit(0))
+    rare = rare.select("x_id", F.array_distinct(F.flatten(F.transform(F.slice("_w", F.lit(1), take), lambda w: w["_k"]))).alias("x_keys"))
+    left = x.join(rare, "x_id").withColumn("_key", F.explode("x_keys"))
+    pairs = external.withColumn("_key", F.explode("_keys")).join(left, [*block, "_key"])
+    first = F.element_at(F.array_intersect("x_keys", "_keys"), 1)  # each pair once
+    return pairs.where(F.col("_key") == first).drop("_key", "_keys", "x_keys", "_zip3")
+
+
 def resolve_entities(internal: DataFrame, external: DataFrame, threshold: float = 0.82) -> DataFrame:
     """internal with the external stores that are not the same as one of them, blocked by retailer and first three digits of the zip."""
     internal = first_by(internal, ["id"], [F.col("address")])
     external = first_by(external, ["retailer_key", "address", "zip_code"], [F.col("id")])
-    zip3 = F.substring("zip_code", 1, 3)
-    x = internal.select(*[F.col(c).alias(f"x_{c}") for c in internal.columns]).withColumn("x_zip3", F.substring("x_zip_code", 1, 3))
-    pairs = external.withColumn("zip3", zip3).join(x, (F.col("retailer_key") == F.col("x_retailer_key")) & (F.col("zip3") == F.col("x_zip3")))
-    same = pairs.where(match_score() >= threshold).select("id").distinct()
+    same = entity_pairs(internal, external, threshold).where(match_score() >= threshold).select("id").distinct()
     return internal.withColumn("source", F.lit("internal")).unionByName(external.join(same, "id", "left_anti").withColumn("source", F.lit("external")))
 
 

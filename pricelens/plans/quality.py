@@ -145,6 +145,40 @@ def g18_g21_scores(spark: SparkSession, sf: str) -> DataFrame:
     return S.table(spark, sf, "part").select("p_partkey", G.token_jaccard(F.col("p_name"), other).alias("jaccard"), G.zip_score(z1, z2).alias("zip"), G.geo_score(metres).alias("near"))
 
 
+_LIKE = "{'n': 'n', 'north': 'n', 'sw': 'sw', 'southwest': 'sw', 'st': 'st', 'street': 'st', 'ave': 'ave', 'avenue': 'ave', 'expy': 'expy', 'expressway': 'expy'}"
+_WORTH = f"""CASE WHEN x[i] = y OR map_extract(MAP {_LIKE}, x[i]) = map_extract(MAP {_LIKE}, y) AND len(map_extract(MAP {_LIKE}, y)) > 0 THEN 1.0::DOUBLE
+  WHEN least(length(x[i]), length(y)) > 1 AND (starts_with(x[i], y) OR starts_with(y, x[i])) THEN least(length(x[i]), length(y))::DOUBLE / greatest(length(x[i]), length(y)) ELSE 0.0::DOUBLE END"""
+
+
+@query(
+    f"""WITH RECURSIVE w AS (SELECT s_suppkey AS store_id,
+    regexp_extract_all(s_suppkey || CASE s_suppkey % 4 WHEN 0 THEN ' n maple avenue 5' WHEN 1 THEN ' sw oak st oak' WHEN 2 THEN ' main expressway' ELSE ' st street stone' END, '[a-z0-9]+') AS x,
+    regexp_extract_all(s_suppkey + s_suppkey % 2 || CASE s_suppkey % 5 WHEN 0 THEN ' north map ave.' WHEN 1 THEN ' southwest oaks street 5 oak' WHEN 2 THEN ' expy mainly' WHEN 3 THEN ' stones st' ELSE ' ave, n. maple' END, '[a-z0-9]+') AS y FROM supplier),
+  s AS (SELECT store_id, x, y AS free, 0.0::DOUBLE AS total, 1 AS i, greatest(len(x), len(y)) AS n FROM w
+    UNION ALL SELECT store_id, x, CASE WHEN v > 0 THEN list_filter(free, lambda y, k: k <> j) ELSE free END, total + v, i + 1, n FROM (
+      SELECT *, coalesce(list_max(worths), 0.0::DOUBLE) AS v, list_position(worths, list_max(worths)) AS j FROM (
+        SELECT *, list_transform(free, lambda y: {_WORTH}) AS worths FROM s WHERE i <= len(x))))
+  SELECT store_id, total / n AS prefix FROM s WHERE i = len(x) + 1"""
+)
+def g18_token_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    """Addresses with directions, street names, prefixes and repeated words in other orders."""
+    k = F.col("store_id")
+    pick = lambda n, *texts: F.element_at(F.array(*map(F.lit, texts)), (k % n + 1).cast("int"))
+    a = F.concat(k.cast("string"), pick(4, " N Maple Avenue 5", " SW Oak St Oak", " main expressway", " st street stone"))
+    b = F.concat((k + k % 2).cast("string"), pick(5, " North Map Ave.", " Southwest Oaks Street 5 Oak", " expy mainly", " Stones St", " ave, n. maple"))
+    return S.stores(spark, sf).select("store_id", G.token_prefix_sim(a, b).alias("prefix"))
+
+
+@query(
+    _sql("stores", [RAW], """SELECT store_id, 2.0::DOUBLE * length(address) / (length(address) + length(full_address)) AS ratio FROM raw
+  WHERE 2.0::DOUBLE * length(address) / (length(address) + length(full_address)) >= 0.53::DOUBLE""")
+)  # the address begins the full address, so it is the longest block and all that is shared
+def g20_ratio_at_least(spark: SparkSession, sf: str) -> DataFrame:
+    """The stores whose address is alike enough to the full address, found by bounds before the matcher."""
+    d = _stores(spark, sf).withColumn("full", F.lower("full_address"))
+    return G.ratio_at_least(d, "address", "full", 0.53).select("store_id", "ratio")
+
+
 @query()
 def g18_g20_similarity(spark: SparkSession, sf: str) -> DataFrame:
     d = _stores(spark, sf)
