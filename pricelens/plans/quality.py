@@ -369,6 +369,52 @@ def u5_dedup_osm(spark: SparkSession, sf: str) -> DataFrame:
     return C.dedup_osm(_map_stores(spark, sf)).select("id", "type")
 
 
+_METRES = f"2 * {G.METRES}::DOUBLE * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians({{c}} - {{a}}) / 2), 2) + cos(radians({{a}})) * cos(radians({{c}})) * pow(sin(radians({{d}} - {{b}}) / 2), 2))))"
+
+
+@query(
+    f"""WITH RECURSIVE p AS (SELECT s_suppkey AS id, s_suppkey % 3 AS r, 34.0::DOUBLE + (s_suppkey * 37 % 23)::DOUBLE * 0.003::DOUBLE AS la, -118.0::DOUBLE + (s_suppkey % 5)::DOUBLE * 0.003::DOUBLE AS lo,
+    row_number() OVER (PARTITION BY s_suppkey % 3 ORDER BY s_suppkey % 2, s_suppkey) AS i FROM supplier),
+  s AS (SELECT DISTINCT r, 0::BIGINT AS i, []::STRUCT(la DOUBLE, lo DOUBLE)[] AS kept, NULL::BIGINT AS id, false AS ok FROM p
+    UNION ALL SELECT r, i, CASE WHEN ok THEN list_append(kept, {{'la': la, 'lo': lo}}) ELSE kept END, id, ok FROM (
+      SELECT s.r, p.i, s.kept, p.id, p.la, p.lo, len(list_filter(s.kept, lambda x: {_METRES.format(a="x.la", b="x.lo", c="p.la", d="p.lo")} < 500)) = 0 AS ok FROM s JOIN p ON p.r = s.r AND p.i = s.i + 1))
+  SELECT id, CASE WHEN id % 2 = 0 THEN 'way' ELSE 'node' END AS type FROM s WHERE ok"""
+)
+def u5_dedup_near(spark: SparkSession, sf: str) -> DataFrame:
+    """Stores of three retailers on a lattice of some 300 m, all with zips and addresses of their own: only distance decides, ways first."""
+    k = F.col("store_id")
+    own = F.concat(k.cast("string"), F.lit(" Main St"))
+    d = S.stores(spark, sf).select(
+        F.concat(F.lit("retailer_"), k % 3).alias("retailer_key"), F.when(k % 2 == 0, "way").otherwise("node").alias("type"), k.alias("id"), k.cast("string").alias("no"), F.lit("Main St").alias("street"),
+        k.cast("string").alias("zip_code"), own.alias("full_address"), (34.0 + (k * 37 % 23).cast("double") * 0.003).alias("latitude"), (-118.0 + (k % 5).cast("double") * 0.003).alias("longitude"),
+    )
+    return C.dedup_osm(d).select("id", "type")
+
+
+@query(_sql("stores", ["""a AS (SELECT store_id AS id, retailer_key, CASE WHEN store_id % 7 > 0 THEN 'street ' || store_id % 4 END AS address FROM stores WHERE store_id IN (SELECT min(store_id) FROM stores GROUP BY retailer_key, zip_code))"""],
+  "SELECT min(id) AS id FROM a WHERE address IS NOT NULL GROUP BY retailer_key, address UNION ALL SELECT id FROM a WHERE address IS NULL"))
+def u5b_dedup_addresses(spark: SparkSession, sf: str) -> DataFrame:
+    """As u5b_dedup_loose, with addresses that repeat within a retailer, and some that are missing."""
+    k = F.col("store_id")
+    d = S.stores(spark, sf).select(k.alias("id"), "retailer_key", "zip_code", F.when(k % 7 > 0, F.concat(F.lit("street "), k % 4)).alias("address"))
+    return C.dedup_loose(d).select("id")
+
+
+_MOVED = "x.latitude + CASE x.store_id % 4 WHEN 0 THEN 0.0026::DOUBLE WHEN 1 THEN 0.0028::DOUBLE ELSE 0.5::DOUBLE END"
+
+
+@query(
+    _sql("stores", [RAW], f"""SELECT r.store_id, bool_or({_METRES.format(a="r.latitude", b="r.longitude", c=f"({_MOVED})", d="x.longitude")} <= 300 OR x.store_id % 3 = 0 AND x.store_id = r.store_id) AS evidence
+  FROM raw r JOIN raw x USING (retailer_key, zip_code) GROUP BY 1""")
+)
+def c6_evidence_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Outside stores 289 and 311 metres off or far away; every third has the store's address without its last word, so that three of four words are alike."""
+    d, k = _stores(spark, sf), F.col("store_id")
+    address = F.when(k % 3 == 0, F.concat(k.cast("string"), F.lit(" NW Main"))).otherwise("elsewhere")
+    off = F.when(k % 4 == 0, 0.0026).when(k % 4 == 1, 0.0028).otherwise(0.5)
+    return C.external_evidence(d, d.select("retailer_key", "zip_code", address.alias("address"), (F.col("latitude") + off).alias("latitude"), "longitude"))
+
+
 @query(_sql("stores", [], "SELECT store_id, CASE WHEN store_id % 4 = 0 THEN NULL ELSE latitude END AS latitude, CASE WHEN store_id % 4 = 0 THEN 'zip_centroid' ELSE geocode_confidence END AS geocode_confidence FROM stores"))
 def u9_neutralize(spark: SparkSession, sf: str) -> DataFrame:
     s = S.stores(spark, sf)

@@ -11,6 +11,7 @@ from ..sources import tables as S
 from ..streaming import prices as P
 from ..streaming.summaries import Summaries
 from . import history as HP
+from . import places as PP
 from .registry import query
 
 
@@ -40,12 +41,12 @@ def t1_t2_price_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _summaries(spark: SparkSession, sf: str) -> Summaries:
-    """The deals as three streams, one after the other, into one history with its summaries."""
+    """The deals as two streams, one after the other, into one history with its summaries."""
     path = S.scratch_path(spark, "summaries")
     kept = Summaries(spark, f"{path}/table", HP.history(spark, sf).schema)
-    for k in range(3):
-        third = _stream(spark, sf, "lineitem").where(F.col("l_orderkey") % 3 == k)
-        kept.stream(HP.history_rows(spark, sf, third), f"{path}/offsets{k}", f"deals {k}").awaitTermination()
+    for k in range(2):
+        half = _stream(spark, sf, "lineitem").where(F.col("l_orderkey") % 2 == k)
+        kept.stream(HP.history_rows(spark, sf, half), f"{path}/offsets{k}", f"deals {k}").awaitTermination()
     return kept
 
 
@@ -54,13 +55,13 @@ _SCORES = ["match_key", "store_id", "current_price", "pct_savings", "absolute_sa
 
 @query(HP._sql([HP.HIST, HP.BASE, HP.LATEST, HP.DELTA, HP.VEL, HP.SCORE], f"SELECT {', '.join(_SCORES)} FROM score"))
 def a2_a6_kept_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores from the summaries that three streams kept."""
+    """Scores from the summaries that two streams kept."""
     return _summaries(spark, sf).score_deals(S.AS_OF).select(*_SCORES)
 
 
 @query(HP.BEST)
 def a12_kept_best_deals(spark: SparkSession, sf: str) -> DataFrame:
-    """Best deals from the summaries that three streams kept."""
+    """Best deals from the summaries that two streams kept."""
     return _summaries(spark, sf).best_deals(S.AS_OF)
 
 
@@ -121,6 +122,35 @@ def t4_enrich_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{path}/table").select("line_id", "matched_store")
 
 
+_WEEK_START = "TIMESTAMP '2001-10-31 08:00:00'"  # Wednesday 00:00 in Los Angeles before S.AS_OF
+_OPEN = f"""open AS (SELECT deal_id, retailer || '/' || zip_code AS pair FROM deals
+  WHERE deal_id % 3 > 0 AND date_added::TIMESTAMP + INTERVAL 1 HOUR * (deal_id % 24) >= {_WEEK_START})"""
+_DECIDED = f"WITH {', '.join(S.CTE[n] for n in ('deals', 'stores', 'zips'))}, {PP._PAIRS}, {PP._J6}, {_OPEN}, decided AS (SELECT deal_id AS id, store_id, match_confidence FROM open LEFT JOIN j6 ON j6.id = pair)"
+
+
+def _cycle(spark: SparkSession, sf: str) -> DataFrame:
+    """Decisions over the stream of deals, of which a third have a store already."""
+    path, k = S.scratch_path(spark, "cycle"), F.col("deal_id")
+    created = F.col("date_added").cast("timestamp") + F.make_dt_interval(hours=(k % 24).cast("int"))
+    none = F.lit(None).cast("double")
+    rows = S.deals(spark, sf, _stream(spark, sf, "lineitem")).select(
+        k.alias("id"), F.col("retailer").alias("retailer_key"), "zip_code", none.alias("store_lat"), none.alias("store_lng"), F.when(k % 3 == 0, F.col("store_id")).alias("store_id"), created.alias("created_at")
+    )
+    stores = S.stores(spark, sf).withColumnRenamed("store_id", "id")
+    P.weekly_cycle(rows, F.lit(S.AS_OF).cast("timestamp"), stores, S.zips(spark), f"{path}/table", f"{path}/offsets").awaitTermination()
+    return spark.read.parquet(f"{path}/table").select("id", "store_id", "match_confidence")
+
+
+@query(f"{_DECIDED} SELECT * FROM decided")
+def t4_weekly_cycle(spark: SparkSession, sf: str) -> DataFrame:
+    return _cycle(spark, sf)
+
+
+@query(f"{_DECIDED} SELECT count(*) AS processed, count(store_id) AS matched, count(*) - count(store_id) AS no_match, max(id) AS last_id FROM decided")
+def t4_cycle_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return P.cycle_totals(_cycle(spark, sf))
+
+
 @query(
     f"""WITH {S.CTE['stores']}, m AS (SELECT l.*, CASE l_partkey % 3 WHEN 1 THEN own.matched_store + 1 WHEN 2 THEN own.matched_store END AS before, own.matched_store AS own FROM ({_LINES}) l LEFT JOIN {_OWN} own USING (retailer_key, zip_code))
   SELECT line_id, CASE WHEN NOT EXISTS (SELECT 1 FROM stores s WHERE s.store_id = before AND s.retailer_key = m.retailer_key) AND day >= DATE '{S.AS_OF}' - 120 AND day < DATE '{S.AS_OF}' THEN own ELSE before END AS matched_store FROM m"""

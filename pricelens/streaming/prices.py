@@ -6,13 +6,14 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.history import daily_price_history
+from ..operators.matching import match_store
 from ..sources import versions
 
 KEY = ["match_key", "store_id", "day"]
@@ -143,6 +144,23 @@ def enrich_stream(rows: DataFrame, match: Callable[[DataFrame], DataFrame], sink
     return rows.writeStream.foreachBatch(lambda b, i: sink(match(b), i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def weekly_cycle(rows: DataFrame, as_of: Column, stores: DataFrame, zips: DataFrame, path: str, checkpoint: str, zone: str = "America/Los_Angeles") -> StreamingQuery:
+    """Finds stores, by match_store(), for the deals of a stream that have none and were created since the flyer week of as_of began.
+
+    rows (id, retailer_key, zip_code, store_lat, store_lng, store_id, created_at). Each micro-batch's decisions are a folder of its number at path, so that
+    a batch that comes again replaces its own. Older deals and those that have a store are left to repair_recent().
+    """
+    todo = rows.where(F.col("store_id").isNull() & (F.col("created_at") >= flyer_week_start(as_of, zone))).drop("store_id", "created_at")
+    sink = lambda b, i: b.write.mode("overwrite").parquet(f"{path}/batch={i}")
+    return enrich_stream(todo, lambda b: match_store(b, stores, zips), sink, checkpoint)
+
+
+def cycle_totals(decisions: DataFrame) -> DataFrame:
+    """One row: deals processed, matched and without a match, and the last id of a weekly_cycle()."""
+    found = F.col("store_id").isNotNull()
+    return decisions.agg(F.count("*").alias("processed"), F.count_if(found).alias("matched"), F.count_if(~found).alias("no_match"), F.max("id").alias("last_id"))
+
+
 def repair_recent(matched: DataFrame, match: Callable[[DataFrame], DataFrame], day: str, as_of: str, days: int = 7, stores: DataFrame | None = None) -> DataFrame:
     """matched with the deals of the days before as_of that have no store (matched_store) given to match again; others are left alone.
 

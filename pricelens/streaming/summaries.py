@@ -83,7 +83,11 @@ class Summaries:
         for name, (fold, merge) in TABLES.items():
             done = versions.commits(self.spark, f"{self.path}/{name}").agg(F.max("batch")).first()[0] or 0
             if top is not None and top > done:
-                versions.write(f"{self.path}/{name}", "changes", top, fold(self._changes(done)), merge)
+                new = fold(self._changes(done)).persist()
+                try:
+                    versions.write(f"{self.path}/{name}", "changes", top, new, merge)
+                finally:
+                    new.unpersist()
 
     def write(self, stream: str = "prices") -> Callable[[DataFrame, int], None]:
         """A foreachBatch function: minima of a micro-batch, then the summaries."""
