@@ -323,10 +323,15 @@ def routed(df: DataFrame) -> DataFrame:
 
 def external_evidence(stores: DataFrame, external: DataFrame, metres: float = 300.0, likeness: float = 0.7) -> DataFrame:
     """By store: whether an external store of the retailer and zip lies within metres or has a like address."""
-    x = external.select("retailer_key", "zip_code", F.col("address").alias("xa"), F.col("latitude").alias("xlat"), F.col("longitude").alias("xlon"))
-    d = stores.join(x, ["retailer_key", "zip_code"], "left")
+    keys = F.transform(geo.address_words(F.col("address")), geo.word_keys)
+    x = external.select("retailer_key", "zip_code", F.col("address").alias("xa"), F.col("latitude").alias("xlat"), F.col("longitude").alias("xlon"), F.array_distinct(F.flatten(keys)).alias("_xk"), F.size(keys).alias("_xn"))
+    d = stores.withColumn("_k", keys).join(x, ["retailer_key", "zip_code"], "left")
     near = haversine(F.col("latitude"), F.col("longitude"), F.col("xlat"), F.col("xlon"), geo.METRES) <= metres
-    ok = F.coalesce(near, F.lit(False)) | F.coalesce(geo.token_prefix_sim(F.col("address"), F.col("xa")) >= likeness, F.lit(False))
+    # words without a key in common are worth nothing: only addresses with enough such words are compared in full
+    some = F.size(F.filter("_k", lambda k: F.arrays_overlap(k, F.col("_xk"))))
+    few = some < F.greatest(F.size("_k"), F.col("_xn")) * likeness - 1e-9
+    like = F.coalesce(geo.token_prefix_sim(F.col("address"), F.col("xa")) >= likeness, F.lit(False))
+    ok = F.when(F.coalesce(near, F.lit(False)), F.lit(True)).when(few, F.lit(False)).otherwise(like)
     return d.groupBy("store_id").agg(F.max(ok).alias("evidence"))
 
 

@@ -39,3 +39,9 @@ def test_numbers_that_begin_alike_are_evidence(agree):
     evidence = lambda *keys: {r["store_id"]: r["evidence"] for r in agree("c6_evidence_kinds", {"supplier": suppliers(*keys)})}
     assert evidence(1511, 15111) == {1511: True, 15111: True}  # four of five characters alike
     assert evidence(311, 3111) == {311: False, 3111: True}  # three of four
+
+
+def test_every_store_of_a_zip_gets_its_evidence(agree):
+    # all of one retailer and zip; an even one is near those of its own latitude or the next
+    rows = {r["store_id"]: r["evidence"] for r in agree("c6_external_evidence", {"supplier": suppliers(5, 205, 406, 605)})}
+    assert len(rows) == 4 and rows[406]
