@@ -45,3 +45,17 @@ def test_every_store_of_a_zip_gets_its_evidence(agree):
     # all of one retailer and zip; an even one is near those of its own latitude or the next
     rows = {r["store_id"]: r["evidence"] for r in agree("c6_external_evidence", {"supplier": suppliers(5, 205, 406, 605)})}
     assert len(rows) == 4 and rows[406]
+
+
+def test_nearest_store_by_the_exact_distance(agree):
+    # both 17.60 miles from the zip's centre, 686 the nearer
+    rows = {r["point_id"]: r for r in agree("j9_nearest_per_retailer", {"supplier": suppliers(232, 686)})}
+    assert rows["90059"]["store_id"] == 686 and rows["90059"]["distance_miles"] == 17.6
+
+
+def test_caps_by_day_and_week_to_the_microsecond(agree):
+    times = ["2024-01-01 10:00:00.9", "2024-01-01 11:00:00", "2024-01-01 12:00:00", "2024-01-01 23:59:59.7", "2024-01-08 10:00:00.1", "2024-01-08 23:59:59.8", "2024-01-09 00:00:00.1", "2024-01-09 00:00:00.2", "2024-01-09 00:00:00.3"]
+    ids = [0, 1, 2, 3, 200, 4, 5, 6, 7]  # 200 repeats 0 within seven days, by less than a second
+    events = " UNION ALL ".join(f"SELECT {i}::BIGINT AS event_id, TIMESTAMP '{t}' AS ts, 1::BIGINT AS user_id" for i, t in zip(ids, times, strict=True))
+    rows = agree("t7_capped_sends", {"events": events})
+    assert [r["product"] for r in sorted(rows, key=lambda r: r["sent_at"])] == [f"product_{i}" for i in (0, 1, 2, 4, 5, 6, 7)]
