@@ -165,15 +165,15 @@ def t5_repair(spark: SparkSession, sf: str) -> DataFrame:
     return P.repair_recent(matched, match, "day", S.AS_OF, 120, stores).select("line_id", "matched_store")
 
 
-_WEEK = f"list_filter(sent, lambda x: epoch(r.sent_at)::BIGINT - x.t < {P.WEEK})"
+_WEEK = f"list_filter(sent, lambda x: epoch_us(r.sent_at) - x.t < {P.WEEK * P.SECOND})"
 
 
 @query(
     f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sent_at, product, retailer) AS i FROM (
   SELECT user_id, 'product_' || (event_id % 40) AS product, 'retailer_' || (event_id % 25) AS retailer, ts AS sent_at FROM events)),
   s AS (SELECT DISTINCT user_id, 0::BIGINT AS i, []::STRUCT(p VARCHAR, q VARCHAR, t BIGINT)[] AS sent, NULL::VARCHAR AS product, NULL::VARCHAR AS retailer, NULL::TIMESTAMP AS sent_at, false AS ok FROM r
-    UNION ALL SELECT user_id, i, CASE WHEN ok THEN list_append(held, {{'p': product, 'q': retailer, 't': epoch(sent_at)::BIGINT}}) ELSE held END, product, retailer, sent_at, ok FROM (
-      SELECT *, len(list_filter(held, lambda x: x.p = product AND x.q = retailer)) = 0 AND len(list_filter(held, lambda x: x.t // 86400 = epoch(sent_at)::BIGINT // 86400)) < {P.PER_DAY} AS ok FROM (
+    UNION ALL SELECT user_id, i, CASE WHEN ok THEN list_append(held, {{'p': product, 'q': retailer, 't': epoch_us(sent_at)}}) ELSE held END, product, retailer, sent_at, ok FROM (
+      SELECT *, len(list_filter(held, lambda x: x.p = product AND x.q = retailer)) = 0 AND len(list_filter(held, lambda x: x.t // {86_400 * P.SECOND} = epoch_us(sent_at) // {86_400 * P.SECOND})) < {P.PER_DAY} AS ok FROM (
         SELECT r.user_id, r.i, r.product, r.retailer, r.sent_at, {_WEEK} AS held FROM s JOIN r ON r.user_id = s.user_id AND r.i = s.i + 1)))
   SELECT user_id, product, retailer, sent_at FROM s WHERE ok"""
 )

@@ -178,7 +178,7 @@ def repair_recent(matched: DataFrame, match: Callable[[DataFrame], DataFrame], d
     return fine.unionByName(match(todo).select(*cols))
 
 
-WEEK, PER_DAY = 7 * 86_400, 3
+WEEK, PER_DAY, SECOND = 7 * 86_400, 3, 1_000_000  # seconds, sends, microseconds
 
 
 def _cap(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -186,17 +186,17 @@ def _cap(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iter
     if state.hasTimedOut:  # nothing sent for longer than any cap looks back
         state.remove()
         return
-    sent = json.loads(state.get[0]) if state.exists else []  # (product, retailer, seconds) of passed sends
+    sent = json.loads(state.get[0]) if state.exists else []  # (product, retailer, microseconds) of passed sends
     out = []
     for r in pd.concat(list(batches)).sort_values(["sent_at", "product", "retailer"]).itertuples():
-        at = int(r.sent_at.timestamp())
-        sent = [x for x in sent if at - x[2] < WEEK]
+        at = r.sent_at.value // 1000  # value: nanoseconds
+        sent = [x for x in sent if at - x[2] < WEEK * SECOND]
         again = any(x[0] == r.product and x[1] == r.retailer for x in sent)
-        if not again and sum(x[2] // 86_400 == at // 86_400 for x in sent) < PER_DAY:
+        if not again and sum(x[2] // (86_400 * SECOND) == at // (86_400 * SECOND) for x in sent) < PER_DAY:
             sent.append([r.product, r.retailer, at])
             out.append((key[0], r.product, r.retailer, r.sent_at))
     state.update((json.dumps(sent),))
-    state.setTimeoutTimestamp(max([state.getCurrentWatermarkMs(), *(1000 * x[2] for x in sent)]) + 1000 * WEEK)
+    state.setTimeoutTimestamp(max([state.getCurrentWatermarkMs(), *(x[2] * 1000 // SECOND for x in sent)]) + 1000 * WEEK)
     yield pd.DataFrame(out, columns=["user_id", "product", "retailer", "sent_at"])
 
 
