@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,12 +45,14 @@ def strip_tm(c: Column) -> Column:
 
 def truncate_bulk(c: Column) -> Column:
     """Cuts at a bar, at the first comma if few words stand before and a long text after it, and at a double dash."""
-    s = F.trim(F.get(F.split(c, r"\|"), F.lit(0)))
-    first = F.trim(F.get(F.split(s, ","), F.lit(0)))
-    rest = F.trim(F.regexp_replace(s, "^[^,]*,", ""))
-    words = F.size(F.array_remove(F.split(first, r"\s+"), ""))
-    s = F.when(s.contains(",") & (words <= 8) & (F.length(rest) > 20), first).otherwise(s)
-    return F.trim(F.get(F.split(s, " -- "), F.lit(0)))
+
+    def comma(s: Column) -> Column:
+        first = F.trim(F.get(F.split(s, ","), F.lit(0)))
+        rest = F.trim(F.regexp_replace(s, "^[^,]*,", ""))
+        words = F.size(F.array_remove(F.split(first, r"\s+"), ""))
+        return F.when(s.contains(",") & (words <= 8) & (F.length(rest) > 20), first).otherwise(s)
+
+    return F.trim(F.get(F.split(_let(F.trim(F.get(F.split(c, r"\|"), F.lit(0))), comma), " -- "), F.lit(0)))
 
 
 def extract_brand(name: Column, brands: list[str] = BRANDS) -> Column:
@@ -70,21 +74,36 @@ def strip_filler(c: Column) -> Column:
     return F.regexp_replace(c, "(?i)" + "|".join(FILLER), " ")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def canonical_name(name: Column, brand: Column) -> Column:
     """The comparable form of a product name: no brand, sizes, packaging or punctuation; brand if nothing is left."""
-    s = truncate_bulk(F.trim(F.lower(norm_apos(name))))
-    own = brand.isNotNull() & F.startswith(s, brand)
-    s = F.when(own, F.regexp_replace(F.substr(s, F.length(brand) + 1), "^[ ,-]+", "")).otherwise(s)
-    parts = F.filter(F.split(s, " - "), lambda p: ~F.startswith(strip_tm(p), brand))
-    s = F.when(brand.isNotNull() & s.contains(" - "), F.regexp_replace(F.array_join(parts, " "), "^[ -]+|[ -]+$", "")).otherwise(s)
-    s = F.regexp_replace(strip_filler(s), r"[®™'\-–/\\|()\[\]{}]", " ")
-    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"(\d)%", "$1pct"), r"[^a-z0-9\s]", ""), r"(\d)pct", "$1%")
-    s = F.trim(F.regexp_replace(s, r"\s+", " "))
-    s = F.trim(F.regexp_replace(s, rf"\b({STOPWORDS})\s*$", ""))
-    s = F.trim(F.regexp_replace(s, rf"^({STOPWORDS})\b\s*", ""))
-    s = F.when((s == "") & brand.isNotNull(), brand).otherwise(s)
-    words = F.split(s, " ")
-    return F.when((F.size(words) <= 4) & F.arrays_overlap(words, F.array(*map(F.lit, SORTABLE))), F.array_join(F.array_sort(words), " ")).otherwise(s)
+
+    def start(s: Column) -> Column:
+        own = brand.isNotNull() & F.startswith(s, brand)
+        return F.when(own, F.regexp_replace(F.substr(s, F.length(brand) + 1), "^[ ,-]+", "")).otherwise(s)
+
+    def segments(s: Column) -> Column:
+        parts = F.filter(F.split(s, " - "), lambda p: ~F.startswith(strip_tm(p), brand))
+        return F.when(brand.isNotNull() & s.contains(" - "), F.regexp_replace(F.array_join(parts, " "), "^[ -]+|[ -]+$", "")).otherwise(s)
+
+    def plain(s: Column) -> Column:
+        s = F.regexp_replace(strip_filler(s), r"[®™'\-–/\\|()\[\]{}]", " ")
+        s = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"(\d)%", "$1pct"), r"[^a-z0-9\s]", ""), r"(\d)pct", "$1%")
+        s = F.trim(F.regexp_replace(s, r"\s+", " "))
+        s = F.trim(F.regexp_replace(s, rf"\b({STOPWORDS})\s*$", ""))
+        return F.trim(F.regexp_replace(s, rf"^({STOPWORDS})\b\s*", ""))
+
+    def ordered(s: Column) -> Column:
+        words = F.split(s, " ")
+        return F.when((F.size(words) <= 4) & F.arrays_overlap(words, F.array(*map(F.lit, SORTABLE))), F.array_join(F.array_sort(words), " ")).otherwise(s)
+
+    s = _let(truncate_bulk(F.trim(F.lower(norm_apos(name)))), start)
+    s = _let(plain(_let(s, segments)), lambda x: F.when((x == "") & brand.isNotNull(), brand).otherwise(x))
+    return _let(s, ordered)
 
 
 def to_oz(amount: Column, unit: Column) -> Column:
@@ -221,4 +240,4 @@ def backfill_brand(df: DataFrame, brands: list[str] = BRANDS) -> DataFrame:
     """Rows without a brand for which one is found, with the canonical name rebuilt (the old one if that is empty)."""
     d = df.where("brand is null").withColumn("brand", extract_brand(F.col("product_name"), brands)).where("brand is not null")
     new = canonical_name(F.col("product_name"), F.col("brand"))
-    return d.withColumn("canonical_name", F.when(new != "", new).otherwise(F.col("canonical_name")))
+    return d.withColumn("canonical_name", _let(new, lambda n: F.when(n != "", n).otherwise(F.col("canonical_name"))))

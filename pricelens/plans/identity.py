@@ -99,7 +99,7 @@ def p12_canonicalize(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT p_partkey AS product_id, 'the ' || p_name || ' box' AS canonical_name, p_name AS new_name FROM part WHERE length(p_name) >= 2")
 def p13_recanonicalize(spark: SparkSession, sf: str) -> DataFrame:
-    d = S.table(spark, sf, "part").select(F.col("p_partkey").alias("product_id"), F.concat(F.lit("the "), "p_name", F.lit(" box")).alias("canonical_name"), F.lit(None).cast("string").alias("brand"))
+    d = S.spread(S.table(spark, sf, "part")).select(F.col("p_partkey").alias("product_id"), F.concat(F.lit("the "), "p_name", F.lit(" box")).alias("canonical_name"), F.lit(None).cast("string").alias("brand"))
     return T.recanonicalize(d).select("product_id", "canonical_name", "new_name")
 
 

@@ -50,3 +50,13 @@ def test_similarity_and_price_per_oz(spark):
     assert one(spark, T.name_similarity(F.col("q"), F.col("c")), "q string, c string", "corn", "sweet corn") == 0.9
     assert one(spark, T.price_per_oz(F.col("p"), F.col("a"), F.col("u")), "p double, a double, u string", 4.0, 1.0, "lb") == 0.25
     assert one(spark, T.price_per_oz(F.col("p"), F.col("a"), F.col("u")), "p double, a double, u string", 4.0, 1.0, "ct") is None
+
+
+def test_names_are_read_once_and_by_several_tasks(spark, tmp_path):
+    from pricelens.sources.tables import product_names
+
+    spark.range(0, 8, 1, 1).selectExpr("id as p_partkey", "'corn' as p_name", "5 as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    d = product_names(spark, str(tmp_path))
+    assert d.rdd.getNumPartitions() > 1
+    for x in (T.identity(d), T.backfill_brand(d.selectExpr("*", "cast(null as string) as brand", "'old' as canonical_name"))):
+        assert x._jdf.queryExecution().optimizedPlan().toString().count("family size") == 1
