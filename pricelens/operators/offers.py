@@ -328,7 +328,8 @@ def nearest_size(items: DataFrame, catalog: DataFrame) -> DataFrame:
 
     In stock first; without a size the first in stock by sku.
     """
-    c = catalog.select("term", "sku", F.col("value").alias("v"), F.col("family").alias("f"), "in_stock")
+    # of rows alike in all that is compared only the first can be nearest
+    c = catalog.groupBy("term", F.col("value").alias("v"), F.col("family").alias("f"), "in_stock").agg(F.min("sku").alias("sku"))
     d = items.select("term", "value", "family").distinct().join(c, "term")  # items that ask alike are answered once
     same = F.coalesce(F.col("family") == F.col("f"), F.lit(False))
     off = F.when(same, F.abs(F.col("value") - F.col("v")))

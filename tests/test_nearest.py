@@ -15,3 +15,15 @@ def test_nearest_zip_equals_brute_force_at_any_distance(spark):
     d = nearest_zip(spark.createDataFrame(rows, "type string, id long, latitude double, longitude double"), spark.createDataFrame(zips, "zip_code string, latitude double, longitude double"))
     got = {(x.type, x.id): x.near_zip for x in d.collect()}
     assert got == {(t, i): min((far(lat, lon, z), z[0]) for z in zips if z[1] is not None)[1] for t, i, lat, lon in rows}
+
+
+def test_sizes_meet_each_size_of_a_term_once(spark):
+    from pricelens.operators.offers import nearest_size
+
+    rows = spark.range(0, 3000, 1, 2).selectExpr("'corn' as term", "id as sku", "cast(id % 3 as double) as value", "'weight' as family", "id % 2 = 0 as in_stock")
+    items = spark.range(0, 3000, 1, 2).selectExpr("id as item_id", "'corn' as term", "cast(id % 5 as double) as value", "'weight' as family")
+    out = nearest_size(items, rows)
+    got = {r.item_id: (r.sku, r.in_stock) for r in out.collect()}
+    assert len(got) == 3000 and [got[i] for i in range(5)] == [(0, True), (4, True), (2, True), (2, True), (2, True)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(sku" in plan
