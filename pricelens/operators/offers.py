@@ -301,11 +301,15 @@ def cart_stores(requests: DataFrame, deals: DataFrame) -> DataFrame:
     lower = deals.select("canonical").distinct().withColumn("_name", F.lower("canonical"))
     names = lower.join(contained(lower, "_name", asked, "_low"), "_name").join(asked, "_low").select("canonical", "request_id", "item")
     keys = ["canonical", "request_id"] if "request_id" in deals.columns else ["canonical"]  # distances may be those of a request
-    hits = deals.join(names, keys)
-    hits = hits.groupBy("request_id", "store_id", "deal_id").agg(F.max("price").alias("price"), F.max("distance_miles").alias("miles"), F.collect_set("item").alias("items"))
-    g = hits.groupBy("request_id", "store_id").agg(
-        cents(F.sum(F.round(F.col("price") * 100).cast("long")) / 100).alias("total"), F.count("*").alias("n_deals"), F.size(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items_found"), F.max("miles").alias("miles")
-    )
+    # one row a deal and request, whatever items it has
+    d = deals.select(*keys, "store_id", "deal_id", "price", "distance_miles").join(names.select("canonical").distinct(), "canonical", "left_semi").repartition("store_id", "deal_id")
+    hits = d.join(names.select("canonical", "request_id").distinct(), keys).groupBy("request_id", "store_id", "deal_id").agg(F.max("price").alias("price"), F.max("distance_miles").alias("miles"))
+    g = hits.groupBy("request_id", "store_id").agg(cents(F.sum(F.round(F.col("price") * 100).cast("long")) / 100).alias("total"), F.count("*").alias("n_deals"), F.max("miles").alias("miles"))
+    # which items a store has follows from its products
+    has = deals.select(*keys, "store_id").distinct().join(names, keys).select("request_id", "store_id", "item").distinct()
+    found = has.groupBy(F.col("request_id").alias("_request"), F.col("store_id").alias("_store")).agg(F.count("*").cast("int").alias("items_found"))
+    g = g.join(found, F.col("request_id").eqNullSafe(F.col("_request")) & F.col("store_id").eqNullSafe(F.col("_store")))
+    g = g.select("request_id", "store_id", "total", "n_deals", "items_found", "miles")
     return g.withColumn("score", cents(F.col("total") + F.col("miles") * 0.1))
 
 
