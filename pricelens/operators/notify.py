@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geo import cell, cells_around, haversine
-from ..sources.tables import cents, union_all
+from ..sources.tables import cents, meet, union_all
 
 MIN_SCORE = 55.0
 #: Sends a week and user by kind of trigger.
@@ -162,18 +162,24 @@ def _still(users: DataFrame, as_of: str) -> Column:
 
 
 def trigger_run(drops: DataFrame, users: DataFrame, zips: DataFrame, sent: DataFrame, as_of: str) -> DataFrame:
-    """Decisions of all pairs of price drops (product, retailer, category, drop_pct, zip_code) and users near them; further columns of users stay.
+    """Decisions of all pairs of price drops (product, retailer, category, drop_pct, zip_code) and users near them; n_users stays.
 
+    Scores are worked out once for each class of users (with_class), so that a pair of a user is neither scored nor grouped, and users meet their class's drops over all cores.
     For the sends alone, send_list() needs no such product; for counts of decisions, run it over representatives().
     """
-    u = profiles(users)
     keep = [c for c in users.columns if c == "n_users"]
+    u = with_class(profiles(users)).withColumn("is_quiet", _still(users, as_of))
+    # a user that comes with several zips or likings has the best score of all of them
+    who = u.groupBy("user_id", "segment", *keep, "is_quiet").agg(F.sort_array(F.collect_set(F.struct(*_CLASS))).alias("classes"))
+    who = who.withColumn("homes", F.to_json("classes"))
     largest = drops.groupBy("zip_code", "product", "retailer", "category").agg(F.max("drop_pct").alias("drop_pct"))
-    pairs = candidate_pairs(largest, u, zips)
+    near = candidate_pairs(largest, u.select(*_CLASS).distinct(), zips).withColumnRenamed("user_zip", "zip_code")
     none = F.array().cast("array<string>")
-    liking = relevance(F.col("category"), F.col("category_prefs"), F.col("product"), none, F.lit(None).cast("string"), none)
-    rows = pairs.select("user_id", "product", "retailer", "segment", *keep, F.lit("drop").alias("trigger_type"), _drop_score(F.col("drop_pct"), liking).alias("score"), _still(users, as_of).alias("is_quiet"))
-    best = rows.groupBy("user_id", "product", "retailer", "segment", *keep, "trigger_type", "is_quiet").agg(F.max("score").alias("score"))
+    liking = relevance(F.col("category"), F.col("likes"), F.col("product"), none, F.lit(None).cast("string"), none)
+    near = near.groupBy(*_CLASS, "product", "retailer").agg(F.max(_drop_score(F.col("drop_pct"), liking)).alias("score"))
+    alike = who.select("homes", "classes").distinct().select("homes", F.explode("classes").alias("h")).select("homes", "h.*").join(near, _CLASS)
+    alike = alike.groupBy("homes", "product", "retailer").agg(F.max("score").alias("score"))
+    best = meet(who, alike, ["homes"], ["user_id"]).select("user_id", "product", "retailer", "segment", *keep, F.lit("drop").alias("trigger_type"), "is_quiet", "score")
     return decide(best, sent, as_of)
 
 

@@ -75,3 +75,31 @@ def test_reasons(spark):
     d = spark.createDataFrame(rows, "p string, r string, price double, savings double, n int, d double")
     got = [x[0] for x in d.select(N.deal_reason(*[F.col(c) for c in d.columns])).collect()]
     assert got == ["shop cut the price of milk by 12.35%, to $2.50: 20% below the mean of 4 retailers", "shop sells milk for $2.50, 20% below the mean of 4 retailers", "shop sells milk for $2.50, one of 4 retailers near you"]
+
+
+def test_pairs_are_not_grouped_by_user_and_several_homes_count_once(spark):
+    drops, users, zips, log = tables(spark, 9)
+    twice = users.where("user_id % 10 = 0").withColumn("zip_code", F.lit("z3"))
+    both = users.unionByName(twice)
+    d = N.trigger_run(drops, both, zips, log, NOW)
+    got = {(r.user_id, r.product, r.retailer, r.segment): r.score for r in d.collect()}
+    assert len(got) == d.count()
+    want = {}
+    for each in (users, twice):
+        for r in N.trigger_run(drops, each, zips, log, NOW).collect():
+            k = (r.user_id, r.product, r.retailer, r.segment)
+            want[k] = max(want.get(k, r.score), r.score)
+    assert got == want and len(want) > 500
+    grouped = [x for x in d._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [user_id" in x]
+    assert grouped and not any("segment#" in x and "product#" in x for x in grouped)
+
+
+def test_few_keys_meet_over_all_cores(spark):
+    from pricelens.sources.tables import meet
+
+    left = spark.range(6000).selectExpr("id", "if(id % 100 = 0, 'rare', 'often') as k")
+    right = spark.range(20).selectExpr("id as r", "if(id < 15, 'often', 'rare') as k").union(spark.sql("select 99L, 'none'"))
+    out = meet(left, right, ["k"], ["id"])
+    assert sorted(map(tuple, out.select("k", "id", "r").collect())) == sorted(map(tuple, left.join(right, "k").select("k", "id", "r").collect()))
+    loads = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(loads) > 3 and max(loads) < 0.6 * sum(loads)
