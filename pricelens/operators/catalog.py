@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -369,17 +370,25 @@ def validate_catalog(stores: DataFrame) -> DataFrame:
     )
 
 
+def _of_deals(candidates: DataFrame, place: Callable[[Callable[[str], Column]], Column]) -> DataFrame:
+    """(deal_id, c): each deal's candidates as place makes them of their fields, in order.
+
+    candidates has a row a candidate, or a row a deal with a list of candidates: such lists are put in order where they are, not dealt out and gathered again.
+    """
+    if "candidates" in candidates.columns:
+        return candidates.select("deal_id", F.array_sort(F.transform("candidates", lambda x: place(lambda f: x[f]))).alias("c"))
+    return candidates.groupBy("deal_id").agg(F.array_sort(F.collect_list(place(F.col))).alias("c"))
+
+
 def resolution_payload(candidates: DataFrame) -> DataFrame:
-    """By deal: the payload of its nearest candidate with all candidate ids by distance; candidates (deal_id, store_id, latitude, longitude, distance_miles, stage)."""
-    order = F.array_sort(F.collect_list(F.struct("distance_miles", "store_id", "latitude", "longitude", "stage")))
-    g = candidates.groupBy("deal_id").agg(order.alias("c"))
+    """By deal: the payload of its nearest candidate with all candidate ids by distance; candidates (deal_id, store_id, latitude, longitude, distance_miles, stage) or (deal_id, candidates)."""
+    g = _of_deals(candidates, lambda f: F.struct(*[f(n).alias(n) for n in ("distance_miles", "store_id", "latitude", "longitude", "stage")]))
     return g.select("deal_id", F.struct(F.col("c")[0]["store_id"].alias("store_id"), F.col("c")[0]["latitude"].alias("latitude"), F.col("c")[0]["longitude"].alias("longitude"), F.transform("c", lambda x: x["store_id"]).alias("candidate_store_ids"), F.col("c")[0]["stage"].alias("stage")).alias("payload"))
 
 
 def candidate_buckets(candidates: DataFrame) -> DataFrame:
-    """By deal: its own stores (id not null) and external ones (seq), each nearest first; candidates (deal_id, id, seq, distance_miles)."""
-    place = F.struct(F.coalesce("distance_miles", F.lit(999_999.0)).alias("m"), F.col("id").alias("i"), F.col("seq").alias("s"))
-    g = candidates.groupBy("deal_id").agg(F.array_sort(F.collect_list(place)).alias("c"))
+    """By deal: its own stores (id not null) and external ones (seq), each nearest first; candidates (deal_id, id, seq, distance_miles) or (deal_id, candidates)."""
+    g = _of_deals(candidates, lambda f: F.struct(F.coalesce(f("distance_miles"), F.lit(999_999.0)).alias("m"), f("id").alias("i"), f("seq").alias("s")))
     of = lambda keep, field: F.transform(F.filter("c", keep), lambda x: x[field])
     return g.select("deal_id", of(lambda x: x["i"].isNotNull(), "i").alias("local"), of(lambda x: x["i"].isNull(), "s").alias("external"))
 

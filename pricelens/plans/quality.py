@@ -456,9 +456,9 @@ def j22_in_order(spark: SparkSession, sf: str) -> DataFrame:
 @query(_sql("deals stores", [], "SELECT deal_id, (deal_id % 3 > 0)::INT::VARCHAR AS stage, min(store_id) AS first FROM deals GROUP BY 1"))
 def c11_j23_payload(spark: SparkSession, sf: str) -> DataFrame:
     d = S.deals(spark, sf).groupBy("deal_id").agg(F.min("store_id").alias("store_id"))
-    far = F.explode(F.array(F.lit(1.0), F.lit(2.5))).alias("distance_miles")
-    c = d.select("deal_id", (F.col("deal_id") % 3 > 0).cast("int").cast("string").alias("stage"), far, "store_id").withColumn("store_id", F.col("store_id") + F.when(F.col("distance_miles") > 2, 1).otherwise(0))
-    p = C.resolution_payload(c.withColumns({"latitude": F.lit(0.0), "longitude": F.lit(0.0)}))
+    stage = (F.col("deal_id") % 3 > 0).cast("int").cast("string").alias("stage")
+    one = lambda more, miles: F.struct((F.col("store_id") + more).alias("store_id"), F.lit(0.0).alias("latitude"), F.lit(0.0).alias("longitude"), F.lit(miles).alias("distance_miles"), stage)
+    p = C.resolution_payload(d.select("deal_id", F.array(one(0, 1.0), one(1, 2.5)).alias("candidates")))
     return p.select("deal_id", F.col("payload.stage").alias("stage"), F.col("payload.store_id").alias("first"))
 
 
@@ -468,7 +468,7 @@ def j23_candidate_buckets(spark: SparkSession, sf: str) -> DataFrame:
     one = lambda i, n, miles: F.struct(i.alias("id"), F.lit(n).alias("seq"), miles.cast("double").alias("distance_miles"))
     none = F.lit(None).cast("long")
     c = F.array(one(s, 0, F.when(k % 2 == 0, 9).otherwise(2)), one(none, 1, F.when(k % 3 == 0, 1)), one(s + 1, 0, F.lit(3)), one(none, 2, F.lit(5)))
-    b = C.candidate_buckets(d.select("deal_id", F.explode(c).alias("c")).select("deal_id", "c.*"))
+    b = C.candidate_buckets(d.select("deal_id", c.alias("candidates")))
     return b.select("deal_id", F.array_join("local", ",").alias("local"), F.array_join("external", ",").alias("external"))
 
 

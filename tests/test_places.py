@@ -163,3 +163,21 @@ def test_likeness_of_addresses_equals_plain_python(spark):
     for x in got:
         assert abs(x.p - plain(x.a, x.b)) < 1e-9, (x.a, x.b)
         assert abs(x.r - SequenceMatcher(None, x.a, x.b).ratio()) < 1e-9
+
+
+def test_candidates_in_lists_are_those_in_rows_without_gathering(spark):
+    rows = [(1, 7, 0, 2.0), (1, None, 1, None), (1, 8, 0, 3.0), (1, None, 2, 5.0), (2, 5, 0, None), (2, 4, 0, 1.5), (3, None, 3, 1.0), (1, 6, 0, 2.0)]
+    r = spark.createDataFrame(rows, "deal_id long, id long, seq int, distance_miles double")
+    packed = r.groupBy("deal_id").agg(F.collect_list(F.struct("id", "seq", "distance_miles")).alias("candidates")).localCheckpoint()
+    got = C.candidate_buckets(packed)
+    want = [(1, [6, 7, 8], [2, 1]), (2, [4, 5], []), (3, [], [3])]
+    assert sorted((x.deal_id, x.local, x.external) for x in got.collect()) == want
+    assert sorted((x.deal_id, x.local, x.external) for x in C.candidate_buckets(r).collect()) == want
+    stores = r.where("id is not null").select("deal_id", F.col("id").alias("store_id"), F.lit(1.0).alias("latitude"), F.lit(2.0).alias("longitude"), "distance_miles", F.lit("zip").alias("stage"))
+    lists = stores.groupBy("deal_id").agg(F.collect_list(F.struct("store_id", "latitude", "longitude", "distance_miles", "stage")).alias("candidates"))
+    assert sorted(map(tuple, C.resolution_payload(lists).collect())) == sorted(map(tuple, C.resolution_payload(stores).collect()))
+    from pricelens.plans import QUERIES
+
+    for name in ("j23_candidate_buckets", "c11_j23_payload"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan
