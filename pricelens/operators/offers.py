@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import name_similarity, price_per_oz, size_key, word_sort
-from ..sources.tables import cents
+from ..sources.tables import cents, meet
 from .containment import contained
 
 PRODUCE = "apple banana orange lettuce tomato potato onion carrot pepper grape berry melon peach plum corn".split()
@@ -125,7 +125,7 @@ def search(requests: DataFrame, deals: DataFrame, k: int = 20) -> DataFrame:
     by_term = hits.select("term", "name").distinct().join(g, "name")
     n = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("n_retailers"), "name", "brand"))
     top = by_term.withColumn("rank", n).where(F.col("rank") <= k)
-    return r.join(top, "term").withColumnRenamed("name", "canonical").drop("term")
+    return meet(r, top, ["term"], ["request_id"]).withColumnRenamed("name", "canonical").drop("term")
 
 
 def size_tiers(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -224,7 +224,7 @@ def compare(requests: DataFrame, deals: DataFrame) -> DataFrame:
     pct = cents((F.col("value") - F.col("avg_value")) / F.col("avg_value") * 100)
     one = one.withColumn("vs_avg_pct", pct).withColumn("quality", quality(pct))
     one = one.withColumn("rank", F.row_number().over(own.orderBy("value", "retailer")))
-    out = r.select("request_id", "canonical", F.coalesce("size", F.lit("")).alias("size")).join(one, ["canonical", "size"])
+    out = meet(r.select("request_id", "canonical", F.coalesce("size", F.lit("")).alias("size")), one, ["canonical", "size"], ["request_id"])
     return out.select("request_id", "canonical", "mode", "size_key", "retailer", "value", "avg_value", "vs_avg_pct", "quality", "rank", "n_retailers")
 
 

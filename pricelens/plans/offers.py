@@ -78,7 +78,7 @@ def _picks(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {S.CTE['deals']}, offered AS (SELECT * FROM deals), {TIERS} SELECT request_id, size_key, n_retailers, min_price, selected FROM ({_PICK}) JOIN tiers USING (canonical)")
 def a10_size_tiers(spark: SparkSession, sf: str) -> DataFrame:
     tiers = O.size_tiers(S.deals(spark, sf).where("price > 0"), ["canonical"])  # once for each product
-    return _picks(spark, sf).join(tiers, "canonical").drop("canonical")
+    return S.meet(_picks(spark, sf), tiers, ["canonical"], ["request_id"]).drop("canonical")
 
 
 def _compare_sql(size: str, offered: str = "SELECT * FROM deals") -> str:
