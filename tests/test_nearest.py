@@ -27,3 +27,36 @@ def test_sizes_meet_each_size_of_a_term_once(spark):
     assert len(got) == 3000 and [got[i] for i in range(5)] == [(0, True), (4, True), (2, True), (2, True), (2, True)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "min(sku" in plan
+
+
+def test_nearby_prices_take_the_cheapest_of_each_point(spark):
+    from pricelens.functions.geo import haversine
+    from pricelens.operators import matching as M
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    zips = [(f"z{i}", 33 + i * 0.1, -118.0) for i in range(12)]
+    stores = [(i, f"r{i % 5}", 33 + (i % 9) * 0.12, -118 + (i % 3) * 0.01) for i in range(300)] + [(300, "r0", None, -118.0)]
+    deals = [(f"p{r.randint(0, 3)}", r.randint(0, 300), float(r.randint(0, 6))) for _ in range(2500)]
+    asks = [(i, f"p{i % 5}", f"z{i % 13}") for i in range(200)]
+    z = spark.createDataFrame(zips, "zip_code string, latitude double, longitude double")
+    s = spark.createDataFrame(stores, "store_id long, retailer_key string, latitude double, longitude double")
+    d = spark.createDataFrame(deals, "canonical string, store_id long, price double")
+    a = spark.createDataFrame(asks, "request_id long, canonical string, zip_code string")
+    far = haversine(z.latitude, z.longitude, s.latitude, s.longitude)
+    near = {}
+    for x in z.crossJoin(s).select("zip_code", "store_id", "retailer_key", far.alias("m")).where("m <= 25").collect():
+        near.setdefault(x.zip_code, []).append((math.floor(x.m * 100 + 0.5) / 100, x.store_id, x.retailer_key))
+    low = {}
+    for p, i, price in deals:
+        if price > 0:
+            low[p, i] = min(price, low.get((p, i), price))
+    want = set()
+    for q, p, c in asks:
+        found = sorted((low[p, i], m, i, key) for m, i, key in near.get(c, []) if (p, i) in low)[:5]
+        want |= {(q, k + 1, i, key, m, price) for k, (price, m, i, key) in enumerate(found)}
+    out = M.nearby_prices(a, d, s, z, 25.0, 5)
+    assert {tuple(x) for x in out.collect()} == want and len(want) > 500
+    joined = M.nearby_prices(a, d, s, z, 25.0, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert [x for x in joined.splitlines() if "windowspecdefinition" in x and "plat#" in x]
+    assert out.groupBy("request_id").agg(F.count("*").alias("n")).where("n > 5").count() == 0
